@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("court",)
+MODULES = ("court", "governance", "audits")
 
 
 def load_all():

@@ -326,4 +326,6 @@ def with_subqueries(body: str) -> str:
     need(body)
     if not needed:
         return body
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({SUBQUERIES[n]})" for n in needed) + "\n" + body
+    own = body.removeprefix("WITH ")
+    named = ",\n".join(f"{n} AS ({SUBQUERIES[n]})" for n in needed)
+    return f"WITH RECURSIVE {named}" + (f",\n{own}" if own != body else f"\n{body}")
