@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("court", "governance", "audits")
+MODULES = ("court", "governance", "audits", "jobs")
 
 
 def load_all():

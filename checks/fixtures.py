@@ -237,6 +237,16 @@ class Data:
         joined = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         return joined.selectExpr(*[f"{e} AS {c}" for c, e in _SRC.items()])
 
+    def amended(self) -> DataFrame:
+        """Case rows followed by later versions of some of them, which arrive with another load."""
+        src = self.src()
+        later = src.where("status = 'F'").withColumns({
+            "source_id": F.col("source_id") + F.lit(10**12),
+            "load_id": (F.col("load_id") + 1) % 25,
+            "caption": F.concat("caption", F.lit(" amended")),
+        })
+        return src.unionByName(later)
+
     def gov(self, name: str) -> DataFrame:
         stand_in = GOV[name]
         return stand_in.frame(self.table(stand_in.table))
@@ -307,6 +317,38 @@ SUBQUERIES: dict[str, str] = {
     "cases_b2": f"SELECT DISTINCT {CASE_COLUMNS} FROM branch_b2",
     "final_cases": "SELECT * FROM cases_a UNION ALL SELECT * FROM cases_b1 UNION ALL SELECT * FROM cases_b2",
     "party_rows": "SELECT id, defendant, plaintiff FROM branch_a UNION ALL SELECT id, defendant, plaintiff FROM branch_b1",
+    "amended_src": (
+        "SELECT * FROM src UNION ALL SELECT * REPLACE (source_id + 1000000000000 AS source_id, (load_id + 1) % 25 AS load_id, "
+        "concat(caption, ' amended') AS caption) FROM src WHERE status = 'F'"
+    ),
+    "load_runs": (
+        "SELECT load_id, CASE load_status WHEN 'started' THEN 1 ELSE 2 END AS run FROM gov_file_load "
+        "WHERE load_status IN ('started', 'completed')"
+    ),
+    "amended_labelled": (
+        "SELECT s.*, r.run, c.subtype FROM amended_src s JOIN load_runs r ON r.load_id = s.load_id "
+        "LEFT JOIN ct c ON s.case_type = c.case_type"
+    ),
+    "accepted_v2": (
+        f"SELECT {NA_EMPTY_REPLACED} FROM (SELECT *, "
+        + LABEL.format(rest="WHEN 'X' THEN 'OTHER CIVIL' ELSE CASE WHEN subtype IS NULL THEN 'NO INFORMATION' ELSE 'UNKNOWN' END")
+        + " AS clear_type FROM amended_labelled)"
+    ),
+    "accepted_v1": f"SELECT * FROM accepted_v2 WHERE subtype IN {_CIVIL}",
+    **{
+        f"processed_{v}": (
+            f"SELECT source_id, {CASE_COLUMNS} FROM accepted_{v} WHERE {KEPT_SYSTEM} AND cjis IS NULL "
+            "QUALIFY row_number() OVER (PARTITION BY CAST(id AS BIGINT) ORDER BY run, source_id, clear_type) = 1"
+        )
+        for v in ("v1", "v2")
+    },
+    **{
+        f"second_run_{v}": (
+            "SELECT s.* FROM amended_src s JOIN load_runs r ON r.load_id = s.load_id WHERE r.run = 2 "
+            f"AND CAST(s.id AS BIGINT) IN (SELECT row_id FROM processed_{v})"
+        )
+        for v in ("v1", "v2")
+    },
     "final_defendants": party_sql("party_rows", "defendant"),
     "final_plaintiffs": party_sql("party_rows", "plaintiff"),
 }

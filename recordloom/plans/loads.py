@@ -81,7 +81,11 @@ def stamp_load(df: DataFrame, load_id: int) -> DataFrame:
 def land_rows(
     rows: DataFrame, files: DataFrame, ledger: DataFrame, as_of: str, mode: str = "replace"
 ) -> tuple[DataFrame, DataFrame]:
-    """``(landing rows, ledger)`` for scanned rows that carry ``file_name`` and ``is_bad``."""
+    """``(landing rows, ledger)`` for scanned rows that carry ``file_name`` and ``is_bad``.
+
+    The file name identifies a load, so files of one name in several folders are one load.
+    """
+    files = pick_first(files, ["file_name"], ["file_path"])
     started = start_loads(ledger, files, as_of)
     per_file = rows.groupBy("file_name").agg(
         F.count_if(~F.col("is_bad")).alias("good_rows"), F.count_if("is_bad").alias("bad_rows")

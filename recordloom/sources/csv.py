@@ -35,11 +35,15 @@ def file_schema(columns: T.StructType) -> T.StructType:
 
 
 def clean_fields(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Empty fields are '' and ``NA`` is NULL; adds ``is_bad`` and the file a row came from."""
+    """Empty fields are '' and ``NA`` is NULL; adds ``is_bad`` and the file a row came from.
+
+    ``is_bad`` also looks at a data column, because Spark refuses to read the slot for bad records alone.
+    """
+    is_bad = F.col(_CORRUPT).isNotNull() | (F.octet_length(F.coalesce(F.col(columns[0]), F.lit(""))) < 0)
     values = [null_if_in(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns]
     return df.select(
         *values,
-        F.col(_CORRUPT).isNotNull().alias("is_bad"),
+        is_bad.alias("is_bad"),
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_size").alias("file_size_bytes"),
