@@ -440,10 +440,11 @@ def json_build_object(d):
     return d.gov("permissible_use_condition").select("permissible_use_condition_id", document.alias("document"))
 
 
-@query("""SELECT s_nationkey, string_agg(CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_name END, '|' ORDER BY s_name) AS names FROM supplier GROUP BY s_nationkey""")
+@query("""SELECT n_regionkey, string_agg(CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END, '|' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey""")
 def array_without_nulls(d):
-    names = d.table("supplier").groupBy("s_nationkey").agg(
-        F.collect_list(F.struct("s_name", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")).alias("v"))).alias("a")
+    """At most the nations of a region per array."""
+    names = d.table("nation").groupBy("n_regionkey").agg(
+        F.collect_list(F.struct("n_name", F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")).alias("v"))).alias("a")
     )
     kept = F.array_compact(F.transform(F.array_sort("a"), lambda x: x["v"]))
-    return names.select("s_nationkey", F.when(F.size(kept) > 0, kept).alias("names"))
+    return names.select("n_regionkey", F.when(F.size(kept) > 0, kept).alias("names"))

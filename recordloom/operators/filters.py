@@ -50,9 +50,9 @@ def filter_names(df: DataFrame, column: str, includes: list[str] = (), excludes:
 
 
 def filter_loads(df: DataFrame, loads: DataFrame | list[int] | None) -> DataFrame:
-    """Rows of the given loads: a list of ids, or a frame with a ``load_id`` column. None keeps no row."""
+    """Rows of the given loads: a list of ids, or a frame with one ``load_id`` per row. None keeps no row."""
     if loads is None:
         return df.where(F.lit(False))
     if isinstance(loads, DataFrame):
-        return keep_matching(df, loads, "load_id")
+        return keep_matching(df, loads, "load_id", unique=True)
     return df.where(F.col("load_id").isin(*loads)) if loads else df.where(F.lit(False))

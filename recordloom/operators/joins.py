@@ -37,16 +37,30 @@ def lookup_join(
     return df.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
 
 
-def keep_matching(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
-    """EXISTS: rows of ``df`` whose key is in ``keys``; the key side is reduced to distinct keys first."""
+def distinct_keys(df: DataFrame, names: list[str], spread: int = 8) -> DataFrame:
+    """At most ``spread`` copies of each key, for the right side of a semi or anti join.
+
+    A plain ``distinct`` would hand its own partitioning to the join, and adaptive
+    execution does not split a hot key of the left side then. Counting the map task
+    into the grouping leaves the join a shuffle of its own, which it can split.
+    """
+    return df.select(*names, (F.spark_partition_id() % spread).alias("_spread")).distinct().drop("_spread")
+
+
+def _match(df: DataFrame, keys: DataFrame, on: str | list[str], unique: bool, how: str) -> DataFrame:
     names = [on] if isinstance(on, str) else on
-    return df.join(keys.select(*names).distinct(), names, "left_semi")
+    right = keys.select(*names) if unique else distinct_keys(keys, names)
+    return df.join(right, names, how)
 
 
-def drop_matching(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
+def keep_matching(df: DataFrame, keys: DataFrame, on: str | list[str], unique: bool = False) -> DataFrame:
+    """EXISTS: rows of ``df`` whose key is in ``keys``. ``unique``: no key occurs twice in ``keys``."""
+    return _match(df, keys, on, unique, "left_semi")
+
+
+def drop_matching(df: DataFrame, keys: DataFrame, on: str | list[str], unique: bool = False) -> DataFrame:
     """NOT EXISTS: rows of ``df`` whose key is not in ``keys``; rows with a NULL key stay."""
-    names = [on] if isinstance(on, str) else on
-    return df.join(keys.select(*names).distinct(), names, "left_anti")
+    return _match(df, keys, on, unique, "left_anti")
 
 
 def chain_left(df: DataFrame, *steps: tuple[DataFrame, str]) -> DataFrame:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.operators.joins import drop_matching
 from recordloom.schemas import ForeignKey
 
 Key = str | Column
@@ -40,8 +41,8 @@ def pick_first(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame
 
 
 def _unmatched(source: DataFrame, target: DataFrame, names: list[str]) -> DataFrame:
-    hits = target.select(*names).join(source.select(*names), names, "left_semi").distinct()
-    return source.join(hits, names, "left_anti")
+    hits = target.select(*names).join(source.select(*names), names, "left_semi")
+    return drop_matching(source, hits, names)
 
 
 def _conform(df: DataFrame, like: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def delete_propagate(
 
     for name, conditions in doomed.items():
         for column, values in conditions:
-            result[name] = result[name].join(values.distinct(), column, "left_anti").select(*tables[name].columns)
+            result[name] = drop_matching(result[name], values, column).select(*tables[name].columns)
     for fk in fks:
         if fk.on_delete != "set null" or fk.child not in tables or fk.parent not in doomed:
             continue

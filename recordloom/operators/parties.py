@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.dates import safe_to_date
-from recordloom.functions.json import json_elements, unpack_fields
+from recordloom.functions.json import marked_elements, marked_json, unpack_fields
 from recordloom.functions.text import to_bigint
 from recordloom.operators.filters import usable_document
 from recordloom.schemas import PARTY_FIELDS
@@ -16,11 +16,15 @@ def explode_json_documents(df: DataFrame, column: str, fields: dict[str, str], k
     """One row per element of each document: ``keep`` plus one text column per field.
 
     An object is one element, an empty array none; unusable text yields no row. A
-    scalar or ``null`` element is a row whose fields are all NULL.
+    scalar or ``null`` element is a row whose fields are all NULL. The document is
+    parsed in a projection of its own, so that its result is used, not recomputed.
     """
-    elements = df.where(usable_document(F.col(column))).select(
-        *keep, F.explode(json_elements(F.col(column))).alias("_element")
+    documents = df.where(usable_document(F.col(column))).select(
+        *keep, F.col(column).alias("_text"), marked_json(F.col(column)).alias("_marked")
     )
+    elements = documents.select(
+        "*", F.explode(marked_elements(F.col("_marked"), F.col("_text"))).alias("_element")
+    ).drop("_text", "_marked")
     record = elements.withColumn("_record", unpack_fields(F.col("_element"), fields))
     return record.select(
         *[c for c in elements.columns if c != "_element"],

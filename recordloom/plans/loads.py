@@ -116,7 +116,8 @@ def load_files(
 def unprocessed_loads(ledger: DataFrame, source: DataFrame, cases: DataFrame) -> DataFrame:
     """``load_id`` of completed loads of which no row became a case yet."""
     completed = ledger.where(F.col("load_status") == "completed").select("load_id")
-    processed = keep_matching(source.select("load_id", "source_id"), cases, "source_id").select("load_id")
+    landed = keep_matching(source.select("load_id", "source_id"), completed, "load_id", unique=True)
+    processed = keep_matching(landed, cases, "source_id", unique=True).select("load_id")
     return drop_matching(completed, processed, "load_id")
 
 
@@ -139,7 +140,7 @@ def accept_cases(rows: DataFrame, case_types: DataFrame, version: str = "v2") ->
 def party_rows(rows: DataFrame, cases: DataFrame, column: str) -> DataFrame:
     """Party rows of source rows whose id is an accepted case."""
     keyed = rows.withColumn("row_id", to_bigint(F.col("id")))
-    return unnest_party(keep_matching(keyed, cases, "row_id"), column)
+    return unnest_party(keep_matching(keyed, cases, "row_id", unique=True), column)
 
 
 def process_loads(
@@ -148,10 +149,12 @@ def process_loads(
     """``(cases after, new defendants, new plaintiffs)`` for the given loads.
 
     The first source row of a case wins, across loads and within one. The new cases
-    are staged once because all three results build on them.
+    are staged once because all three results build on them, and so is the list of loads.
     """
+    if isinstance(loads, DataFrame):
+        loads = stage(loads.select("load_id").distinct(), "loads")
     rows = filter_loads(source, loads)
     batch = pick_first(accept_cases(rows, case_types, version), ["row_id"], ["source_id", "category"])
-    fresh = stage(drop_matching(batch, cases, "row_id"), "new-cases")
+    fresh = stage(drop_matching(batch, cases, "row_id", unique=True), "new-cases")
     after = cases.unionByName(fresh)
     return after, party_rows(rows, after, "defendant"), party_rows(rows, after, "plaintiff")

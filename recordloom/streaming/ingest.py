@@ -107,7 +107,7 @@ def stream_process(
         session = batch.sparkSession
         first = pick_first(accept_cases(batch, case_types, version), ["row_id"], ["source_id", "category"])
         earlier = _read_batches(session, f"{out_dir}/cases", first.schema, batch_id)
-        _write_batch(drop_matching(first, earlier, "row_id"), f"{out_dir}/cases", batch_id)
+        _write_batch(drop_matching(first, earlier, "row_id", unique=True), f"{out_dir}/cases", batch_id)
         accepted = _read_batches(session, f"{out_dir}/cases", first.schema, batch_id + 1)
         for name, column in (("defendants", "defendant"), ("plaintiffs", "plaintiff")):
             _write_batch(party_rows(batch, accepted, column), f"{out_dir}/{name}", batch_id)

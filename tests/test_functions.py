@@ -35,7 +35,7 @@ def test_us_date(spark, text, expected):
     assert one(spark, text, lambda c: safe_to_date(c, "MM/DD/YYYY")) == expected
 
 
-VALID = ['{"Name":"a"}', '[{"Name":"a"}]', "[]", "null", "5", '"s"', " [1, 2] ", '{"a":{"b":[1]}}', '["]"]', '{"a":"\\\\u0000"}']
+VALID = ['{"Name":"~end~"}', '{"Name":"a"}', '[{"Name":"a"}]', "[]", "null", "5", '"s"', " [1, 2] ", '{"a":{"b":[1]}}', '["]"]', '{"a":"\\\\u0000"}']
 INVALID = [
     None, "", "NA", "{bad", "[1] x", "1] x", "1],[2", "1,2", '{"a":1} {"b":2}', "{'Name':'x'}", '{"a":NaN}', '{"a":01}',
     "[1,]", '{"a":1,}', '{"a":1} // c', '"\\u0000"', '1,"~end~"] x',
