@@ -397,3 +397,62 @@ def final_defendants(d):
 @query("SELECT * FROM final_plaintiffs")
 def final_plaintiffs(d):
     return finals(d)[2]
+
+
+# --- the same steps by their SQL names -------------------------------------------------------
+
+@query(f"""SELECT id, {ISO_DATE} AS file_date, nullif(nullif(cjis, 'NA'), '') AS cjis, md5(caption) AS hash,
+                  CASE WHEN plaintiff NOT IN ('NA', '') AND json_valid(plaintiff) THEN plaintiff END AS document,
+                  CASE WHEN load_id % 2 = 0 THEN concat('A County Court ', CAST(load_id % 7 AS VARCHAR)) ELSE 'Unknown Court' END AS court
+           FROM src""")
+def sql_functions(d):
+    from recordloom.plans.sql_names import register_functions
+
+    register_functions(d.spark)
+    d.src().createOrReplaceTempView("src_for_functions")
+    return d.spark.sql("""
+        SELECT id, safe_to_date(filing_date, 'YYYY-MM-DD') AS file_date, nullif_na(cjis) AS cjis,
+               calculate_file_hash(caption) AS hash, safe_json(plaintiff) AS document,
+               CASE WHEN load_id % 2 = 0
+                    THEN concat(extract_court_from_filename(concat(id, '_A County Court.csv')), ' ', CAST(load_id % 7 AS STRING))
+                    ELSE extract_court_from_filename(concat(id, '.csv')) END AS court
+        FROM src_for_functions""")
+
+
+_STEPS = {
+    "vw_label_cases": "labelled", "vw_limit_by_subtype": "civil", "vw_real_nulls": "civil_nulls", "vw_drop_extras": "branch_a",
+    "vw_save_off_the_non_civil": "non_civil", "vw_fix_the_nulls_here_too": "branch_b",
+    "vw_catch_the_remaining_civil_cases": "branch_b1", "vw_remaining_civil_cases_2": "branch_b2",
+    "vw_case_table": "cases_a", "vw_extra_case": "cases_b1", "vw_extra_case_2": "cases_b2", "vw_all_cases": "final_cases",
+    "vw_all_defendants": "final_defendants", "vw_all_plaintiffs": "final_plaintiffs",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{view}' AS step, count(*) AS row_count FROM {name}" for view, name in _STEPS.items()))
+def sql_views(d):
+    from recordloom.plans.sql_names import case_views, register_views
+
+    register_views(case_views(d.src(), d.ct()))
+    return d.spark.sql(" UNION ALL ".join(f"SELECT '{v}' AS step, count(*) AS row_count FROM {v}" for v in _STEPS))
+
+
+@query("""SELECT d.row_id, d.name, d.party_num, d.removal_date, p.name AS plaintiff_name FROM final_defendants d
+          JOIN final_plaintiffs p ON p.row_id = d.row_id AND p.party_num = d.party_num""")
+def sql_party_views(d):
+    from recordloom.plans.sql_names import case_views, register_views
+
+    register_views(case_views(d.src(), d.ct()))
+    return d.spark.sql("""
+        SELECT d.row_id, d.name, d.party_num, d.removal_date, p.name AS plaintiff_name FROM vw_all_defendants d
+        JOIN vw_all_plaintiffs p ON p.row_id = d.row_id AND p.party_num = d.party_num""")
+
+
+@query("""SELECT row_id, CAST(e AS VARCHAR) AS element FROM (
+            SELECT row_id, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN from_json(j, '["JSON"]') ELSE [j] END) AS e
+            FROM (SELECT CAST(id AS BIGINT) AS row_id, CAST(defendant AS JSON) AS j FROM branch_a
+                  WHERE defendant IS NOT NULL AND defendant NOT IN ('NA', '', 'null') AND json_valid(defendant)))""")
+def sql_array_views(d):
+    from recordloom.plans.sql_names import case_views, register_views
+
+    register_views(case_views(d.src(), d.ct()))
+    return d.spark.sql("SELECT row_id, defendant AS element FROM vw_defendant_array WHERE defendant IS NOT NULL")

@@ -12,8 +12,10 @@ from recordloom.operators.filters import usable_document
 from recordloom.schemas import PARTY_FIELDS
 
 
-def explode_json_documents(df: DataFrame, column: str, fields: dict[str, str], keep: list[Column]) -> DataFrame:
-    """One row per element of each document: ``keep`` plus one text column per field.
+def explode_json_documents(
+    df: DataFrame, column: str, fields: dict[str, str], keep: list[Column], element: str = "_element"
+) -> DataFrame:
+    """One row per element of each document: ``keep`` plus one text column per field, or the element without any.
 
     An object is one element, an empty array none; unusable text yields no row. A
     scalar or ``null`` element is a row whose fields are all NULL. The document is
@@ -23,11 +25,13 @@ def explode_json_documents(df: DataFrame, column: str, fields: dict[str, str], k
         *keep, F.col(column).alias("_text"), marked_json(F.col(column)).alias("_marked")
     )
     elements = documents.select(
-        "*", F.explode(marked_elements(F.col("_marked"), F.col("_text"))).alias("_element")
+        "*", F.explode(marked_elements(F.col("_marked"), F.col("_text"))).alias(element)
     ).drop("_text", "_marked")
-    record = elements.withColumn("_record", unpack_fields(F.col("_element"), fields))
+    if not fields:
+        return elements
+    record = elements.withColumn("_record", unpack_fields(F.col(element), fields))
     return record.select(
-        *[c for c in elements.columns if c != "_element"],
+        *[c for c in elements.columns if c != element],
         *[F.col("_record")[key].alias(out) for out, key in fields.items()],
     )
 
