@@ -332,7 +332,7 @@ def json_is_array(d):
     return valid.select("id", F.ltrim("plaintiff").startswith("[").alias("is_array"))
 
 
-@query("""SELECT id, json_array_length(CAST(defendant AS JSON)) AS n FROM src
+@query("""SELECT id, CAST(json_array_length(CAST(defendant AS JSON)) AS BIGINT) AS n FROM src
           WHERE defendant NOT IN ('NA', '') AND json_valid(defendant) AND json_type(CAST(defendant AS JSON)) = 'ARRAY'""")
 def json_array_elements(d):
     arrays = d.src().where(F.col("defendant").startswith("[")).select("id", json_elements(F.col("defendant")).alias("e"))

@@ -225,7 +225,7 @@ def upsert_partial_columns(d):
 @query("""SELECT a.agency_id, a.name, coalesce(r.r_name, a.acronym) AS acronym,
                  CASE WHEN r.r_name IS NULL THEN '2024-02-01' ELSE '2024-03-01' END AS updated_at
           FROM gov_agency a LEFT JOIN region r ON lower(a.name) = lower(concat('Nation_', cast(r.r_regionkey as varchar)))
-          UNION ALL SELECT s_suppkey + 100, s_name, 'S', '2024-03-01' FROM supplier""")
+          UNION ALL SELECT CAST(s_suppkey + 100 AS INTEGER), s_name, 'S', '2024-03-01' FROM supplier""")
 def upsert_agency_by_name(d):
     known = d.table("region").select(
         F.col("r_regionkey").cast("bigint").alias("agency_id"),

@@ -10,7 +10,7 @@ from checks.fixtures import Data, party_sql
 from checks.registry import query
 from recordloom.plans import cases as plan
 from recordloom.plans import loads
-from recordloom.schemas import CASE_FILE_COLUMNS, LOOKUP_FILE_COLUMNS
+from recordloom.schemas import CASE_FILE_COLUMNS, LEDGER_SCHEMA, LOOKUP_FILE_COLUMNS
 from recordloom.session import scratch_path
 from recordloom.sources import csv, tables
 from recordloom.streaming import ingest
@@ -35,7 +35,7 @@ def scan_cases_csv(d):
 
 
 @query("""SELECT p_size AS case_count, concat('TYPE ', cast(p_partkey as varchar)) AS case_type, p_brand AS subtype,
-                 concat(p_name, ', "', p_type, '"') AS notes, '' AS col5, NULL AS col6, cast(p_retailprice as varchar) AS col7 FROM part""")
+                 concat(p_name, ', "', p_type, '"') AS notes, '' AS col5, CAST(NULL AS VARCHAR) AS col6, cast(p_retailprice as varchar) AS col7 FROM part""")
 def scan_lookup_csv(d):
     """A lookup file with carriage returns and its header line repeated between the rows."""
     path = scratch_path(d.spark, "lookup-csv")
@@ -140,13 +140,10 @@ def load_files(d):
 
 @query(_LANDED)
 def load_files_again(d):
-    """A second run over the same files keeps their load ids and replaces their rows."""
-    path, out = _files(d), scratch_path(d.spark, "landing")
-    landing, ledger = loads.load_files(d.spark, f"{path}/*.csv", loads.empty_ledger(d.spark), AS_OF)
-    tables.append_landing(landing, out)
-    ledger = tables.materialize(ledger, scratch_path(d.spark, "ledger"))
-    landing, ledger = loads.load_files(d.spark, f"{path}/*.csv", ledger, AS_OF)
-    return _landed_summary(tables.append_landing(landing, out), ledger)
+    """The whole load job twice over the same files: load ids are kept and rows replaced."""
+    path, out = _files(d), scratch_path(d.spark, "loaded")
+    loads.run_load(d.spark, f"{path}/*.csv", out, AS_OF)
+    return _landed_summary(*loads.run_load(d.spark, f"{path}/*.csv", out, AS_OF, multi_line=False))
 
 
 def _runs(d: Data, version: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -187,8 +184,8 @@ def stream_load(d):
     path, out, checkpoint = _files(d), scratch_path(d.spark, "stream"), scratch_path(d.spark, "stream-state")
     for _ in range(2):
         ingest.stream_load(d.spark, path, out, checkpoint, AS_OF).awaitTermination()
-    ledger = ingest.read_versions(d.spark, f"{out}/ledger", loads.LEDGER_SCHEMA)
-    return _landed_summary(d.spark.read.parquet(f"{out}/landing"), ledger)
+    ledger = tables.read_version(d.spark, f"{out}/ledger", LEDGER_SCHEMA)
+    return _landed_summary(loads.read_landing(d.spark, out), ledger)
 
 
 

@@ -17,10 +17,20 @@ from recordloom.schemas import (
     CIVIL_SUBTYPES,
     CLEANED_COLUMNS,
     FAILED_LOAD_MESSAGE,
+    LANDING_SCHEMA,
     LEDGER_SCHEMA,
 )
-from recordloom.session import stage
+from recordloom.session import scratch_path, stage
 from recordloom.sources.csv import read_many
+from recordloom.sources.tables import (
+    append_landing,
+    existing_table,
+    next_version,
+    number_stored,
+    read_version,
+    stored_with_positions,
+    write_version,
+)
 
 
 def _time(as_of: str) -> Column:
@@ -79,38 +89,77 @@ def stamp_load(df: DataFrame, load_id: int) -> DataFrame:
 
 
 def land_rows(
-    rows: DataFrame, files: DataFrame, ledger: DataFrame, as_of: str, mode: str = "replace"
+    rows: DataFrame, files: DataFrame | None, ledger: DataFrame, as_of: str, mode: str = "replace", start_id: int = 0
 ) -> tuple[DataFrame, DataFrame]:
-    """``(landing rows, ledger)`` for scanned rows that carry ``file_name`` and ``is_bad``.
+    """``(landing rows, ledger)`` for scanned rows that carry their file and ``is_bad``.
 
-    The file name identifies a load, so files of one name in several folders are one load.
+    The text is parsed once: the rows are staged, and the outcome of each load, the row
+    numbers and the landing rows all come from there. ``files`` may list files without
+    rows; by default the files of the rows are taken. The file name identifies a load,
+    so files of one name in several folders are one load.
     """
-    files = pick_first(files, ["file_name"], ["file_path"])
-    started = start_loads(ledger, files, as_of)
-    per_file = rows.groupBy("file_name").agg(
+    spark = rows.sparkSession
+    path = scratch_path(spark, "parsed")
+    rows.write.parquet(path)
+    stored = stored_with_positions(spark, path, rows.schema)
+    if files is None:
+        files = stored.select("file_name", "file_path", "file_size_bytes").distinct()
+    files = stage(pick_first(files, ["file_name"], ["file_path"]), "load-files")
+    started = stage(start_loads(ledger, files, as_of), "started-loads")
+    per_file = stored.groupBy("file_name").agg(
         F.count_if(~F.col("is_bad")).alias("good_rows"), F.count_if("is_bad").alias("bad_rows")
     )
     zero = F.lit(0).cast("bigint")
-    counts = (
-        started.join(files.select("file_name"), "file_name", "left_semi")
-        .join(per_file, "file_name", "left")
-        .select("load_id", "file_name", F.coalesce("good_rows", zero).alias("good_rows"),
-                F.coalesce("bad_rows", zero).alias("bad_rows"))
+    counts = stage(
+        files.select("file_name").join(started, "file_name").join(per_file, "file_name", "left").select(
+            "load_id", "file_name",
+            F.coalesce("good_rows", zero).alias("good_rows"), F.coalesce("bad_rows", zero).alias("bad_rows"),
+        ),
+        "load-counts",
     )
-    counts = stage(counts, "load-counts")
     done = finish_loads(started, counts.drop("file_name"), as_of, mode)
     good = counts.where(F.col("bad_rows") == 0).select("file_name", "load_id")
-    landing = lookup_join(rows, good, "file_name", "inner").select(
-        *CASE_FILE_COLUMNS, "load_id", _time(as_of).alias("loaded_at")
-    )
-    return landing, done
+    landing = lookup_join(number_stored(stored, start_id), good, "file_name", "inner")
+    return landing.select(*CASE_FILE_COLUMNS, _time(as_of).alias("loaded_at"), "source_id", "load_id"), done
 
 
 def load_files(
-    spark: SparkSession, paths: str | list[str], ledger: DataFrame, as_of: str, mode: str = "replace"
+    spark: SparkSession, paths: str | list[str], ledger: DataFrame, as_of: str, mode: str = "replace",
+    start_id: int = 0, multi_line: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Scan all files at once: ``(landing rows with load_id, ledger with outcomes)``."""
-    return land_rows(read_many(spark, paths), list_files(spark, paths), ledger, as_of, mode)
+    return land_rows(read_many(spark, paths, multi_line), list_files(spark, paths), ledger, as_of, mode, start_id)
+
+
+def commit_load(
+    rows: DataFrame, files: DataFrame | None, out_dir: str, version: int, as_of: str, mode: str = "replace"
+) -> None:
+    """Land scanned rows in ``out_dir/landing`` and write version ``version`` of ``out_dir/ledger``.
+
+    Runs again safely: until the ledger version is there, a second run gives the same
+    files the same load ids and replaces what the first one landed.
+    """
+    spark, out_dir = rows.sparkSession, out_dir.rstrip("/")
+    ledger = read_version(spark, f"{out_dir}/ledger", LEDGER_SCHEMA, before=version)
+    landed = existing_table(spark, f"{out_dir}/landing", LANDING_SCHEMA)
+    newest = landed.agg(F.coalesce(F.max("source_id"), F.lit(0).cast("bigint")).alias("m")).first()["m"]
+    landing, after = land_rows(rows, files, ledger, as_of, mode, newest)
+    append_landing(landing, f"{out_dir}/landing", mode)
+    write_version(after, f"{out_dir}/ledger", version)
+
+
+def run_load(
+    spark: SparkSession, paths: str | list[str], out_dir: str, as_of: str, mode: str = "replace", multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """The whole load job: files to ``out_dir/landing`` and ``out_dir/ledger``, which it returns."""
+    out_dir = out_dir.rstrip("/")
+    version = next_version(spark, f"{out_dir}/ledger", LEDGER_SCHEMA)
+    commit_load(read_many(spark, paths, multi_line), list_files(spark, paths), out_dir, version, as_of, mode)
+    return read_landing(spark, out_dir), read_version(spark, f"{out_dir}/ledger", LEDGER_SCHEMA)
+
+
+def read_landing(spark: SparkSession, out_dir: str) -> DataFrame:
+    return spark.read.schema(LANDING_SCHEMA).parquet(f"{out_dir.rstrip('/')}/landing")
 
 
 def unprocessed_loads(ledger: DataFrame, source: DataFrame, cases: DataFrame) -> DataFrame:

@@ -24,9 +24,16 @@ _OPTIONS = {
 }
 
 
-def csv_options() -> dict[str, str]:
-    """Reader options, shared with the streaming reader."""
-    return {**_OPTIONS, "columnNameOfCorruptRecord": _CORRUPT, "mode": "PERMISSIVE"}
+def csv_options(multi_line: bool = True) -> dict[str, str]:
+    """Reader options, shared with the streaming reader.
+
+    With ``multi_line`` a quoted field may hold line breaks, but each file is read by one
+    task. Without it large files are split; a record with a line break then counts as
+    bad and fails its load, it is never cut silently.
+    """
+    return {
+        **_OPTIONS, "multiLine": str(multi_line).lower(), "columnNameOfCorruptRecord": _CORRUPT, "mode": "PERMISSIVE",
+    }
 
 
 def file_schema(columns: T.StructType) -> T.StructType:
@@ -50,15 +57,15 @@ def clean_fields(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def read_many(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_many(spark: SparkSession, paths: str | list[str], multi_line: bool = True) -> DataFrame:
     """All record files of a glob in one scan, every row stamped with its file and ``is_bad``."""
-    raw = spark.read.schema(file_schema(CASE_FILE_SCHEMA)).options(**csv_options()).csv(paths)
+    raw = spark.read.schema(file_schema(CASE_FILE_SCHEMA)).options(**csv_options(multi_line)).csv(paths)
     return clean_fields(raw, CASE_FILE_COLUMNS)
 
 
-def read_cases_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_cases_csv(spark: SparkSession, paths: str | list[str], multi_line: bool = True) -> DataFrame:
     """The 29 text columns of well-formed records."""
-    return read_many(spark, paths).where(~F.col("is_bad")).select(*CASE_FILE_COLUMNS)
+    return read_many(spark, paths, multi_line).where(~F.col("is_bad")).select(*CASE_FILE_COLUMNS)
 
 
 def read_lookup_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:

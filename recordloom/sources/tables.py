@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recordloom.operators.joins import lookup_join
+
 
 def read_table(spark: SparkSession, fmt: str, **options: str) -> DataFrame:
     """A table or view behind any Spark source, such as ``parquet`` (``path``) or ``jdbc`` (``url``, ``dbtable``).
@@ -60,36 +63,76 @@ def append_landing(df: DataFrame, path: str, mode: str = "replace") -> DataFrame
     ``replace`` swaps the folders of the loads at hand and leaves all others, so a
     repeated load does not double its rows; ``append`` adds to them.
     """
-    writer = df.write.partitionBy("load_id")
     if mode == "append":
-        writer.mode("append").parquet(path)
+        df.write.mode("append").partitionBy("load_id").parquet(path)
     elif mode == "replace":
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        replace_parts(df, path, ["load_id"])
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def number_rows(df: DataFrame, path: str, start: int = 0, column: str = "source_id") -> DataFrame:
-    """Write ``df`` to ``path`` and read it back with gapless numbers after ``start``.
+def stored_with_positions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A written table with the file ``_file`` and the position ``_row`` of each row."""
+    return spark.read.schema(schema).parquet(path).select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    )
+
+
+def number_stored(located: DataFrame, start: int = 0, column: str = "source_id") -> DataFrame:
+    """Gapless numbers after ``start`` for rows with ``_file`` and ``_row``.
 
-    The number of a row is its position in its written file plus the rows of the files
-    before it. Files do not change once written, so a retried task gives the same
-    numbers; only one small row per file is ranked, no data row is shuffled.
+    The number of a row is its position in its file plus the rows of the files before
+    it. Files do not change once written, so a retried task gives the same numbers;
+    only one small row per file is ranked and no data row is shuffled.
     """
-    df.write.parquet(path)
-    stored = df.sparkSession.read.schema(df.schema).parquet(path)
-    located = stored.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     sizes = located.groupBy("_file").agg(F.count("*").alias("_n"))
-    offsets = running_total(sizes, "_file", "_n", "_before")
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return (
-        located.join(offsets.select("_file", "_before"), "_file")
+        lookup_join(located, offsets, "_file", "inner")
         .withColumn(column, F.lit(start) + F.col("_before") + F.col("_row") + 1)
         .drop("_file", "_row", "_before")
     )
 
 
-def running_total(df: DataFrame, order: str, amount: str, out: str) -> DataFrame:
-    """Sum of ``amount`` over the rows before, by ``order``; for one row per file, not for data rows."""
-    window = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(out, F.coalesce(F.sum(amount).over(window), F.lit(0)))
+def number_rows(df: DataFrame, path: str, start: int = 0, column: str = "source_id") -> DataFrame:
+    """Write ``df`` to ``path`` and read it back with gapless numbers after ``start``."""
+    df.write.parquet(path)
+    return number_stored(stored_with_positions(df.sparkSession, path, df.schema), start, column)
+
+
+def existing_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The parquet table at ``path``; no rows before the first run has written it."""
+    try:
+        return spark.read.parquet(path).select(*schema.names)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_version(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """Newest version of a small table that is kept in versions, or the newest below ``before``."""
+    versioned = T.StructType([*schema.fields, T.StructField("version", T.LongType())])
+    stored = existing_table(spark, path, versioned)
+    if before is not None:
+        stored = stored.where(F.col("version") < before)
+    newest = stored.agg(F.max("version").alias("v")).scalar()
+    return stored.where(F.col("version") == newest).select(*schema.names)
+
+
+def next_version(spark: SparkSession, path: str, schema: T.StructType) -> int:
+    versioned = T.StructType([*schema.fields, T.StructField("version", T.LongType())])
+    newest = existing_table(spark, path, versioned).agg(F.max("version").alias("v")).first()["v"]
+    return 0 if newest is None else newest + 1
+
+
+def write_version(df: DataFrame, path: str, version: int) -> None:
+    """Add a version; writing the same one again replaces it."""
+    replace_parts(df.withColumn("version", F.lit(version).cast("bigint")), path, ["version"])
+
+
+def replace_parts(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Replace the partitions at hand and leave all others."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)

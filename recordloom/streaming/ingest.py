@@ -1,13 +1,13 @@
 """Incremental loading and processing with Structured Streaming.
 
 Both jobs run to completion over what is new (``availableNow``) and can be started
-again at any time. Each micro-batch writes folders of its own batch id, so a batch that
-is retried after a lost driver or executor replaces its own output instead of doubling it.
+again at any time. What a micro-batch writes is named after its files or its batch id,
+so a batch that is retried after a lost driver or executor replaces its own output
+instead of doubling it.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,75 +15,23 @@ from pyspark.sql.streaming import StreamingQuery
 
 from recordloom.operators.joins import drop_matching
 from recordloom.operators.merge import pick_first
-from recordloom.plans.loads import accept_cases, land_rows, party_rows
-from recordloom.schemas import CASE_FILE_COLUMNS, CASE_FILE_SCHEMA, LEDGER_SCHEMA
+from recordloom.plans.loads import accept_cases, commit_load, party_rows
+from recordloom.schemas import CASE_FILE_COLUMNS, CASE_FILE_SCHEMA, LANDING_SCHEMA
 from recordloom.sources.csv import clean_fields, csv_options, file_schema
-from recordloom.sources.tables import number_rows
+from recordloom.sources.tables import existing_table, replace_parts
 
-LANDING_SCHEMA = T.StructType([
-    *CASE_FILE_SCHEMA.fields,
-    T.StructField("loaded_at", T.TimestampNTZType()),
-    T.StructField("source_id", T.LongType()),
-    T.StructField("load_id", T.LongType()),
-])
-
-
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, or None before the first run has written it."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def read_versions(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """The rows of the newest version of a small versioned table, or no rows; only versions below ``before``."""
-    stored = _existing(spark, path)
-    if stored is None:
-        return spark.createDataFrame([], schema)
-    if before is not None:
-        stored = stored.where(F.col("version") < before)
-    newest = stored.agg(F.max("version").alias("v")).scalar()
-    return stored.where(F.col("version") == newest).select(*schema.names)
-
-
-def write_version(df: DataFrame, path: str, version: int) -> None:
-    df.withColumn("version", F.lit(version).cast("bigint")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("version").parquet(path)
-
-
-def _read_batches(spark: SparkSession, path: str, schema: T.StructType, before: int) -> DataFrame:
-    """Rows that earlier micro-batches wrote."""
-    stored = _existing(spark, path)
-    if stored is None:
-        return spark.createDataFrame([], schema)
-    return stored.where(F.col("batch_id") < before).select(*schema.names)
-
-
-def _write_batch(df: DataFrame, path: str, batch_id: int, also_by: list[str] = ()) -> None:
-    df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("batch_id", *also_by).parquet(path)
 
+def stream_load(
+    spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, as_of: str, multi_line: bool = True
+) -> StreamingQuery:
+    """Land the files of ``in_dir`` that were not loaded yet: ``out_dir/landing`` and ``out_dir/ledger``.
 
-def stream_load(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, as_of: str) -> StreamingQuery:
-    """Land the files of ``in_dir`` that were not loaded yet: ``out_dir/landing`` and ``out_dir/ledger``."""
-    out_dir = out_dir.rstrip("/")
-    raw = spark.readStream.schema(file_schema(CASE_FILE_SCHEMA)).options(**csv_options()).csv(in_dir)
+    The result is that of the batch load, except that a file without any record is not noted.
+    """
+    raw = spark.readStream.schema(file_schema(CASE_FILE_SCHEMA)).options(**csv_options(multi_line)).csv(in_dir)
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        ledger = read_versions(session, f"{out_dir}/ledger", LEDGER_SCHEMA, before=batch_id)
-        files = batch.select("file_name", "file_path", "file_size_bytes").distinct()
-        landing, after = land_rows(batch, files, ledger, as_of)
-        earlier = _read_batches(session, f"{out_dir}/landing", LANDING_SCHEMA, batch_id)
-        start = earlier.agg(F.coalesce(F.max("source_id"), F.lit(0).cast("bigint")).alias("m")).first()["m"]
-        numbered = number_rows(landing, f"{out_dir}/staged/{batch_id}-{session.sparkContext.applicationId}", start)
-        _write_batch(numbered.select(*LANDING_SCHEMA.names), f"{out_dir}/landing", batch_id, ["load_id"])
-        write_version(after, f"{out_dir}/ledger", batch_id)
+        commit_load(batch, None, out_dir, batch_id, as_of)
 
     return (
         clean_fields(raw, CASE_FILE_COLUMNS).writeStream.foreachBatch(land)
@@ -95,22 +43,26 @@ def stream_process(
     spark: SparkSession, landing_dir: str, case_types: DataFrame, out_dir: str, checkpoint: str, version: str = "v2",
     schema: T.StructType = LANDING_SCHEMA,
 ) -> StreamingQuery:
-    """Turn new landing rows into ``out_dir/cases``, ``defendants`` and ``plaintiffs``.
+    """Turn new landing rows into ``out_dir/cases``, ``defendants`` and ``plaintiffs``, one folder per batch.
 
     The first row of a case wins over all batches. The check runs against the written
     cases, not against stream state, so nothing accumulates in memory.
     """
     out_dir = out_dir.rstrip("/")
-    rows = spark.readStream.schema(schema).option("recursiveFileLookup", "false").parquet(landing_dir)
+    rows = spark.readStream.schema(schema).parquet(landing_dir)
+
+    def write(df: DataFrame, name: str, batch_id: int) -> None:
+        replace_parts(df.withColumn("batch_id", F.lit(batch_id).cast("bigint")), f"{out_dir}/{name}", ["batch_id"])
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
         first = pick_first(accept_cases(batch, case_types, version), ["row_id"], ["source_id", "category"])
-        earlier = _read_batches(session, f"{out_dir}/cases", first.schema, batch_id)
-        _write_batch(drop_matching(first, earlier, "row_id", unique=True), f"{out_dir}/cases", batch_id)
-        accepted = _read_batches(session, f"{out_dir}/cases", first.schema, batch_id + 1)
+        stored = T.StructType([*first.schema.fields, T.StructField("batch_id", T.LongType())])
+        written = existing_table(batch.sparkSession, f"{out_dir}/cases", stored)
+        earlier = written.where(F.col("batch_id") < batch_id)
+        write(drop_matching(first, earlier, "row_id", unique=True), "cases", batch_id)
+        accepted = existing_table(batch.sparkSession, f"{out_dir}/cases", stored).where(F.col("batch_id") <= batch_id)
         for name, column in (("defendants", "defendant"), ("plaintiffs", "plaintiff")):
-            _write_batch(party_rows(batch, accepted, column), f"{out_dir}/{name}", batch_id)
+            write(party_rows(batch, accepted, column), name, batch_id)
 
     return (
         rows.writeStream.foreachBatch(process)

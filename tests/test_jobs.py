@@ -76,6 +76,32 @@ def test_load_ledger_over_runs(spark, tmp_path, rows):
     assert rows(landing, "id") == [("1",), ("2",), ("3",), ("4",)]
 
 
+def test_split_reading_fails_a_load_with_line_breaks(spark, tmp_path, rows):
+    write(tmp_path, "good.csv", line(id="1"))
+    write(tmp_path, "breaks.csv", line(id="2", caption='"a\nb"'))
+    landing, ledger = loads.load_files(spark, str(tmp_path), loads.empty_ledger(spark), AS_OF, multi_line=False)
+    assert rows(ledger, "file_name", "load_status") == [("breaks.csv", "failed"), ("good.csv", "completed")]
+    assert rows(landing, "id") == [("1",)]
+    whole, _ = loads.load_files(spark, str(tmp_path), loads.empty_ledger(spark), AS_OF)
+    assert rows(whole, "id") == [("1",), ("2",)]
+
+
+def test_interrupted_load_is_made_good_by_the_next(spark, tmp_path, rows):
+    files, out = tmp_path / "in", str(tmp_path / "out")
+    files.mkdir()
+    write(files, "a.csv", line(id="1"))
+    loads.run_load(spark, str(files), out, AS_OF)
+    write(files, "b.csv", line(id="2"), line(id="3"))
+    # a run that died after landing and before the ledger
+    ledger = tables.read_version(spark, f"{out}/ledger", LEDGER_SCHEMA)
+    landing, _ = loads.load_files(spark, str(files), ledger, LATER, start_id=1)
+    tables.append_landing(landing, f"{out}/landing")
+    landed, ledger = loads.run_load(spark, str(files), out, LATER)
+    assert rows(landed, "id", "load_id") == [("1", 1), ("2", 2), ("3", 2)]
+    assert landed.select("source_id").distinct().count() == 3
+    assert rows(ledger, "load_id", "rows_loaded", "load_status") == [(1, 1, "completed"), (2, 2, "completed")]
+
+
 def test_append_mode_counts_rows_again(spark, tmp_path, rows):
     write(tmp_path, "a.csv", line(id="1"))
     out = f"{tmp_path}-landing"
@@ -164,8 +190,7 @@ def test_stream_equals_batch_and_reads_each_file_once(spark, tmp_path, rows, loo
 
     def run():
         ingest.stream_load(spark, str(files), out, state, AS_OF).awaitTermination()
-        landed = spark.read.schema(ingest.LANDING_SCHEMA).parquet(f"{out}/landing")
-        return landed, ingest.read_versions(spark, f"{out}/ledger", LEDGER_SCHEMA)
+        return loads.read_landing(spark, out), tables.read_version(spark, f"{out}/ledger", LEDGER_SCHEMA)
 
     run()
     landing, ledger = run()
