@@ -19,8 +19,9 @@ Key = str | Column
 
 
 def _with_keys(df: DataFrame, keys: list[Key]) -> tuple[DataFrame, list[str]]:
-    names = [f"_k{i}" for i in range(len(keys))]
-    return df.withColumns({n: (F.col(k) if isinstance(k, str) else k) for n, k in zip(names, keys)}), names
+    """``df`` with a column for every key that is an expression, and the names of all key columns."""
+    names = [k if isinstance(k, str) else f"_k{i}" for i, k in enumerate(keys)]
+    return df.withColumns({n: k for n, k in zip(names, keys) if not isinstance(k, str)}), names
 
 
 def _no_null(names: list[str]) -> Column:
@@ -33,7 +34,9 @@ def pick_first(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame
     A minimum over structs merges on the map side, so a hot key leaves each task as
     one row; a ranking window would sort the whole group in one task.
     """
-    ordered = [*order_by, *[c for c in df.columns if c not in order_by and c not in keys]]
+    ordered = [c for c in dict.fromkeys([*order_by, *df.columns]) if c not in keys]
+    if not ordered:
+        return df.select(*df.columns).distinct()
     first = F.min(F.struct(*ordered)).alias("_first")
     return df.groupBy(*keys).agg(first).select(
         *[F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in df.columns]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from recordloom.session import stage
+from recordloom.session import scratch_path, stage
 
 
 def lineage_edges(lineage: DataFrame, dataset: DataFrame) -> DataFrame:
@@ -38,23 +39,30 @@ def lineage_closure(
     written to the shared folder, so the plan does not grow and a lost executor costs
     no earlier level.
     """
+    spark = edges.sparkSession
     source, target = ("upstream", "downstream") if direction == "downstream" else ("downstream", "upstream")
     steps = stage(
         edges.select(F.col(f"{source}_dataset_id").alias("dataset_id"), F.col(f"{target}_dataset_id").alias("_next"))
         .dropna().distinct(),
         "lineage-steps",
     )
+    levels = scratch_path(spark, "lineage-levels")
     level = starts.select(F.col("dataset_id").alias("start_id"), "dataset_id").distinct()
-    seen = frontier = stage(level.withColumn("depth", F.lit(0)), "lineage-0")
+    schema = T.StructType([*level.schema.fields, T.StructField("depth", T.IntegerType())])
     depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        reached = (
+    while _write_level(level, f"{levels}/depth={depth}") and (max_depth is None or depth < max_depth):
+        seen = spark.read.schema(schema).parquet(levels)
+        frontier = seen.where(F.col("depth") == depth)
+        level = (
             frontier.join(steps, "dataset_id").select("start_id", F.col("_next").alias("dataset_id")).distinct()
             .join(seen, ["start_id", "dataset_id"], "left_anti")
         )
-        frontier = stage(reached.withColumn("depth", F.lit(depth)), f"lineage-{depth}")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen.where(F.col("depth") > 0)
+        depth += 1
+    return spark.read.schema(schema).parquet(levels).where(F.col("depth") > 0)
+
+
+def _write_level(level: DataFrame, path: str) -> int:
+    """Write one level and tell its size."""
+    written = Observation()
+    level.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return written.get["n"]

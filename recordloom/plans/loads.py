@@ -103,9 +103,9 @@ def land_rows(
     rows.write.parquet(path)
     stored = stored_with_positions(spark, path, rows.schema)
     if files is None:
-        files = stored.select("file_name", "file_path", "file_size_bytes").distinct()
-    files = stage(pick_first(files, ["file_name"], ["file_path"]), "load-files")
-    started = stage(start_loads(ledger, files, as_of), "started-loads")
+        files = stage(stored.select("file_name", "file_path", "file_size_bytes").distinct(), "load-files")
+    files = pick_first(files, ["file_name"], ["file_path"])
+    started = start_loads(ledger, files, as_of)
     per_file = stored.groupBy("file_name").agg(
         F.count_if(~F.col("is_bad")).alias("good_rows"), F.count_if("is_bad").alias("bad_rows")
     )
@@ -127,8 +127,12 @@ def load_files(
     spark: SparkSession, paths: str | list[str], ledger: DataFrame, as_of: str, mode: str = "replace",
     start_id: int = 0, multi_line: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Scan all files at once: ``(landing rows with load_id, ledger with outcomes)``."""
-    return land_rows(read_many(spark, paths, multi_line), list_files(spark, paths), ledger, as_of, mode, start_id)
+    """Scan all files at once: ``(landing rows with load_id, ledger with outcomes)``.
+
+    The files are listed before they are read: one that arrives in between is left to the next run.
+    """
+    files = list_files(spark, paths)
+    return land_rows(read_many(spark, paths, multi_line), files, ledger, as_of, mode, start_id)
 
 
 def commit_load(
@@ -154,7 +158,8 @@ def run_load(
     """The whole load job: files to ``out_dir/landing`` and ``out_dir/ledger``, which it returns."""
     out_dir = out_dir.rstrip("/")
     version = next_version(spark, f"{out_dir}/ledger", LEDGER_SCHEMA)
-    commit_load(read_many(spark, paths, multi_line), list_files(spark, paths), out_dir, version, as_of, mode)
+    files = list_files(spark, paths)
+    commit_load(read_many(spark, paths, multi_line), files, out_dir, version, as_of, mode)
     return read_landing(spark, out_dir), read_version(spark, f"{out_dir}/ledger", LEDGER_SCHEMA)
 
 

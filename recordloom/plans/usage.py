@@ -22,5 +22,5 @@ def usage_rollup(
 
 def recent_log(log: DataFrame, as_of: str, days: int = LOG_DAYS, time_column: str = "ts") -> DataFrame:
     """Entries of the last ``days`` before ``as_of``; a plain range filter that reaches the scan."""
-    end = F.lit(as_of).cast("timestamp")
+    end = F.lit(as_of).cast(log.schema[time_column].dataType)
     return log.where((F.col(time_column) >= end - F.make_dt_interval(F.lit(days))) & (F.col(time_column) < end))

@@ -105,7 +105,7 @@ def number_rows(df: DataFrame, path: str, start: int = 0, column: str = "source_
 def existing_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The parquet table at ``path``; no rows before the first run has written it."""
     try:
-        return spark.read.parquet(path).select(*schema.names)
+        return spark.read.schema(schema).parquet(path).select(*schema.names)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

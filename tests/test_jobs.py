@@ -102,6 +102,17 @@ def test_interrupted_load_is_made_good_by_the_next(spark, tmp_path, rows):
     assert rows(ledger, "load_id", "rows_loaded", "load_status") == [(1, 1, "completed"), (2, 2, "completed")]
 
 
+def test_a_run_without_good_rows(spark, tmp_path, rows):
+    files, out = tmp_path / "in", str(tmp_path / "out")
+    files.mkdir()
+    write(files, "a.csv", "bad,row")
+    for status, expected in (("failed", []), ("completed", [("7",)])):
+        landed, ledger = loads.run_load(spark, str(files), out, AS_OF)
+        assert rows(landed, "id") == expected
+        assert rows(ledger, "load_id", "load_status") == [(1, status)]
+        write(files, "a.csv", line(id="7"))
+
+
 def test_append_mode_counts_rows_again(spark, tmp_path, rows):
     write(tmp_path, "a.csv", line(id="1"))
     out = f"{tmp_path}-landing"
