@@ -196,6 +196,27 @@ def profile_sample(d):
     ))
 
 
+def _share(table: str, key: str, percent: int) -> str:
+    return f"(SELECT * FROM {table} WHERE CAST(concat('0x', substr(md5(CAST({key} AS VARCHAR)), 1, 7)) AS BIGINT) % 100 < {percent})"
+
+
+@query(f"""SELECT 'supplier' AS table_name, * FROM ({_profile_sql("supplier", ["s_acctbal"], ["s_name"], [])})
+           UNION ALL SELECT 'customer', * FROM ({_profile_sql(_share("customer", "c_custkey", 80), ["c_nationkey", "c_acctbal"], ["c_mktsegment"], [])})
+           UNION ALL SELECT 'orders', * FROM ({_profile_sql(_share("orders", "o_orderkey", 50), ["o_custkey"], ["o_orderpriority"], [])})""")
+def profile_tables(d):
+    tables = {
+        "supplier": d.table("supplier").select("s_suppkey", "s_acctbal", "s_name"),
+        "customer": d.table("customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"),
+        "orders": d.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority"),
+    }
+    keys = {"supplier": "s_suppkey", "customer": "c_custkey", "orders": "o_orderkey"}
+    percent = {
+        "supplier": sampling.SAMPLE_PERCENT["governance"], "customer": sampling.SAMPLE_PERCENT["published"],
+        "orders": sampling.SAMPLE_PERCENT["source"],
+    }
+    return _rounded(profile.profile_all(tables, percent, keys)).where(~F.col("column_name").isin(list(keys.values())))
+
+
 @query("SELECT * FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 50)")
 def sample_rows(d):
     return sampling.sample_rows(d.table("orders"), "o_orderkey").drop("o_orderdate")

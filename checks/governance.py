@@ -161,23 +161,20 @@ def assign_tags(d):
 
 # --- merges ----------------------------------------------------------------------------------
 
-@query("""SELECT tag_id, name, description, tag_type FROM gov_tag UNION ALL
-          SELECT 1000 + min(n_nationkey), name, min(description), 'keyword' FROM (
-            SELECT n_nationkey, concat('TAG', cast(n_regionkey * 3 as varchar)) AS name, n_name AS description FROM nation) x
-          WHERE lower(name) NOT IN (SELECT lower(name) FROM gov_tag) GROUP BY name""")
+@query("""WITH batch AS (SELECT cast(1000 + n_nationkey as int) AS tag_id, concat(CASE WHEN n_nationkey % 2 = 0 THEN 'TAG' ELSE 'Tag' END,
+              cast(n_regionkey * 3 as varchar)) AS name, n_name AS description, 'keyword' AS tag_type FROM nation)
+          SELECT tag_id, name, description, tag_type FROM gov_tag UNION ALL
+          (SELECT * FROM batch WHERE lower(name) NOT IN (SELECT lower(name) FROM gov_tag)
+           QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY tag_id) = 1)""")
 def insert_ignore_by_name(d):
+    prefix = F.when(F.col("n_nationkey") % 2 == 0, "TAG").otherwise("Tag")
     source = d.table("nation").select(
         (F.lit(1000) + F.col("n_nationkey")).alias("tag_id"),
-        F.concat(F.lit("TAG"), (F.col("n_regionkey") * 3).cast("string")).alias("name"),
+        F.concat(prefix, (F.col("n_regionkey") * 3).cast("string")).alias("name"),
         F.col("n_name").alias("description"),
         F.lit("keyword").alias("tag_type"),
     )
-    # descriptions follow the smallest tag id of a name
-    merged = merge.insert_ignore(d.gov("tag"), source, [F.lower("name"), "tag_type"], ["tag_id"])
-    first = source.groupBy("name").agg(F.min("description").alias("_d"))
-    return merged.join(first, "name", "left").select(
-        F.col("tag_id").cast("int").alias("tag_id"), "name", F.coalesce("_d", "description").alias("description"), "tag_type"
-    )
+    return merge.insert_ignore(d.gov("tag"), source, [F.lower("name"), "tag_type"], ["tag_id"])
 
 
 @query("""SELECT * FROM gov_dataset_tag UNION ALL

@@ -164,7 +164,14 @@ def run_load(
 
 
 def read_landing(spark: SparkSession, out_dir: str) -> DataFrame:
-    return spark.read.schema(LANDING_SCHEMA).parquet(f"{out_dir.rstrip('/')}/landing")
+    """Landed rows of the loads that the ledger knows to hold rows.
+
+    Leaves out what an interrupted run landed, and the old rows of a file that is empty by now.
+    """
+    out_dir = out_dir.rstrip("/")
+    ledger = read_version(spark, f"{out_dir}/ledger", LEDGER_SCHEMA)
+    landed = existing_table(spark, f"{out_dir}/landing", LANDING_SCHEMA)
+    return filter_loads(landed, ledger.where(F.col("rows_loaded") > 0).select("load_id")).select(*LANDING_SCHEMA.names)
 
 
 def unprocessed_loads(ledger: DataFrame, source: DataFrame, cases: DataFrame) -> DataFrame:

@@ -29,6 +29,19 @@ def build_session(app_name: str = "recordloom", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+def size_session(spark: SparkSession, input_bytes: int, task_bytes: int = 256 * 1024 * 1024) -> None:
+    """Fit scans and shuffles to the size of the input.
+
+    Adaptive execution merges shuffle partitions that turn out small but adds none, so
+    their number starts at one per ``task_bytes`` of input. Scan tasks grow beyond that
+    size once there would be more than a hundred thousand of them.
+    """
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // task_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(partitions, 1_000_000)))
+    scan_bytes = min(max(task_bytes // 2, -(-input_bytes // 100_000)), 1024**3)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(scan_bytes))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 

@@ -113,6 +113,28 @@ def test_a_run_without_good_rows(spark, tmp_path, rows):
         write(files, "a.csv", line(id="7"))
 
 
+def test_a_file_that_became_empty_leaves_no_rows(spark, tmp_path, rows):
+    files, out = tmp_path / "in", str(tmp_path / "out")
+    files.mkdir()
+    write(files, "a.csv", line(id="1"))
+    write(files, "b.csv", line(id="2"))
+    loads.run_load(spark, str(files), out, AS_OF)
+    write(files, "a.csv")
+    landed, ledger = loads.run_load(spark, str(files), out, LATER)
+    assert rows(landed, "id") == [("2",)]
+    assert rows(ledger, "load_id", "rows_loaded") == [(1, 0), (2, 1)]
+
+
+def test_session_is_sized_to_the_input(spark):
+    from recordloom.session import size_session
+
+    session = spark.newSession()
+    size_session(session, 100 * 1024**4)
+    assert int(session.conf.get("spark.sql.shuffle.partitions")) == 409_600
+    assert int(session.conf.get("spark.sql.files.maxPartitionBytes")) == 1024**3
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
 def test_append_mode_counts_rows_again(spark, tmp_path, rows):
     write(tmp_path, "a.csv", line(id="1"))
     out = f"{tmp_path}-landing"
