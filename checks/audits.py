@@ -106,11 +106,17 @@ def domain_violations(d):
     )
 
 
-@query("SELECT load_id, load_status FROM gov_file_load WHERE load_status IN ('started', 'completed', 'failed')")
+@query("""SELECT s.id, f.load_status FROM src s JOIN gov_file_load f ON f.load_id = s.load_id
+          WHERE f.load_status IN ('started', 'completed', 'failed')""")
 def allowed_load_status(d):
-    ledger = d.gov("file_load")
-    bad = quality.domain_violations(ledger, "load_status", LOAD_STATUSES).select("load_id")
-    return ledger.join(bad, "load_id", "left_anti").select("load_id", "load_status")
+    rows = d.src().select("id", "load_id").join(d.gov("file_load").select("load_id", "load_status"), "load_id")
+    bad = quality.domain_violations(rows, "load_status", LOAD_STATUSES).select("id")
+    return rows.join(bad, "id", "left_anti").select("id", "load_status")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('O', 'F')")
+def order_status_violations(d):
+    return quality.domain_violations(d.table("orders"), "o_orderstatus", ["O", "F"]).select("o_orderkey", "o_orderstatus")
 
 
 @query("""SELECT * FROM (SELECT 'email' AS column_name, count(*) FILTER (WHERE email IS NULL) AS null_rows FROM gov_person

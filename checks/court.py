@@ -110,9 +110,10 @@ def filter_usable_documents(d):
     return d.src().where(filters.usable_document(F.col("defendant"))).select("id", "defendant")
 
 
-@query("SELECT load_id, file_name, load_status FROM gov_file_load WHERE load_status = 'failed'")
+@query("""SELECT s.id, f.load_id, f.load_status FROM gov_file_load f JOIN src s ON s.load_id = f.load_id WHERE f.load_status = 'failed'""")
 def filter_load_status(d):
-    return d.gov("file_load").where(F.col("load_status") == "failed").select("load_id", "file_name", "load_status")
+    failed = d.gov("file_load").where(F.col("load_status") == "failed").select("load_id", "load_status")
+    return d.src().join(failed, "load_id").select("id", "load_id", "load_status")
 
 
 @query("SELECT doc_id, source FROM documents WHERE regexp_matches(source, '^src1') AND NOT regexp_matches(source, '[02468]$')")

@@ -8,8 +8,10 @@ from checks.registry import query
 from recordloom.functions import content_hash, court_from_filename, surrogate_key
 from recordloom.functions.dates import seconds_between
 from recordloom.operators import aggregates, merge
+from recordloom.operators.quality import union_all
 from recordloom.plans import enrichment, governance
 from recordloom.schemas import GOVERNANCE_FOREIGN_KEYS
+from recordloom.sources.tables import values_df
 
 _CATALOG = ("dataset", "agency", "dataset_tag", "tag", "dataset_security_marking", "security_marking", "dataset_policy", "policy")
 
@@ -106,17 +108,14 @@ def group_by_primary_key(d):
 
 # --- joins of the enrichment -----------------------------------------------------------------
 
-@query("""SELECT n.n_nationkey, n.n_name, v.zone FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey
-          JOIN (VALUES ('AFRICA', 'south'), ('AMERICA', 'west'), ('ASIA', 'east'), ('EUROPE', 'north')) AS v(r_name, zone)
-          ON v.r_name = r.r_name""")
+@query("""SELECT c.c_custkey, c.c_name, v.line FROM customer c
+          JOIN (VALUES ('BUILDING', 'trade'), ('MACHINERY', 'industry'), ('HOUSEHOLD', 'retail')) AS v(c_mktsegment, line)
+          ON v.c_mktsegment = c.c_mktsegment""")
 def join_constant_relation(d):
-    from recordloom.sources.tables import values_df
-
-    zones = values_df(
-        d.spark, [("AFRICA", "south"), ("AMERICA", "west"), ("ASIA", "east"), ("EUROPE", "north")], "r_name string, zone string"
+    lines = values_df(
+        d.spark, [("BUILDING", "trade"), ("MACHINERY", "industry"), ("HOUSEHOLD", "retail")], "c_mktsegment string, line string"
     )
-    named = d.table("region").join(zones, "r_name").select(F.col("r_regionkey").alias("n_regionkey"), "zone")
-    return d.table("nation").join(named, "n_regionkey").select("n_nationkey", "n_name", "zone")
+    return d.table("customer").join(lines, "c_mktsegment").select("c_custkey", "c_name", "line")
 
 
 @query("""SELECT c.permissible_use_condition_id, u.use_case, p.name AS policy_name FROM gov_permissible_use_condition c
@@ -331,8 +330,6 @@ def delete_propagate(d):
     )
     refs = F.count("dataset_id")
     with_requests = refs + F.lit(1000000) * F.count("related_request")
-    from recordloom.operators.quality import union_all
-
     return union_all([
         after[n].agg(F.count("*").alias("rows_left"), (with_requests if n == "decision_log" else refs).alias("refs"))
         .select(F.lit(n).alias("tbl"), "rows_left", "refs")
@@ -353,8 +350,6 @@ def seed_governance(d):
     t["policy"] = _text_ids(t["policy"], "policy_id")
     t["permissible_use"] = _text_ids(t["permissible_use"], "policy_id", "permissible_use_id")
     once = enrichment.seed_tables(d.spark, t)
-    from recordloom.operators.quality import union_all
-
     key = {"governance_role": "governance_role_id", "policy": "policy_id", "security_marking": "security_marking_id",
            "permissible_use": "permissible_use_id"}
     return union_all([
@@ -402,10 +397,15 @@ def assign_roles(d):
 
 # --- functions -------------------------------------------------------------------------------
 
-@query("""SELECT load_id, CASE WHEN regexp_extract(file_name, '^.*_([A-Za-z ]+County[A-Za-z ]+Court)\\.csv$', 1) = '' THEN 'Unknown Court'
-                 ELSE regexp_extract(file_name, '^.*_([A-Za-z ]+County[A-Za-z ]+Court)\\.csv$', 1) END AS court FROM gov_file_load""")
+_COURT_FILE = """CASE WHEN c_custkey % 5 = 0 THEN concat(c_name, '.csv') WHEN c_custkey % 5 = 1 THEN NULL
+    ELSE concat('Court Data_', cast(c_custkey as varchar(20)), '_', c_mktsegment, ' County Circuit Court.csv') END"""
+
+
+@query(f"""SELECT c_custkey, CASE WHEN f IS NULL THEN NULL WHEN regexp_extract(f, '^.*_([A-Za-z ]+County[A-Za-z ]+Court)\\.csv$', 1) = ''
+                  THEN 'Unknown Court' ELSE regexp_extract(f, '^.*_([A-Za-z ]+County[A-Za-z ]+Court)\\.csv$', 1) END AS court
+           FROM (SELECT c_custkey, {_COURT_FILE} AS f FROM customer)""")
 def court_from_file_name(d):
-    return d.gov("file_load").select("load_id", court_from_filename(F.col("file_name")).alias("court"))
+    return d.table("customer").select("c_custkey", court_from_filename(F.expr(_COURT_FILE)).alias("court"))
 
 
 @query("SELECT doc_id, md5(text) AS content_hash FROM documents")
@@ -437,11 +437,11 @@ def json_build_object(d):
     return d.gov("permissible_use_condition").select("permissible_use_condition_id", document.alias("document"))
 
 
-@query("""SELECT n_regionkey, string_agg(CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END, '|' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey""")
+@query("""SELECT p_partkey, nullif(concat_ws('|', CASE WHEN p_size > 25 THEN p_name END, CASE WHEN p_size % 2 = 0 THEN p_brand END,
+                 CASE WHEN p_size % 3 = 0 THEN p_type END), '') AS names FROM part""")
 def array_without_nulls(d):
-    """At most the nations of a region per array."""
-    names = d.table("nation").groupBy("n_regionkey").agg(
-        F.collect_list(F.struct("n_name", F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")).alias("v"))).alias("a")
-    )
-    kept = F.array_compact(F.transform(F.array_sort("a"), lambda x: x["v"]))
-    return names.select("n_regionkey", F.when(F.size(kept) > 0, kept).alias("names"))
+    kept = F.array_compact(F.array(
+        F.when(F.col("p_size") > 25, F.col("p_name")), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")),
+        F.when(F.col("p_size") % 3 == 0, F.col("p_type")),
+    ))
+    return d.table("part").select("p_partkey", F.when(F.size(kept) > 0, kept).alias("names"))

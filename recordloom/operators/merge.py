@@ -43,6 +43,15 @@ def pick_first(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame
     )
 
 
+def _unique_or_fail(df: DataFrame, keys: list[str]) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    grouped = df.groupBy(*keys).agg(F.first(F.struct(*rest)).alias("_row"), F.count("*").alias("_n"))
+    row = F.when(F.col("_n") == 1, F.col("_row")).otherwise(
+        F.raise_error(F.concat(F.lit("several rows to upsert for key "), F.to_json(F.struct(*keys))))
+    )
+    return grouped.withColumn("_row", row).select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+
+
 def _unmatched(source: DataFrame, target: DataFrame, names: list[str]) -> DataFrame:
     hits = target.select(*names).join(source.select(*names), names, "left_semi")
     return drop_matching(source, hits, names)
@@ -96,13 +105,14 @@ def upsert(
 
     Columns that are not named keep their old value. ``set_cols`` gives values that an
     update stamps (such as a modification time), ``insert_cols`` defaults of new rows.
-    The source must be unique on the key, as an upsert of two equal keys is an error;
-    the target may hold a key several times (update-else-insert), all are updated.
+    Two source rows with one key fail the job, as the outcome would be a matter of
+    chance; the target may hold a key several times (update-else-insert), all are updated.
     """
-    batch, names = _with_keys(source, keys)
+    keyed, names = _with_keys(source, keys)
     current, _ = _with_keys(target, keys)
+    batch, loose = _unique_or_fail(keyed.where(_no_null(names)), names), keyed.where(~_no_null(names))
     new_values = {c: F.col(c) for c in update_cols} | (set_cols or {})
-    changes = batch.where(_no_null(names)).select(
+    changes = batch.select(
         *names, F.struct(*[v.alias(c) for c, v in new_values.items()]).alias("_new")
     )
     updated = current.join(changes, names, "left").select(*[
@@ -112,7 +122,7 @@ def upsert(
         ).alias(f.name)
         for f in target.schema.fields
     ])
-    inserted = _unmatched(batch, current, names).withColumns(insert_cols or {})
+    inserted = _unmatched(batch, current, names).unionByName(loose).withColumns(insert_cols or {})
     return updated.unionByName(_conform(inserted, target))
 
 

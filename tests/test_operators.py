@@ -82,6 +82,15 @@ def test_upsert_updates_every_match_and_skips_null_keys(spark, rows):
     assert rows(result) == [(1, "x@A"), (2, "x@A"), (3, None)]
 
 
+def test_upsert_fails_on_two_rows_for_one_key(spark, rows):
+    target = spark.createDataFrame([("a", "old")], "name string, v string")
+    twice = spark.createDataFrame([("A", "x"), ("a", "y")], "name string, v string")
+    with pytest.raises(Exception, match="several rows to upsert"):
+        merge.upsert(target, twice, [F.lower("name")], ["v"]).collect()
+    without_key = spark.createDataFrame([(None, "x"), (None, "x")], "name string, v string")
+    assert rows(merge.upsert(target, without_key, [F.lower("name")], ["v"])) == [(None, "x"), (None, "x"), ("a", "old")]
+
+
 def test_first_wins_over_batches(spark, rows):
     target = spark.createDataFrame([(1, 10, "old")], "k int, s int, v string")
     batch = spark.createDataFrame([(1, 1, "late"), (2, 5, "b"), (2, 4, "a")], "k int, s int, v string")
