@@ -202,6 +202,16 @@ def profile_sample(d):
     ))
 
 
+@query(_profile_sql("documents", ["doc_id", "n_chars"], ["text", "lang", "source"], []).replace(
+    "CAST(min(text) AS VARCHAR)", "md5(min(text))").replace("CAST(max(text) AS VARCHAR)", "md5(max(text))"))
+def profile_documents(d):
+    stats = _rounded(profile.profile(d.table("documents")))
+    is_text = F.col("column_name") == "text"
+    return stats.withColumns({
+        c: F.when(is_text, F.md5(c)).otherwise(F.col(c)) for c in ("min_value", "max_value")
+    })
+
+
 def _share(table: str, key: str, percent: int) -> str:
     return f"(SELECT * FROM {table} WHERE CAST(concat('0x', substr(md5(CAST({key} AS VARCHAR)), 1, 7)) AS BIGINT) % 100 < {percent})"
 

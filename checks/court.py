@@ -153,10 +153,7 @@ def anti_join_rejected(d):
           FROM final_cases c LEFT JOIN final_defendants d ON c.row_id = d.row_id""")
 def case_party_report(d):
     cases, defendants, _ = finals(d)
-    parties = defendants.select("row_id", F.col("name").alias("defendant_name"), "city", "state")
-    return joins.chain_left(
-        cases.select("row_id", "case_number", "caption", "category", "file_date"), (parties, "row_id")
-    )
+    return plan.case_party_report(cases, defendants, "defendant")
 
 
 @query("""SELECT id, CAST(e AS VARCHAR) AS element FROM (

@@ -63,8 +63,12 @@ def drop_matching(df: DataFrame, keys: DataFrame, on: str | list[str], unique: b
     return _match(df, keys, on, unique, "left_anti")
 
 
-def chain_left(df: DataFrame, *steps: tuple[DataFrame, str]) -> DataFrame:
-    """Left join each ``(frame, key)`` in turn; every frame must be unique on its key."""
-    for right, key in steps:
-        df = df.join(right, key, "left")
-    return df
+def left_join_many(df: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join to a frame that may hold very many rows of one key.
+
+    A left outer join gives all right rows of a key to one task. Its matches are an inner
+    join, whose hot keys adaptive execution splits on either side; rows without a match
+    are added by an anti join.
+    """
+    unmatched = drop_matching(df, right, key)
+    return df.join(right, key).unionByName(unmatched, allowMissingColumns=True)

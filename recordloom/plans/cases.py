@@ -9,7 +9,7 @@ from recordloom.functions.dates import safe_to_date
 from recordloom.functions.labels import label_subtype
 from recordloom.functions.text import to_bigint
 from recordloom.operators.filters import mentions_any, null_sentinels
-from recordloom.operators.joins import lookup_join
+from recordloom.operators.joins import left_join_many, lookup_join
 from recordloom.operators.parties import unnest_party
 from recordloom.schemas import CASE_FIELDS, CIVIL_SUBTYPES, CLEANED_COLUMNS, EXCLUDED_SYSTEMS
 from recordloom.sources.tables import materialize
@@ -81,6 +81,12 @@ def final_tables(source: DataFrame, case_types: DataFrame) -> tuple[DataFrame, D
     return build_cases(routed), build_parties(routed, "defendant"), build_parties(routed, "plaintiff")
 
 
+def case_party_report(cases: DataFrame, parties: DataFrame, prefix: str) -> DataFrame:
+    """Cases with one row per party, and a row without party for cases that have none."""
+    named = parties.select("row_id", F.col("name").alias(f"{prefix}_name"), "city", "state")
+    return left_join_many(cases.select("row_id", "case_number", "caption", "category", "file_date"), named, "row_id")
+
+
 def publish(source: DataFrame, case_types: DataFrame, out_dir: str) -> dict[str, DataFrame]:
     """Replace the three result tables.
 

@@ -38,15 +38,18 @@ def _statistics(name: str, kind: T.DataType, approx_distinct: bool) -> Column:
     return F.struct(*[v.alias(k) for k, v in stats.items()])
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column_name, value, n)``: one grouped pass over all columns; copies merge before the shuffle."""
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns
-    ])
-    return (
-        df.select(F.inline(cells)).where(F.col("value").isNotNull())
-        .groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    )
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column_name, distinct_count)``, exact, in one grouped pass over all columns.
+
+    Copies of a value merge before the shuffle, and a long value travels as its digest.
+    """
+    def cell(c: str) -> Column:
+        text = F.col(f"`{c}`").cast("string")
+        value = F.when(F.octet_length(text) > 64, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(F.concat(F.lit("="), text))
+        return F.struct(F.lit(c).alias("column_name"), value.alias("value"))
+
+    values = df.select(F.inline(F.array(*[cell(c) for c in columns]))).where(F.col("value").isNotNull())
+    return values.distinct().groupBy("column_name").agg(F.count("*").alias("distinct_count"))
 
 
 def profile(
@@ -70,10 +73,7 @@ def profile(
         _statistics(f.name, f.dataType, approx_distinct).alias(f"_s{i}") for i, f in enumerate(fields)
     ]).select(F.inline(F.array(*[f"_s{i}" for i in range(len(fields))])))
     if not approx_distinct:
-        distinct = (
-            value_counts(df, [f.name for f in fields]).groupBy("column_name").agg(F.count("*").alias("distinct_count"))
-        )
-        stats = stats.join(distinct, "column_name", "left").withColumn(
+        stats = stats.join(distinct_counts(df, [f.name for f in fields]), "column_name", "left").withColumn(
             "distinct_count", F.coalesce("distinct_count", F.lit(0).cast("bigint"))
         )
     return stats.withColumn(

@@ -41,6 +41,12 @@ def test_salted_lookup_equals_plain_join_with_a_hot_key(spark, rows, how):
     assert rows(joins.lookup_join(df, lookup, "k", how), "id", "k", "v") == plain
 
 
+def test_left_join_many_equals_left_join(spark, rows):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (3, "d")], "k int, v string")
+    right = spark.createDataFrame([(1, "x")] * 50 + [(2, "y"), (None, "n"), (9, "z")], "k int, w string")
+    assert rows(joins.left_join_many(left, right, "k"), "k", "v", "w") == rows(left.join(right, "k", "left"), "k", "v", "w")
+
+
 def test_lookup_size_decides_on_broadcast(spark):
     df, lookup = spark.range(10).withColumn("k", F.col("id").cast("string")), values_df(spark, [("a", "1")], "k string, v string")
     small = joins.lookup_join(df, lookup, "k")._jdf.queryExecution().toString()
