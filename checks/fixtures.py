@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.session import spread
 from recordloom.sources.tables import values_df
 
 TABLES = (
@@ -234,7 +235,7 @@ class Data:
         return values_df(self.spark, LOOKUP_ROWS, "case_type string, subtype string")
 
     def src(self) -> DataFrame:
-        joined = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        joined = spread(self.table("orders")).join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         return joined.selectExpr(*[f"{e} AS {c}" for c, e in _SRC.items()])
 
     def amended(self) -> DataFrame:

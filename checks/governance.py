@@ -10,6 +10,7 @@ from recordloom.functions.dates import seconds_between
 from recordloom.operators import aggregates, merge
 from recordloom.operators.quality import union_all
 from recordloom.plans import enrichment, governance
+from recordloom.plans.sql_names import governance_views, register_views
 from recordloom.schemas import GOVERNANCE_FOREIGN_KEYS
 from recordloom.sources.tables import values_df
 
@@ -445,3 +446,29 @@ def array_without_nulls(d):
         F.when(F.col("p_size") % 3 == 0, F.col("p_type")),
     ))
     return d.table("part").select("p_partkey", F.when(F.size(kept) > 0, kept).alias("names"))
+
+
+@query("""SELECT 'vw_catalog_dataset' AS view_name, count(*) AS row_count FROM gov_dataset
+          UNION ALL SELECT 'vw_permissible_use', count(*) FROM gov_permissible_use
+          UNION ALL SELECT 'vw_governance_assignments', count(*) FROM gov_role_assignment
+          UNION ALL SELECT 'vw_data_access_request', count(*) FROM gov_data_access_request""")
+def sql_governance_views(d):
+    names = (*_CATALOG, "permissible_use", "permissible_use_condition", "role_assignment", "governance_role", "person",
+             "data_access_request", "decision_log")
+    views = governance_views(d.govs(*names))
+    register_views(views)
+    return d.spark.sql(" UNION ALL ".join(f"SELECT '{v}' AS view_name, count(*) AS row_count FROM {v}" for v in views))
+
+
+_SENSITIVE = "SELECT dataset_id FROM gov_dataset WHERE is_sensitive"
+
+
+@query(f"""SELECT decision_log_id, CASE WHEN dataset_id NOT IN ({_SENSITIVE}) THEN dataset_id END AS dataset_id,
+                  CASE WHEN related_request IN (SELECT request_id FROM gov_data_access_request WHERE dataset_id NOT IN ({_SENSITIVE}))
+                       THEN related_request END AS related_request, decision_type FROM gov_decision_log""")
+def delete_sets_null(d):
+    """The decisions stay, their references to deleted datasets and requests go."""
+    t = d.govs(*_DELETABLE)
+    doomed = t["dataset"].where("is_sensitive").select("dataset_id")
+    after = merge.delete_propagate(t, GOVERNANCE_FOREIGN_KEYS, "dataset", doomed)
+    return after["decision_log"].select("decision_log_id", "dataset_id", "related_request", "decision_type")

@@ -14,30 +14,57 @@ Tables = dict[str, DataFrame]
 # --- fixed values: the reference rows every governance warehouse starts with -----------------
 
 ROLES = [
-    ("Data Owner", "executive"),
-    ("Data Steward", "manager"),
-    ("Privacy Officer", "executive"),
-    ("Security Officer", "executive"),
-    ("Data Governance Council Chair", "executive"),
+    ("Data Owner",
+     "Executive accountable for data assets within a program or mission area.",
+     "Approve permissible uses, allocate resources for data quality remediation, and escalate policy exceptions.",
+     "executive"),
+    ("Data Steward",
+     "Operational lead responsible for data quality, metadata completeness, and issue triage.",
+     "Maintain business metadata, coordinate data quality assessments, and ensure policy adherence.",
+     "manager"),
+    ("Privacy Officer",
+     "Agency official who oversees privacy impact assessments and privacy risk mitigations.",
+     "Review data collections for privacy compliance, manage consent artifacts, and respond to incidents.",
+     "executive"),
+    ("Security Officer",
+     "Cybersecurity authority responsible for system authorization and security controls.",
+     "Validate security markings, monitor audit logs, and certify system security posture.",
+     "executive"),
+    ("Data Governance Council Chair",
+     "Chairperson for the agency-wide Data Governance Council.",
+     "Set meeting agendas, ratify policy updates, and broker decisions across stakeholder groups.",
+     "executive"),
 ]
 POLICIES = [
-    ("Privacy Act of 1974", "privacy", "5 U.S.C. § 552a", "1974-09-27", 365),
-    ("CIPSEA Confidentiality", "privacy", "44 U.S.C. § 3501", "2002-12-17", 365),
-    ("OMB M-19-23 FDS Strategy", "governance", "OMB Memorandum M-19-23", "2019-06-04", 365),
-    ("FedRAMP High Baseline", "cybersecurity", "FedRAMP", "2017-06-01", 365),
-    ("Records Retention Schedule", "retention", "Agency Records Schedule", "2021-01-01", 365),
+    ("Privacy Act of 1974", "privacy", "5 U.S.C. § 552a",
+     "Governs the collection, maintenance, use, and dissemination of personally identifiable information by federal agencies.",
+     "1974-09-27", 365),
+    ("CIPSEA Confidentiality", "privacy", "44 U.S.C. § 3501",
+     "Requires confidentiality protections for statistical data and restricts re-identification.", "2002-12-17", 365),
+    ("OMB M-19-23 FDS Strategy", "governance", "OMB Memorandum M-19-23",
+     "Establishes Federal Data Strategy implementation practices and governance guidelines.", "2019-06-04", 365),
+    ("FedRAMP High Baseline", "cybersecurity", "FedRAMP",
+     "Defines security controls and assessment procedures for high-impact cloud systems.", "2017-06-01", 365),
+    ("Records Retention Schedule", "retention", "Agency Records Schedule",
+     "Specifies retention and disposition requirements for administrative records.", "2021-01-01", 365),
 ]
 MARKINGS = [
-    ("Public", "low"),
-    ("Controlled Unclassified Information", "moderate"),
-    ("High-Value Asset", "high"),
+    ("Public", "Unrestricted public data.", "low"),
+    ("Controlled Unclassified Information", "CUI requiring safeguarding or dissemination controls.", "moderate"),
+    ("High-Value Asset", "Information systems designated as high value assets requiring heightened security.", "high"),
 ]
 USES = [
-    ("Privacy Act of 1974", "Program service delivery", True, "Data Owner"),
-    ("Privacy Act of 1974", "Statistical analysis with de-identification", True, "Privacy Officer"),
-    ("CIPSEA Confidentiality", "Statistical release", True, "Data Governance Council Chair"),
-    ("OMB M-19-23 FDS Strategy", "Data inventory publication", False, "Data Steward"),
-    ("FedRAMP High Baseline", "Operational monitoring", False, "Security Officer"),
+    ("Privacy Act of 1974", "Program service delivery",
+     "Use PII to determine eligibility and deliver services for the originating program.", True, "Data Owner"),
+    ("Privacy Act of 1974", "Statistical analysis with de-identification",
+     "Use de-identified records for internal statistical reporting when privacy risk mitigations are applied.", True,
+     "Privacy Officer"),
+    ("CIPSEA Confidentiality", "Statistical release",
+     "Publish aggregate statistical data that meets disclosure avoidance standards.", True, "Data Governance Council Chair"),
+    ("OMB M-19-23 FDS Strategy", "Data inventory publication",
+     "Publish dataset metadata to the public enterprise data inventory.", False, "Data Steward"),
+    ("FedRAMP High Baseline", "Operational monitoring",
+     "Use security log data for continuous monitoring and incident response.", False, "Security Officer"),
 ]
 
 # --- end of fixed values ---------------------------------------------------------------------
@@ -50,15 +77,24 @@ def with_key(df: DataFrame, key: str, *natural_key: Column) -> DataFrame:
 
 def seed_tables(spark: SparkSession, t: Tables) -> Tables:
     """Roles, policies, markings and permissible uses added where their names are new."""
-    roles = with_key(values_df(spark, ROLES, "name string, authority_level string"), "governance_role_id", F.lower("name"))
+    roles = with_key(
+        values_df(spark, ROLES, "name string, description string, responsibilities string, authority_level string"),
+        "governance_role_id", F.lower("name"),
+    )
     policies = with_key(
-        values_df(spark, POLICIES, "name string, policy_type string, authority string, effective_date date, review_cycle_days int"),
+        values_df(
+            spark, POLICIES,
+            "name string, policy_type string, authority string, summary string, effective_date date, review_cycle_days int",
+        ),
         "policy_id", F.lower("name"),
     )
     markings = with_key(
-        values_df(spark, MARKINGS, "name string, classification_level string"), "security_marking_id", F.lower("name")
+        values_df(spark, MARKINGS, "name string, description string, classification_level string"), "security_marking_id", F.lower("name")
+    )
+    uses = values_df(
+        spark, USES,
+        "policy_name string, use_case string, description string, requires_approval boolean, approval_authority string",
     )
-    uses = values_df(spark, USES, "policy_name string, use_case string, requires_approval boolean, approval_authority string")
     result = dict(t)
     result["governance_role"] = insert_ignore(t["governance_role"], roles, [F.lower("name")])
     result["policy"] = insert_ignore(t["policy"], policies, [F.lower("name")])

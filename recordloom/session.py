@@ -42,6 +42,16 @@ def size_session(spark: SparkSession, input_bytes: int, task_bytes: int = 256 *
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(scan_bytes))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over all cores when its files give fewer splits than that, else ``df`` as it is.
+
+    Helps costly row work, such as parsing, on a few files that cannot be split. A large
+    input has splits enough and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
@@ -58,8 +68,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/recordloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a folder of this application.
+
+    That folder may be deleted once the application has ended and its results are written.
+    """
+    return f"{shared_dir(spark).rstrip('/')}/recordloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

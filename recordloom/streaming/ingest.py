@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from recordloom.operators.joins import drop_matching
 from recordloom.operators.merge import pick_first
@@ -21,14 +21,21 @@ from recordloom.sources.csv import clean_fields, csv_options, file_schema
 from recordloom.sources.tables import existing_table, replace_parts
 
 
+def _limited(reader: DataStreamReader, max_files: int | None) -> DataStreamReader:
+    return reader if max_files is None else reader.option("maxFilesPerTrigger", str(max_files))
+
+
 def stream_load(
-    spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, as_of: str, multi_line: bool = True
+    spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, as_of: str, multi_line: bool = True,
+    max_files: int | None = None,
 ) -> StreamingQuery:
     """Land the files of ``in_dir`` that were not loaded yet: ``out_dir/landing`` and ``out_dir/ledger``.
 
-    The result is that of the batch load, except that a file without any record is not noted.
+    The result is that of the batch load, except that a file without any record is not
+    noted. ``max_files`` cuts a backlog into micro-batches of that many files.
     """
-    raw = spark.readStream.schema(file_schema(CASE_FILE_SCHEMA)).options(**csv_options(multi_line)).csv(in_dir)
+    reader = _limited(spark.readStream.schema(file_schema(CASE_FILE_SCHEMA)), max_files)
+    raw = reader.options(**csv_options(multi_line)).csv(in_dir)
 
     def land(batch: DataFrame, batch_id: int) -> None:
         commit_load(batch, None, out_dir, batch_id, as_of)
@@ -41,7 +48,7 @@ def stream_load(
 
 def stream_process(
     spark: SparkSession, landing_dir: str, case_types: DataFrame, out_dir: str, checkpoint: str, version: str = "v2",
-    schema: T.StructType = LANDING_SCHEMA,
+    schema: T.StructType = LANDING_SCHEMA, max_files: int | None = None,
 ) -> StreamingQuery:
     """Turn new landing rows into ``out_dir/cases``, ``defendants`` and ``plaintiffs``, one folder per batch.
 
@@ -49,7 +56,7 @@ def stream_process(
     cases, not against stream state, so nothing accumulates in memory.
     """
     out_dir = out_dir.rstrip("/")
-    rows = spark.readStream.schema(schema).parquet(landing_dir)
+    rows = _limited(spark.readStream.schema(schema), max_files).parquet(landing_dir)
 
     def write(df: DataFrame, name: str, batch_id: int) -> None:
         replace_parts(df.withColumn("batch_id", F.lit(batch_id).cast("bigint")), f"{out_dir}/{name}", ["batch_id"])

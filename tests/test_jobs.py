@@ -242,3 +242,22 @@ def test_stream_equals_batch_and_reads_each_file_once(spark, tmp_path, rows, loo
 
     assert rows(process(), "row_id", "caption", "category") == [(1, None, "DEBT"), (2, None, "POSSIBLE DEBT"), (4, None, "DEBT")]
     assert process().count() == 3
+
+
+def test_small_batches_give_the_same_tables(spark, tmp_path, rows, lookup):
+    files = tmp_path / "in"
+    files.mkdir()
+    for i in range(4):
+        write(files, f"{i}.csv", *[line(id=str(j), case_type="T", caption=f"c{i}") for j in range(i, i + 3)])
+    results = []
+    for name, max_files in (("whole", None), ("small", 1)):
+        out = str(tmp_path / name)
+        ingest.stream_load(spark, str(files), out, f"{out}-s1", AS_OF, max_files=max_files).awaitTermination()
+        landing = loads.read_landing(spark, out)
+        ingest.stream_process(spark, f"{out}/landing", lookup, f"{out}/tables", f"{out}-s2", max_files=max_files).awaitTermination()
+        cases_after = spark.read.parquet(f"{out}/tables/cases")
+        ledger = tables.read_version(spark, f"{out}/ledger", LEDGER_SCHEMA)
+        results.append((rows(landing, "id", "caption"), rows(cases_after, "row_id"), rows(ledger, "file_name", "rows_loaded", "load_status")))
+        assert landing.select("source_id").distinct().count() == 12
+    assert results[0] == results[1]
+    assert results[0][1] == [(i,) for i in range(6)]
