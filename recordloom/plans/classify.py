@@ -18,7 +18,7 @@ class Rule(NamedTuple):
 
 
 RULES = [
-    Rule("Email", r"(?i)e?mail", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    Rule("Email", r"(?i)e?mail", r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
     Rule("Phone", r"(?i)phone|mobile", r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"),
     Rule("SocialSecurity", r"(?i)ssn|social", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
     Rule("CreditCard", r"(?i)card_?num", r"\b[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}\b"),
