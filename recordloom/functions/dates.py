@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# template -> (leading text that is read, pattern that parses it); anything after it is ignored
-_TEMPLATES = {
-    "YYYY-MM-DD": (r"^\s*(\d{1,4}-\d{1,2}-\d{1,2})", "y-M-d"),
-    "MM/DD/YYYY": (r"^\s*(\d{1,2}/\d{1,2}/\d{1,4})", "M/d/y"),
-}
+# date part -> (text that is read, pattern that parses it)
+_PARTS = {"YYYY": (r"\d{1,4}", "y"), "MM": (r"\d{1,2}", "M"), "DD": (r"\d{1,2}", "d")}
+
+
+def _compile(template: str) -> tuple[str, str]:
+    """Leading text to read and the pattern that parses it, for a template of YYYY, MM, DD and separators."""
+    pieces = [p for p in re.split("(YYYY|MM|DD)", template) if p]
+    if sorted(p for p in pieces if p in _PARTS) != ["DD", "MM", "YYYY"]:
+        raise ValueError(f"a date template names YYYY, MM and DD once each: {template!r}")
+    text = "".join(_PARTS[p][0] if p in _PARTS else re.escape(p) for p in pieces)
+    pattern = "".join(_PARTS[p][1] if p in _PARTS else f"'{p}'" if p.isalpha() else p for p in pieces)
+    return rf"^\s*({text})", pattern
 
 
 def safe_to_date(col: Column, template: str = "YYYY-MM-DD") -> Column:
-    """Date in ``template``; NULL when missing, unreadable or not on the calendar."""
-    prefix, pattern = _TEMPLATES[template]
+    """Date in ``template``; NULL when missing, unreadable or not on the calendar. Trailing text is ignored."""
+    prefix, pattern = _compile(template)
     return F.try_to_date(F.regexp_extract(col, prefix, 1), pattern)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,9 +63,12 @@ def shared_dir(spark: SparkSession) -> str:
         return base
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="recordloom-")
-    spark.conf.set(CHECKPOINT_DIR, base)
-    return base
+    return _own_folder(spark.sparkContext.applicationId)
+
+
+@cache
+def _own_folder(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix=f"recordloom-{application_id}-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -35,6 +35,18 @@ def test_us_date(spark, text, expected):
     assert one(spark, text, lambda c: safe_to_date(c, "MM/DD/YYYY")) == expected
 
 
+@pytest.mark.parametrize("text, template, expected", [
+    ("31.12.2021 x", "DD.MM.YYYY", D(2021, 12, 31)), ("2021/1/2", "YYYY/MM/DD", D(2021, 1, 2)), ("2021-1-2", "YYYY/MM/DD", None),
+])
+def test_other_templates(spark, text, template, expected):
+    assert one(spark, text, lambda c: safe_to_date(c, template)) == expected
+
+
+def test_incomplete_template():
+    with pytest.raises(ValueError):
+        safe_to_date(None, "YYYY-MM")
+
+
 VALID = ['{"Name":"~end~"}', '{"Name":"a"}', '[{"Name":"a"}]', "[]", "null", "5", '"s"', " [1, 2] ", '{"a":{"b":[1]}}', '["]"]', '{"a":"\\\\u0000"}']
 INVALID = [
     None, "", "NA", "{bad", "[1] x", "1] x", "1],[2", "1,2", '{"a":1} {"b":2}', "{'Name':'x'}", '{"a":NaN}', '{"a":01}',

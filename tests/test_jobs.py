@@ -125,6 +125,15 @@ def test_a_file_that_became_empty_leaves_no_rows(spark, tmp_path, rows):
     assert rows(ledger, "load_id", "rows_loaded") == [(1, 0), (2, 1)]
 
 
+def test_shared_folder(spark, monkeypatch):
+    from recordloom import session
+
+    assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    monkeypatch.setattr(session, "CHECKPOINT_DIR", "spark.some.unset.dir")
+    own = session.shared_dir(spark)
+    assert own == session.shared_dir(spark) and spark.sparkContext.applicationId in own
+
+
 def test_session_is_sized_to_the_input(spark):
     from recordloom.session import size_session
 
