@@ -202,6 +202,20 @@ def profile_sample(d):
     ))
 
 
+_QUANTILES = [0.25, 0.5, 0.75, 0.99]
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({p} AS DOUBLE) AS probability, CAST(quantile_disc({c}, {p}) AS DOUBLE) AS value FROM orders"
+    for c in ("o_totalprice", "o_custkey") for p in _QUANTILES
+))
+def quantiles_orders(d):
+    """Few values per range, so that ranks fall into several of them."""
+    return quality.union_all([
+        profile.quantiles(d.table("orders"), c, _QUANTILES, slice_values=1000) for c in ("o_totalprice", "o_custkey")
+    ])
+
+
 @query(_profile_sql("documents", ["doc_id", "n_chars"], ["text", "lang", "source"], []).replace(
     "CAST(min(text) AS VARCHAR)", "md5(min(text))").replace("CAST(max(text) AS VARCHAR)", "md5(max(text))"))
 def profile_documents(d):

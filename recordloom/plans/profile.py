@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.operators.aggregates import percentage
+from recordloom.operators.joins import keep_matching, lookup_join
 from recordloom.operators.quality import union_all
 from recordloom.operators.sampling import sample_percent
+from recordloom.session import scratch_path, stage
+from recordloom.sources.tables import stored_with_positions
 
 
 def _is_number(kind: T.DataType) -> bool:
@@ -82,6 +85,45 @@ def profile(
     )
 
 
+def quantiles(df: DataFrame, column: str, probabilities: list[float], slice_values: int = 1_000_000) -> DataFrame:
+    """Exact ``(column_name, probability, value)``: the least value with that share of rows up to it.
+
+    Rows are reduced to counts per value, which are written in value ranges of about
+    ``slice_values`` each. The rows per range tell which range holds a rank, and only
+    those ranges are ordered inside, each in a task of its own.
+    """
+    spark = df.sparkSession
+    value = F.col(f"`{column}`").cast("double").alias("value")
+    counts = stage(df.select(value).dropna().groupBy("value").agg(F.count("*").alias("n")), "value-counts")
+    path = scratch_path(spark, "value-ranges")
+    ranges = max(1, -(-counts.count() // slice_values))
+    counts.repartitionByRange(ranges, "value").write.parquet(path)
+    located = stored_with_positions(spark, path, counts.schema).drop("_row")
+    per_range = located.groupBy("_file").agg(F.min("value").alias("_least"), F.sum("n").alias("_rows"))
+    before = Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)
+    total = per_range.agg(F.sum("_rows").alias("total")).scalar()
+    ranks = F.array(*[
+        F.struct(
+            F.lit(float(p)).alias("probability"),
+            F.greatest(F.ceil(F.lit(str(p)).cast("decimal(9,8)") * total).cast("bigint"), F.lit(1)).alias("rank"),
+        )
+        for p in probabilities
+    ])
+    wanted = (
+        per_range.select("_file", "_rows", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+        .select("*", F.inline(ranks))
+        .where((F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_before") + F.col("_rows")))
+    )
+    within = Window.partitionBy("_file").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    holding = keep_matching(located, wanted, "_file").withColumn("_upto", F.sum("n").over(within))
+    found = lookup_join(holding, wanted.select("_file", "_before", "probability", "rank"), "_file", "inner")
+    return (
+        found.where(F.col("_before") + F.col("_upto") >= F.col("rank"))
+        .groupBy("probability").agg(F.min("value").alias("value"))
+        .select(F.lit(column).alias("column_name"), "probability", "value")
+    )
+
+
 def approx_quantiles(df: DataFrame, probabilities: list[float], accuracy: int = 10_000) -> DataFrame:
     """``(column_name, probability, value)`` of the numeric columns, from one mergeable sketch per column.
 

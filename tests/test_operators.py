@@ -1,5 +1,6 @@
 """Operators on small frames: NULL behaviour, hot keys, repeat runs."""
 
+import math
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from recordloom.operators import aggregates, filters, joins, merge, quality, sampling
 from recordloom.plans import lineage
 from recordloom.plans.classify import classify_columns
-from recordloom.plans.profile import approx_quantiles, profile
+from recordloom.plans.profile import approx_quantiles, profile, quantiles
 from recordloom.schemas import GOVERNANCE_FOREIGN_KEYS, ForeignKey
 from recordloom.sources.tables import values_df
 
@@ -222,6 +223,18 @@ def test_profile(spark):
     assert q == {0.5: 3.0, 1.0: 3.0}
 
 
+@pytest.mark.parametrize("slice_values", [1, 3, 1000])
+def test_quantiles_against_sorted_values(spark, slice_values):
+    rnd = random.Random(11)
+    values = [rnd.choice([None, 5, 5, 5, rnd.randrange(100)]) for _ in range(300)]
+    known = sorted(v for v in values if v is not None)
+    wanted = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = quantiles(spark.createDataFrame([(v,) for v in values], "v int"), "v", wanted, slice_values)
+    assert {r["probability"]: r["value"] for r in got.collect()} == {
+        p: known[max(1, math.ceil(round(p * len(known), 9))) - 1] for p in wanted
+    }
+
+
 def test_profile_of_nothing(spark):
     row = profile(spark.createDataFrame([], "n int")).first()
     assert (row["row_count"], row["distinct_count"], row["null_percent"]) == (0, 0, None)
