@@ -9,7 +9,6 @@ from checks.registry import query
 from recordloom.operators import audit, filters, quality, sampling
 from recordloom.plans import cases as plan
 from recordloom.plans import classify, lineage, profile, usage
-from recordloom.plans.loads import accept_cases
 from recordloom.schemas import CIVIL_SUBTYPES, LOAD_STATUSES
 
 # --- quality ---------------------------------------------------------------------------------

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.fixtures import CASE_COLUMNS, KEPT_SYSTEM, LABEL, NA_EMPTY_REPLACED, NA_REPLACED, Data, ISO_DATE, _CIVIL
+from checks.fixtures import CASE_COLUMNS, CIVIL, ISO_DATE, KEPT_SYSTEM, LABEL, NA_EMPTY_REPLACED, NA_REPLACED, Data
 from checks.registry import query, register
 from recordloom.functions import label_subtype, nullif_na, safe_json, safe_to_date, to_bigint
 from recordloom.functions.json import json_elements, unpack_fields
 from recordloom.operators import aggregates, filters, joins, merge, quality
-from recordloom.operators.parties import explode_json_documents
+from recordloom.operators.audit import step_counts
 from recordloom.plans import cases as plan
-from recordloom.schemas import CASE_FIELDS, CIVIL_SUBTYPES, CLEANED_COLUMNS, EXCLUDED_SYSTEMS
+from recordloom.plans.loads import unprocessed_loads
+from recordloom.plans.sql_names import case_views, register_functions, register_views
+from recordloom.schemas import CIVIL_SUBTYPES, CLEANED_COLUMNS, EXCLUDED_SYSTEMS
 
 
 def labelled(d: Data) -> DataFrame:
@@ -49,12 +51,12 @@ def null_sentinels_and_empty(d):
     )
 
 
-@query(f"SELECT id, subtype FROM labelled WHERE subtype IN {_CIVIL}")
+@query(f"SELECT id, subtype FROM labelled WHERE subtype IN {CIVIL}")
 def filter_in(d):
     return filters.filter_in(labelled(d), "subtype", CIVIL_SUBTYPES).select("id", "subtype")
 
 
-@query(f"SELECT id, subtype FROM labelled WHERE subtype IS NULL OR subtype NOT IN {_CIVIL}")
+@query(f"SELECT id, subtype FROM labelled WHERE subtype IS NULL OR subtype NOT IN {CIVIL}")
 def filter_not_in_or_null(d):
     return filters.filter_not_in_or_null(labelled(d), "subtype", CIVIL_SUBTYPES).select("id", "subtype")
 
@@ -92,9 +94,9 @@ def _label(mode: str, rest: str, where: str, name: str) -> None:
     register(name, build, f"SELECT id, subtype, {LABEL.format(rest=rest)} AS clear_type FROM labelled {where}")
 
 
-_label("A", "", f"WHERE subtype IN {_CIVIL}", "label_civil_subtypes")
+_label("A", "", f"WHERE subtype IN {CIVIL}", "label_civil_subtypes")
 _label("B", "WHEN 'X' THEN 'OTHER CIVIL' ELSE 'NO INFORMATION'",
-       f"WHERE subtype IS NULL OR subtype NOT IN {_CIVIL}", "label_other_subtypes")
+       f"WHERE subtype IS NULL OR subtype NOT IN {CIVIL}", "label_other_subtypes")
 _label("V2", "WHEN 'X' THEN 'OTHER CIVIL' ELSE CASE WHEN subtype IS NULL THEN 'NO INFORMATION' ELSE 'UNKNOWN' END",
        "", "label_all_subtypes")
 
@@ -207,8 +209,6 @@ def distinct_case_rows(d):
             AND s.load_id IN (SELECT load_id FROM gov_file_load WHERE load_status = 'started'))""")
 def collect_load_ids(d):
     """Load ids stay a frame: completed loads none of whose rows is among the cases of the started loads."""
-    from recordloom.plans.loads import unprocessed_loads
-
     ledger = d.gov("file_load")
     started = filters.filter_loads(d.src(), ledger.where(F.col("load_status") == "started"))
     cases = plan.final_tables(started, d.ct())[0].select(F.col("row_id").alias("source_id"))
@@ -276,8 +276,6 @@ def union_branches(d):
           UNION ALL SELECT 'Defendants', count(*) FROM final_defendants
           UNION ALL SELECT 'Plaintiffs', count(*) FROM final_plaintiffs""")
 def union_report(d):
-    from recordloom.operators.audit import step_counts
-
     cases, defendants, plaintiffs = finals(d)
     return step_counts({
         "Files Loaded": d.gov("file_load").where(F.col("load_status") == "completed"),
@@ -404,8 +402,6 @@ def final_plaintiffs(d):
                   CASE WHEN load_id % 2 = 0 THEN concat('A County Court ', CAST(load_id % 7 AS VARCHAR)) ELSE 'Unknown Court' END AS court
            FROM src""")
 def sql_functions(d):
-    from recordloom.plans.sql_names import register_functions
-
     register_functions(d.spark)
     d.src().createOrReplaceTempView("src_for_functions")
     return d.spark.sql("""
@@ -428,8 +424,6 @@ _STEPS = {
 
 @query(" UNION ALL ".join(f"SELECT '{view}' AS step, count(*) AS row_count FROM {name}" for view, name in _STEPS.items()))
 def sql_views(d):
-    from recordloom.plans.sql_names import case_views, register_views
-
     register_views(case_views(d.src(), d.ct()))
     return d.spark.sql(" UNION ALL ".join(f"SELECT '{v}' AS step, count(*) AS row_count FROM {v}" for v in _STEPS))
 
@@ -437,8 +431,6 @@ def sql_views(d):
 @query("""SELECT d.row_id, d.name, d.party_num, d.removal_date, p.name AS plaintiff_name FROM final_defendants d
           JOIN final_plaintiffs p ON p.row_id = d.row_id AND p.party_num = d.party_num""")
 def sql_party_views(d):
-    from recordloom.plans.sql_names import case_views, register_views
-
     register_views(case_views(d.src(), d.ct()))
     return d.spark.sql("""
         SELECT d.row_id, d.name, d.party_num, d.removal_date, p.name AS plaintiff_name FROM vw_all_defendants d
@@ -450,7 +442,5 @@ def sql_party_views(d):
             FROM (SELECT CAST(id AS BIGINT) AS row_id, CAST(defendant AS JSON) AS j FROM branch_a
                   WHERE defendant IS NOT NULL AND defendant NOT IN ('NA', '', 'null') AND json_valid(defendant)))""")
 def sql_array_views(d):
-    from recordloom.plans.sql_names import case_views, register_views
-
     register_views(case_views(d.src(), d.ct()))
     return d.spark.sql("SELECT row_id, defendant AS element FROM vw_defendant_array WHERE defendant IS NOT NULL")

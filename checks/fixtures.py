@@ -260,7 +260,7 @@ class Data:
 
 _EXPRESSIONS = ", ".join(f"{e} AS {c}" for c, e in _SRC.items())
 _LOOKUP = ", ".join(f"('{a}', '{b}')" for a, b in LOOKUP_ROWS)
-_CIVIL = "('D', 'E', 'PE', 'PD', 'PE, PD', 'PD, PE')"
+CIVIL = "('D', 'E', 'PE', 'PD', 'PE, PD', 'PD, PE')"
 _CLEANED = [
     c for c in _SRC if c not in ("source_id", "load_id", "row_num", "id", "created_at", "updated_at", "error")
 ]
@@ -303,12 +303,12 @@ SUBQUERIES: dict[str, str] = {
     "ct": f"SELECT * FROM (VALUES {_LOOKUP}) AS v(case_type, subtype)",
     **{f"gov_{name}": stand_in.sql() for name, stand_in in GOV.items()},
     "labelled": "SELECT s.*, c.subtype FROM src s LEFT JOIN ct c ON s.case_type = c.case_type",
-    "civil": f"SELECT *, {LABEL.format(rest='')} AS clear_type FROM labelled WHERE subtype IN {_CIVIL}",
+    "civil": f"SELECT *, {LABEL.format(rest='')} AS clear_type FROM labelled WHERE subtype IN {CIVIL}",
     "civil_nulls": f"SELECT {NA_REPLACED} FROM civil",
     "branch_a": f"SELECT * FROM civil_nulls WHERE {KEPT_SYSTEM} AND cjis IS NULL",
     "non_civil": (
         "SELECT *, CASE WHEN subtype = 'X' THEN 'OTHER CIVIL' ELSE 'NO INFORMATION' END AS clear_type "
-        f"FROM labelled WHERE subtype IS NULL OR subtype NOT IN {_CIVIL}"
+        f"FROM labelled WHERE subtype IS NULL OR subtype NOT IN {CIVIL}"
     ),
     "branch_b": f"SELECT {NA_REPLACED} FROM non_civil",
     "branch_b1": "SELECT * FROM branch_b WHERE court_system LIKE '%CIVIL%'",
@@ -335,7 +335,7 @@ SUBQUERIES: dict[str, str] = {
         + LABEL.format(rest="WHEN 'X' THEN 'OTHER CIVIL' ELSE CASE WHEN subtype IS NULL THEN 'NO INFORMATION' ELSE 'UNKNOWN' END")
         + " AS clear_type FROM amended_labelled)"
     ),
-    "accepted_v1": f"SELECT * FROM accepted_v2 WHERE subtype IN {_CIVIL}",
+    "accepted_v1": f"SELECT * FROM accepted_v2 WHERE subtype IN {CIVIL}",
     **{
         f"processed_{v}": (
             f"SELECT source_id, {CASE_COLUMNS} FROM accepted_{v} WHERE {KEPT_SYSTEM} AND cjis IS NULL "

@@ -11,7 +11,8 @@ from recordloom.operators import aggregates, merge
 from recordloom.operators.quality import union_all
 from recordloom.plans import enrichment, governance
 from recordloom.plans.sql_names import governance_views, register_views
-from recordloom.schemas import GOVERNANCE_FOREIGN_KEYS
+from recordloom.plans.loads import stamp_load, start_loads
+from recordloom.schemas import GOVERNANCE_FOREIGN_KEYS, LEDGER_SCHEMA
 from recordloom.sources.tables import values_df
 
 _CATALOG = ("dataset", "agency", "dataset_tag", "tag", "dataset_security_marking", "security_marking", "dataset_policy", "policy")
@@ -242,9 +243,6 @@ def upsert_agency_by_name(d):
           SELECT (SELECT max(load_id) FROM old) + row_number() OVER (ORDER BY file_name), file_name, NULL, 'started', '2024-03-01 00:00:00'
           FROM files WHERE file_name NOT IN (SELECT file_name FROM old)""")
 def upsert_ledger(d):
-    from recordloom.plans.loads import start_loads
-    from recordloom.schemas import LEDGER_SCHEMA
-
     old = d.gov("file_load").groupBy("file_name").agg(
         F.min("load_id").cast("bigint").alias("load_id"), F.max("rows_loaded").alias("rows_loaded")
     ).withColumns({"load_status": F.lit("completed"), "load_started_at": F.lit("2022-01-01").cast("timestamp_ntz")})
@@ -291,8 +289,6 @@ def update_else_insert(d):
 
 @query("SELECT id, coalesce(CASE WHEN load_id % 2 = 0 THEN load_id END, 77) AS load_id FROM src")
 def update_where_null(d):
-    from recordloom.plans.loads import stamp_load
-
     rows = d.src().select("id", F.when(F.col("load_id") % 2 == 0, F.col("load_id")).alias("load_id"))
     return stamp_load(rows, 77)
 

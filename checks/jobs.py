@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.court import finals
-from checks.fixtures import Data, party_sql
+from checks.fixtures import CASE_COLUMNS, KEPT_SYSTEM, LABEL, NA_EMPTY_REPLACED, Data, party_sql
 from checks.registry import query
+from recordloom.operators.audit import step_counts
 from recordloom.plans import cases as plan
 from recordloom.plans import loads
 from recordloom.schemas import CASE_FILE_COLUMNS, LEDGER_SCHEMA, LOOKUP_FILE_COLUMNS
@@ -206,8 +207,6 @@ _STREAM_ACCEPTED = """all_labelled AS (SELECT s.*, 1 AS run, c.subtype FROM amen
 
 
 def _stream_sql(select: str) -> str:
-    from checks.fixtures import CASE_COLUMNS, KEPT_SYSTEM, LABEL, NA_EMPTY_REPLACED
-
     rest = "WHEN 'X' THEN 'OTHER CIVIL' ELSE CASE WHEN subtype IS NULL THEN 'NO INFORMATION' ELSE 'UNKNOWN' END"
     return f"""WITH {_STREAM_ACCEPTED}, accepted AS (
           SELECT {NA_EMPTY_REPLACED} FROM (SELECT *, {LABEL.format(rest=rest)} AS clear_type FROM all_labelled)),
@@ -230,6 +229,4 @@ def stream_process_plaintiffs(d):
 @query("""SELECT 'final_cases' AS step, count(*) AS row_count FROM final_cases UNION ALL
           SELECT 'final_defendants', count(*) FROM final_defendants UNION ALL SELECT 'final_plaintiffs', count(*) FROM final_plaintiffs""")
 def publish_final_tables(d):
-    from recordloom.operators.audit import step_counts
-
     return step_counts(plan.publish(d.src(), d.ct(), scratch_path(d.spark, "published")))
