@@ -64,17 +64,11 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 def distinct_names_by(bridge: DataFrame, dim: DataFrame, key: str, dim_key: str, out: str) -> DataFrame:
     """``(key, out)``: sorted distinct names that a bridge table links to each key.
 
-    Ids are reduced to distinct pairs before the join and names to distinct pairs
-    before they are collected, so an array holds at most the vocabulary of ``dim``.
+    Each task merges the names of a key before the only shuffle, so an array never holds
+    more than the vocabulary of ``dim``, however many rows a key has.
     """
-    pairs = bridge.select(key, dim_key).distinct()
-    named = (
-        pairs.join(dim.select(dim_key, F.col("name").alias("_name")), dim_key)
-        .where(F.col("_name").isNotNull())
-        .select(key, "_name")
-        .distinct()
-    )
-    return named.groupBy(key).agg(F.array_sort(F.collect_list("_name")).alias(out))
+    named = bridge.select(key, dim_key).join(dim.select(dim_key, F.col("name").alias("_name")), dim_key)
+    return named.where(F.col("_name").isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set("_name")).alias(out))
 
 
 def collect_rows_by(

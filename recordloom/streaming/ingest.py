@@ -16,11 +16,16 @@ from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 from recordloom.operators.joins import drop_matching
 from recordloom.operators.merge import pick_first
 from recordloom.plans.loads import accept_cases, commit_load, party_rows
-from recordloom.schemas import CASE_FILE_COLUMNS, CASE_FILE_SCHEMA, LANDING_SCHEMA
+from recordloom.schemas import CASE_FIELDS, CASE_FILE_COLUMNS, CASE_FILE_SCHEMA, LANDING_SCHEMA
 from recordloom.sources.csv import clean_fields, csv_options, file_schema
 from recordloom.sources.tables import existing_table, replace_parts
 
 
+PROCESSED_COLUMNS = [
+    "source_id", *[c for c in CASE_FILE_COLUMNS if c in CASE_FIELDS.values() or c in ("cjis", "defendant", "plaintiff")],
+]
+
+
 def _limited(reader: DataStreamReader, max_files: int | None) -> DataStreamReader:
     return reader if max_files is None else reader.option("maxFilesPerTrigger", str(max_files))
 
@@ -56,7 +61,8 @@ def stream_process(
     cases, not against stream state, so nothing accumulates in memory.
     """
     out_dir = out_dir.rstrip("/")
-    rows = _limited(spark.readStream.schema(schema), max_files).parquet(landing_dir)
+    # a micro-batch is read as it was defined, so the columns are chosen here
+    rows = _limited(spark.readStream.schema(schema), max_files).parquet(landing_dir).select(*PROCESSED_COLUMNS)
 
     def write(df: DataFrame, name: str, batch_id: int) -> None:
         replace_parts(df.withColumn("batch_id", F.lit(batch_id).cast("bigint")), f"{out_dir}/{name}", ["batch_id"])
