@@ -1,6 +1,8 @@
 """Functions on literal edge cases."""
 
 import datetime as dt
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +130,62 @@ def test_surrogate_key_tells_null_from_text(spark):
 
 def test_threshold(spark):
     assert [one(spark, v, lambda c: threshold_status(c, 300), "int") for v in (301, 300, 1, 0)] == ["OK", "WARN", "WARN", "FAIL"]
+
+
+def _strict(text):
+    """What a strict parser makes of the text, as a list of elements, or None."""
+    def refuse(constant):
+        raise ValueError(constant)
+
+    try:
+        value = json.loads(text, parse_constant=refuse)
+    except ValueError:
+        return None
+    return value if isinstance(value, list) else [value]
+
+
+def _documents(rnd, n):
+    def value(depth):
+        kind = rnd.randrange(9 if depth < 2 else 5)
+        if kind < 4:
+            return "".join(rnd.choice('abÉ"\\/{}[],:\' 01') for _ in range(rnd.randrange(6)))
+        if kind == 4:
+            return rnd.choice([None, True, 7, -3])
+        if kind < 7:
+            return {rnd.choice(["Name", "City", "Party No.", "x"]): value(depth + 1) for _ in range(rnd.randrange(4))}
+        return [value(depth + 1) for _ in range(rnd.randrange(4))]
+
+    for _ in range(n):
+        text = json.dumps(value(0), ensure_ascii=rnd.random() < 0.3)
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            at = rnd.randrange(len(text) + 1)
+            text = text[:at] + rnd.choice(["", "]", "}", ",", "[", "{", '"', " ", "1", "\\"]) + text[at + rnd.randrange(2):]
+        yield text
+
+
+def test_unnest_against_a_strict_parser(spark):
+    rnd = random.Random(17)
+    texts = [t for t in dict.fromkeys(_documents(rnd, 3000)) if t not in ("", "NA")]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, doc string")
+    got = {}
+    for r in unnest_party(df, "doc").select("row_id", "name", "city", "party_num").collect():
+        got.setdefault(r["row_id"], []).append((r["name"], r["city"], r["party_num"]))
+    valid = {r["id"] for r in df.where(safe_json(F.col("doc")).isNotNull()).collect()}
+
+    def shown(v):
+        if v is None or isinstance(v, str):
+            return v
+        return json.dumps(v, separators=(",", ":"), ensure_ascii=False)
+
+    def fields(e):
+        return tuple(shown(e.get(k)) for k in ("Name", "City", "Party No.")) if isinstance(e, dict) else (None,) * 3
+
+    wrong = []
+    for i, text in enumerate(texts):
+        elements = _strict(text)
+        if (str(i) in valid) != (elements is not None):
+            wrong.append((text, "valid" if str(i) in valid else "invalid"))
+        elif [fields(e) for e in elements or []] != got.get(i, []):
+            wrong.append((text, got.get(i)))
+    assert not wrong, (len(wrong), wrong[:10])
+    assert 500 < len(valid) < len(texts) - 500

@@ -1,6 +1,8 @@
 """Files, loads and streams end to end on small inputs."""
 
+import csv as python_csv
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -270,3 +272,21 @@ def test_small_batches_give_the_same_tables(spark, tmp_path, rows, lookup):
         assert landing.select("source_id").distinct().count() == 12
     assert results[0] == results[1]
     assert results[0][1] == [(i,) for i in range(6)]
+
+
+@pytest.mark.parametrize("terminator", ["\n", "\r\n"])
+def test_csv_against_another_reader(spark, tmp_path, terminator):
+    rnd = random.Random(23)
+    alphabet = ["a", "É", ",", '"', "\n", " ", "NA", "\\", "'", "{", ":", "1"]
+    records = [
+        [str(i), *["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(4))) for _ in CASE_FILE_COLUMNS[1:]]]
+        for i in range(400)
+    ]
+    with open(tmp_path / "a.csv", "w", encoding="utf-8", newline="") as out:
+        writer = python_csv.writer(out, lineterminator=terminator)
+        writer.writerow(CASE_FILE_COLUMNS)
+        writer.writerows(records)
+    read = {r["row_num"]: tuple(r) for r in csv.read_cases_csv(spark, str(tmp_path)).collect()}
+    assert len(read) == 400
+    for record in records:
+        assert read[record[0]] == tuple(None if v == "NA" else v for v in record)
