@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe
+from recordloom.llm import bpe, licenses, packing, token_counts, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,3 +37,51 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of ``documents``; a token counts where its first character lies."""
+    docs = table(spark, sf_dir, "documents")
+    counts = token_counts.count_tokens(docs, "doc_id", "text", BYTE_VOCABULARY)
+    return counts.withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` packed into windows of 2,048 tokens."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", BYTE_VOCABULARY, end=1, window=2048)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence wording in ``documents``: places of the base phrases, labels of both kinds."""
+    found = licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.word").alias("first_word"), F.array_max("places.word").alias("last_word"),
+        joined(F.col("places.label")).alias("base_labels"),
+        joined(F.concat("places.label", "spans.label")).alias("labels"), "score",
+    )
+
+
+def held_out(key: str) -> Column:
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+
+
+def toxicity_weights(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    return toxicity.fit(docs, "doc_id", "text", labels, "toxic")
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` scored by a model of the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, "doc_id", "text", toxicity_weights(spark, docs, sf_dir))
+    return scored.select(
+        "doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
