@@ -26,7 +26,7 @@ from recordloom.llm.common import lists, offsets, parts, ranges, text_list, work
 #: Fixed: what the pre-tokenizer counts as white space.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Distinct pieces of text that a worker remembers; then it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 def byte_letters() -> dict[int, str]:

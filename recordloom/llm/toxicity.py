@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from recordloom.llm.common import lists, offsets, parts, text_list, worker_memory
 
 #: Labelled documents that the model is fitted on, about, at most.
-FIT_ROWS = 12_000
+FIT_ROWS = 16_000
 FEATURE_BITS = 18
 #: A word's features are the word and its beginnings of these lengths.
 BEGINNINGS = (4, 5)
-PASSES, RATE, PENALTY = 120, 0.25, 1e-5
+#: Documents of the sample that a feature must be in.
+LEAST_DOCUMENTS = 5
+PASSES, RATE, PENALTY = 200, 0.15, 0.6
 
 #: Words, and the ends of sentences.
 PIECE = re.compile(r"[^\W\d_]+|[.!?\n]+")
@@ -69,30 +71,29 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
-def fit_noisy_or(feature: np.ndarray, size: np.ndarray, count: np.ndarray, label: np.ndarray, width: int) -> np.ndarray:
+def fit_noisy_or(feature: np.ndarray, size: np.ndarray, count: np.ndarray, label: np.ndarray, often: np.ndarray) -> np.ndarray:
     """Weights of the features and, last, the bias of sentence scores whose noisy-or fits the documents' labels.
 
     ``feature`` are the features of all sentences, ``size`` their number per sentence, ``count``
-    the sentences per document. Full-batch steps with a rate per weight (Adam).
+    the sentences per document, ``often`` the documents per feature. Full-batch steps with
+    momentum; after each one the weights shrink towards zero, so that only features with
+    enough evidence keep one.
     """
-    keep = count > 0
+    width = len(often)
     doc = np.repeat(np.arange(len(count)), count)
     sentence = np.repeat(np.arange(len(size)), size)
-    weights = np.zeros(width + 1)
-    weights[-1] = -4.0
-    mean, square = np.zeros_like(weights), np.zeros_like(weights)
-    for step in range(1, PASSES + 1):
+    scale = RATE / np.sqrt(np.maximum(1, often))
+    weights, push = np.append(np.zeros(width), -4.0), np.zeros(width + 1)
+    for _ in range(PASSES):
         z = np.bincount(sentence, weights[feature], len(size)) + weights[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         quiet = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(count))  # log of: no sentence is toxic
-        some = np.maximum(1e-9, -np.expm1(quiet))
-        push = np.where(label == 1, np.exp(quiet) / some, -1.0)
-        slope = p * push[doc] / max(1, keep.sum())
-        up = np.append(np.bincount(feature, slope[sentence], width), slope.sum())
-        up[:-1] -= PENALTY * weights[:-1]
-        mean = 0.9 * mean + 0.1 * up
-        square = 0.99 * square + 0.01 * up * up
-        weights += RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-7)
+        share = np.where(label == 1, np.exp(quiet) / np.maximum(1e-9, -np.expm1(quiet)), -1.0)
+        slope = p * share[doc]
+        push = 0.9 * push + 0.1 * np.append(np.bincount(feature, slope[sentence], width), slope.sum())
+        moved = weights[:-1] + scale * push[:-1]
+        weights[:-1] = np.sign(moved) * np.maximum(0, np.abs(moved) - PENALTY * scale)
+        weights[-1] += 2 * RATE * push[-1] / max(1, len(count))
     return weights
 
 
@@ -103,15 +104,15 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feature = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy(zero_copy_only=False) for c in got["features"].chunks)]).astype(np.int64)
         size = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy(zero_copy_only=False) for c in got["sizes"].chunks)]).astype(np.int64)
         count = np.concatenate([np.diff(offsets_of(c)) for c in got["sizes"].chunks])
-        # features of a single document say nothing about others
+        # features of a few documents say nothing about others
         doc = np.repeat(np.repeat(np.arange(len(count)), count), size)
         pair = np.unique(feature * len(count) + doc)
-        often = np.bincount(pair // len(count), minlength=1 << FEATURE_BITS) >= 3
-        kept = often[feature]
+        often = np.bincount(pair // len(count), minlength=1 << FEATURE_BITS)
+        kept = often[feature] >= LEAST_DOCUMENTS
         sentence = np.repeat(np.arange(len(size)), size)[kept]
         used, feature = np.unique(feature[kept], return_inverse=True)
         size = np.bincount(sentence, minlength=len(size))
-        fitted = fit_noisy_or(feature, size, count, got["toxic"].to_numpy(), len(used))
+        fitted = fit_noisy_or(feature, size, count, got["toxic"].to_numpy(), often[used])
         weights[used], weights[-1] = fitted[:-1], fitted[-1]
     yield pa.record_batch({"weights": pa.array([weights.tolist()], pa.list_(pa.float64()))})
 
