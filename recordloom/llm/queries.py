@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, licenses, packing, substrings, token_counts, toxicity
+from recordloom.llm import bpe, licenses, packing, repeats, substrings, token_counts, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -92,3 +92,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without the words of repeated windows of 35 words."""
     cut = substrings.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", length=35)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without the bytes of repeated strings of 400 bytes."""
+    cut = repeats.remove_repeated_bytes(table(spark, sf_dir, "documents"), "doc_id", "text", length=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
