@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, licenses, packing, repeats, substrings, token_counts, toxicity
+from recordloom.llm import bpe, forest, licenses, packing, repeats, substrings, token_counts, topk, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -99,3 +99,35 @@ def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without the bytes of repeated strings of 400 bytes."""
     cut = repeats.remove_repeated_bytes(table(spark, sf_dir, "documents"), "doc_id", "text", length=400)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def every_fiftieth(df: DataFrame) -> Column:
+    return df["vec_id"] % 50 == 0
+
+
+@query
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows of ``embeddings`` by the inner product of 256 times their components, rounded down."""
+    df = table(spark, sf_dir, "embeddings")
+    return topk.search(df, "vec_id", "embedding", every_fiftieth(df), 5, weight=lambda x: F.floor(256 * x).cast("double"))
+
+
+SQL["op5_topk"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
+@query
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of ``embeddings`` by cosine that the forest finds."""
+    df = table(spark, sf_dir, "embeddings")
+    return forest.search(df, "vec_id", "embedding", every_fiftieth(df), 5)
