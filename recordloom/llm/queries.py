@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, forest, licenses, packing, repeats, substrings, token_counts, topk, toxicity
+from recordloom.llm import bpe, forest, licenses, minhash, packing, repeats, substrings, token_counts, topk, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -131,3 +131,10 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest rows of ``embeddings`` by cosine that the forest finds."""
     df = table(spark, sf_dir, "embeddings")
     return forest.search(df, "vec_id", "embedding", every_fiftieth(df), 5)
+
+
+@query
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` by 80 percent of their pairs of words."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", words=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -148,7 +148,7 @@ def covered(spans: list[int] | None, size: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], as_they_are: bool) -> Iterator[pa.RecordBatch]:
     for part in parts(batches, "text"):
         data, bounds = byte_texts(part)
         begin, end, first = words_of(data, bounds)
@@ -156,6 +156,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_words, n_removed, kept = [], [], []
         for i, spans in enumerate(part.column("runs").to_pylist()):
             lo, hi = int(first[i]), int(first[i + 1])
+            if as_they_are and not spans:
+                n_words.append(hi - lo)
+                n_removed.append(0)
+                kept.append(raw[bounds[i]: bounds[i + 1]].decode())
+                continue
             gone = covered(spans, hi - lo)
             n_words.append(hi - lo)
             n_removed.append(int(gone.sum()))
@@ -176,13 +181,14 @@ def repeated_runs(rows: DataFrame, length: int) -> DataFrame:
     return found.groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
-def remove_repeats(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str, text: str, length: int, as_they_are: bool = False) -> DataFrame:
     """``key, n_words, n_removed, kept``: texts without the words that a repeated window of ``length`` words covers.
 
     Words are runs without ASCII white space, unchanged. A window is repeated if its words
     start anywhere else too, in the same text or another one; all its copies are removed.
-    ``kept`` are the words left, joined by one blank. ``df`` must be a scan, since rows are
-    numbered as they are read (see ``common.keyed``).
+    ``kept`` are the words left, joined by one blank; with ``as_they_are`` a text that loses no
+    word is kept as it is. ``df`` must be a scan, since rows are numbered as they are read (see
+    ``common.keyed``).
 
     First pass: a sketch of the windows' cores, merged over all partitions. Second pass: windows
     that the sketch does not rule out are compared exactly. Equal windows of a part settle
@@ -197,5 +203,5 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int) -> DataFrame
     rows = keyed(df.select(df[key].alias("key"), df[text].alias("text")), "rid")
     found = repeated_runs(rows.select("rid", "text"), length)
     joined = rows.join(found, "rid", "left").select(F.struct("key").alias("rid"), "text", "runs")
-    out = joined.mapInArrow(_cut, f"rid struct<key:{kind}>, n_words long, n_removed long, kept string")
+    out = joined.mapInArrow(partial(_cut, as_they_are=as_they_are), f"rid struct<key:{kind}>, n_words long, n_removed long, kept string")
     return out.select(F.col("rid.key").alias(key), "n_words", "n_removed", "kept")
