@@ -9,7 +9,7 @@ from checks.registry import query
 from recordloom.operators import audit, filters, quality, sampling
 from recordloom.plans import cases as plan
 from recordloom.plans import classify, lineage, profile, usage
-from recordloom.schemas import CIVIL_SUBTYPES, LOAD_STATUSES
+from recordloom.schemas import CASE_FILE_COLUMNS, CIVIL_SUBTYPES, LOAD_STATUSES
 
 # --- quality ---------------------------------------------------------------------------------
 
@@ -106,11 +106,14 @@ def domain_violations(d):
 
 
 @query("""SELECT s.id, f.load_status FROM src s JOIN gov_file_load f ON f.load_id = s.load_id
-          WHERE f.load_status IN ('started', 'completed', 'failed')""")
+          WHERE f.load_status IN ('started', 'completed', 'failed') AND s.status <> 'P'""")
 def allowed_load_status(d):
-    rows = d.src().select("id", "load_id").join(d.gov("file_load").select("load_id", "load_status"), "load_id")
+    """Rows that are left when those with a status outside the list, here every pending one, are found and dropped."""
+    rows = d.src().select("id", "load_id", "status").join(d.gov("file_load").select("load_id", "load_status"), "load_id")
+    rows = rows.withColumn("load_status", F.when(F.col("status") == "P", "pending").otherwise(F.col("load_status")))
+    rows = rows.withColumn("load_status", F.when(F.col("status").isNull(), None).otherwise(F.col("load_status")))
     bad = quality.domain_violations(rows, "load_status", LOAD_STATUSES).select("id")
-    return rows.join(bad, "id", "left_anti").select("id", "load_status")
+    return rows.join(bad, "id", "left_anti").where("status is not null").select("id", "load_status")
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('O', 'F')")
@@ -153,6 +156,14 @@ def load_ledger_report(d):
 # --- profile, classification, lineage, usage -------------------------------------------------
 
 
+def _sum_sql(column: str) -> str:
+    """Whole numbers to the last digit, others to one decimal."""
+    return (
+        f"CASE WHEN typeof(any_value({column})) = 'DOUBLE' THEN CAST(CAST(round(CAST(sum({column}) AS DOUBLE), 1) AS DECIMAL(38,1)) AS VARCHAR) "
+        f"ELSE CAST(CAST(sum({column}) AS DECIMAL(38,0)) AS VARCHAR) END"
+    )
+
+
 def _profile_sql(table: str, numbers: list[str], texts: list[str], others: list[str]) -> str:
     rows = []
     for c in numbers + texts + others:
@@ -162,7 +173,7 @@ def _profile_sql(table: str, numbers: list[str], texts: list[str], others: list[
             f"CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value, "
             f"{f'round(avg({c}), 4)' if n else 'CAST(NULL AS DOUBLE)'} AS mean, "
             f"{f'round(stddev_samp({c}), 4)' if n else 'CAST(NULL AS DOUBLE)'} AS stddev, "
-            f"{f'round(CAST(sum({c}) AS DOUBLE), 1)' if n else 'CAST(NULL AS DOUBLE)'} AS sum, "
+            f"{_sum_sql(c) if n else 'CAST(NULL AS VARCHAR)'} AS sum, "
             f"{f'min(length({c}))' if t else 'CAST(NULL AS BIGINT)'} AS min_length, "
             f"{f'max(length({c}))' if t else 'CAST(NULL AS BIGINT)'} AS max_length, "
             f"{f'round(avg(length({c})), 4)' if t else 'CAST(NULL AS DOUBLE)'} AS avg_length, "
@@ -174,51 +185,49 @@ def _profile_sql(table: str, numbers: list[str], texts: list[str], others: list[
 
 def _rounded(df):
     return df.withColumns({
-        "mean": F.round("mean", 4), "stddev": F.round("stddev", 4), "sum": F.round("sum", 1),
+        "mean": F.round("mean", 4), "stddev": F.round("stddev", 4),
+        "sum": F.when(F.col("sum").contains("."), F.round(F.col("sum").cast("double"), 1).cast("decimal(38,1)").cast("string")).otherwise(F.col("sum")),
         "avg_length": F.round("avg_length", 4),
     })
 
 
 @query(_profile_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"], ["o_orderdate"]))
 def profile_orders(d):
-    return _rounded(profile.profile(d.table("orders")))
+    return _rounded(profile.profile(d.table("orders"), approx_distinct=False))
 
 
-@query(_profile_sql("src", [], ["case_number", "case_type", "filing_date", "court_system", "defendant", "cjis", "versions"], []))
+@query(_profile_sql("src", ["source_id", "load_id"], CASE_FILE_COLUMNS, []))
 def profile_source_text(d):
-    columns = ["case_number", "case_type", "filing_date", "court_system", "defendant", "cjis", "versions"]
-    return _rounded(profile.profile(d.src(), columns=columns))
+    return _rounded(profile.profile(d.src(), approx_distinct=False))
 
 
 _SAMPLED = "(SELECT * FROM orders WHERE CAST(concat('0x', substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 7)) AS BIGINT) % 100 < 80)"
 
 
-@query(_profile_sql(_SAMPLED, ["o_custkey", "o_totalprice"], ["o_orderstatus"], []))
+@query(_profile_sql(_SAMPLED, ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"], ["o_orderdate"]))
 def profile_sample(d):
-    return _rounded(profile.profile(
-        d.table("orders"), "o_orderkey", sampling.SAMPLE_PERCENT["published"],
-        columns=["o_custkey", "o_totalprice", "o_orderstatus"],
-    ))
+    return _rounded(profile.profile(d.table("orders"), "o_orderkey", sampling.SAMPLE_PERCENT["published"], approx_distinct=False))
 
 
 _QUANTILES = [0.25, 0.5, 0.75, 0.99]
 
 
 @query(" UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, CAST({p} AS DOUBLE) AS probability, CAST(quantile_disc({c}, {p}) AS DOUBLE) AS value FROM orders"
+    f"SELECT '{c}' AS column_name, CAST({p} AS DOUBLE) AS probability, CAST(quantile_disc({c}, {p}) AS VARCHAR) AS value FROM orders"
     for c in ("o_totalprice", "o_custkey") for p in _QUANTILES
 ))
 def quantiles_orders(d):
     """Few values per range, so that ranks fall into several of them."""
     return quality.union_all([
-        profile.quantiles(d.table("orders"), c, _QUANTILES, slice_values=1000) for c in ("o_totalprice", "o_custkey")
+        profile.quantiles(d.table("orders"), c, _QUANTILES, slice_values=1000).withColumn("value", F.col("value").cast("string"))
+        for c in ("o_totalprice", "o_custkey")
     ])
 
 
 @query(_profile_sql("documents", ["doc_id", "n_chars"], ["text", "lang", "source"], []).replace(
     "CAST(min(text) AS VARCHAR)", "md5(min(text))").replace("CAST(max(text) AS VARCHAR)", "md5(max(text))"))
 def profile_documents(d):
-    stats = _rounded(profile.profile(d.table("documents")))
+    stats = _rounded(profile.profile(d.table("documents"), approx_distinct=False))
     is_text = F.col("column_name") == "text"
     return stats.withColumns({
         c: F.when(is_text, F.md5(c)).otherwise(F.col(c)) for c in ("min_value", "max_value")
@@ -229,26 +238,23 @@ def _share(table: str, key: str, percent: int) -> str:
     return f"(SELECT * FROM {table} WHERE CAST(concat('0x', substr(md5(CAST({key} AS VARCHAR)), 1, 7)) AS BIGINT) % 100 < {percent})"
 
 
-@query(f"""SELECT 'supplier' AS table_name, * FROM ({_profile_sql("supplier", ["s_acctbal"], ["s_name"], [])})
-           UNION ALL SELECT 'customer', * FROM ({_profile_sql(_share("customer", "c_custkey", 80), ["c_nationkey", "c_acctbal"], ["c_mktsegment"], [])})
-           UNION ALL SELECT 'orders', * FROM ({_profile_sql(_share("orders", "o_orderkey", 50), ["o_custkey"], ["o_orderpriority"], [])})""")
+@query(f"""SELECT 'supplier' AS table_name, * FROM ({_profile_sql("supplier", ["s_suppkey", "s_nationkey", "s_acctbal"], ["s_name"], [])})
+           UNION ALL SELECT 'customer', * FROM ({_profile_sql(_share("customer", "c_custkey", 80), ["c_custkey", "c_nationkey", "c_acctbal"], ["c_name", "c_mktsegment"], [])})
+           UNION ALL SELECT 'orders', * FROM ({_profile_sql(_share("orders", "o_orderkey", 50), ["o_orderkey", "o_custkey", "o_totalprice"],
+                                                            ["o_orderstatus", "o_orderpriority"], ["o_orderdate"])})""")
 def profile_tables(d):
-    tables = {
-        "supplier": d.table("supplier").select("s_suppkey", "s_acctbal", "s_name"),
-        "customer": d.table("customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"),
-        "orders": d.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority"),
-    }
+    tables = {n: d.table(n) for n in ("supplier", "customer", "orders")}
     keys = {"supplier": "s_suppkey", "customer": "c_custkey", "orders": "o_orderkey"}
     percent = {
         "supplier": sampling.SAMPLE_PERCENT["governance"], "customer": sampling.SAMPLE_PERCENT["published"],
         "orders": sampling.SAMPLE_PERCENT["source"],
     }
-    return _rounded(profile.profile_all(tables, percent, keys)).where(~F.col("column_name").isin(list(keys.values())))
+    return _rounded(profile.profile_all(tables, percent, keys, approx_distinct=False))
 
 
-@query("SELECT * FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 50)")
+@query("SELECT * REPLACE (CAST(o_orderdate AS VARCHAR) AS o_orderdate) FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 50)")
 def sample_rows(d):
-    return sampling.sample_rows(d.table("orders"), "o_orderkey").drop("o_orderdate")
+    return sampling.sample_rows(d.table("orders"), "o_orderkey")
 
 
 _DOC_RULES = [r for r in classify.RULES if r.value_pattern]
@@ -282,32 +288,32 @@ def lineage_edges(d):
     return lineage.lineage_edges(d.gov("dataset_lineage"), d.gov("dataset"))
 
 
-def _closure_sql(source: str, target: str) -> str:
+def _closure_sql(source: str, target: str, starts: str) -> str:
     return f"""WITH reach AS (
-        SELECT s.id AS start_id, l.{target}_dataset_id AS dataset_id, 1 AS depth FROM (
-          SELECT DISTINCT {source}_dataset_id AS id FROM gov_dataset_lineage
-          WHERE {source}_dataset_id NOT IN (SELECT {target}_dataset_id FROM gov_dataset_lineage)) s
+        SELECT s.id AS start_id, l.{target}_dataset_id AS dataset_id, 1 AS depth FROM ({starts}) s
         JOIN gov_dataset_lineage l ON l.{source}_dataset_id = s.id
         UNION ALL
         SELECT r.start_id, l.{target}_dataset_id, r.depth + 1 FROM reach r JOIN gov_dataset_lineage l ON l.{source}_dataset_id = r.dataset_id)
       SELECT start_id, dataset_id, min(depth) AS depth FROM reach GROUP BY start_id, dataset_id"""
 
 
-@query(_closure_sql("upstream", "downstream"))
+@query(_closure_sql("upstream", "downstream", """SELECT DISTINCT upstream_dataset_id AS id FROM gov_dataset_lineage
+    WHERE upstream_dataset_id NOT IN (SELECT downstream_dataset_id FROM gov_dataset_lineage)"""))
 def lineage_downstream(d):
     edges = d.gov("dataset_lineage")
     return lineage.lineage_closure(edges, lineage.endpoints(edges))
 
 
-@query(_closure_sql("downstream", "upstream"))
+@query(_closure_sql("downstream", "upstream", "SELECT dataset_id AS id FROM gov_dataset WHERE is_sensitive AND public_access_level = 'public'"))
 def lineage_upstream(d):
-    edges = d.gov("dataset_lineage")
-    return lineage.lineage_closure(edges, lineage.endpoints(edges, "upstream"), "upstream")
+    """Where the data of public datasets with sensitive content comes from."""
+    starts = d.gov("dataset").where("is_sensitive and public_access_level = 'public'").select("dataset_id")
+    return lineage.lineage_closure(d.gov("dataset_lineage"), starts, "upstream")
 
 
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id, event_type, count(*) AS uses FROM events GROUP BY ALL")
 def usage_per_day(d):
-    return usage.usage_rollup(d.table("events"), ["user_id", "event_type"], top_n=None)
+    return usage.usage_rollup(d.table("events"), ["user_id", "event_type"])
 
 
 @query("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id, event_type, count(*) AS uses FROM events
@@ -315,4 +321,4 @@ def usage_per_day(d):
           ORDER BY uses DESC, day, user_id, event_type LIMIT 1000""")
 def usage_top_report(d):
     recent = usage.recent_log(d.table("events"), "2024-01-15 00:00:00")
-    return usage.usage_rollup(recent, ["user_id", "event_type"])
+    return usage.usage_rollup(recent, ["user_id", "event_type"], top_n=usage.RESULT_LIMIT)

@@ -12,7 +12,7 @@ from recordloom.functions.json import json_elements, unpack_fields
 from recordloom.operators import aggregates, filters, joins, merge, quality
 from recordloom.operators.audit import step_counts
 from recordloom.plans import cases as plan
-from recordloom.plans.loads import unprocessed_loads
+from recordloom.plans.loads import accept_cases, process_loads, unprocessed_loads
 from recordloom.plans.sql_names import case_views, register_functions, register_views
 from recordloom.schemas import CIVIL_SUBTYPES, CLEANED_COLUMNS, EXCLUDED_SYSTEMS
 
@@ -133,7 +133,7 @@ def lookup_join(d):
 @query("SELECT s.id, s.case_type, c.subtype FROM src s LEFT JOIN ct c ON s.case_type = c.case_type")
 def lookup_join_salted(d):
     """The same join as for a lookup that is too large to broadcast."""
-    joined = joins.lookup_join(d.src().select("id", "case_type"), d.ct(), "case_type", broadcast_bytes=0, salts=8)
+    joined = joins.lookup_join(d.src().select("id", "case_type"), d.ct(), "case_type", broadcast_bytes=0, hot_rows=10, salts=8)
     return joined.select("id", "case_type", "subtype")
 
 
@@ -204,15 +204,14 @@ def distinct_case_rows(d):
     return aggregates.distinct_rows(plan.project_case(plan.in_branch(routed(d), "A")))
 
 
-@query("""SELECT f.load_id FROM gov_file_load f WHERE f.load_status = 'completed' AND NOT EXISTS (
-            SELECT 1 FROM src s JOIN final_cases c ON c.row_id = s.source_id WHERE s.load_id = f.load_id
-            AND s.load_id IN (SELECT load_id FROM gov_file_load WHERE load_status = 'started'))""")
+@query("""SELECT f.load_id FROM gov_file_load f WHERE f.load_status = 'completed'
+          AND f.load_id NOT IN (SELECT load_id FROM first_run_loads)""")
 def collect_load_ids(d):
-    """Load ids stay a frame: completed loads none of whose rows is among the cases of the started loads."""
-    ledger = d.gov("file_load")
-    started = filters.filter_loads(d.src(), ledger.where(F.col("load_status") == "started"))
-    cases = plan.final_tables(started, d.ct())[0].select(F.col("row_id").alias("source_id"))
-    return unprocessed_loads(ledger.select(F.col("load_id").cast("int"), "load_status"), d.src(), cases)
+    """Load ids stay a frame: completed loads that have no case after a run over the started and the small ones."""
+    source, ledger = d.amended(), d.gov("file_load")
+    first = ledger.where("load_status = 'started' or (load_status = 'completed' and rows_loaded < 3)").select("load_id")
+    none = accept_cases(source, d.ct()).where(F.lit(False))
+    return unprocessed_loads(ledger, process_loads(source, d.ct(), none, first)[0])
 
 
 @query("SELECT count(*) - count(DISTINCT row_id) AS duplicate_rows FROM final_cases")

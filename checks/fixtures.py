@@ -12,7 +12,6 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.session import spread
 from recordloom.sources.tables import values_df
 
 TABLES = (
@@ -134,6 +133,11 @@ GOV = {
         "license": "p_brand", "public_access_level": "case when p_size % 3 = 0 then 'public' else 'restricted' end",
         "is_sensitive": "p_size > 40", "source_modified": _DAY, "harvest_timestamp": _DAY,
     }),
+    "distribution": StandIn("part", {
+        "distribution_id": f"concat('file-', {_text('p_partkey')})", "dataset_id": "p_partkey", "title": "p_name",
+        "download_url": f"concat('https://example.org/', {_text('p_partkey')}, '.csv')", "format": "'csv'",
+        "size_bytes": "cast(p_size as bigint)",
+    }, where="p_size > 10"),
     "tag": StandIn("lineitem", {
         "tag_id": "l_linenumber", "name": f"concat('tag', {_text('l_linenumber')})",
         "description": "'line number'", "tag_type": "'keyword'",
@@ -235,7 +239,7 @@ class Data:
         return values_df(self.spark, LOOKUP_ROWS, "case_type string, subtype string")
 
     def src(self) -> DataFrame:
-        joined = spread(self.table("orders")).join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        joined = self.table("orders").repartition("o_orderkey").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         return joined.selectExpr(*[f"{e} AS {c}" for c, e in _SRC.items()])
 
     def amended(self) -> DataFrame:
@@ -323,7 +327,7 @@ SUBQUERIES: dict[str, str] = {
         "concat(caption, ' amended') AS caption) FROM src WHERE status = 'F'"
     ),
     "load_runs": (
-        "SELECT load_id, CASE load_status WHEN 'started' THEN 1 ELSE 2 END AS run FROM gov_file_load "
+        "SELECT load_id, CASE WHEN load_status = 'started' OR rows_loaded < 3 THEN 1 ELSE 2 END AS run FROM gov_file_load "
         "WHERE load_status IN ('started', 'completed')"
     ),
     "amended_labelled": (
@@ -338,11 +342,15 @@ SUBQUERIES: dict[str, str] = {
     "accepted_v1": f"SELECT * FROM accepted_v2 WHERE subtype IN {CIVIL}",
     **{
         f"processed_{v}": (
-            f"SELECT source_id, {CASE_COLUMNS} FROM accepted_{v} WHERE {KEPT_SYSTEM} AND cjis IS NULL "
+            f"SELECT source_id, load_id, {CASE_COLUMNS} FROM accepted_{v} WHERE {KEPT_SYSTEM} AND cjis IS NULL "
             "QUALIFY row_number() OVER (PARTITION BY CAST(id AS BIGINT) ORDER BY run, source_id, clear_type) = 1"
         )
         for v in ("v1", "v2")
     },
+    "first_run_loads": (
+        f"SELECT DISTINCT load_id FROM (SELECT load_id FROM accepted_v2 WHERE run = 1 AND {KEPT_SYSTEM} AND cjis IS NULL "
+        "QUALIFY row_number() OVER (PARTITION BY CAST(id AS BIGINT) ORDER BY source_id, clear_type) = 1)"
+    ),
     **{
         f"second_run_{v}": (
             "SELECT s.* FROM amended_src s JOIN load_runs r ON r.load_id = s.load_id WHERE r.run = 2 "

@@ -10,6 +10,7 @@ from recordloom.functions.dates import seconds_between
 from recordloom.operators import aggregates, merge
 from recordloom.operators.quality import union_all
 from recordloom.plans import enrichment, governance
+from recordloom.session import stage
 from recordloom.plans.sql_names import governance_views, register_views
 from recordloom.plans.loads import stamp_load, start_loads
 from recordloom.schemas import GOVERNANCE_FOREIGN_KEYS, LEDGER_SCHEMA
@@ -82,20 +83,30 @@ def distinct_names_array(d):
 
 
 @query("""SELECT permissible_use_id, count(*) AS conditions, count(dataset_id) AS datasets, min(condition_text) AS first_text,
-                 max(condition_text) AS last_text FROM gov_permissible_use_condition GROUP BY permissible_use_id""")
+                 max(condition_text) AS last_text, true AS in_order FROM gov_permissible_use_condition GROUP BY permissible_use_id""")
 def spread_condition_arrays(d):
-    """Arrays of at most a few conditions per row: together they hold every condition once."""
-    parts = aggregates.collect_rows_by(
+    """Conditions of a use in three arrays: together they hold every condition once."""
+    parts = aggregates.collect_parts_by(
         d.gov("permissible_use_condition"), "permissible_use_id", "permissible_use_condition_id",
-        F.struct("dataset_id", "condition_text"), "part", max_rows=2,
+        F.struct("dataset_id", "condition_text"), "conditions", parts=3,
     )
-    each = parts.select("permissible_use_id", F.explode("part").alias("c"))
+    each = parts.select("permissible_use_id", "part", F.explode("conditions").alias("c"))
     return each.groupBy("permissible_use_id").agg(
         F.count("*").alias("conditions"), F.count("c.dataset_id").alias("datasets"),
         F.min("c.condition_text").alias("first_text"), F.max("c.condition_text").alias("last_text"),
+        F.every(F.col("part").between(0, 2)).alias("in_order"),
     )
 
 
+@query("""SELECT u.permissible_use_id, u.policy_id, p.name AS policy_name, u.use_case, u.description, u.requires_approval,
+                 u.approval_authority, c.permissible_use_condition_id, c.dataset_id, c.condition_type, c.condition_value,
+                 c.condition_text, c.enforced_by
+          FROM gov_permissible_use u LEFT JOIN gov_policy p ON p.policy_id = u.policy_id
+          LEFT JOIN gov_permissible_use_condition c ON c.permissible_use_id = u.permissible_use_id""")
+def permissible_use_rows(d):
+    return governance.permissible_use_conditions(d.govs("permissible_use", "policy", "permissible_use_condition"))
+
+
 @query("""SELECT d.dataset_id, d.title, d.agency_id, a.name AS agency_name, x.tags FROM gov_dataset d
           LEFT JOIN gov_agency a ON a.agency_id = d.agency_id
           LEFT JOIN (SELECT dataset_id, count(DISTINCT tag_id) AS tags FROM gov_dataset_tag GROUP BY dataset_id) x ON x.dataset_id = d.dataset_id""")
@@ -338,21 +349,33 @@ def _text_ids(df, *columns):
     return df.withColumns({c: F.col(c).cast("string") for c in columns})
 
 
-@query("""SELECT 'governance_role' AS tbl, (SELECT count(*) FROM gov_governance_role) + 5 AS n, 5 AS seeded
-          UNION ALL SELECT 'policy', (SELECT count(*) FROM gov_policy) + 5, 5
-          UNION ALL SELECT 'security_marking', (SELECT count(*) FROM gov_security_marking) + 2, 2
-          UNION ALL SELECT 'permissible_use', (SELECT count(*) FROM gov_permissible_use) + 5, 5""")
+@query("""SELECT 'governance_role' AS tbl, name AS a, name AS b, false AS seeded FROM gov_governance_role
+          UNION ALL SELECT 'policy', name, policy_type, false FROM gov_policy
+          UNION ALL SELECT 'security_marking', name, classification_level, false FROM gov_security_marking
+          UNION ALL SELECT 'permissible_use', use_case, p.name, false FROM gov_permissible_use u JOIN gov_policy p ON p.policy_id = u.policy_id
+          UNION ALL SELECT tbl, a, b, true FROM (VALUES ('governance_role', 'Data Owner', 'Data Owner'), ('governance_role', 'Data Steward', 'Data Steward'),
+            ('governance_role', 'Privacy Officer', 'Privacy Officer'), ('governance_role', 'Security Officer', 'Security Officer'),
+            ('governance_role', 'Data Governance Council Chair', 'Data Governance Council Chair'),
+            ('policy', 'Privacy Act of 1974', 'privacy'), ('policy', 'CIPSEA Confidentiality', 'privacy'), ('policy', 'OMB M-19-23 FDS Strategy', 'governance'),
+            ('policy', 'FedRAMP High Baseline', 'cybersecurity'), ('policy', 'Records Retention Schedule', 'retention'),
+            ('security_marking', 'Controlled Unclassified Information', 'moderate'), ('security_marking', 'High-Value Asset', 'high'),
+            ('permissible_use', 'Program service delivery', 'Privacy Act of 1974'),
+            ('permissible_use', 'Statistical analysis with de-identification', 'Privacy Act of 1974'),
+            ('permissible_use', 'Statistical release', 'CIPSEA Confidentiality'), ('permissible_use', 'Data inventory publication', 'OMB M-19-23 FDS Strategy'),
+            ('permissible_use', 'Operational monitoring', 'FedRAMP High Baseline')) AS v(tbl, a, b)""")
 def seed_governance(d):
     t = d.govs("governance_role", "policy", "security_marking", "permissible_use")
     t["policy"] = _text_ids(t["policy"], "policy_id")
     t["permissible_use"] = _text_ids(t["permissible_use"], "policy_id", "permissible_use_id")
     once = enrichment.seed_tables(d.spark, t)
-    key = {"governance_role": "governance_role_id", "policy": "policy_id", "security_marking": "security_marking_id",
-           "permissible_use": "permissible_use_id"}
+    once["permissible_use"] = once["permissible_use"].join(once["policy"].select("policy_id", F.col("name").alias("policy_name")), "policy_id")
+    columns = {
+        "governance_role": ("governance_role_id", "name", "name"), "policy": ("policy_id", "name", "policy_type"),
+        "security_marking": ("security_marking_id", "name", "classification_level"), "permissible_use": ("permissible_use_id", "use_case", "policy_name"),
+    }
     return union_all([
-        once[n].agg(F.count("*").cast("bigint").alias("n"), F.count_if(F.length(F.col(k)) == 64).cast("int").alias("seeded"))
-        .select(F.lit(n).alias("tbl"), "n", "seeded")
-        for n, k in key.items()
+        once[n].select(F.lit(n).alias("tbl"), F.col(a).alias("a"), F.col(b).alias("b"), (F.length(F.col(k)) == 64).alias("seeded"))
+        for n, (k, a, b) in columns.items()
     ])
 
 
@@ -392,6 +415,120 @@ def assign_roles(d):
     )
 
 
+def _files_wanted(d):
+    """One file for every dataset, which many have already, and one more for some."""
+    part = d.table("part")
+    file = F.concat(F.lit("https://example.org/"), F.col("p_partkey").cast("string"))
+    urls = F.array(F.concat(file, F.lit(".csv")), F.when(F.col("p_size") > 30, F.concat(file, F.lit(".json"))))
+    return part.select(
+        F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("source_identifier"),
+        F.explode(urls).alias("download_url"), F.lit("added").alias("title"),
+    ).where("download_url is not null")
+
+
+@query("""SELECT dataset_id, download_url, title FROM gov_distribution UNION ALL
+          SELECT d.dataset_id, w.url, 'added' FROM gov_dataset d JOIN (
+            SELECT p_partkey, concat('https://example.org/', cast(p_partkey as varchar), '.csv') AS url FROM part UNION ALL
+            SELECT p_partkey, concat('https://example.org/', cast(p_partkey as varchar), '.json') FROM part WHERE p_size > 30) w
+            ON w.p_partkey = d.dataset_id
+          WHERE NOT EXISTS (SELECT 1 FROM gov_distribution e WHERE e.dataset_id = d.dataset_id AND e.download_url = w.url)""")
+def add_distributions(d):
+    added = enrichment.add_distributions(d.govs("dataset", "distribution"), _files_wanted(d))
+    return added.select("dataset_id", "download_url", "title")
+
+
+@query("""SELECT * FROM gov_dataset_security_marking UNION ALL
+          SELECT d.dataset_id, m.security_marking_id FROM gov_dataset d CROSS JOIN gov_security_marking m WHERE m.name = 'Public'
+            AND NOT EXISTS (SELECT 1 FROM gov_dataset_security_marking e WHERE e.dataset_id = d.dataset_id
+              AND e.security_marking_id = m.security_marking_id)""")
+def assign_markings(d):
+    wanted = d.gov("dataset").select("source_identifier", F.lit("Public").alias("marking_name"))
+    return enrichment.assign_markings(d.govs("dataset", "security_marking", "dataset_security_marking"), wanted)
+
+
+_ENRICHED = (
+    "agency", "dataset", "distribution", "tag", "dataset_tag", "policy", "dataset_policy", "permissible_use",
+    "permissible_use_condition", "person", "governance_role", "role_assignment", "security_marking", "dataset_security_marking",
+)
+
+
+@query("""WITH batch AS (SELECT p_partkey AS k, CASE WHEN p_size > 25 THEN concat('part-', cast(p_partkey as varchar))
+                    ELSE concat('new-', cast(p_partkey as varchar)) END AS source FROM part),
+          known AS (SELECT b.k, b.source FROM batch b)
+          SELECT 'dataset' AS tbl, d.source_identifier AS a, CASE WHEN b.source IS NULL THEN d.title ELSE 'renewed' END AS b
+            FROM gov_dataset d LEFT JOIN batch b ON b.source = d.source_identifier
+          UNION ALL SELECT 'dataset', source, 'renewed' FROM known WHERE source LIKE 'new-%'
+          UNION ALL SELECT 'distribution', concat('part-', cast(dataset_id as varchar)), download_url FROM gov_distribution
+          UNION ALL SELECT 'distribution', source, 'added' FROM known
+          UNION ALL SELECT 'dataset_tag', concat('part-', cast(dataset_id as varchar)), concat('tag', cast(tag_id as varchar)) FROM gov_dataset_tag
+          UNION ALL SELECT 'dataset_tag', source, 'transit' FROM known
+          UNION ALL SELECT 'dataset_policy', concat('part-', cast(dataset_id as varchar)), p.name FROM gov_dataset_policy x JOIN gov_policy p ON p.policy_id = x.policy_id
+          UNION ALL SELECT 'dataset_policy', source, 'ASIA' FROM known WHERE source NOT IN (SELECT concat('part-', cast(dataset_id as varchar))
+            FROM gov_dataset_policy x JOIN gov_policy p ON p.policy_id = x.policy_id WHERE p.name = 'ASIA')
+          UNION ALL SELECT 'permissible_use_condition', source, 'regional count' FROM known
+          UNION ALL SELECT 'role_assignment', source, 'ann@x.org' FROM known
+          UNION ALL SELECT 'dataset_security_marking', concat('part-', cast(dataset_id as varchar)), m.name FROM gov_dataset_security_marking x
+            JOIN gov_security_marking m ON m.security_marking_id = x.security_marking_id
+          UNION ALL SELECT 'dataset_security_marking', source, 'CUI' FROM known WHERE source NOT IN (SELECT concat('part-', cast(dataset_id as varchar))
+            FROM gov_dataset_security_marking x JOIN gov_security_marking m ON m.security_marking_id = x.security_marking_id WHERE m.name = 'CUI')
+          UNION ALL SELECT 'agency', 'TRANSIT OFFICE', 'TO' UNION ALL SELECT 'tag', 'transit', 'keyword' UNION ALL SELECT 'person', 'Ann', 'ann@x.org'""")
+def enrich_datasets(d):
+    """A batch of annotated datasets, known ones and new ones, twice: the second run adds nothing."""
+    t = d.govs(*_ENRICHED)
+    for name, keys in {
+        "agency": ["agency_id"], "dataset": ["dataset_id", "agency_id"], "distribution": ["dataset_id"], "tag": ["tag_id"],
+        "dataset_tag": ["dataset_id", "tag_id"], "dataset_policy": ["dataset_id", "policy_id"], "policy": ["policy_id"],
+        "permissible_use": ["policy_id", "permissible_use_id"], "person": ["person_id"],
+        "permissible_use_condition": ["permissible_use_condition_id", "permissible_use_id", "dataset_id"],
+        "role_assignment": ["role_assignment_id", "person_id", "dataset_id"], "dataset_security_marking": ["dataset_id"],
+    }.items():
+        t[name] = _text_ids(t[name], *keys)
+    part, key = d.table("part"), F.col("p_partkey").cast("string")
+    source = F.when(F.col("p_size") > 25, F.concat(F.lit("part-"), key)).otherwise(F.concat(F.lit("new-"), key)).alias("source_identifier")
+
+    def each(**columns):
+        return part.select(source, *[F.lit(v).alias(c) for c, v in columns.items()])
+
+    one = d.spark.range(1)
+    rows = {
+        "agency": one.select(*[F.lit(v).alias(c) for c, v in {
+            "name": "TRANSIT OFFICE", "acronym": "TO", "description": "x", "contact_email": "to@x.org"}.items()]),
+        "dataset": each(title="renewed", description="x", agency_name="Transit Office", landing_page="x", license="x", public_access_level="public"),
+        "distribution": each(download_url="added", title="file"),
+        "tag": one.select(F.lit("transit").alias("name"), F.lit("x").alias("description"), F.lit("keyword").alias("tag_type")),
+        "dataset_tag": each(name="transit"),
+        "dataset_policy": each(policy_name="ASIA"),
+        "permissible_use_condition": each(
+            policy_name="ASIA", use_case="NATION_7", condition_type="count", condition_value="regional count", condition_text="x", enforced_by="x"),
+        "person": one.select(F.lit("Ann").alias("full_name"), F.lit("ann@x.org").alias("email"), F.lit("x").alias("organization")),
+        "role_assignment": each(role_name="1-URGENT", email="ANN@x.org", scope="dataset"),
+        "dataset_security_marking": each(marking_name="CUI"),
+    }
+    for run in ("2024-03-01", "2024-03-02"):
+        t |= {name: stage(df, name) for name, df in enrichment.enrich_datasets(t, rows, run).items() if name in rows}
+    of = t["dataset"].select("dataset_id", F.col("source_identifier").alias("a"))
+
+    def links(name, **names):
+        df = t[name].join(of, "dataset_id")
+        for key, dim in names.items():
+            df = df.join(t[dim].select(key, F.col("email" if dim == "person" else "name").alias("b")), key)
+        return df.select(F.lit(name).alias("tbl"), "a", *(["b"] if names else []))
+
+    new = t["permissible_use_condition"].where("condition_type = 'count'")
+    return union_all([
+        t["dataset"].select(F.lit("dataset").alias("tbl"), F.col("source_identifier").alias("a"), F.col("title").alias("b")),
+        t["distribution"].join(of, "dataset_id").select(F.lit("distribution").alias("tbl"), "a", F.col("download_url").alias("b")),
+        links("dataset_tag", tag_id="tag"), links("dataset_policy", policy_id="policy"),
+        new.join(of, "dataset_id").select(F.lit("permissible_use_condition").alias("tbl"), "a", F.col("condition_value").alias("b")),
+        t["role_assignment"].where("scope = 'dataset'").join(t["person"].where("email = 'ann@x.org'").select("person_id", "email"), "person_id")
+        .join(of, "dataset_id").select(F.lit("role_assignment").alias("tbl"), "a", F.col("email").alias("b")),
+        links("dataset_security_marking", security_marking_id="security_marking"),
+        t["agency"].where("acronym = 'TO'").select(F.lit("agency").alias("tbl"), F.col("name").alias("a"), F.col("acronym").alias("b")),
+        t["tag"].where("name = 'transit'").select(F.lit("tag").alias("tbl"), F.col("name").alias("a"), F.col("tag_type").alias("b")),
+        t["person"].where("email = 'ann@x.org'").select(F.lit("person").alias("tbl"), F.col("full_name").alias("a"), F.col("email").alias("b")),
+    ])
+
+
 # --- functions -------------------------------------------------------------------------------
 
 _COURT_FILE = """CASE WHEN c_custkey % 5 = 0 THEN concat(c_name, '.csv') WHEN c_custkey % 5 = 1 THEN NULL
@@ -446,6 +583,8 @@ def array_without_nulls(d):
 
 @query("""SELECT 'vw_catalog_dataset' AS view_name, count(*) AS row_count FROM gov_dataset
           UNION ALL SELECT 'vw_permissible_use', count(*) FROM gov_permissible_use
+          UNION ALL SELECT 'vw_permissible_use_condition', count(*) FROM gov_permissible_use u
+            LEFT JOIN gov_permissible_use_condition c ON c.permissible_use_id = u.permissible_use_id
           UNION ALL SELECT 'vw_governance_assignments', count(*) FROM gov_role_assignment
           UNION ALL SELECT 'vw_data_access_request', count(*) FROM gov_data_access_request""")
 def sql_governance_views(d):

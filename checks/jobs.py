@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from checks.court import finals
 from checks.fixtures import CASE_COLUMNS, KEPT_SYSTEM, LABEL, NA_EMPTY_REPLACED, Data, party_sql
 from checks.registry import query
-from recordloom.operators.audit import step_counts
+from recordloom.operators.quality import union_all
 from recordloom.plans import cases as plan
 from recordloom.plans import loads
 from recordloom.schemas import CASE_FILE_COLUMNS, LEDGER_SCHEMA, LOOKUP_FILE_COLUMNS
-from recordloom.session import scratch_path
+from recordloom.session import scratch_path, stage
 from recordloom.sources import csv, tables
 from recordloom.streaming import ingest
 
@@ -54,15 +54,14 @@ def scan_lookup_csv(d):
     return csv.read_lookup_csv(d.spark, path)
 
 
-@query("SELECT load_id, count(*) AS row_count, count(DISTINCT id) AS ids, true AS has_file FROM src GROUP BY load_id")
+@query("SELECT load_id, " + ", ".join(f"nullif({c}, 'NA') AS {c}" for c in CASE_FILE_COLUMNS) + ", true AS has_file FROM src")
 def scan_many_files(d):
     path = scratch_path(d.spark, "record-files")
     csv.write_cases_csv(d.src(), path, by="load_id")
     rows = csv.read_many(d.spark, f"{path}/*/*.csv").where(~F.col("is_bad"))
-    load_id = F.regexp_extract("file_path", r"load_id=(\d+)/", 1).cast("int")
-    return rows.groupBy(load_id.alias("load_id")).agg(
-        F.count("*").alias("row_count"), F.countDistinct("id").alias("ids"),
-        F.every(F.col("file_name").endswith(".csv") & (F.col("file_size_bytes") > 0)).alias("has_file"),
+    return rows.select(
+        F.regexp_extract("file_path", r"load_id=(\d+)/", 1).cast("int").alias("load_id"), *CASE_FILE_COLUMNS,
+        (F.col("file_name").endswith(".csv") & (F.col("file_size_bytes") > 0)).alias("has_file"),
     )
 
 
@@ -82,17 +81,14 @@ def overwrite_lookup(d):
     return tables.overwrite_lookup(d.table("part").select("p_partkey", F.col("p_brand").alias("subtype")), path)
 
 
-@query("SELECT load_id, count(*) AS row_count, min(id) AS first_id, max(id) AS last_id FROM src GROUP BY load_id")
+@query("SELECT load_id, id, case_number FROM src")
 def append_landing(d):
     """Some loads are landed twice, which replaces them."""
     path = scratch_path(d.spark, "landing")
     rows = d.src().select("id", "case_number", "load_id")
     tables.append_landing(rows, path)
     repeated = rows.join(d.gov("file_load").where("load_status = 'failed'").select("load_id"), "load_id", "left_semi")
-    landed = tables.append_landing(repeated.select(*rows.columns), path)
-    return landed.groupBy("load_id").agg(
-        F.count("*").alias("row_count"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
-    )
+    return tables.append_landing(repeated.select(*rows.columns), path)
 
 
 @query("""SELECT o_orderstatus, v.label, count(*) AS row_count FROM orders
@@ -104,10 +100,9 @@ def constant_relation(d):
     return d.table("orders").join(labels, "o_orderstatus").groupBy("o_orderstatus", "label").agg(F.count("*").alias("row_count"))
 
 
-@query("SELECT o_orderstatus, count(*) AS row_count FROM orders GROUP BY o_orderstatus")
+@query("SELECT * REPLACE (CAST(o_orderdate AS VARCHAR) AS o_orderdate) FROM orders")
 def read_table_source(d):
-    orders = tables.read_table(d.spark, "parquet", path=f"{d.sf_dir}/orders.parquet")
-    return orders.groupBy("o_orderstatus").agg(F.count("*").alias("row_count"))
+    return tables.read_table(d.spark, "parquet", path=f"{d.sf_dir}/orders.parquet")
 
 
 @query("SELECT count(*) AS row_count, count(*) AS numbers, 1 AS first_number, count(*) AS last_number FROM events")
@@ -121,22 +116,22 @@ def number_landed_rows(d):
 
 # --- loads -----------------------------------------------------------------------------------
 
-_LANDED = """SELECT 'landing' AS part, court AS item, count(*) AS row_count, count(DISTINCT id) AS ids FROM src GROUP BY court
-             UNION ALL SELECT 'ledger', 'completed', count(*), NULL FROM src"""
+_LANDED = "SELECT " + ", ".join(f"nullif({c}, 'NA') AS {c}" for c in CASE_FILE_COLUMNS) + """, true AS counted,
+    (SELECT count(*) FROM src) AS numbers FROM src"""
 
 
-def _landed_summary(landing: DataFrame, ledger: DataFrame) -> DataFrame:
-    courts = landing.groupBy(F.col("court").alias("item")).agg(F.count("*").alias("row_count"), F.countDistinct("id").alias("ids"))
-    outcomes = ledger.groupBy(F.col("load_status").alias("item")).agg(F.sum("rows_loaded").alias("row_count"))
-    return courts.select(F.lit("landing").alias("part"), "*").unionByName(
-        outcomes.select(F.lit("ledger").alias("part"), "*"), allowMissingColumns=True
-    )
+def _landed(landing: DataFrame, ledger: DataFrame) -> DataFrame:
+    """All cells; whether the ledger counts the rows of the load; how many row numbers there are."""
+    per_load = landing.groupBy("load_id").agg(F.count("*").alias("n"))
+    counted = per_load.join(ledger.where("load_status = 'completed'"), "load_id").select("load_id", (F.col("n") == F.col("rows_loaded")).alias("counted"))
+    numbers = landing.agg(F.countDistinct("source_id").alias("numbers")).scalar()
+    return landing.join(counted, "load_id").select(*CASE_FILE_COLUMNS, "counted", numbers.alias("numbers"))
 
 
 @query(_LANDED)
 def load_files(d):
     landing, ledger = loads.load_files(d.spark, f"{_files(d)}/*.csv", loads.empty_ledger(d.spark), AS_OF)
-    return _landed_summary(landing, ledger)
+    return _landed(stage(landing, "landing"), ledger)
 
 
 @query(_LANDED)
@@ -144,16 +139,16 @@ def load_files_again(d):
     """The whole load job twice over the same files: load ids are kept and rows replaced."""
     path, out = _files(d), scratch_path(d.spark, "loaded")
     loads.run_load(d.spark, f"{path}/*.csv", out, AS_OF)
-    return _landed_summary(*loads.run_load(d.spark, f"{path}/*.csv", out, AS_OF, multi_line=False))
+    return _landed(*loads.run_load(d.spark, f"{path}/*.csv", out, AS_OF, multi_line=False))
 
 
 def _runs(d: Data, version: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """First the started loads, then whatever completed load has no case yet."""
+    """First the started loads and the small completed ones, then whatever completed load has no case yet."""
     source, ledger = d.amended(), d.gov("file_load")
-    first = ledger.where("load_status = 'started'").select("load_id")
+    first = ledger.where("load_status = 'started' or (load_status = 'completed' and rows_loaded < 3)").select("load_id")
     none = loads.accept_cases(source, d.ct(), version).where(F.lit(False))
     cases, _, _ = loads.process_loads(source, d.ct(), none, first, version)
-    open_loads = loads.unprocessed_loads(ledger, source, cases)
+    open_loads = loads.unprocessed_loads(ledger, cases)
     return loads.process_loads(source, d.ct(), cases, open_loads, version)
 
 
@@ -185,32 +180,44 @@ def stream_load(d):
     path, out, checkpoint = _files(d), scratch_path(d.spark, "stream"), scratch_path(d.spark, "stream-state")
     for _ in range(2):
         ingest.stream_load(d.spark, path, out, checkpoint, AS_OF).awaitTermination()
-    ledger = tables.read_version(d.spark, f"{out}/ledger", LEDGER_SCHEMA)
-    return _landed_summary(loads.read_landing(d.spark, out), ledger)
+    return _landed(loads.read_landing(d.spark, out), loads.read_ledger(d.spark, out))
+
 
 
 
 
+def _commit(d: Data, rows: DataFrame, out: str, version: int) -> None:
+    """Land rows and note their loads as completed."""
+    tables.append_landing(rows, f"{out}/landing")
+    done = rows.groupBy("load_id").agg(F.count("*").alias("rows_loaded")).withColumn("load_status", F.lit("completed"))
+    known = {f.name: F.col(f.name) if f.name in done.columns else F.lit(None) for f in LEDGER_SCHEMA.fields}
+    ledger = done.select(*[known[f.name].cast(f.dataType).alias(f.name) for f in LEDGER_SCHEMA.fields])
+    tables.write_version(ledger, f"{out}/ledger", version)
+
 
 def _streamed(d: Data) -> str:
-    """The rows of the record files as first batch, the amended ones as second."""
-    landing, out, checkpoint = (scratch_path(d.spark, n) for n in ("landing", "stream", "stream-state"))
-    amended = d.amended()
-    schema = amended.schema
-    for late in (False, True):
-        amended.where((F.col("source_id") >= 10**12) == late).write.mode("append").parquet(landing)
-        ingest.stream_process(d.spark, landing, d.ct(), out, checkpoint, schema=schema).awaitTermination()
+    """The rows of the record files as first batch, the amended ones, which come as other loads, as second.
+
+    Then all first loads come once more: they were processed, so nothing changes.
+    """
+    loaded, out, checkpoint = (scratch_path(d.spark, n) for n in ("loaded", "stream", "stream-state"))
+    rows = d.amended()
+    rows = rows.withColumn("load_id", F.col("load_id") + F.when(F.col("source_id") >= 10**12, 100).otherwise(0))
+    for version, late in enumerate((False, True, False)):
+        _commit(d, rows.where((F.col("source_id") >= 10**12) == late), loaded, version)
+        ingest.stream_process(d.spark, loaded, d.ct(), out, checkpoint, schema=rows.schema).awaitTermination()
     return out
 
 
-_STREAM_ACCEPTED = """all_labelled AS (SELECT s.*, 1 AS run, c.subtype FROM amended_src s LEFT JOIN ct c ON s.case_type = c.case_type)"""
+_STREAM_ACCEPTED = """all_labelled AS (SELECT s.* REPLACE (CASE WHEN source_id >= 1000000000000 THEN load_id + 100 ELSE load_id END AS load_id),
+    1 AS run, c.subtype FROM amended_src s LEFT JOIN ct c ON s.case_type = c.case_type)"""
 
 
 def _stream_sql(select: str) -> str:
     rest = "WHEN 'X' THEN 'OTHER CIVIL' ELSE CASE WHEN subtype IS NULL THEN 'NO INFORMATION' ELSE 'UNKNOWN' END"
     return f"""WITH {_STREAM_ACCEPTED}, accepted AS (
           SELECT {NA_EMPTY_REPLACED} FROM (SELECT *, {LABEL.format(rest=rest)} AS clear_type FROM all_labelled)),
-        streamed_cases AS (SELECT source_id, {CASE_COLUMNS} FROM accepted WHERE {KEPT_SYSTEM} AND cjis IS NULL
+        streamed_cases AS (SELECT source_id, load_id, {CASE_COLUMNS} FROM accepted WHERE {KEPT_SYSTEM} AND cjis IS NULL
           QUALIFY row_number() OVER (PARTITION BY CAST(id AS BIGINT) ORDER BY source_id, clear_type) = 1),
         streamed_rows AS (SELECT * FROM amended_src WHERE CAST(id AS BIGINT) IN (SELECT row_id FROM streamed_cases))
         {select}"""
@@ -226,7 +233,19 @@ def stream_process_plaintiffs(d):
     return d.spark.read.parquet(f"{_streamed(d)}/plaintiffs").drop("batch_id")
 
 
-@query("""SELECT 'final_cases' AS step, count(*) AS row_count FROM final_cases UNION ALL
-          SELECT 'final_defendants', count(*) FROM final_defendants UNION ALL SELECT 'final_plaintiffs', count(*) FROM final_plaintiffs""")
+@query(_stream_sql(party_sql("streamed_rows", "defendant")))
+def stream_process_defendants(d):
+    return d.spark.read.parquet(f"{_streamed(d)}/defendants").drop("batch_id")
+
+
+@query("""SELECT 'final_cases' AS tbl, row_id, concat_ws('|', case_number, caption, court_system, file_date, category) AS cells FROM final_cases
+          UNION ALL SELECT 'final_defendants', row_id, concat_ws('|', name, zip, address, org_name, removal_date) FROM final_defendants
+          UNION ALL SELECT 'final_plaintiffs', row_id, concat_ws('|', name, zip, address, org_name, removal_date) FROM final_plaintiffs""")
 def publish_final_tables(d):
-    return step_counts(plan.publish(d.src(), d.ct(), scratch_path(d.spark, "published")))
+    published = plan.publish(d.src(), d.ct(), scratch_path(d.spark, "published"))
+    cells = {"final_cases": ["case_number", "caption", "court_system", "file_date", "category"]}
+    party = ["name", "zip", "address", "org_name", "removal_date"]
+    return union_all([
+        df.select(F.lit(name).alias("tbl"), "row_id", F.concat_ws("|", *[F.col(c).cast("string") for c in cells.get(name, party)]).alias("cells"))
+        for name, df in published.items()
+    ])

@@ -7,24 +7,32 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# date part -> (text that is read, pattern that parses it)
-_PARTS = {"YYYY": (r"\d{1,4}", "y"), "MM": (r"\d{1,2}", "M"), "DD": (r"\d{1,2}", "d")}
+_DIGITS = {"YYYY": r"(\d{1,4})", "MM": r"(\d{1,2})", "DD": r"(\d{1,2})"}
+# what stands between two parts: any separator, or none, whatever the template has there
+_SEPARATOR = "[^0-9A-Za-z]*"
 
 
-def _compile(template: str) -> tuple[str, str]:
-    """Leading text to read and the pattern that parses it, for a template of YYYY, MM, DD and separators."""
-    pieces = [p for p in re.split("(YYYY|MM|DD)", template) if p]
-    if sorted(p for p in pieces if p in _PARTS) != ["DD", "MM", "YYYY"]:
-        raise ValueError(f"a date template names YYYY, MM and DD once each: {template!r}")
-    text = "".join(_PARTS[p][0] if p in _PARTS else re.escape(p) for p in pieces)
-    pattern = "".join(_PARTS[p][1] if p in _PARTS else f"'{p}'" if p.isalpha() else p for p in pieces)
-    return rf"^\s*({text})", pattern
+def part_order(template: str) -> tuple[str, ...]:
+    """The order of ``YYYY``, ``MM`` and ``DD`` in a template whose other characters are separators."""
+    order = tuple(re.findall("YYYY|MM|DD", template))
+    if sorted(order) != ["DD", "MM", "YYYY"] or re.search("[0-9A-Za-z]", re.sub("YYYY|MM|DD", "", template)):
+        raise ValueError(f"a date template names YYYY, MM and DD once each, between separators: {template!r}")
+    return order
+
+
+def date_pattern(order: tuple[str, ...]) -> str:
+    """Pattern of the leading text that is read, one group per date part."""
+    return rf"^\s*{_SEPARATOR.join(_DIGITS[p] for p in order)}"
 
 
 def safe_to_date(col: Column, template: str = "YYYY-MM-DD") -> Column:
-    """Date in ``template``; NULL when missing, unreadable or not on the calendar. Trailing text is ignored."""
-    prefix, pattern = _compile(template)
-    return F.try_to_date(F.regexp_extract(col, prefix, 1), pattern)
+    """Date in the order of ``template``; NULL when missing, unreadable or not on the calendar.
+
+    A separator of the template stands for any separators in the text, or none. Trailing text is ignored.
+    """
+    order = part_order(template)
+    parts = [F.regexp_extract(col, date_pattern(order), order.index(p) + 1) for p in ("YYYY", "MM", "DD")]
+    return F.try_to_date(F.concat_ws("-", *parts), "y-M-d")
 
 
 def seconds_between(start: Column, end: Column) -> Column:

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.operators.joins import lookup_join
-
-ARRAY_ROWS = 100_000
-
 
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("row_count"))
@@ -71,17 +67,16 @@ def distinct_names_by(bridge: DataFrame, dim: DataFrame, key: str, dim_key: str,
     return named.where(F.col("_name").isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set("_name")).alias(out))
 
 
-def collect_rows_by(
-    df: DataFrame, key: str, row_id: str, value: Column, out: str, max_rows: int = ARRAY_ROWS
-) -> DataFrame:
-    """``(key, out)``: all values of a key as a sorted array.
+def collect_rows_by(df: DataFrame, key: str, value: Column, out: str) -> DataFrame:
+    """``(key, out)``: all values of a key as one sorted array, whatever their number.
 
-    A key with more than ``max_rows`` rows is spread by hash over as many arrays as it
-    needs, each its own result row; nothing is left out and no task holds the whole group.
+    An array is built by one task; :func:`collect_parts_by` and plain rows are for keys
+    that outgrow that.
     """
-    sizes = df.groupBy(key).agg(F.ceil(F.count("*") / F.lit(max_rows)).cast("bigint").alias("_parts"))
-    hot = sizes.where(F.col("_parts") > 1)
-    spread = lookup_join(df, hot, key).withColumn(
-        "_part", F.coalesce(F.pmod(F.xxhash64(F.col(row_id)), F.col("_parts")), F.lit(0).cast("bigint"))
-    )
-    return spread.groupBy(key, "_part").agg(F.array_sort(F.collect_list(value)).alias(out)).drop("_part")
+    return df.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(out))
+
+
+def collect_parts_by(df: DataFrame, key: str, row_id: str, value: Column, out: str, parts: int) -> DataFrame:
+    """``(key, part, out)``: the values of a key as up to ``parts`` sorted arrays, dealt by the hash of ``row_id``."""
+    part = F.pmod(F.xxhash64(F.col(row_id)), F.lit(parts)).cast("int").alias("part")
+    return df.groupBy(key, part).agg(F.array_sort(F.collect_list(value)).alias(out))

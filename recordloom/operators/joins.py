@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.session import stage
+
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: Rows of one key that a task of a shuffled join takes; a key with more is salted.
+HOT_ROWS = 5_000_000
 SALTS = 64
 
 
@@ -21,20 +25,29 @@ def lookup_join(
     key: str,
     how: str = "left",
     broadcast_bytes: int = BROADCAST_BYTES,
+    hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Equi join of a large frame to a lookup on ``key``; NULL keys match nothing.
 
     The lookup is measured first. Within ``broadcast_bytes`` the large side is not
-    shuffled at all. Beyond it, both sides are salted: each lookup row is copied to
-    every salt and each large row goes to one, so a hot key is spread over ``salts``
-    tasks and NULL keys are spread as well.
+    shuffled at all. Beyond it the join shuffles both sides once. Keys with more than
+    ``hot_rows`` rows are measured, and only their lookup rows are copied to ``salts``
+    salts, over which their rows are dealt; rows with a NULL key are dealt as well.
     """
     if measured_bytes(lookup) <= broadcast_bytes:
         return df.join(F.broadcast(lookup), key, how)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]) + F.spark_partition_id(), F.lit(salts)).cast("int")
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    # at most one key per `hot_rows` rows of the large side
+    hot = stage(counts.where(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot")), "hot-keys")
+    if measured_bytes(hot) <= broadcast_bytes:
+        hot = F.broadcast(hot)
+    dealt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) + F.spark_partition_id(), F.lit(salts)).cast("int")
+    spread = F.when(F.col("_hot") | F.col(key).isNull(), dealt).otherwise(0)
+    rows = df.join(hot, key, "left").withColumn("_salt", spread).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    lookup = lookup.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return rows.join(lookup, [key, "_salt"], how).drop("_salt")
 
 
 def distinct_keys(df: DataFrame, names: list[str], spread: int = 8) -> DataFrame:

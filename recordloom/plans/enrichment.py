@@ -175,3 +175,63 @@ def assign_roles(t: Tables, wanted: DataFrame) -> DataFrame:
     linked = with_key(linked, "role_assignment_id", F.col("governance_role_id"), F.col("person_id"), F.col("dataset_id")) \
         if "role_assignment_id" not in wanted.columns else linked
     return insert_where_absent(t["role_assignment"], linked, ["governance_role_id", "person_id", "dataset_id"])
+
+
+def with_dataset(t: Tables, wanted: DataFrame) -> DataFrame:
+    """``wanted`` with the ``dataset_id`` of its ``source_identifier``; rows that name no dataset are left out."""
+    return wanted.join(t["dataset"].select("source_identifier", "dataset_id"), "source_identifier")
+
+
+def add_distributions(t: Tables, wanted: DataFrame) -> DataFrame:
+    """New ``distribution`` rows for ``wanted (source_identifier, download_url, ...)`` not there yet, by dataset and address."""
+    rows = with_key(with_dataset(t, wanted), "distribution_id", F.col("dataset_id"), F.col("download_url"))
+    return insert_where_absent(t["distribution"], rows, ["dataset_id", "download_url"])
+
+
+def assign_markings(t: Tables, wanted: DataFrame) -> DataFrame:
+    """New ``dataset_security_marking`` for ``wanted (source_identifier, marking_name, ...)``."""
+    named = link_by_name(wanted, t["security_marking"], "marking_name", "security_marking_id")
+    return insert_ignore(t["dataset_security_marking"], with_dataset(t, named), ["dataset_id", "security_marking_id"])
+
+
+def link_conditions(t: Tables, wanted: DataFrame) -> DataFrame:
+    """``wanted (policy_name, use_case, source_identifier, condition_...)`` with the keys of its use and dataset."""
+    uses = link_by_name(wanted, t["policy"], "policy_name", "policy_id").join(
+        t["permissible_use"].select("policy_id", "use_case", "permissible_use_id"), ["policy_id", "use_case"]
+    )
+    rows = with_dataset(t, uses)
+    return with_key(
+        rows, "permissible_use_condition_id",
+        F.col("permissible_use_id"), F.col("dataset_id"), F.col("condition_type"), F.col("condition_value"),
+    )
+
+
+def enrich_datasets(t: Tables, rows: Tables, as_of: str) -> Tables:
+    """All governance tables after a batch of annotated datasets; a second run with the same batch changes no row but time stamps.
+
+    ``rows`` holds, under the names of the tables, what :func:`upsert_agency`, :func:`upsert_dataset`
+    (with ``agency_name``), :func:`add_distributions`, :func:`assign_tags`, :func:`apply_policies`,
+    :func:`link_conditions`, :func:`upsert_person`, :func:`assign_roles` and :func:`assign_markings`
+    take; ``tag`` has new tags. A table without rows in the batch stays as it is. Steps run in this order,
+    so links find what the batch itself brings.
+    """
+    t = dict(t)
+
+    def step(name: str, change) -> None:
+        if name in rows:
+            t[name] = change(rows[name])
+
+    step("agency", lambda r: upsert_agency(t["agency"], r, as_of))
+    agency = t["agency"].select("agency_id", F.lower("name").alias("_agency"))
+    step("dataset", lambda r: upsert_dataset(t["dataset"], with_key(
+        r.withColumn("_agency", F.lower("agency_name")).join(agency, "_agency"), "dataset_id", F.col("source_identifier")), as_of))
+    step("distribution", lambda r: add_distributions(t, r))
+    step("tag", lambda r: insert_ignore(
+        t["tag"], with_key(r, "tag_id", F.lower("name"), F.col("tag_type")), [F.lower("name"), "tag_type"]))
+    step("dataset_tag", lambda r: assign_tags(t, r))
+    step("dataset_policy", lambda r: apply_policies(t, r))
+    step("permissible_use_condition", lambda r: add_conditions(t, link_conditions(t, r)))
+    step("person", lambda r: upsert_person(t["person"], with_key(r, "person_id", F.lower("email"))))
+    step("role_assignment", lambda r: assign_roles(t, r))
+    step("dataset_security_marking", lambda r: assign_markings(t, r))
+    return t

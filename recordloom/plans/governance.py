@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.operators.aggregates import ARRAY_ROWS, collect_rows_by, distinct_names_by
+from recordloom.operators.aggregates import collect_rows_by, distinct_names_by
+from recordloom.operators.joins import left_join_many
 
 Tables = dict[str, DataFrame]
 
@@ -38,26 +39,30 @@ def catalog_dataset(t: Tables) -> DataFrame:
     )
 
 
-def permissible_use(t: Tables, max_rows: int = ARRAY_ROWS) -> DataFrame:
-    """Permissible uses with their policy name and the array of their conditions (NULL for none).
+_CONDITION = ("dataset_id", "condition_type", "condition_value", "condition_text", "enforced_by")
+_USE = (
+    "permissible_use_id", "policy_id", "policy_name", "use_case", "description", "requires_approval", "approval_authority",
+)
 
-    A use with more than ``max_rows`` conditions is shown as several rows, each with a part of them.
-    """
-    condition = F.struct("dataset_id", "condition_type", "condition_value", "condition_text", "enforced_by")
-    conditions = collect_rows_by(
-        t["permissible_use_condition"], "permissible_use_id", "permissible_use_condition_id",
-        condition, "conditions", max_rows,
-    )
+
+def _uses(t: Tables) -> DataFrame:
     policy = t["policy"].select("policy_id", F.col("name").alias("policy_name"))
-    return (
-        t["permissible_use"]
-        .join(conditions, "permissible_use_id", "left")
-        .join(policy, "policy_id", "left")
-        .select(
-            "permissible_use_id", "policy_id", "policy_name", "use_case", "description",
-            "requires_approval", "approval_authority", "conditions",
-        )
-    )
+    return t["permissible_use"].join(policy, "policy_id", "left").select(*_USE)
+
+
+def permissible_use(t: Tables) -> DataFrame:
+    """One row per permissible use with its policy name and the array of all its conditions (NULL for none).
+
+    For uses with so many conditions that one array cannot hold them there is :func:`permissible_use_conditions`.
+    """
+    conditions = collect_rows_by(t["permissible_use_condition"], "permissible_use_id", F.struct(*_CONDITION), "conditions")
+    return _uses(t).join(conditions, "permissible_use_id", "left").select(*_USE, "conditions")
+
+
+def permissible_use_conditions(t: Tables) -> DataFrame:
+    """One row per permissible use and condition, and one without condition for a use that has none."""
+    conditions = t["permissible_use_condition"].select("permissible_use_id", "permissible_use_condition_id", *_CONDITION)
+    return left_join_many(_uses(t), conditions, "permissible_use_id").select(*_USE, "permissible_use_condition_id", *_CONDITION)
 
 
 def governance_assignments(t: Tables) -> DataFrame:

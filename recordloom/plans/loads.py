@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordloom.functions.labels import label_subtype
 from recordloom.functions.text import to_bigint
@@ -27,12 +28,15 @@ from recordloom.sources.tables import (
     existing_table,
     next_version,
     number_stored,
-    read_version,
+    read_newest,
     stored_with_positions,
     write_version,
 )
 
 
+NUMBERS_SCHEMA = T.StructType([T.StructField("name", T.StringType()), T.StructField("last_source_id", T.LongType())])
+
+
 def _time(as_of: str) -> Column:
     return F.lit(as_of).cast("timestamp_ntz")
 
@@ -90,8 +94,8 @@ def stamp_load(df: DataFrame, load_id: int) -> DataFrame:
 
 def land_rows(
     rows: DataFrame, files: DataFrame | None, ledger: DataFrame, as_of: str, mode: str = "replace", start_id: int = 0
-) -> tuple[DataFrame, DataFrame]:
-    """``(landing rows, ledger)`` for scanned rows that carry their file and ``is_bad``.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(landing rows, ledger, counts)`` for scanned rows that carry their file and ``is_bad``; one count row per load of the run.
 
     The text is parsed once: the rows are staged, and the outcome of each load, the row
     numbers and the landing rows all come from there. ``files`` may list files without
@@ -120,7 +124,7 @@ def land_rows(
     done = finish_loads(started, counts.drop("file_name"), as_of, mode)
     good = counts.where(F.col("bad_rows") == 0).select("file_name", "load_id")
     landing = lookup_join(number_stored(stored, start_id), good, "file_name", "inner")
-    return landing.select(*CASE_FILE_COLUMNS, _time(as_of).alias("loaded_at"), "source_id", "load_id"), done
+    return landing.select(*CASE_FILE_COLUMNS, _time(as_of).alias("loaded_at"), "source_id", "load_id"), done, counts
 
 
 def load_files(
@@ -132,24 +136,28 @@ def load_files(
     The files are listed before they are read: one that arrives in between is left to the next run.
     """
     files = list_files(spark, paths)
-    return land_rows(read_many(spark, paths, multi_line), files, ledger, as_of, mode, start_id)
+    return land_rows(read_many(spark, paths, multi_line), files, ledger, as_of, mode, start_id)[:2]
 
 
 def commit_load(
     rows: DataFrame, files: DataFrame | None, out_dir: str, version: int, as_of: str, mode: str = "replace"
 ) -> None:
-    """Land scanned rows in ``out_dir/landing`` and write version ``version`` of ``out_dir/ledger``.
+    """Land scanned rows in ``out_dir/landing`` and add version ``version`` to ``out_dir/ledger``.
+
+    A version holds the loads of this run only, and the last row number is written down, so
+    a commit costs what its files cost, whatever was landed before.
 
     Runs again safely: until the ledger version is there, a second run gives the same
     files the same load ids and replaces what the first one landed.
     """
     spark, out_dir = rows.sparkSession, out_dir.rstrip("/")
-    ledger = read_version(spark, f"{out_dir}/ledger", LEDGER_SCHEMA, before=version)
-    landed = existing_table(spark, f"{out_dir}/landing", LANDING_SCHEMA)
-    newest = landed.agg(F.coalesce(F.max("source_id"), F.lit(0).cast("bigint")).alias("m")).first()["m"]
-    landing, after = land_rows(rows, files, ledger, as_of, mode, newest)
+    ledger = read_ledger(spark, out_dir, before=version)
+    last = read_newest(spark, f"{out_dir}/numbers", NUMBERS_SCHEMA, "name", before=version).first()
+    landing, after, counts = land_rows(rows, files, ledger, as_of, mode, last["last_source_id"] if last else 0)
     append_landing(landing, f"{out_dir}/landing", mode)
-    write_version(after, f"{out_dir}/ledger", version)
+    used = counts.agg((F.lit(last["last_source_id"] if last else 0) + F.coalesce(F.sum(F.col("good_rows") + F.col("bad_rows")), F.lit(0))).alias("last_source_id"))
+    write_version(used.select(F.lit("source_id").alias("name"), "last_source_id"), f"{out_dir}/numbers", version)
+    write_version(keep_matching(after, counts, "load_id", unique=True), f"{out_dir}/ledger", version)
 
 
 def run_load(
@@ -160,7 +168,12 @@ def run_load(
     version = next_version(spark, f"{out_dir}/ledger", LEDGER_SCHEMA)
     files = list_files(spark, paths)
     commit_load(read_many(spark, paths, multi_line), files, out_dir, version, as_of, mode)
-    return read_landing(spark, out_dir), read_version(spark, f"{out_dir}/ledger", LEDGER_SCHEMA)
+    return read_landing(spark, out_dir), read_ledger(spark, out_dir)
+
+
+def read_ledger(spark: SparkSession, out_dir: str, before: int | None = None) -> DataFrame:
+    """The ledger after all runs, or after those whose version is below ``before``."""
+    return read_newest(spark, f"{out_dir.rstrip('/')}/ledger", LEDGER_SCHEMA, "load_id", before)
 
 
 def read_landing(spark: SparkSession, out_dir: str) -> DataFrame:
@@ -169,21 +182,24 @@ def read_landing(spark: SparkSession, out_dir: str) -> DataFrame:
     Leaves out what an interrupted run landed, and the old rows of a file that is empty by now.
     """
     out_dir = out_dir.rstrip("/")
-    ledger = read_version(spark, f"{out_dir}/ledger", LEDGER_SCHEMA)
+    ledger = read_ledger(spark, out_dir)
     landed = existing_table(spark, f"{out_dir}/landing", LANDING_SCHEMA)
     return filter_loads(landed, ledger.where(F.col("rows_loaded") > 0).select("load_id")).select(*LANDING_SCHEMA.names)
 
 
-def unprocessed_loads(ledger: DataFrame, source: DataFrame, cases: DataFrame) -> DataFrame:
-    """``load_id`` of completed loads of which no row became a case yet."""
+def unprocessed_loads(ledger: DataFrame, cases: DataFrame) -> DataFrame:
+    """``load_id`` of completed loads of which no row became a case yet; cases know their load."""
     completed = ledger.where(F.col("load_status") == "completed").select("load_id")
-    landed = keep_matching(source.select("load_id", "source_id"), completed, "load_id", unique=True)
-    processed = keep_matching(landed, cases, "source_id", unique=True).select("load_id")
-    return drop_matching(completed, processed, "load_id")
+    return drop_matching(completed, cases, "load_id")
+
+
+def load_ids(loads: DataFrame) -> list[int]:
+    """The ids of a frame of loads. A load is a file, so this is a list of files, not of rows."""
+    return sorted(r["load_id"] for r in loads.select("load_id").distinct().toLocalIterator())
 
 
 def accept_cases(rows: DataFrame, case_types: DataFrame, version: str = "v2") -> DataFrame:
-    """Case rows, with ``source_id``, that the incremental rules accept.
+    """Case rows, with ``source_id`` and ``load_id``, that the incremental rules accept.
 
     ``v1`` keeps the civil subtypes, ``v2`` all. Empty text counts as missing here,
     also for ``cjis``. May hold several rows per ``row_id``.
@@ -195,7 +211,7 @@ def accept_cases(rows: DataFrame, case_types: DataFrame, version: str = "v2") ->
     kept = null_sentinels(labelled, CLEANED_COLUMNS, ("NA", "")).where(
         ~is_excluded_system() & F.col("cjis").isNull()
     )
-    return project_case(kept, carry=["source_id"])
+    return project_case(kept, carry=["source_id", "load_id"])
 
 
 def party_rows(rows: DataFrame, cases: DataFrame, column: str) -> DataFrame:
@@ -210,11 +226,10 @@ def process_loads(
     """``(cases after, new defendants, new plaintiffs)`` for the given loads.
 
     The first source row of a case wins, across loads and within one. The new cases
-    are staged once because all three results build on them, and so is the list of loads.
+    are staged once because all three results build on them. Loads are filtered by their
+    ids as literals, so a landing table partitioned by load is read only where they are.
     """
-    if isinstance(loads, DataFrame):
-        loads = stage(loads.select("load_id").distinct(), "loads")
-    rows = filter_loads(source, loads)
+    rows = filter_loads(source, load_ids(loads) if isinstance(loads, DataFrame) else loads)
     batch = pick_first(accept_cases(rows, case_types, version), ["row_id"], ["source_id", "category"])
     fresh = stage(drop_matching(batch, cases, "row_id", unique=True), "new-cases")
     after = cases.unionByName(fresh)

@@ -18,6 +18,15 @@ def _is_number(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 
 
+def _exact_sum(col: Column, kind: T.DataType) -> Column:
+    """Sum as text: of whole and decimal numbers to the last digit, of others as double."""
+    if isinstance(kind, T.DecimalType):
+        return F.sum(col.cast(T.DecimalType(38, kind.scale))).cast("string")
+    if isinstance(kind, T.IntegralType):
+        return F.sum(col.cast("decimal(38,0)")).cast("string")
+    return F.sum(col.cast("double")).cast("string")
+
+
 def _statistics(name: str, kind: T.DataType, approx_distinct: bool) -> Column:
     col = F.col(f"`{name}`")
     number = col.cast("double") if _is_number(kind) else None
@@ -31,7 +40,7 @@ def _statistics(name: str, kind: T.DataType, approx_distinct: bool) -> Column:
         "max_value": F.max(col).cast("string"),
         "mean": F.avg(number) if number is not None else none,
         "stddev": F.stddev_samp(number) if number is not None else none,
-        "sum": F.sum(number) if number is not None else none,
+        "sum": _exact_sum(col, kind) if number is not None else F.lit(None).cast("string"),
         "min_length": F.min(length).cast("bigint") if length is not None else no_length,
         "max_length": F.max(length).cast("bigint") if length is not None else no_length,
         "avg_length": F.avg(length) if length is not None else none,
@@ -41,13 +50,24 @@ def _statistics(name: str, kind: T.DataType, approx_distinct: bool) -> Column:
     return F.struct(*[v.alias(k) for k, v in stats.items()])
 
 
+def _identity(col: Column, kind: T.DataType) -> Column:
+    """Text that is the same for equal values only, as ``count(distinct)`` sees them."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (col + F.lit(0).cast(kind)).cast("string")  # the two zeros are equal
+    if isinstance(kind, T.BinaryType):
+        return F.hex(col)
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return F.to_json(col, {"ignoreNullFields": "false"})
+    return col.cast("string")
+
+
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column_name, distinct_count)``, exact, in one grouped pass over all columns.
+    """``(column_name, distinct_count)``, exact, in one grouped pass over the columns.
 
     Copies of a value merge before the shuffle, and a long value travels as its digest.
     """
     def cell(c: str) -> Column:
-        text = F.col(f"`{c}`").cast("string")
+        text = _identity(F.col(f"`{c}`"), df.schema[c].dataType)
         value = F.when(F.octet_length(text) > 64, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(F.concat(F.lit("="), text))
         return F.struct(F.lit(c).alias("column_name"), value.alias("value"))
 
@@ -60,13 +80,13 @@ def profile(
     key: str | None = None,
     sample_pct: int = 100,
     columns: list[str] | None = None,
-    approx_distinct: bool = False,
+    approx_distinct: bool = True,
 ) -> DataFrame:
     """One row per column: counts, share of NULLs, distinct values, range, moments and text lengths.
 
-    All plain statistics come from one aggregate over one scan. Exact distinct counts
-    group the values of all columns in a second one; ``approx_distinct`` keeps to a
-    single scan with a sketch per column. ``sample_pct`` below 100 profiles a
+    All statistics come from one aggregate over one scan, distinct values from a sketch per
+    column. Without ``approx_distinct`` they are exact, which groups the values of all columns
+    in a second scan. Sums and extremes are text, so that no digit is lost. ``sample_pct`` below 100 profiles a
     repeatable sample by ``key``.
     """
     if sample_pct < 100:
@@ -89,11 +109,11 @@ def quantiles(df: DataFrame, column: str, probabilities: list[float], slice_valu
     """Exact ``(column_name, probability, value)``: the least value with that share of rows up to it.
 
     Rows are reduced to counts per value, which are written in value ranges of about
-    ``slice_values`` each. The rows per range tell which range holds a rank, and only
+    ``slice_values`` each. Values keep the column's type. The rows per range tell which range holds a rank, and only
     those ranges are ordered inside, each in a task of its own.
     """
     spark = df.sparkSession
-    value = F.col(f"`{column}`").cast("double").alias("value")
+    value = F.col(f"`{column}`").alias("value")
     counts = stage(df.select(value).dropna().groupBy("value").agg(F.count("*").alias("n")), "value-counts")
     path = scratch_path(spark, "value-ranges")
     ranges = max(1, -(-counts.count() // slice_values))
@@ -146,9 +166,11 @@ def approx_quantiles(df: DataFrame, probabilities: list[float], accuracy: int =
     return sketches.select(F.inline(F.array(*rows)))
 
 
-def profile_all(tables: dict[str, DataFrame], percent: dict[str, int], keys: dict[str, str]) -> DataFrame:
+def profile_all(
+    tables: dict[str, DataFrame], percent: dict[str, int], keys: dict[str, str], approx_distinct: bool = True
+) -> DataFrame:
     """Profiles of several tables, each with its own sample share: ``table_name`` plus the profile columns."""
     return union_all([
-        profile(df, keys.get(name), percent.get(name, 100)).select(F.lit(name).alias("table_name"), "*")
+        profile(df, keys.get(name), percent.get(name, 100), approx_distinct=approx_distinct).select(F.lit(name).alias("table_name"), "*")
         for name, df in tables.items()
     ])

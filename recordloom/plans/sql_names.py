@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.functions.dates import date_pattern
 from recordloom.functions.json import safe_json
 from recordloom.functions.labels import label_subtype
-from recordloom.functions.text import to_bigint
+from recordloom.functions.text import COURT_FILE_PATTERN, UNKNOWN_COURT, to_bigint
 from recordloom.operators.filters import exclude_keywords, filter_in, filter_not_in_or_null, null_sentinels, usable_document
 from recordloom.operators.parties import explode_json_documents, unnest_party
 from recordloom.plans import governance
 from recordloom.plans.cases import label_with_lookup, project_case
 from recordloom.schemas import CIVIL_SUBTYPES, CLEANED_COLUMNS, EXCLUDED_SYSTEMS
 
+
+
+def _safe_to_date() -> str:
+    """SQL text for templates of any order, from the patterns of the column form; another template is an error."""
+    def read(order: tuple[str, ...]) -> str:
+        parts = ", ".join(f"regexp_extract(date_str, r'{date_pattern(order)}', {order.index(p) + 1})" for p in ("YYYY", "MM", "DD"))
+        return f"WHEN '{''.join(order)}' THEN try_to_date(concat_ws('-', {parts}), 'y-M-d')"
+
+    arms = " ".join(read(order) for order in permutations(("YYYY", "MM", "DD")))
+    return f"CASE regexp_replace(format, '[^0-9A-Za-z]', '') {arms} ELSE raise_error(concat('unknown date template ', format)) END"
+
+
+# fixed values: the names under which SQL users know the functions
 _FUNCTIONS = {
-    "safe_to_date(date_str STRING, format STRING) RETURNS DATE": r"""
-        CASE format
-          WHEN 'YYYY-MM-DD' THEN try_to_date(regexp_extract(date_str, r'^\s*(\d{1,4}-\d{1,2}-\d{1,2})', 1), 'y-M-d')
-          WHEN 'MM/DD/YYYY' THEN try_to_date(regexp_extract(date_str, r'^\s*(\d{1,2}/\d{1,2}/\d{1,4})', 1), 'M/d/y')
-        END""",
+    "safe_to_date(date_str STRING, format STRING) RETURNS DATE": _safe_to_date(),
     "nullif_na(text_str STRING) RETURNS STRING": "CASE WHEN text_str NOT IN ('NA', '') THEN text_str END",
-    "extract_court_from_filename(filename STRING) RETURNS STRING": r"""
+    "extract_court_from_filename(filename STRING) RETURNS STRING": f"""
         CASE WHEN filename IS NOT NULL THEN
-          coalesce(nullif(regexp_extract(filename, r'^.*_([A-Za-z\s]+County[A-Za-z\s]+Court)\.csv$', 1), ''), 'Unknown Court')
+          coalesce(nullif(regexp_extract(filename, r'{COURT_FILE_PATTERN}', 1), ''), '{UNKNOWN_COURT}')
         END""",
     "calculate_file_hash(content STRING) RETURNS STRING": "md5(content)",
     "safe_json(text_str STRING) RETURNS STRING": r"""
@@ -89,6 +101,7 @@ def governance_views(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {
         "vw_catalog_dataset": governance.catalog_dataset(t),
         "vw_permissible_use": governance.permissible_use(t),
+        "vw_permissible_use_condition": governance.permissible_use_conditions(t),
         "vw_governance_assignments": governance.governance_assignments(t),
         "vw_data_access_request": governance.data_access_requests(t),
     }

@@ -11,9 +11,9 @@ RESULT_LIMIT = 1000
 
 
 def usage_rollup(
-    log: DataFrame, by: list[str], time_column: str = "ts", top_n: int | None = RESULT_LIMIT
+    log: DataFrame, by: list[str], time_column: str = "ts", top_n: int | None = None
 ) -> DataFrame:
-    """Uses per day and ``by`` columns, busiest first: the first ``top_n``, or all for None."""
+    """Uses per day and ``by`` columns, all of them, or the busiest ``top_n`` in order."""
     counts = log.groupBy(F.to_date(time_column).alias("day"), *by).agg(F.count("*").alias("uses"))
     if top_n is None:
         return counts

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,32 +41,12 @@ def size_session(spark: SparkSession, input_bytes: int, task_bytes: int = 256 *
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(scan_bytes))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan over all cores when its files give fewer splits than that, else ``df`` as it is.
-
-    Helps costly row work, such as parsing, on a few files that cannot be split. A large
-    input has splits enough and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
-
-    Only a local session (tests) may fall back to a folder of its own.
-    """
-    base = spark.conf.get(CHECKPOINT_DIR, None)
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local"):
+    """The folder every executor can reach: the one the cluster names, or the session's own checkpoint folder."""
+    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+    if not base:
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    return _own_folder(spark.sparkContext.applicationId)
-
-
-@cache
-def _own_folder(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix=f"recordloom-{application_id}-")
+    return base
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

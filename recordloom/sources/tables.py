@@ -112,14 +112,16 @@ def existing_table(spark: SparkSession, path: str, schema: T.StructType) -> Data
         return spark.createDataFrame([], schema)
 
 
-def read_version(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """Newest version of a small table that is kept in versions, or the newest below ``before``."""
+def _versions(spark: SparkSession, path: str, schema: T.StructType, before: int | None) -> DataFrame:
     versioned = T.StructType([*schema.fields, T.StructField("version", T.LongType())])
     stored = existing_table(spark, path, versioned)
-    if before is not None:
-        stored = stored.where(F.col("version") < before)
-    newest = stored.agg(F.max("version").alias("v")).scalar()
-    return stored.where(F.col("version") == newest).select(*schema.names)
+    return stored if before is None else stored.where(F.col("version") < before)
+
+
+def read_newest(spark: SparkSession, path: str, schema: T.StructType, key: str, before: int | None = None) -> DataFrame:
+    """The newest row of each ``key`` in a small table to which every version adds the rows that it changes."""
+    newest = _versions(spark, path, schema, before).groupBy(key).agg(F.max_by(F.struct(*schema.names), "version").alias("row"))
+    return newest.select("row.*")
 
 
 def next_version(spark: SparkSession, path: str, schema: T.StructType) -> int:

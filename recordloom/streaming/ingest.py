@@ -13,16 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
-from recordloom.operators.joins import drop_matching
+from recordloom.functions.text import to_bigint
+from recordloom.operators.filters import filter_loads
+from recordloom.operators.joins import drop_matching, keep_matching
 from recordloom.operators.merge import pick_first
-from recordloom.plans.loads import accept_cases, commit_load, party_rows
-from recordloom.schemas import CASE_FIELDS, CASE_FILE_COLUMNS, CASE_FILE_SCHEMA, LANDING_SCHEMA
+from recordloom.plans.loads import accept_cases, commit_load, load_ids, party_rows
+from recordloom.schemas import CASE_FIELDS, CASE_FILE_COLUMNS, CASE_FILE_SCHEMA, LANDING_SCHEMA, LEDGER_SCHEMA
+from recordloom.session import stage
 from recordloom.sources.csv import clean_fields, csv_options, file_schema
 from recordloom.sources.tables import existing_table, replace_parts
 
 
 PROCESSED_COLUMNS = [
-    "source_id", *[c for c in CASE_FILE_COLUMNS if c in CASE_FIELDS.values() or c in ("cjis", "defendant", "plaintiff")],
+    "source_id", "load_id", *[c for c in CASE_FILE_COLUMNS if c in CASE_FIELDS.values() or c in ("cjis", "defendant", "plaintiff")],
 ]
 
 
@@ -52,32 +55,44 @@ def stream_load(
 
 
 def stream_process(
-    spark: SparkSession, landing_dir: str, case_types: DataFrame, out_dir: str, checkpoint: str, version: str = "v2",
+    spark: SparkSession, load_dir: str, case_types: DataFrame, out_dir: str, checkpoint: str, version: str = "v2",
     schema: T.StructType = LANDING_SCHEMA, max_files: int | None = None,
 ) -> StreamingQuery:
-    """Turn new landing rows into ``out_dir/cases``, ``defendants`` and ``plaintiffs``, one folder per batch.
+    """Turn loads that were not processed yet into ``out_dir/cases``, ``defendants`` and ``plaintiffs``, one folder per batch.
 
-    The first row of a case wins over all batches. The check runs against the written
-    cases, not against stream state, so nothing accumulates in memory.
+    The stream follows the ledger in ``load_dir``, so a load counts once its commit is done. A
+    load is processed once: if its file is loaded again later, the tables stay as they are.
+    Only the landing partitions of new loads are read. The first row of a case wins over all batches.
+    The check runs against the written cases, not against stream state, so nothing
+    accumulates in memory. ``max_files`` cuts a backlog into micro-batches of that many ledger files.
     """
-    out_dir = out_dir.rstrip("/")
-    # a micro-batch is read as it was defined, so the columns are chosen here
-    rows = _limited(spark.readStream.schema(schema), max_files).parquet(landing_dir).select(*PROCESSED_COLUMNS)
+    load_dir, out_dir = load_dir.rstrip("/"), out_dir.rstrip("/")
+    versioned = T.StructType([*LEDGER_SCHEMA.fields, T.StructField("version", T.LongType())])
+    events = _limited(spark.readStream.schema(versioned), max_files).parquet(f"{load_dir}/ledger").select("load_id", "load_status")
 
     def write(df: DataFrame, name: str, batch_id: int) -> None:
         replace_parts(df.withColumn("batch_id", F.lit(batch_id).cast("bigint")), f"{out_dir}/{name}", ["batch_id"])
 
+    def earlier(like: DataFrame, name: str, batch_id: int) -> DataFrame:
+        stored = T.StructType([*like.schema.fields, T.StructField("batch_id", T.LongType())])
+        return existing_table(like.sparkSession, f"{out_dir}/{name}", stored).where(F.col("batch_id") < batch_id)
+
     def process(batch: DataFrame, batch_id: int) -> None:
-        first = pick_first(accept_cases(batch, case_types, version), ["row_id"], ["source_id", "category"])
-        stored = T.StructType([*first.schema.fields, T.StructField("batch_id", T.LongType())])
-        written = existing_table(batch.sparkSession, f"{out_dir}/cases", stored)
-        earlier = written.where(F.col("batch_id") < batch_id)
-        write(drop_matching(first, earlier, "row_id", unique=True), "cases", batch_id)
-        accepted = existing_table(batch.sparkSession, f"{out_dir}/cases", stored).where(F.col("batch_id") <= batch_id)
+        completed = batch.where(F.col("load_status") == "completed").select("load_id").distinct()
+        ids = load_ids(drop_matching(completed, earlier(completed, "processed_loads", batch_id), "load_id", unique=True))
+        landed = existing_table(batch.sparkSession, f"{load_dir}/landing", schema)
+        # a stream of files is read as it was defined, so the columns are chosen here
+        rows = filter_loads(landed, ids).select(*PROCESSED_COLUMNS)
+        first = stage(pick_first(accept_cases(rows, case_types, version), ["row_id"], ["source_id", "category"]), "batch-cases")
+        known = stage(keep_matching(earlier(first, "cases", batch_id).select("row_id"), rows.select(to_bigint(F.col("id")).alias("row_id")), "row_id"), "known-cases")
+        fresh = stage(drop_matching(first, known, "row_id", unique=True), "new-cases")
+        write(fresh, "cases", batch_id)
+        accepted = fresh.select("row_id").union(known)
         for name, column in (("defendants", "defendant"), ("plaintiffs", "plaintiff")):
-            write(party_rows(batch, accepted, column), name, batch_id)
+            write(party_rows(rows, accepted, column), name, batch_id)
+        write(batch.sparkSession.createDataFrame([(i,) for i in ids], completed.schema), "processed_loads", batch_id)
 
     return (
-        rows.writeStream.foreachBatch(process)
+        events.writeStream.foreachBatch(process)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

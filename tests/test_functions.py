@@ -38,7 +38,8 @@ def test_us_date(spark, text, expected):
 
 
 @pytest.mark.parametrize("text, template, expected", [
-    ("31.12.2021 x", "DD.MM.YYYY", D(2021, 12, 31)), ("2021/1/2", "YYYY/MM/DD", D(2021, 1, 2)), ("2021-1-2", "YYYY/MM/DD", None),
+    ("31.12.2021 x", "DD.MM.YYYY", D(2021, 12, 31)), ("2021/1/2", "YYYY/MM/DD", D(2021, 1, 2)), ("2021-1-2", "YYYY/MM/DD", D(2021, 1, 2)), ("2020/01/05", "YYYY-MM-DD", D(2020, 1, 5)),
+    ("2020 . 1 . 5", "YYYY-MM-DD", D(2020, 1, 5)), ("20200105", "YYYY-MM-DD", D(2020, 1, 5)),
 ])
 def test_other_templates(spark, text, template, expected):
     assert one(spark, text, lambda c: safe_to_date(c, template)) == expected

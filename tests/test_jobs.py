@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from recordloom.operators.filters import filter_loads
 from recordloom.plans import cases, loads
 from recordloom.schemas import CASE_FILE_COLUMNS, LEDGER_SCHEMA
 from recordloom.sources import csv, tables
@@ -95,7 +96,7 @@ def test_interrupted_load_is_made_good_by_the_next(spark, tmp_path, rows):
     loads.run_load(spark, str(files), out, AS_OF)
     write(files, "b.csv", line(id="2"), line(id="3"))
     # a run that died after landing and before the ledger
-    ledger = tables.read_version(spark, f"{out}/ledger", LEDGER_SCHEMA)
+    ledger = loads.read_ledger(spark, out)
     landing, _ = loads.load_files(spark, str(files), ledger, LATER, start_id=1)
     tables.append_landing(landing, f"{out}/landing")
     landed, ledger = loads.run_load(spark, str(files), out, LATER)
@@ -132,8 +133,46 @@ def test_shared_folder(spark, monkeypatch):
 
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     monkeypatch.setattr(session, "CHECKPOINT_DIR", "spark.some.unset.dir")
-    own = session.shared_dir(spark)
-    assert own == session.shared_dir(spark) and spark.sparkContext.applicationId in own
+    if not spark.sparkContext.getCheckpointDir():
+        with pytest.raises(ValueError, match="spark.some.unset.dir"):
+            session.shared_dir(spark)
+
+
+def test_a_replaced_load_is_processed_once(spark, tmp_path, rows, lookup):
+    files, out = tmp_path / "in", str(tmp_path / "out")
+    files.mkdir()
+
+    def run():
+        loads.run_load(spark, str(files), out, AS_OF)
+        ingest.stream_process(spark, out, lookup, f"{out}/tables", f"{out}/state").awaitTermination()
+        return [rows(spark.read.parquet(f"{out}/tables/{n}"), "row_id", "batch_id") for n in ("cases", "defendants")]
+
+    write(files, "a.csv", line(id="1", case_type="T", defendant='"[{""Name"":""x""}]"'))
+    assert run() == [[(1, 0)], [(1, 0)]]
+    assert run() == [[(1, 0)], [(1, 0)]]
+    write(files, "b.csv", line(id="1", case_type="T", defendant='"[{""Name"":""y""}]"'), line(id="2", case_type="T"))
+    assert run() == [[(1, 0), (2, 2)], [(1, 0), (1, 2)]]
+    # a commit that died between landing and ledger: its rows wait for the commit that is done
+    write(files, "c.csv", line(id="3", case_type="T", defendant='"[{""Name"":""z""}]"'))
+    ledger = loads.read_ledger(spark, out)
+    landing, _ = loads.load_files(spark, str(files), ledger, LATER, start_id=100)
+    tables.append_landing(landing, f"{out}/landing")
+    ingest.stream_process(spark, out, lookup, f"{out}/tables", f"{out}/state").awaitTermination()
+    assert rows(spark.read.parquet(f"{out}/tables/cases"), "row_id") == [(1,), (2,)]
+    assert run() == [[(1, 0), (2, 2), (3, 3)], [(1, 0), (1, 2), (3, 3)]]
+
+
+def test_only_the_partitions_of_new_loads_are_read(spark, tmp_path, lookup):
+    files, out = tmp_path / "in", str(tmp_path / "out")
+    files.mkdir()
+    for i in range(3):
+        write(files, f"{i}.csv", line(id=str(i), case_type="T"))
+    loads.run_load(spark, str(files), out, AS_OF)
+    landed = spark.read.parquet(f"{out}/landing")
+    after, _, _ = loads.process_loads(landed, lookup, loads.accept_cases(landed, lookup).where("false"), spark.createDataFrame([(2,)], "load_id bigint"))
+    assert [r["row_id"] for r in after.collect()] == [1]
+    plan = filter_loads(landed, [2])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(load_id" in plan and "= 2)" in plan
 
 
 def test_session_is_sized_to_the_input(spark):
@@ -217,12 +256,12 @@ def test_processing_twice_adds_nothing(spark, lookup, rows):
     )
     ledger = spark.createDataFrame([(1, "completed"), (2, "completed"), (3, "failed")], "load_id bigint, load_status string")
     none = loads.accept_cases(src, lookup).where("false")
-    todo = loads.unprocessed_loads(ledger, src, none)
+    todo = loads.unprocessed_loads(ledger, none)
     after, defendants, _ = loads.process_loads(src, lookup, none, todo)
     assert rows(after, "row_id", "source_id", "caption", "category") == [(1, 5, "first", "DEBT"), (2, 6, None, "POSSIBLE DEBT")]
     assert rows(defendants, "row_id", "name") == [(2, "a"), (2, "b")]
-    assert loads.unprocessed_loads(ledger, src, after).count() == 0
-    again, defendants, _ = loads.process_loads(src, lookup, after, loads.unprocessed_loads(ledger, src, after))
+    assert loads.unprocessed_loads(ledger, after).count() == 0
+    again, defendants, _ = loads.process_loads(src, lookup, after, loads.unprocessed_loads(ledger, after))
     assert rows(again) == rows(after) and defendants.count() == 0
 
 
@@ -234,7 +273,7 @@ def test_stream_equals_batch_and_reads_each_file_once(spark, tmp_path, rows, loo
 
     def run():
         ingest.stream_load(spark, str(files), out, state, AS_OF).awaitTermination()
-        return loads.read_landing(spark, out), tables.read_version(spark, f"{out}/ledger", LEDGER_SCHEMA)
+        return loads.read_landing(spark, out), loads.read_ledger(spark, out)
 
     run()
     landing, ledger = run()
@@ -248,7 +287,7 @@ def test_stream_equals_batch_and_reads_each_file_once(spark, tmp_path, rows, loo
     assert rows(ledger, "load_id", "load_status") == [(1, "completed"), (2, "failed"), (3, "completed")]
 
     def process():
-        ingest.stream_process(spark, f"{out}/landing", lookup, f"{out}/tables", f"{out}/process-state", schema=landing.schema).awaitTermination()
+        ingest.stream_process(spark, out, lookup, f"{out}/tables", f"{out}/process-state").awaitTermination()
         return spark.read.parquet(f"{out}/tables/cases")
 
     assert rows(process(), "row_id", "caption", "category") == [(1, None, "DEBT"), (2, None, "POSSIBLE DEBT"), (4, None, "DEBT")]
@@ -265,9 +304,9 @@ def test_small_batches_give_the_same_tables(spark, tmp_path, rows, lookup):
         out = str(tmp_path / name)
         ingest.stream_load(spark, str(files), out, f"{out}-s1", AS_OF, max_files=max_files).awaitTermination()
         landing = loads.read_landing(spark, out)
-        ingest.stream_process(spark, f"{out}/landing", lookup, f"{out}/tables", f"{out}-s2", max_files=max_files).awaitTermination()
+        ingest.stream_process(spark, out, lookup, f"{out}/tables", f"{out}-s2", max_files=max_files).awaitTermination()
         cases_after = spark.read.parquet(f"{out}/tables/cases")
-        ledger = tables.read_version(spark, f"{out}/ledger", LEDGER_SCHEMA)
+        ledger = loads.read_ledger(spark, out)
         results.append((rows(landing, "id", "caption"), rows(cases_after, "row_id"), rows(ledger, "file_name", "rows_loaded", "load_status")))
         assert landing.select("source_id").distinct().count() == 12
     assert results[0] == results[1]

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from recordloom.plans import governance
 from recordloom.operators import aggregates, filters, joins, merge, quality, sampling
 from recordloom.plans import lineage
 from recordloom.plans.classify import classify_columns
@@ -51,9 +52,20 @@ def test_left_join_many_equals_left_join(spark, rows):
 def test_lookup_size_decides_on_broadcast(spark):
     df, lookup = spark.range(10).withColumn("k", F.col("id").cast("string")), values_df(spark, [("a", "1")], "k string, v string")
     small = joins.lookup_join(df, lookup, "k")._jdf.queryExecution().toString()
-    large = joins.lookup_join(df, lookup, "k", broadcast_bytes=0)._jdf.queryExecution().optimizedPlan().toString()
     assert "BroadcastHashJoin" in small
-    assert "_salt" in large and "broadcast" not in large
+
+
+def test_only_hot_keys_are_salted(spark, rows):
+    names = F.when(F.col("id") < 900, "hot").when(F.col("id") < 950, None).otherwise(F.concat(F.lit("k"), F.col("id").cast("string")))
+    df = spark.range(1000).withColumn("k", names)
+    lookup = df.where("k is not null").select("k", F.upper("k").alias("v")).distinct().union(values_df(spark, [("hot", "again"), (None, "none")], "k string, v string"))
+    want = rows(df.join(lookup, "k", "left").select("id", "k", "v"))
+    for hot_rows in (10, 10_000):
+        for how in ("left", "inner"):
+            joined = joins.lookup_join(df, lookup, "k", how, broadcast_bytes=0, hot_rows=hot_rows, salts=8)
+            assert rows(joined.select("id", "k", "v")) == (want if how == "left" else [r for r in want if r[1] is not None])
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
 
 
 def test_pick_first_has_no_window_and_is_total(spark, rows):
@@ -135,14 +147,24 @@ def test_foreign_key_inventory():
 
 
 def test_array_parts_hold_everything_once(spark):
-    df = spark.range(1000).select(
-        F.col("id"), F.when(F.col("id") < 900, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("k")
-    )
-    parts = aggregates.collect_rows_by(df, "k", "id", F.struct("id"), "a", max_rows=100).collect()
-    hot = [r["a"] for r in parts if r["k"] == "hot"]
-    assert 5 <= len(hot) <= 9 and max(map(len, hot)) < 200
+    df = spark.range(1000).select("id", F.when(F.col("id") < 900, "hot").otherwise("rare").alias("k"))
+    parts = aggregates.collect_parts_by(df, "k", "id", F.struct("id"), "a", parts=8).collect()
+    assert sorted((r["k"], r["part"]) for r in parts) == [(k, p) for k in ("hot", "rare") for p in range(8)]
     assert sorted(x["id"] for r in parts for x in r["a"]) == list(range(1000))
-    assert all(len([r for r in parts if r["k"] == f"k{i}"]) == 1 for i in range(7))
+
+
+def test_one_row_per_use_at_any_size(spark):
+    uses = spark.createDataFrame(
+        [(1, 7, "a", "d", True, "o"), (2, None, "b", None, None, None)],
+        "permissible_use_id int, policy_id int, use_case string, description string, requires_approval boolean, approval_authority string")
+    conditions = spark.range(100_001).select(
+        F.col("id").alias("permissible_use_condition_id"), F.lit(1).alias("permissible_use_id"),
+        *[F.col("id").cast("string").alias(c) for c in ("dataset_id", "condition_type", "condition_value", "condition_text", "enforced_by")])
+    t = {"permissible_use": uses, "permissible_use_condition": conditions, "policy": spark.createDataFrame([(7, "p")], "policy_id int, name string")}
+    got = governance.permissible_use(t).select("permissible_use_id", "policy_name", F.size("conditions")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "p", 100_001), (2, None, -1)] or sorted((tuple(r) for r in got), key=str) == [(1, "p", 100_001), (2, None, None)]
+    long = governance.permissible_use_conditions(t)
+    assert long.count() == 100_002 and long.where("permissible_use_condition_id is null").count() == 1
 
 
 def test_share_of_nothing_and_ties(spark, rows):
@@ -214,8 +236,8 @@ def test_lineage_against_brute_force(spark):
 
 def test_profile(spark):
     df = spark.createDataFrame([(1, "ab"), (3, None), (None, "c"), (3, "ab")], "n int, s string")
-    stats = {r["column_name"]: r for r in profile(df).collect()}
-    assert (stats["n"]["null_count"], stats["n"]["distinct_count"], stats["n"]["sum"]) == (1, 2, 7.0)
+    stats = {r["column_name"]: r for r in profile(df, approx_distinct=False).collect()}
+    assert (stats["n"]["null_count"], stats["n"]["distinct_count"], stats["n"]["sum"]) == (1, 2, "7")
     assert (stats["s"]["min_length"], stats["s"]["max_length"], float(stats["s"]["null_percent"])) == (1, 2, 25.0)
     sketch = {r["column_name"]: r["distinct_count"] for r in profile(df, approx_distinct=True).collect()}
     assert sketch == {"n": 2, "s": 2}
@@ -235,6 +257,17 @@ def test_quantiles_against_sorted_values(spark, slice_values):
     }
 
 
+def test_profile_is_exact(spark):
+    df = spark.createDataFrame(
+        [(2**53, 0.0, ["a, b"], bytearray(b"\x00"), None), (1, -0.0, ["a", "b"], bytearray(b"\xff"), (None, 1)), (0, float("nan"), None, None, (1, None))],
+        "n long, x double, a array<string>, b binary, s struct<p:int,q:int>")
+    stats = {r["column_name"]: r for r in profile(df, approx_distinct=False).collect()}
+    assert stats["n"]["sum"] == str(2**53 + 1)
+    assert {c: r["distinct_count"] for c, r in stats.items()} == {"n": 3, "x": 2, "a": 2, "b": 2, "s": 2}
+    money = spark.createDataFrame([("0.10",), ("0.20",)], "t string").selectExpr("cast(t as decimal(20,2)) as d")
+    assert profile(money).first()["sum"] == "0.30"
+
+
 def test_profile_of_nothing(spark):
     row = profile(spark.createDataFrame([], "n int")).first()
     assert (row["row_count"], row["distinct_count"], row["null_percent"]) == (0, 0, None)
