@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from recordloom.llm.common import lists, offsets, parts, text_list, worker_memory
 
 #: Labelled documents that the model is fitted on, about, at most.
-FIT_ROWS = 16_000
+FIT_ROWS = 12_000
 FEATURE_BITS = 18
 #: A word's features are the word and its beginnings of these lengths.
 BEGINNINGS = (4, 5)
 #: Documents of the sample that a feature must be in.
 LEAST_DOCUMENTS = 5
 PASSES, RATE, PENALTY = 200, 0.15, 0.6
+#: Features that are summed at once.
+AT_ONCE = 2_000_000
 
 #: Words, and the ends of sentences.
 PIECE = re.compile(r"[^\W\d_]+|[.!?\n]+")
@@ -80,17 +82,23 @@ def fit_noisy_or(feature: np.ndarray, size: np.ndarray, count: np.ndarray, label
     enough evidence keep one.
     """
     width = len(often)
-    doc = np.repeat(np.arange(len(count)), count)
-    sentence = np.repeat(np.arange(len(size)), size)
+    doc = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    sentence = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    pieces = [slice(i, i + AT_ONCE) for i in range(0, len(feature), AT_ONCE)]
     scale = RATE / np.sqrt(np.maximum(1, often))
     weights, push = np.append(np.zeros(width), -4.0), np.zeros(width + 1)
     for _ in range(PASSES):
-        z = np.bincount(sentence, weights[feature], len(size)) + weights[-1]
+        z, slope = np.full(len(size), weights[-1]), np.zeros(width + 1)
+        for own in pieces:
+            z += np.bincount(sentence[own], weights[feature[own]], len(size))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         quiet = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(count))  # log of: no sentence is toxic
         share = np.where(label == 1, np.exp(quiet) / np.maximum(1e-9, -np.expm1(quiet)), -1.0)
-        slope = p * share[doc]
-        push = 0.9 * push + 0.1 * np.append(np.bincount(feature, slope[sentence], width), slope.sum())
+        p *= share[doc]
+        for own in pieces:
+            slope[:-1] += np.bincount(feature[own], p[sentence[own]], width)
+        slope[-1] = p.sum()
+        push = 0.9 * push + 0.1 * slope
         moved = weights[:-1] + scale * push[:-1]
         weights[:-1] = np.sign(moved) * np.maximum(0, np.abs(moved) - PENALTY * scale)
         weights[-1] += 2 * RATE * push[-1] / max(1, len(count))
@@ -98,29 +106,35 @@ def fit_noisy_or(feature: np.ndarray, size: np.ndarray, count: np.ndarray, label
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-    weights = np.append(np.zeros(1 << FEATURE_BITS), -4.0)
-    if got is not None:
-        feature = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy(zero_copy_only=False) for c in got["features"].chunks)]).astype(np.int64)
-        size = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy(zero_copy_only=False) for c in got["sizes"].chunks)]).astype(np.int64)
-        count = np.concatenate([np.diff(offsets_of(c)) for c in got["sizes"].chunks])
+    width = 1 << FEATURE_BITS
+    often, got = np.zeros(width, np.int64), []
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 256):
+            part = batch.slice(begin, 256)
+            feature, sizes = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("features", "sizes"))
+            count = np.diff(part.column("sizes").offsets.to_numpy())
+            doc = np.repeat(np.repeat(np.arange(len(count)), count), sizes)
+            often += np.bincount(np.unique(doc * width + feature) % width, minlength=width)
+            got.append((feature.copy(), sizes.copy(), count, part.column("toxic").to_numpy()))
+    weights = np.append(np.zeros(width), -4.0)
+    if got:
         # features of a few documents say nothing about others
-        doc = np.repeat(np.repeat(np.arange(len(count)), count), size)
-        pair = np.unique(feature * len(count) + doc)
-        often = np.bincount(pair // len(count), minlength=1 << FEATURE_BITS)
-        kept = often[feature] >= LEAST_DOCUMENTS
-        sentence = np.repeat(np.arange(len(size)), size)[kept]
-        used, feature = np.unique(feature[kept], return_inverse=True)
-        size = np.bincount(sentence, minlength=len(size))
-        fitted = fit_noisy_or(feature, size, count, got["toxic"].to_numpy(), often[used])
+        used = np.flatnonzero(often >= LEAST_DOCUMENTS)
+        place = np.full(width, -1, np.int32)
+        place[used] = np.arange(len(used))
+        kept = []
+        for feature, sizes, *_ in got:
+            own = place[feature]
+            sentence = np.repeat(np.arange(len(sizes)), sizes)[own >= 0]
+            kept.append((own[own >= 0], np.bincount(sentence, minlength=len(sizes)).astype(np.int32)))
+        feature, size = (np.concatenate(x) for x in zip(*kept))
+        count, label = (np.concatenate([g[i] for g in got]) for i in (2, 3))
+        del got, kept
+        fitted = fit_noisy_or(feature, size, count, label, often[used])
         weights[used], weights[-1] = fitted[:-1], fitted[-1]
     yield pa.record_batch({"weights": pa.array([weights.tolist()], pa.list_(pa.float64()))})
 
 
-def offsets_of(column: pa.ListArray) -> np.ndarray:
-    return column.offsets.to_numpy()
-
-
 def fit(df: DataFrame, key: str, text: str, labels: DataFrame, label: str, rows: int = FIT_ROWS) -> np.ndarray:
     """Weights fitted on about ``rows`` labelled documents at most, chosen by a hash of their key.
 
