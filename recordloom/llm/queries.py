@@ -138,3 +138,30 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` by 80 percent of their pairs of words."""
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", words=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+_WORDS = "list_filter(string_split_regex({}, '[ \\t-\\r]+'), lambda x: x <> '')"
+
+SQL["op8_substring_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+h AS (SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS g FROM g),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM h WHERE g IN (SELECT g FROM h GROUP BY g HAVING count(*) > 1)),
+e AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT e.r, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM e ANTI JOIN c USING (r, p) GROUP BY e.r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
+SQL["op10_near_duplicates"] = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents
+), s AS (
+    SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS g FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.node = d.doc_id
+"""
