@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import keyed, lists, offsets, parts, ranges, worker_memory
@@ -199,22 +199,26 @@ def components(links: DataFrame) -> DataFrame:
     Large and small stars by turns: each node's larger neighbours, then its smaller ones, go to
     the smallest node it knows, until nothing changes. Each turn is written down.
     """
-    edges = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    while True:
-        before = _digest(edges)
+    edges, before = _written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    while before[0]:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-        large = stage(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct(), "large")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).union(down)
-        edges = stage(small.where("a <> b").distinct(), "small")
-        if _digest(edges) == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
-
-
-def _digest(edges: DataFrame) -> tuple:
-    # order plays no part, and equal tables of distinct rows have equal digests
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
+        edges, after = _written(small.where("a <> b").distinct())
+        if after == before:
+            break
+        before = after
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+
+
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Distinct edges, written down, and a digest in which their order plays no part."""
+    seen = Observation()
+    parts = (F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", F.lit(1), "a")))
+    edges = stage(edges.observe(seen, *[p.alias(f"d{i}") for i, p in enumerate(parts)]), "edges")
+    return edges, tuple(seen.get[f"d{i}"] for i in range(len(parts)))
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:

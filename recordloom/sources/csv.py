@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +28,8 @@ def csv_options(multi_line: bool = True) -> dict[str, str]:
     """Reader options, shared with the streaming reader.
 
     With ``multi_line`` a quoted field may hold line breaks, but each file is read by one
-    task. Without it large files are split; a record with a line break then counts as
-    bad and fails its load, it is never cut silently.
+    task. Without it a stream splits large files; a record with a line break then counts as
+    bad and fails its load, it is never cut silently. :func:`read_many` keeps such records.
     """
     return {
         **_OPTIONS, "multiLine": str(multi_line).lower(), "columnNameOfCorruptRecord": _CORRUPT, "mode": "PERMISSIVE",
@@ -41,26 +41,78 @@ def file_schema(columns: T.StructType) -> T.StructType:
     return T.StructType([*columns.fields, T.StructField(_CORRUPT, T.StringType())])
 
 
-def clean_fields(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Empty fields are '' and ``NA`` is NULL; adds ``is_bad`` and the file a row came from.
+_FILE = ("file_name", "file_path", "file_size_bytes")
 
-    ``is_bad`` also looks at a data column, because Spark refuses to read the slot for bad records alone.
-    """
-    is_bad = F.col(_CORRUPT).isNotNull() | (F.octet_length(F.coalesce(F.col(columns[0]), F.lit(""))) < 0)
-    values = [null_if_in(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns]
+
+def _with_file(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(
-        *values,
-        is_bad.alias("is_bad"),
+        *columns,
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_size").alias("file_size_bytes"),
     )
 
 
+def _cleaned(df: DataFrame, columns: list[str]) -> DataFrame:
+    is_bad = F.col(_CORRUPT).isNotNull() | (F.octet_length(F.coalesce(F.col(columns[0]), F.lit(""))) < 0)
+    values = [null_if_in(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns]
+    return df.select(*values, is_bad.alias("is_bad"), *_FILE)
+
+
+def clean_fields(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Empty fields are '' and ``NA`` is NULL; adds ``is_bad`` and the file a row came from.
+
+    ``is_bad`` also looks at a data column, because Spark refuses to read the slot for bad records alone.
+    """
+    return _cleaned(_with_file(df, *columns, _CORRUPT), columns)
+
+
+def split_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(record, file ...)``: records as text, out of files that are read in splits; header lines are left out.
+
+    A line break belongs to a field if the quotes before it are odd in number. Each split
+    counts its quotes; the counts of the splits before it, one small row each, tell
+    whether it starts inside a field and how many records came before. Lines that are records of their
+    own, nearly all, stay where they are; the others are put together by record.
+    """
+    lines = _with_file(
+        spark.read.option("lineSep", "\n").text(paths)
+        .withColumn("at", F.monotonically_increasing_id()).withColumn("block", F.col("_metadata.file_block_start")),
+        "value", "at", "block",
+    )
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    in_block = Window.partitionBy("file_path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("quotes", quotes).withColumn("before", F.coalesce(F.sum("quotes").over(in_block), F.lit(0)) % 2)
+    blocks = lines.groupBy("file_path", "block").agg(
+        F.sum("quotes").alias("quotes"), F.count_if(F.col("before") == 0).alias("starts_even"), F.count_if(F.col("before") == 1).alias("starts_odd")
+    )
+    earlier = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("inside", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+    starts = F.when(F.col("inside") == 0, F.col("starts_even")).otherwise(F.col("starts_odd"))
+    blocks = blocks.select("file_path", "block", "inside", F.coalesce(F.sum(starts).over(earlier), F.lit(0)).alias("records"))
+    upto = Window.partitionBy("file_path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.join(blocks, ["file_path", "block"]).withColumn("is_start", (F.col("before") + F.col("inside")) % 2 == 0)
+    lines = lines.withColumn("number", F.col("records") + F.sum(F.col("is_start").cast("int")).over(upto))
+    whole = F.col("is_start") & (F.col("quotes") % 2 == 0)
+    single = lines.where(whole).select("number", F.col("value").alias("record"), *_FILE)
+    pieces = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
+    several = lines.where(~whole).groupBy("number", *_FILE).agg(F.array_join(F.transform(pieces, lambda p: p["value"]), "\n").alias("record"))
+    record = F.regexp_replace("record", "\r$", "").alias("record")
+    return single.unionByName(several).where("number > 1").select(record, *_FILE).where("record <> ''")
+
+
 def read_many(spark: SparkSession, paths: str | list[str], multi_line: bool = True) -> DataFrame:
-    """All record files of a glob in one scan, every row stamped with its file and ``is_bad``."""
-    raw = spark.read.schema(file_schema(CASE_FILE_SCHEMA)).options(**csv_options(multi_line)).csv(paths)
-    return clean_fields(raw, CASE_FILE_COLUMNS)
+    """All record files of a glob in one scan, every row stamped with its file and ``is_bad``.
+
+    With ``multi_line`` each file is read by one task, which suits many files of moderate
+    size. Without it files are read in splits, at the price of a shuffle; the rows are the same.
+    """
+    if multi_line:
+        raw = spark.read.schema(file_schema(CASE_FILE_SCHEMA)).options(**csv_options()).csv(paths)
+        return clean_fields(raw, CASE_FILE_COLUMNS)
+    options = {k: v for k, v in csv_options().items() if k not in ("header", "multiLine", "encoding")}
+    parsed = F.from_csv("record", F.lit(", ".join(f"{f.name} string" for f in file_schema(CASE_FILE_SCHEMA).fields)), options)
+    return _cleaned(split_records(spark, paths).select(parsed.alias("r"), *_FILE).select("r.*", *_FILE), CASE_FILE_COLUMNS)
 
 
 def read_cases_csv(spark: SparkSession, paths: str | list[str], multi_line: bool = True) -> DataFrame:

@@ -79,14 +79,14 @@ def test_load_ledger_over_runs(spark, tmp_path, rows):
     assert rows(landing, "id") == [("1",), ("2",), ("3",), ("4",)]
 
 
-def test_split_reading_fails_a_load_with_line_breaks(spark, tmp_path, rows):
+def test_split_reading_keeps_line_breaks(spark, tmp_path, rows):
     write(tmp_path, "good.csv", line(id="1"))
     write(tmp_path, "breaks.csv", line(id="2", caption='"a\nb"'))
-    landing, ledger = loads.load_files(spark, str(tmp_path), loads.empty_ledger(spark), AS_OF, multi_line=False)
-    assert rows(ledger, "file_name", "load_status") == [("breaks.csv", "failed"), ("good.csv", "completed")]
-    assert rows(landing, "id") == [("1",)]
-    whole, _ = loads.load_files(spark, str(tmp_path), loads.empty_ledger(spark), AS_OF)
-    assert rows(whole, "id") == [("1",), ("2",)]
+    write(tmp_path, "bad.csv", line(id="3"), "too,few")
+    for multi_line in (False, True):
+        landing, ledger = loads.load_files(spark, str(tmp_path), loads.empty_ledger(spark), AS_OF, multi_line=multi_line)
+        assert rows(ledger, "file_name", "load_status") == [("bad.csv", "failed"), ("breaks.csv", "completed"), ("good.csv", "completed")]
+        assert rows(landing, "id", "caption") == [("1", None), ("2", "a\nb")]
 
 
 def test_interrupted_load_is_made_good_by_the_next(spark, tmp_path, rows):
@@ -325,7 +325,13 @@ def test_csv_against_another_reader(spark, tmp_path, terminator):
         writer = python_csv.writer(out, lineterminator=terminator)
         writer.writerow(CASE_FILE_COLUMNS)
         writer.writerows(records)
-    read = {r["row_num"]: tuple(r) for r in csv.read_cases_csv(spark, str(tmp_path)).collect()}
-    assert len(read) == 400
-    for record in records:
-        assert read[record[0]] == tuple(None if v == "NA" else v for v in record)
+    for multi_line in (True, False):
+        if not multi_line:  # one file in many splits
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        try:
+            read = {r["row_num"]: tuple(r) for r in csv.read_cases_csv(spark, str(tmp_path), multi_line).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert len(read) == 400
+        for record in records:
+            assert read[record[0]] == tuple(None if v == "NA" else v for v in record)
