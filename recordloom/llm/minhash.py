@@ -22,8 +22,8 @@ UNIVERSE_BITS = 20
 AT_ONCE = 16_384
 #: Agreeing coordinates, below which a pair at the wanted similarity lies once in 10^8 times, in standard deviations.
 DEVIATIONS = 6
-#: Members compared with one copy of their leader's text, and members of a bucket that are compared in one task.
-MEMBERS, BLOCK = 256, 4096
+#: Members compared with one copy of their leader's text, and members of a block.
+MEMBERS, BLOCK = 256, 1024
 #: Ids that may be broadcast.
 BROADCAST_IDS = 4_000_000
 
@@ -117,41 +117,104 @@ def _likely(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             yield batch.select(["a", "b"]).filter(pa.array(agree >= least))
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of different components within buckets, or blocks of them, that come one after the other."""
+def groups(batches: Iterator[pa.RecordBatch], names: list[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of sorted rows, some at a time, with the places where groups begin and the end."""
     held: list[pa.RecordBatch] = []
 
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = rows.combine_chunks()
-        names = [rows[c].to_numpy() for c in ("band", "low", "high")]
-        edge = np.flatnonzero(np.concatenate([[True], np.any([np.diff(x) != 0 for x in names], axis=0)]))
-        node, root, block = (rows[c].to_numpy() for c in ("cid", "root", "block"))
-        signature = bytes_matrix(rows["signature"].combine_chunks() if isinstance(rows["signature"], pa.ChunkedArray) and rows["signature"].num_chunks != 1 else rows["signature"].chunk(0))
-        a, b = [], []
-        for lo, hi in zip(edge, np.append(edge[1:], rows.num_rows)):
-            for i in range(lo, hi):
-                # each pair of blocks once, and each pair within a block where the block meets itself
-                own = np.arange(i + 1, hi)
-                own = own[(root[own] != root[i]) & ((block[own] != block[i]) | (names[1][i] == names[2][i]))]
-                if len(own):
-                    own = own[(signature[own] == signature[i]).sum(axis=1) >= least]
-                    a.append(np.minimum(node[own], node[i]))
-                    b.append(np.maximum(node[own], node[i]))
-        none = np.zeros(0, np.int64)
-        yield pa.record_batch({"a": pa.array(np.concatenate([none, *a])), "b": pa.array(np.concatenate([none, *b]))})
+    def cut(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        table = table.combine_chunks()
+        new = np.any([np.diff(table[c].to_numpy()) != 0 for c in names], axis=0)
+        return table, np.concatenate([[0], np.flatnonzero(new) + 1, [table.num_rows]])
 
     for batch in batches:
         held.append(batch)
-        rows = pa.Table.from_batches(held)
-        if rows.num_rows >= 4 * BLOCK:
-            last = rows.slice(rows.num_rows - 1).to_pylist()[0]
-            same = np.all([rows[c].to_numpy() == last[c] for c in ("band", "low", "high")], axis=0)
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if cut:
-                yield from pairs(rows.slice(0, cut))
-                held = rows.slice(cut).combine_chunks().to_batches()
-    if held and sum(b.num_rows for b in held):
-        yield from pairs(pa.Table.from_batches(held))
+        if sum(b.num_rows for b in held) >= rows:
+            table, edge = cut(pa.Table.from_batches(held))
+            if len(edge) > 2:
+                yield table.slice(0, edge[-2]), edge[:-1]
+                held = table.slice(edge[-2]).to_batches()
+    if sum(b.num_rows for b in held):
+        yield cut(pa.Table.from_batches(held))
+
+
+class Block:
+    """Members of a group whose pairs across components are looked at.
+
+    ``root`` changes as components are found to belong together, so that pairs which
+    would tell nothing new are left out.
+    """
+
+    def __init__(self, rows: pa.Table, signature: np.ndarray, least: int):
+        self.root, self.block = rows["root"].to_numpy().copy(), rows["block"].to_numpy()
+        # each pair of blocks meets once, and pairs within a block where the block meets itself
+        self.whole = bool(len(rows)) and rows["low"][0].as_py() == rows["high"][0].as_py()
+        self.signature, self.least = signature, least
+
+    def likely(self, i: int) -> np.ndarray:
+        """Later members of other components that are likely similar to member ``i``."""
+        later = np.arange(i + 1, len(self.root))
+        later = later[self.root[later] != self.root[i]]
+        if not self.whole:
+            later = later[self.block[later] != self.block[i]]
+        return later[(self.signature[later] == self.signature[i]).sum(axis=1) >= self.least] if len(later) else later
+
+    def join(self, i: int, j: int) -> None:
+        self.root[self.root == self.root[j]] = self.root[i]
+
+
+def _apart(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of components that have a likely pair in a bucket, as few as hold all such components together."""
+    for rows, edge in groups(batches, ["band", "low", "high"], BLOCK):
+        signature, given = bytes_matrix(rows["signature"].combine_chunks()), rows["root"].to_numpy()
+        a, b = [], []
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            block = Block(rows.slice(lo, hi - lo), signature[lo:hi], least)
+            for i in range(hi - lo):
+                for j in block.likely(i):
+                    if block.root[i] != block.root[j]:
+                        a.append(given[lo + i])
+                        b.append(given[lo + j])
+                        block.join(i, j)
+        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have enough in common."""
+    place = np.minimum(np.searchsorted(one, two), max(0, len(one) - 1))
+    both = int((one[place] == two).sum()) if len(one) else 0
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], words: int, percent: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Links between components of one cluster, confirmed on whole sets."""
+    for rows, edge in groups(batches, ["cluster", "low", "high"], BLOCK):
+        signature, node = bytes_matrix(rows["signature"].combine_chunks()), rows["cid"].to_numpy()
+        sets: list[np.ndarray] = []
+        for part in parts(rows.select(["text"]).to_batches(), "text"):
+            shingles = Shingles(part, words)
+            sets += [shingles.of(i).copy() for i in range(part.num_rows)]
+        a, b = [], []
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            block = Block(rows.slice(lo, hi - lo), signature[lo:hi], least)
+            for i in range(hi - lo):
+                for j in block.likely(i):
+                    if block.root[i] != block.root[j] and similar(sets[lo + i], sets[lo + j], percent):
+                        a.append(node[lo + i])
+                        b.append(node[lo + j])
+                        block.join(i, j)
+        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def in_blocks(members: DataFrame, group: str) -> DataFrame:
+    """Rows of ``members`` dealt into blocks: each pair of blocks of a group together, sorted one after the other.
+
+    A group of up to ``BLOCK`` members stays as it is.
+    """
+    counts = stage(members.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    rows = members.join(counts, group).withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
+    return rows.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -165,25 +228,26 @@ def _confirm(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Ite
                 leader, own = lead, shingles.of(i).copy()
                 continue
             assert leader == lead
-            other = shingles.of(i)
-            place = np.minimum(np.searchsorted(own, other), len(own) - 1)
-            both = int((own[place] == other).sum())
-            if 100 * both >= percent * (len(own) + len(other) - both):
+            if similar(own, shingles.of(i), percent):
                 a.append(lead)
                 b.append(member)
         yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``texts`` of distinct ``ids``, written down; many ids are shuffled, few are broadcast."""
+    if ids.count() <= BROADCAST_IDS:  # numbers of eight bytes
+        ids = F.broadcast(ids)
+    return stage(texts.join(ids, "rid", "left_semi"), "texts")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` that hold on whole sets, written down. ``texts`` has ``rid, text``.
 
     Rows of a leader ``a`` are split over several tasks, each with a copy of its text.
     """
     pairs = stage(pairs, "pairs")
-    needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "rid")
-    if needed.count() <= BROADCAST_IDS:  # numbers of eight bytes
-        needed = F.broadcast(needed)
-    texts = stage(texts.join(needed, "rid", "left_semi"), "texts")
+    texts = texts_of(texts, pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "rid"))
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
     members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), "b")
     members = members.join(texts.withColumnRenamed("rid", "b"), "b").select("a", "salt", "b", "text")
@@ -231,9 +295,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int, percent: int
     the one with this key, or of several the first one read. ``df`` must be a scan (see
     ``common.keyed``). Links are found by signatures, so one may be missed, see ``BANDS``; none is wrong.
 
-    Equal sets count once. Buckets of bands link their members to a leader first. Where members
-    of a bucket are still apart, all pairs across components are looked at, in blocks, and those
-    with enough equal coordinates go on. Every link is confirmed on whole sets.
+    Equal sets count once. Buckets of bands link their members to a leader first. Components that
+    are still apart, but have members in one bucket that agree in enough coordinates, form
+    clusters; their members are compared across components in blocks, each text in as many
+    tasks as its cluster has blocks. Every link is confirmed on whole sets.
 
     A null text or one without words has an empty set, is linked with nothing and represents itself.
     Repeated rows are equal sets. A null key stays, comes after all others, and is the component's
@@ -261,16 +326,17 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int, percent: int
     texts = rows.select("rid", "text")
     links = confirmed(likely, texts, words, percent)
 
-    joined = components(links)
-    members = members.join(joined, members["cid"] == joined["node"], "left").select("band", "cid", F.coalesce("root", "cid").alias("root"))
-    apart = stage(members.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y")
-                  .select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "apart")
-    blocks = members.join(apart, "band").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "root")
-    blocks = blocks.join(signature, "cid").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
-    across = blocks.mapInArrow(partial(_across, least=least), "a long, b long").distinct()
-    links = links.union(confirmed(across, texts, words, percent))
+    joined = stage(components(links), "components")
+    rooted = signature.join(joined, signature["cid"] == joined["node"], "left").select("cid", "signature", F.coalesce("root", "cid").alias("root"))
+    members = members.select("band", "cid").join(rooted.select("cid", "root"), "cid")
+    several = stage(members.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band"), "several")
+    buckets = in_blocks(members.join(several, "band").join(signature, "cid"), "band")
+    # components with likely pairs across them form clusters, whose members are compared where they meet
+    clusters = stage(components(buckets.mapInArrow(partial(_apart, least=least), "a long, b long")), "clusters")
+    together = rooted.join(clusters.toDF("root", "cluster"), "root")
+    found = texts_of(texts, together.select(F.col("cid").alias("rid"))).withColumnRenamed("rid", "cid")
+    together = in_blocks(together.join(found, "cid"), "cluster")
+    links = links.union(together.mapInArrow(partial(_compare, words=words, percent=percent, least=least), "a long, b long"))
 
     joined = stage(components(links), "components")
     rooted = classes.join(joined, classes["cid"] == joined["node"], "left").select("one", "two", "head", F.coalesce("root", "cid").alias("root"))
