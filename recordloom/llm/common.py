@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that a worker handles at once; a longer single text is handled alone.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 
 
 def worker_memory() -> dict:

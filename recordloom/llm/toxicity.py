@@ -25,6 +25,9 @@ PASSES, RATE, PENALTY = 200, 0.15, 0.6
 #: Features that are summed at once.
 AT_ONCE = 2_000_000
 
+#: Words whose weights a worker remembers.
+REMEMBERED = 200_000
+
 #: Words, and the ends of sentences.
 PIECE = re.compile(r"[^\W\d_]+|[.!?\n]+")
 ENDS = frozenset(".!?\n")
@@ -153,11 +156,12 @@ def fit(df: DataFrame, key: str, text: str, labels: DataFrame, label: str, rows:
 
 def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
     memory = worker_memory()
-    known: dict[str, float] = memory.setdefault(("word weights", name), {})
-    known.update(dict.fromkeys(ENDS, float("nan")))
+    if memory.get("weighed by") != name:  # words of one model at a time
+        memory["weighed by"], memory["word weights"] = name, {}
+    known: dict[str, float] = memory["word weights"]
     bias = float(weights[-1])
     for part in parts(batches, "text"):
-        if len(known) > 500_000:
+        if len(known) > REMEMBERED:
             known.clear()
         texts = text_list(part.column("text"))
         pieces = [[*PIECE.findall(t.lower()), "\n"] for t in texts]
@@ -171,7 +175,7 @@ def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray, name: str) ->
             words = np.diff(np.flatnonzero(end), prepend=-1) > 1
             z = np.diff(total, prepend=0.0)[words] + bias
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            score.append(float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())))
+            score.append(0.0 - float(np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())))
             at = np.flatnonzero(p >= 0.5)
             where = sentences(text) if len(at) else []
             spans.append([{"start": where[i][0], "end": where[i][1], "score": float(p[i])} for i in at if i < len(where)])
