@@ -1,4 +1,4 @@
-"""Packing of documents into windows of tokens, neighbours found by lexical retrieval."""
+"""Packing of documents into windows of tokens, neighbours found by lexical retrieval over the whole corpus."""
 
 from __future__ import annotations
 
@@ -9,14 +9,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from recordloom.llm.common import parts, ranges, text_list
+from recordloom.llm.common import offsets, parts, ranges, text_list
 from recordloom.llm.tokens import byte_encoder
+from recordloom.llm.windows import mixed
+from recordloom.session import scratch_path, stage
 
 #: BM25: how soon a repeated term saturates, and how much a text's length counts.
 SATURATION, LENGTH_WEIGHT = 1.2, 0.75
-#: Bytes of text that form a shard, which has an inverted index of its own.
-SHARD_BYTES = 4 << 20
+#: Seeds of a round, neighbours that a seed asks for at least, and entries of all their lists.
+ROUND_SEEDS, LEAST_NEIGHBOURS, ROUND_ENTRIES = 1 << 14, 32, 1 << 20
+#: Unused tokens and pieces that the driver packs by itself at the end.
+REST_TOKENS = 1 << 19
+#: Texts that are indexed together, and cells of the scores computed together.
+BLOCK_TEXTS, SCORE_CELLS = 1 << 12, 1 << 20
+#: Terms in more than this share of the texts are multiplied as a dense matrix, at most so many of them.
+COMMON_SHARE, MOST_COMMON = 0.06, 1 << 10
+#: Bits of a piece's number that count within a task.
+PLACE_BITS = 40
+
+
+def weigh(found: np.ndarray, texts: int, count: np.ndarray, size: np.ndarray, mean: float) -> np.ndarray:
+    """BM25 weights of terms that are ``found`` in so many texts and ``count`` times in one of ``size`` tokens."""
+    norm = SATURATION * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * size / mean)
+    return np.log1p((texts - found + 0.5) / (found + 0.5)) * count * (SATURATION + 1) / (count + norm)
 
 
 class Shard:
@@ -29,11 +46,26 @@ class Shard:
         term, self.text = np.divmod(pair, max(1, len(lists)))
         self.starts = np.searchsorted(term, np.arange(terms + 1))
         found = np.diff(self.starts)
-        rarity = np.log1p((len(lists) - found + 0.5) / (found + 0.5))
-        norm = SATURATION * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * sizes / max(1.0, sizes.mean() if len(sizes) else 1.0))
-        self.weight = rarity[term] * count * (SATURATION + 1) / (count + norm[self.text])
+        mean = max(1.0, sizes.mean() if len(sizes) else 1.0)
+        self.weight = weigh(found[term], len(lists), count, sizes[self.text], mean)
         self.size = len(lists)
 
+    @classmethod
+    def of_corpus(cls, vectors: list[tuple[np.ndarray, np.ndarray]], statistics: tuple) -> Shard:
+        """Index of ``(terms, counts)`` of texts, weighted by the statistics of the corpus."""
+        found, texts, mean = statistics
+        index = cls.__new__(cls)
+        lengths = np.array([len(t) for t, _ in vectors], np.int64)
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)]).astype(np.int64)
+        count = np.concatenate([np.zeros(0, np.int64), *(c for _, c in vectors)]).astype(np.int64)
+        text = np.repeat(np.arange(len(vectors)), lengths)
+        sizes = np.bincount(text, count, len(vectors))
+        weight = weigh(found[term], texts, count, sizes[text], mean)
+        order = np.argsort(term, kind="stable")
+        index.text, index.weight, index.size = text[order], weight[order], len(vectors)
+        index.starts = np.searchsorted(term[order], np.arange(len(found) + 1))
+        return index
+
     def scores(self, query: np.ndarray) -> np.ndarray:
         """The score of every text for the distinct terms of the query."""
         terms = np.unique(query)
@@ -73,19 +105,22 @@ class Packer:
                 space -= len(ids)
             self.put(taken)
 
-    def pack(self, pool: list[tuple[int, int, np.ndarray]], terms: int) -> list[tuple[int, int, np.ndarray]]:
-        """Pack a shard; returns the pieces of its last, unfilled window.
+    def pack(self, pool: list[tuple[int, int, np.ndarray]], terms: int, index: Shard | None = None,
+             queries: list[np.ndarray] | None = None) -> list[tuple[int, int, np.ndarray]]:
+        """Pack a pool; returns the pieces of its last, unfilled window.
+
+        ``index`` and ``queries`` are those of the pieces' own ids unless they are given.
 
         Each window starts with the longest unused piece, the seed, and takes its best unused
         neighbours while there is space. The last one is cut; what is left of it stays unused.
         """
-        index = Shard([ids for _, _, ids in pool], terms)
+        index = index or Shard([ids for _, _, ids in pool], terms)
         left = sum(len(ids) for _, _, ids in pool)
         free = np.fromiter((len(ids) for _, _, ids in pool), np.int64, len(pool))
         unused = free > 0
         while left >= self.window:
             seed = int(np.argmax(np.where(unused, free, -1)))
-            score = index.scores(pool[seed][2])
+            score = index.scores(queries[seed] if queries else pool[seed][2])
             score[~unused] = -1
             score[seed] = np.inf
             taken, space = [], self.window
@@ -106,45 +141,309 @@ class Packer:
             self.put(taken)
         return [pool[n] for n in np.flatnonzero(unused)]
 
-    def batch(self, docs: list, sizes: list[int], kind: pa.DataType) -> pa.RecordBatch:
-        rows, self.rows = self.rows, []
-        return pa.record_batch({
-            "key": pa.array([docs[r[0]] for r in rows], kind),
-            "start": pa.array([r[1] for r in rows], pa.int64()),
-            "length": pa.array([len(r[2]) for r in rows], pa.int64()),
-            "ids": pa.array([r[2].astype("<u4").tobytes() for r in rows], pa.binary()),
-            "doc_tokens": pa.array([sizes[r[0]] for r in rows], pa.int64()),
-            "sequence_id": pa.array([r[3] for r in rows], pa.int64()),
-            "offset": pa.array([r[4] for r in rows], pa.int64()),
-        })
-
-
-def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, window: int) -> Iterator[pa.RecordBatch]:
+
+def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Windows that documents fill by themselves, numbered, and the tails that are left, with their terms."""
     encoder = byte_encoder(path)
-    packer = Packer(window, TaskContext.get().partitionId() << 40)
-    docs, sizes, rest, kind = [], [], [], None
-    for part in parts(batches, "text", SHARD_BYTES):
-        kind = part.schema.field("key").type
-        # documents of the last window still open, then those of this shard
-        kept = sorted({d for d, _, _ in rest})
-        new = {d: i for i, d in enumerate(kept)}
-        docs, sizes = [docs[d] for d in kept], [sizes[d] for d in kept]
-        pool = [(new[d], start, ids) for d, start, ids in rest]
-        for key, text in zip(part.column("key").to_pylist(), text_list(part.column("text"))):
-            ids = np.append(encoder.encode(text), np.uint32(end))
+    task = TaskContext.get().partitionId() << PLACE_BITS
+    sequence = number = task
+    for part in parts(batches, "text"):
+        rows = []
+        for key, text in zip(part.column("key"), text_list(part.column("text"))):
+            ids = np.append(encoder.encode(text), np.uint32(end)).astype("<u4")
             full = len(ids) // window * window
             for start in range(0, full, window):
-                packer.put([(len(docs), start, ids[start: start + window])])
+                rows.append((key, start, ids[start: start + window].tobytes(), len(ids), sequence, None, None, None))
+                sequence += 1
             if full < len(ids):
-                pool.append((len(docs), full, ids[full:]))
-            docs.append(key)
-            sizes.append(len(ids))
-        rest = packer.pack(pool, max(encoder.size, end + 1))
-        if packer.rows:
-            yield packer.batch(docs, sizes, kind)
-    packer.put_rest(rest)
-    if packer.rows:
-        yield packer.batch(docs, sizes, kind)
+                terms, counts = np.unique(ids[full:], return_counts=True)
+                rows.append((key, full, ids[full:].tobytes(), len(ids), None, number, terms.astype("<u4").tobytes(), counts.astype("<u4").tobytes()))
+                number += 1
+        columns = list(zip(*rows))
+        kinds = [part.schema.field("key").type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        names = ["key", "start", "ids", "doc_tokens", "sequence_id", "number", "terms", "counts"]
+        yield pa.record_batch([pa.array([k.as_py() for k in columns[0]], kinds[0]), *(pa.array(c, t) for c, t in zip(columns[1:], kinds[1:]))], names)
+
+
+def vectors_of(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [tuple(np.frombuffer(x, "<u4") for x in pair) for pair in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())]
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[pa.RecordBatch]:
+    """Texts per term; after all terms the number of texts and of their tokens."""
+    found = np.zeros(terms + 2, np.int64)
+    for batch in batches:
+        for own, counts in vectors_of(batch):
+            found[own] += 1
+            found[terms:] += 1, int(counts.sum())
+    at = np.flatnonzero(found)
+    yield pa.record_batch({"term": pa.array(at, pa.int64()), "found": pa.array(found[at], pa.int64())})
+
+
+class Places:
+    """Positions of pieces in the order of their numbers, which count from 0 in each task."""
+
+    def __init__(self, numbers: np.ndarray):
+        task = numbers >> PLACE_BITS
+        first = np.flatnonzero(np.concatenate([[True], np.diff(task) != 0])) if len(task) else np.zeros(0, np.int64)
+        self.task, self.first = task[first], first
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        return self.first[np.searchsorted(self.task, numbers >> PLACE_BITS)] + (numbers & ((1 << PLACE_BITS) - 1))
+
+
+def _select(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+    """Rows whose pieces' bits are set."""
+    places, bits = wanted.value
+    for batch in batches:
+        place = places.of(batch.column("number").to_numpy())
+        keep = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+        if keep.any():
+            kept = batch.filter(pa.array(keep))
+            yield pa.record_batch([pa.array(place[keep]), kept.column("terms"), kept.column("counts")], ["place", "terms", "counts"])
+
+
+def merge_best(row: np.ndarray, place: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``most`` best entries of each row, best first; a hash of both decides ties, so that rows differ in them."""
+    tie = mixed((row.astype(np.uint64) << np.uint64(40)) ^ place.astype(np.uint64))
+    order = np.lexsort((tie, -score, row))
+    sorted_row = row[order]
+    rank = np.arange(len(order)) - np.searchsorted(sorted_row, sorted_row)
+    order = order[rank < most]
+    return row[order], place[order], score[order]
+
+
+class Search:
+    """Asks all seeds of a round of block after block of texts, and keeps each seed's best."""
+
+    def __init__(self, seeds: tuple, statistics: tuple, most: int):
+        self.terms, self.bounds = seeds
+        self.found, self.texts, self.mean = statistics
+        self.most, self.n = most, len(self.bounds) - 1
+        common = np.flatnonzero(self.found > COMMON_SHARE * self.texts)
+        self.common = common[np.argsort(-self.found[common], kind="stable")[:MOST_COMMON]]
+        self.column = np.full(len(self.found), -1, np.int64)
+        self.column[self.common] = np.arange(len(self.common))
+        self.best = {}
+
+    def add(self, place: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        lengths = np.array([len(t) for t, _ in vectors], np.int64)
+        term = np.concatenate([t for t, _ in vectors]).astype(np.int64)
+        count = np.concatenate([c for _, c in vectors]).astype(np.int64)
+        text = np.repeat(np.arange(len(vectors)), lengths)
+        weight = weigh(self.found[term], self.texts, count, np.bincount(text, count, len(vectors))[text], self.mean)
+        column = self.column[term]
+        dense = np.zeros((len(self.common), len(vectors)), np.float32)
+        is_common = column >= 0
+        dense[column[is_common], text[is_common]] = weight[is_common]
+        order = np.flatnonzero(~is_common)
+        order = order[np.argsort(term[order], kind="stable")]
+        rare, text, weight = term[order], text[order], weight[order]
+        starts = np.searchsorted(rare, np.arange(len(self.found) + 1))
+        step = max(1, SCORE_CELLS // len(vectors))
+        for begin in range(0, self.n, step):
+            self.chunk(begin, min(self.n, begin + step), place, dense, starts, text, weight)
+
+    def chunk(self, begin, end, place, dense, starts, text, weight) -> None:
+        size = len(place)
+        query = self.terms[self.bounds[begin]: self.bounds[end]].astype(np.int64)
+        row = np.repeat(np.arange(end - begin), np.diff(self.bounds[begin: end + 1]))
+        column = self.column[query]
+        asked = np.zeros((end - begin, len(self.common)), np.float32)
+        asked[row[column >= 0], column[column >= 0]] = 1
+        scores = asked @ dense
+        row, query = row[column < 0], query[column < 0]
+        length = starts[query + 1] - starts[query]
+        at = ranges(starts[query], length)
+        scores += np.bincount(np.repeat(row * size, length) + text[at], weight[at], scores.size).reshape(scores.shape).astype(np.float32)
+        old = self.best.get(begin)
+        if old is None:
+            least = np.full(end - begin, -1, np.float32)
+            if size > self.most:  # what a row's best are found among; ties beyond them are drawn below
+                least = np.partition(scores, size - self.most, axis=1)[:, size - self.most]
+            old = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        else:
+            least = np.full(end - begin, -1, np.float32)
+            last = np.flatnonzero(np.bincount(old[0], minlength=end - begin) >= self.most)
+            least[last] = old[2][np.searchsorted(old[0], last, side="right") - 1]
+        new_row, new_text = np.nonzero(scores >= least[:, None])
+        rows = np.concatenate([old[0], new_row])
+        self.best[begin] = merge_best(rows, np.concatenate([old[1], place[new_text]]), np.concatenate([old[2], scores[new_row, new_text]]), self.most)
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [(begin + row, place, score) for begin, (row, place, score) in self.best.items()]
+        return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+
+
+def entries(row: np.ndarray, place: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for begin in range(0, len(row), 1 << 16):
+        own = slice(begin, begin + (1 << 16))
+        yield pa.record_batch({"seed": pa.array(row[own], pa.int64()), "place": pa.array(place[own], pa.int64()), "score": pa.array(score[own], pa.float32())})
+
+
+def _search(batches: Iterator[pa.RecordBatch], unused, asked, most: int) -> Iterator[pa.RecordBatch]:
+    search = Search(*asked.value, most)
+    waiting, vectors, size = [], [], 0
+    for batch in _select(batches, unused):
+        own = vectors_of(batch)
+        place = batch.column("place").to_numpy()
+        for begin in range(0, len(own), BLOCK_TEXTS // 4):
+            waiting.append(place[begin: begin + BLOCK_TEXTS // 4])
+            vectors += own[begin: begin + BLOCK_TEXTS // 4]
+            size = sum(len(t) for t, _ in vectors)
+            if len(vectors) >= BLOCK_TEXTS * 3 // 4 or size >= 4 * SCORE_CELLS:
+                search.add(np.concatenate(waiting), vectors)
+                waiting, vectors = [], []
+    if vectors:
+        search.add(np.concatenate(waiting), vectors)
+    yield from entries(*search.result())
+
+
+def _merge(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    kept, size = [], 0
+    for batch in batches:
+        kept.append(tuple(batch.column(c).to_numpy() for c in ("seed", "place", "score")))
+        size += batch.num_rows
+        if size > ROUND_ENTRIES:
+            kept = [merge_best(*map(np.concatenate, zip(*kept)), most)]
+            size = 0
+    if kept:
+        yield from entries(*merge_best(*map(np.concatenate, zip(*kept)), most))
+
+
+class Corpus:
+    """The encoded documents, and on the driver how far the tail of each is used."""
+
+    def __init__(self, encoded: DataFrame, terms: int, window: int):
+        self.spark, self.window = encoded.sparkSession, window
+        vectors = encoded.where("terms is not null")
+        counted = vectors.select("terms", "counts").mapInArrow(partial(_count_terms, terms=terms), "term long, found long")
+        total = counted.groupBy("term").agg(F.sum("found").alias("found")).toArrow()
+        found = np.zeros(terms + 2, np.int64)
+        found[total.column("term").to_numpy()] = total.column("found").to_numpy()
+        self.statistics = found[:terms], int(found[terms]), max(1.0, found[terms + 1] / max(1, found[terms]))
+        self.tails = encoded.where("number is not null")
+        sizes = self.tails.select("number", (F.length("ids") / 4).cast("int").alias("size")).toArrow()
+        numbers = sizes.column("number").to_numpy()
+        order = np.argsort(numbers)
+        self.numbers = numbers[order]
+        self.size = sizes.column("size").to_numpy()[order].astype(np.int32)
+        self.used = np.zeros(len(order), np.int32)
+        self.places = Places(self.numbers)
+        self.open: list[list] = []  # a window's seed, its pieces (place, start, length) and its free tokens
+        self.next = 1 << 62
+        self.rows: list[tuple] = []
+
+    def bits(self, chosen: np.ndarray):
+        return self.spark.sparkContext.broadcast((self.places, np.packbits(chosen, bitorder="little")))
+
+    def vectors(self, places: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Terms and counts of some tails."""
+        chosen = np.zeros(len(self.size), bool)
+        chosen[places] = True
+        wanted = self.bits(chosen)
+        rows = self.tails.select("number", "terms", "counts").mapInArrow(partial(_select, wanted=wanted), "place long, terms binary, counts binary").toArrow()
+        wanted.destroy()
+        return {p: v for batch in rows.to_batches() for p, v in zip(batch.column("place").to_pylist(), vectors_of(batch))}
+
+    def seeds(self) -> np.ndarray:
+        """The longest unused pieces that full windows can start with, longest first."""
+        left = self.size - self.used
+        windows = (int(left.sum()) + sum(self.window - w[2] for w in self.open)) // self.window - len(self.open)
+        order = np.argsort(-left, kind="stable")[: max(0, min(windows, self.round_size() - len(self.open)))]
+        return order[left[order] > 0]
+
+    def neighbours(self) -> int:
+        """How many neighbours a seed asks for: some windows full of them, by their mean length."""
+        left = self.size - self.used
+        mean = max(1, int(left.sum()) // max(1, int((left > 0).sum())))
+        return min(self.window, max(LEAST_NEIGHBOURS, 4 * self.window // mean))
+
+    def round_size(self) -> int:
+        return max(1, min(ROUND_SEEDS, ROUND_ENTRIES // self.neighbours()))
+
+    def start(self, place: int) -> list:
+        window = [place, [], self.window]
+        self.take(window, place)
+        return window
+
+    def take(self, window: list, place: int) -> None:
+        """Put an unused piece in the window; what has no place there stays unused."""
+        length = min(int(self.size[place] - self.used[place]), window[2])
+        window[1].append((place, int(self.used[place]), length))
+        self.used[place] += length
+        window[2] -= length
+
+    def fill(self, window: list, neighbours: np.ndarray) -> bool:
+        for place in neighbours:
+            if not window[2]:
+                break
+            if self.used[place] < self.size[place]:
+                self.take(window, int(place))
+        return not window[2]
+
+    def put(self, pieces: list[tuple[int, int, int]]) -> None:
+        offset = 0
+        for place, start, length in pieces:
+            self.rows.append((self.numbers[place], start, length, self.next, offset))
+            offset += length
+        self.next += 1
+
+    def round(self) -> None:
+        """One search of the whole corpus for the windows still open and the next seeds."""
+        most = self.neighbours()
+        seeds = self.seeds()
+        asking = np.concatenate([np.array([w[0] for w in self.open], np.int64), seeds])
+        terms = self.vectors(asking)
+        lists = [terms[int(p)][0] for p in asking]
+        asked = self.spark.sparkContext.broadcast(((np.concatenate(lists), offsets([len(x) for x in lists])), self.statistics))
+        unused = self.bits(self.used < self.size)
+        found = self.tails.select("number", "terms", "counts").mapInArrow(partial(_search, unused=unused, asked=asked, most=most + 1), "seed long, place long, score float")
+        best = found.repartition("seed").mapInArrow(partial(_merge, most=most + 1), "seed long, place long, score float").toArrow()
+        asked.destroy()
+        unused.destroy()
+        row, place, _ = merge_best(*(best.column(c).to_numpy() for c in ("seed", "place", "score")), most + 1)
+        bounds = np.searchsorted(row, np.arange(len(asking) + 1))
+        windows, self.open, before = self.open, [], self.used.copy()
+        for n, seed in enumerate(asking):
+            if n >= len(windows) and self.used[seed] > before[seed]:
+                continue  # an earlier seed took it; what it left, if any, waits for a later round
+            window = windows[n] if n < len(windows) else self.start(int(seed))
+            if self.fill(window, place[bounds[n]: bounds[n + 1]]):
+                self.put(window[1])
+            else:
+                self.open.append(window)
+
+    def finish(self) -> None:
+        """The same on the driver for the little that is left, and windows of powers of two at the end."""
+        left = np.flatnonzero(self.used < self.size)
+        vectors = self.vectors(np.concatenate([left, np.array([w[0] for w in self.open], np.int64)]).astype(np.int64))
+        index = Shard.of_corpus([vectors[int(p)] for p in left], self.statistics)
+
+        for window in self.open:  # seeds are started only while enough is left to fill their windows
+            self.fill(window, left[np.argsort(-index.scores(vectors[window[0]][0]), kind="stable")])
+            self.put(window[1])
+        self.open = []
+        pool = [(int(p), int(self.used[p]), np.empty(int(self.size[p] - self.used[p]), np.int8)) for p in left]
+        packer = Packer(self.window, self.next)
+        packer.put_rest(packer.pack(pool, len(self.statistics[0]), index, [vectors[int(p)][0] for p in left]))
+        self.rows += [(self.numbers[p], start, len(ids), sequence, offset) for p, start, ids, sequence, offset in packer.rows]
+
+    def write(self, path: str) -> None:
+        rows, self.rows = self.rows, []
+        columns = list(zip(*rows)) or [()] * 5
+        names = ["number", "from", "length", "sequence_id", "offset"]
+        self.spark.createDataFrame(pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)})).write.mode("append").parquet(path)
+
+    def windows(self) -> DataFrame:
+        """``number, from, length, sequence_id, offset`` of every piece of a tail."""
+        path = scratch_path(self.spark, "windows")
+        while int((self.size - self.used).sum()) > REST_TOKENS:
+            self.round()
+            self.write(path)
+        self.finish()
+        self.write(path)
+        return self.spark.read.parquet(path)
 
 
 def pack(df: DataFrame, key: str, text: str, vocabulary: str, end: int, window: int) -> DataFrame:
@@ -152,19 +451,30 @@ def pack(df: DataFrame, key: str, text: str, vocabulary: str, end: int, window:
 
     A document is its ids and ``end`` after them; a null text counts as empty and is ``end``
     alone. Windows that a document fills by itself are cut off its start. What is left goes
-    into the shard's pool: consecutive documents of a scan task form a shard with a BM25
-    index over token ids, where each seed's best unused neighbours fill its window. The
-    unfilled last window goes on into the task's next shard, and at the task's end into
-    windows of powers of two. So no window is padded unless ``window`` is no power of two.
+    into one pool of the whole corpus. The longest unused piece is the next seed, and its best
+    unused neighbours by BM25 fill its window; the last one is cut, what is left of it stays
+    unused. Document frequencies and the mean length are those of the pool. What remains at
+    the end goes into windows of powers of two, so no window is padded unless ``window`` is
+    no power of two.
+
+    Seeds search in rounds: all seeds of a round are asked of every unused piece of the corpus,
+    then take their neighbours longest seed first. A seed whose list was used up by others
+    keeps its window open and asks again in the next round. So the work grows with the
+    square of the corpus. The driver holds a few bytes per tail, and a round's lists.
 
     ``ids`` are little-endian unsigned 32-bit numbers. Repeated rows and null keys are documents
-    like others; other columns are left out. No shuffle: a shard is bounded in bytes, or
-    by the longest text, and a task that runs again gives the same windows and numbers.
+    like others; other columns are left out. The encoded documents and the places are written
+    to the shared folder, so a task that runs again gives the same windows and numbers.
     """
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
     kind = df.schema[key].dataType.simpleString()
-    out = rows.mapInArrow(
-        partial(_pack, path=vocabulary, end=end, window=window),
-        f"key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long",
-    )
-    return out.withColumnRenamed("key", key)
+    encoded = stage(rows.mapInArrow(
+        partial(_encode, path=vocabulary, end=end, window=window),
+        f"key {kind}, start long, ids binary, doc_tokens long, sequence_id long, number long, terms binary, counts binary",
+    ), "encoded")
+    corpus = Corpus(encoded, max(byte_encoder(vocabulary).size, end + 1), window)
+    columns = ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    whole = encoded.where("sequence_id is not null").withColumn("length", F.lit(window).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+    tails = corpus.tails.drop("sequence_id", "terms", "counts").join(corpus.windows(), "number")
+    tails = tails.withColumn("ids", F.expr("substring(ids, cast(4 * `from` + 1 as int), cast(4 * length as int))")).withColumn("start", F.col("start") + F.col("from"))
+    return whole.select(columns).unionByName(tails.select(columns)).withColumnRenamed("key", key)

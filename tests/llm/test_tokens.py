@@ -126,6 +126,72 @@ def test_window_takes_the_best_neighbour():
     assert sorted((d, s, len(i)) for d, s, i in rest) == [(1, 0, 4), (2, 3, 1)]
 
 
+def greedy(texts, library, window):
+    """Windows of the whole corpus one after the other: the longest unused tail and its best unused neighbours."""
+    ids = {d: np.array(library[BYTE].encode(t, add_special_tokens=False).ids + [1]) for d, t in texts.items()}
+    tails = {d: x[len(x) // window * window:] for d, x in ids.items() if len(x) % window}
+    sets = {d: set(x.tolist()) for d, x in tails.items()}
+    found = {t: sum(t in s for s in sets.values()) for t in set().union(*sets.values())}
+    mean = np.mean([len(x) for x in tails.values()])
+
+    def score(a, b):
+        norm = 1.2 * (0.25 + 0.75 * len(tails[b]) / mean)
+        count = {t: int((tails[b] == t).sum()) for t in sets[a] & sets[b]}
+        return sum(np.log1p((len(tails) - found[t] + 0.5) / (found[t] + 0.5)) * n * 2.2 / (n + norm) for t, n in count.items())
+
+    left, out = {d: len(x) for d, x in tails.items()}, []
+    while sum(left.values()) >= window:
+        seed = min((d for d in left if left[d]), key=lambda d: (-left[d], d))
+        order = [seed, *sorted((d for d in left if left[d] and d != seed), key=lambda d: -score(seed, d))]
+        space, taken = window, []
+        for d in order:
+            n = min(left[d], space)
+            taken.append((d, n))
+            left[d] -= n
+            space -= n
+            if not space:
+                break
+        out.append(taken)
+    return out
+
+
+def scattered(n=90, topics=6):
+    """Texts of a few topics, dealt over all partitions of a frame."""
+    dice = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "bdfglmnprst" for b in "aeiou" for c in "bdfglmnprst"]
+    dice.shuffle(words)
+    return {i: " ".join(dice.choices(words[i % topics * 90: i % topics * 90 + 90], k=dice.randint(5, 60))) for i in range(n)}
+
+
+@pytest.mark.parametrize("rest", [0, 1 << 19])
+def test_neighbours_come_from_the_whole_corpus(spark, library, monkeypatch, rest):
+    monkeypatch.setattr(packing, "ROUND_SEEDS", 1)
+    monkeypatch.setattr(packing, "REST_TOKENS", rest or 256)
+    monkeypatch.setattr(packing, "LEAST_NEIGHBOURS", 2)
+    monkeypatch.setattr(packing, "BLOCK_TEXTS", 8)
+    texts = scattered()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartitionByRange(6, "doc_id")
+    rows = packing.pack(docs, "doc_id", "text", BYTE, end=1, window=256).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        got.setdefault(r.sequence_id, []).append((r.doc_id, r.length))
+    want = greedy(texts, library, 256)
+    assert list(got.values())[: len(want)] == want
+
+
+def test_many_seeds_in_a_round(spark, library, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(packing, "REST_TOKENS", 256)
+    monkeypatch.setattr(packing, "ROUND_SEEDS", 16)
+    monkeypatch.setattr(packing, "LEAST_NEIGHBOURS", 2)
+    texts = scattered(300)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    rows = packing.pack(docs, "doc_id", "text", BYTE, end=1, window=256).withColumn("ids_crc32", F.crc32("ids")).collect()
+    assert check_packing(rows, texts, library, 256) == 0
+    assert sum(sum(s.length for s in rows if s.sequence_id == q) < 256 for q in {r.sequence_id for r in rows}) <= 8
+
+
 def brute_counts(text, spans, offsets, rule):
     out = []
     for begin, end in spans:
