@@ -52,7 +52,7 @@ class Shard:
 
     @classmethod
     def of_corpus(cls, vectors: list[tuple[np.ndarray, np.ndarray]], statistics: tuple) -> Shard:
-        """Index of ``(terms, counts)`` of texts, weighted by the statistics of the corpus."""
+        """Index of ``(terms, counts)`` of whole documents, weighted by the statistics of the corpus."""
         found, texts, mean = statistics
         index = cls.__new__(cls)
         lengths = np.array([len(t) for t, _ in vectors], np.int64)
@@ -143,7 +143,7 @@ class Packer:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, window: int) -> Iterator[pa.RecordBatch]:
-    """Windows that documents fill by themselves, numbered, and the tails that are left, with their terms."""
+    """Windows that documents fill by themselves, numbered, and a row per document of its tail and the terms of all of it."""
     encoder = byte_encoder(path)
     task = TaskContext.get().partitionId() << PLACE_BITS
     sequence = number = task
@@ -155,10 +155,11 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, window: int)
             for start in range(0, full, window):
                 rows.append((key, start, ids[start: start + window].tobytes(), len(ids), sequence, None, None, None))
                 sequence += 1
-            if full < len(ids):
-                terms, counts = np.unique(ids[full:], return_counts=True)
-                rows.append((key, full, ids[full:].tobytes(), len(ids), None, number, terms.astype("<u4").tobytes(), counts.astype("<u4").tobytes()))
-                number += 1
+            terms, counts = np.unique(ids, return_counts=True)
+            has_tail = full < len(ids)
+            rows.append((key, full, ids[full:].tobytes(), len(ids), None, number if has_tail else None,
+                         terms.astype("<u4").tobytes(), counts.astype("<u4").tobytes()))
+            number += has_tail
         columns = list(zip(*rows))
         kinds = [part.schema.field("key").type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         names = ["key", "start", "ids", "doc_tokens", "sequence_id", "number", "terms", "counts"]
@@ -338,7 +339,7 @@ class Corpus:
         return self.spark.sparkContext.broadcast((self.places, np.packbits(chosen, bitorder="little")))
 
     def vectors(self, places: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Terms and counts of some tails."""
+        """Terms and counts of the documents of some tails."""
         chosen = np.zeros(len(self.size), bool)
         chosen[places] = True
         wanted = self.bits(chosen)
@@ -453,9 +454,10 @@ def pack(df: DataFrame, key: str, text: str, vocabulary: str, end: int, window:
     alone. Windows that a document fills by itself are cut off its start. What is left goes
     into one pool of the whole corpus. The longest unused piece is the next seed, and its best
     unused neighbours by BM25 fill its window; the last one is cut, what is left of it stays
-    unused. Document frequencies and the mean length are those of the pool. What remains at
-    the end goes into windows of powers of two, so no window is padded unless ``window`` is
-    no power of two.
+    unused. A tail is searched for, and found, by the terms of its whole document; document
+    frequencies and the mean length are those of all whole documents. What remains at the end
+    goes into windows of powers of two, so no window is padded unless ``window`` is no power
+    of two.
 
     Seeds search in rounds: all seeds of a round are asked of every unused piece of the corpus,
     then take their neighbours longest seed first. A seed whose list was used up by others

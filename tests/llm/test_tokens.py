@@ -192,6 +192,17 @@ def test_many_seeds_in_a_round(spark, library, monkeypatch):
     assert sum(sum(s.length for s in rows if s.sequence_id == q) < 256 for q in {r.sequence_id for r in rows}) <= 8
 
 
+def test_long_documents_are_matched_by_all_their_words(spark, library):
+    size = lambda text: len(library[BYTE].encode(text, add_special_tokens=False).ids)
+    head, tail = " ".join(["river"] * 64), " ".join(["stone"] * 40)
+    assert size(f"{head} {tail}") + 1 == 64 + 41  # one window and the longest tail, which is the seed
+    texts = {0: f"{head} {tail}", 1: " ".join(["cloud"] * 30), 2: " ".join(["river"] * 39), 3: " ".join(["grass"] * 30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartitionByRange(4, "doc_id")
+    rows = packing.pack(docs, "doc_id", "text", BYTE, end=1, window=64).collect()
+    seed = next(r for r in rows if r.doc_id == 0 and r.start == 64)
+    assert [(r.doc_id, r.length) for r in sorted(rows, key=lambda r: r.offset) if r.sequence_id == seed.sequence_id] == [(0, 41), (2, 23)]
+
+
 def brute_counts(text, spans, offsets, rule):
     out = []
     for begin, end in spans:
