@@ -22,7 +22,7 @@ LEAF_ROWS = 256
 SAMPLE_ROWS = 65_536
 DEEPEST = 14
 #: Rows that a query's leaves hold, about: this share of all rows, and at least so many.
-SEARCH_SHARE, SEARCH_ROWS = 0.75, 4096
+SEARCH_SHARE, SEARCH_ROWS = 0.85, 4096
 #: Leaves whose rows are kept together.
 BLOCK_LEAVES = 32
 

@@ -83,6 +83,23 @@ def test_recall_and_order(spark):
     assert np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("n", [6000, 10000])
+def test_recall_of_the_defaults_without_structure(spark, n):
+    width = len(given(spark, "embeddings").where("embedding is not null").first().embedding)
+    rows = np.random.default_rng(n).standard_normal((n, width))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in forest.search(df, "vec_id", "embedding", df.vec_id % 50 == 0, 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    rows /= np.sqrt((rows * rows).sum(axis=1))[:, None]
+    hits = []
+    for q in range(0, n, 50):
+        score = rows @ rows[q]
+        score[q] = -2
+        hits.append(len(got[q] & set(np.argsort(-score)[:5].tolist())) / 5)
+    assert np.mean(hits) >= 0.92, np.mean(hits)
+
+
 def test_op3_is_exact_on_few_rows(spark):
     rows = [(r.vec_id, np.array(r.embedding)) for r in given(spark, "embeddings").collect()]
     got = [(r.query_id, r["rank"], r.vec_id) for r in queries.op3_neighbours(spark, SF_DIR).collect()]
