@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, forest, licenses, minhash, packing, repeats, substrings, token_counts, topk, toxicity
+from recordloom.llm import bpe, forest, licenses, minhash, mixing, packing, repair, repeats, substrings, token_counts, topk, toxicity, trie
+from recordloom.llm.sequences import digest_sorted
+from recordloom.session import stage
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -140,6 +142,58 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def spliced(conversations: DataFrame) -> DataFrame:
+    """Conversations that begin with the first turns of the one whose key is the next multiple of 20 towards zero."""
+    heads = conversations.select(F.col("key").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    head_turns = (F.crc32(F.col("key").cast("string").cast("binary")) % 4).cast("int")
+    rows = conversations.withColumn("base", F.col("key") - F.col("key") % 20).join(heads, "base", "left")
+    head = F.coalesce(F.slice("head", F.lit(1), head_turns), F.slice("turns", 1, 0))
+    rest = F.slice("turns", head_turns + 1, F.greatest(F.size("turns") - head_turns, F.lit(0)))
+    return rows.select("key", F.concat(head, rest).alias("turns"))
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of ``conversations`` with spliced heads."""
+    found = trie.trie(spliced(trie.paths(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")))
+    return found.withColumnsRenamed({"low": "conv_id", "parent": "parent_conv_id"})
+
+
+def damaged(df: DataFrame) -> DataFrame:
+    """``conversations`` with rows dropped, emptied, stripped, repeated or given to the user, by a checksum of their keys."""
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    damage = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")) % 20
+    rows = df.select("conv_id", "turn", filled("role").alias("role"), filled("text").alias("text"), damage.alias("damage")).where("damage <> 0")
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("damage") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.when(F.col("damage") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation of ``conversations`` after damage."""
+    given = table(spark, sf_dir, "conversations")
+    rows = damaged(given)
+    columns = ("conv_id", "turn", "role", "text")
+    plans = stage(repair.plan_repairs(rows, *columns), "repairs")
+    turns = repair.repaired(rows, plans, *columns)
+    digests = digest_sorted(turns.select("key", F.concat("role", F.lit(":"), "text").alias("piece")), "\n")
+    keys = given.select("conv_id").distinct()
+    both = keys.join(plans, keys["conv_id"].eqNullSafe(plans["key"]), "left").drop("key")
+    both = both.join(digests, both["conv_id"].eqNullSafe(digests["key"]), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return both.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.lit(trie.EMPTY)).alias("repaired_sha256"),
+    )
+
+
+@query
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` mixed by source to weights 1, 2, 3."""
+    return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
 _WORDS = "list_filter(string_split_regex({}, '[ \\t-\\r]+'), lambda x: x <> '')"
 
 SQL["op8_substring_dedup"] = f"""
@@ -165,3 +219,69 @@ m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.node = d.doc_id
 """
+
+_COUNT = "len(regexp_extract_all(coalesce({}, ''), '[^\\x20\\x09-\\x0D]+'))"
+
+SQL["op13_mixing"] = f"""
+WITH d AS (
+    SELECT doc_id, source, {_COUNT.format("text")} AS size,
+        -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT)::DOUBLE + 1) / {float(16**13 + 1)}::DOUBLE)
+        / greatest(length(regexp_replace(coalesce(text, ''), '[^a-zA-Z\\x{{C0}}-\\x{{24F}} ]', '', 'g')) / greatest(length(coalesce(text, '')), 1)::DOUBLE, 0.05) AS k
+    FROM documents
+), s AS (
+    SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source
+), l AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+        / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM s WINDOW o AS (ORDER BY 3 * source_size / w, source NULLS LAST)
+), m AS (SELECT min_by(level, 3 * source_size / w) AS level FROM l WHERE w * level < 3 * source_size),
+t AS (
+    SELECT l.source, source_size, least(3.0 * source_size, coalesce(w * m.level, 3.0 * source_size))::DOUBLE AS target FROM l LEFT JOIN m ON true
+), b AS (
+    SELECT *, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS epochs, round(target)::BIGINT AS budget FROM t
+)
+SELECT doc_id, size, source_size, target,
+    epochs * size + greatest(0, least(size, budget - epochs * source_size
+        - coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+"""
+
+#: The checksum of the decimal digits of a key, bit by bit.
+_CRC = """4294967295 - list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))"""
+
+SQL["op11_conversation_trie"] = f"""
+WITH r AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+), c AS (SELECT conv_id, ({_CRC.format("conv_id")}) % 4 AS h FROM (SELECT DISTINCT conv_id FROM r)),
+t AS (
+    SELECT c.conv_id, r.p, role, text FROM c JOIN r ON r.conv_id = c.conv_id - c.conv_id % 20 AND r.p <= h
+    UNION ALL
+    SELECT c.conv_id, r.p, role, text FROM c JOIN r ON r.conv_id = c.conv_id AND r.p > h
+), k AS (
+    SELECT conv_id, row_number() OVER q AS d, {_COUNT.format("text")} AS w,
+        md5(string_agg(md5(length(role) || ':' || role || text), ',') OVER q) AS node
+    FROM t WINDOW q AS (PARTITION BY conv_id ORDER BY p)
+    UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), g AS (
+    SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY d) AS up, max(d) OVER (PARTITION BY conv_id) AS len,
+        sum(w) OVER (PARTITION BY conv_id ORDER BY d DESC) AS below
+    FROM k
+), n AS (
+    SELECT node, d, any_value(up) AS up, any_value(w) AS w, min(conv_id) AS low, count(*) AS n_convs, sum(below) AS below,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = len), '')) AS ends_sha256
+    FROM g GROUP BY node, d
+), ch AS (SELECT up AS node, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (node, d)),
+o AS (
+    SELECT g.node, g.d, count(*) FILTER (WHERE y.n_children = 0) AS n_leaves, sum(y.w) AS own
+    FROM g JOIN (SELECT g.conv_id, g.d, x.w, x.n_children FROM g JOIN x ON x.node = g.node AND x.d = g.d AND x.low = g.conv_id) y
+        ON y.conv_id = g.conv_id AND y.d >= g.d
+    GROUP BY ALL
+)
+SELECT x.low AS conv_id, x.d::BIGINT AS depth, z.low AS parent_conv_id, x.n_convs, x.n_children, o.n_leaves,
+    (x.below - o.own)::BIGINT AS saved_tokens, x.ends_sha256
+FROM x JOIN o ON o.node = x.node AND o.d = x.d LEFT JOIN x z ON z.node = x.up AND z.d = x.d - 1
+"""
