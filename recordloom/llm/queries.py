@@ -226,7 +226,7 @@ SQL["op13_mixing"] = f"""
 WITH d AS (
     SELECT doc_id, source, {_COUNT.format("text")} AS size,
         -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT)::DOUBLE + 1) / {float(16**13 + 1)}::DOUBLE)
-        / greatest(length(regexp_replace(coalesce(text, ''), '[^a-zA-Z\\x{{C0}}-\\x{{24F}} ]', '', 'g')) / greatest(length(coalesce(text, '')), 1)::DOUBLE, 0.05) AS k
+        / greatest(length(translate(coalesce(text, ''), '{mixing.NO_PROSE.replace("'", "''")}', '')) / greatest(length(coalesce(text, '')), 1)::DOUBLE, 0.05) AS k
     FROM documents
 ), s AS (
     SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source
