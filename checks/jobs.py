@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from checks.court import finals
 from checks.fixtures import CASE_COLUMNS, KEPT_SYSTEM, LABEL, NA_EMPTY_REPLACED, Data, party_sql
 from checks.registry import query
+from recordloom.operators import filters
 from recordloom.operators.quality import union_all
 from recordloom.plans import cases as plan
 from recordloom.plans import loads
 from recordloom.schemas import CASE_FILE_COLUMNS, LEDGER_SCHEMA, LOOKUP_FILE_COLUMNS
 from recordloom.session import scratch_path, stage
-from recordloom.sources import csv, tables
+from recordloom.sources import bucketed, csv, tables
 from recordloom.streaming import ingest
 
 AS_OF = "2024-03-01 00:00:00"
@@ -183,9 +184,6 @@ def stream_load(d):
     return _landed(loads.read_landing(d.spark, out), loads.read_ledger(d.spark, out))
 
 
-
-
-
 def _commit(d: Data, rows: DataFrame, out: str, version: int) -> None:
     """Land rows and note their loads as completed."""
     tables.append_landing(rows, f"{out}/landing")
@@ -225,7 +223,30 @@ def _stream_sql(select: str) -> str:
 
 @query(_stream_sql("SELECT * FROM streamed_cases"))
 def stream_process_cases(d):
-    return d.spark.read.parquet(f"{_streamed(d)}/cases").drop("batch_id")
+    return d.spark.read.parquet(f"{_streamed(d)}/cases").drop("batch_id", "bucket")
+
+
+@query("""SELECT id, source_id, caption, load_id FROM (
+            SELECT *, CASE WHEN source_id >= 1000000000000 THEN 1 WHEN status = 'F' THEN 2 ELSE 0 END AS batch FROM amended_src)
+          QUALIFY row_number() OVER (PARTITION BY id ORDER BY batch, source_id) = 1""")
+def first_wins_buckets(d):
+    """Three batches into a table by buckets: the open cases, the amended rows of finished ones, then all rows."""
+    path, rows = scratch_path(d.spark, "first-wins"), d.amended()
+    late = F.col("source_id") >= 10**12
+    rows = rows.select("id", "source_id", "caption", "load_id", late.alias("late"), F.coalesce(F.col("status") == "F", F.lit(False)).alias("is_finished"))
+    rows = stage(rows, "amended")
+    columns = ["id", "source_id", "caption", "load_id"]
+    for batch_id, batch in enumerate((rows.where("not late and not is_finished"), rows.where("late"), rows.where("not late"))):
+        bucketed.first_wins_into(path, batch.select(columns), "id", ["source_id"], batch_id)
+    return bucketed.read_buckets(d.spark, path, rows.select(columns).schema)
+
+
+@query("SELECT s.id, s.load_id, s.caption FROM src s WHERE load_id IN (SELECT load_id FROM gov_file_load WHERE load_status = 'completed')")
+def prune_to_loads(d):
+    """A landing table partitioned by load, of which a ledger chooses the loads."""
+    path = scratch_path(d.spark, "landing")
+    landed = tables.materialize(d.src().select("id", "caption", "load_id"), path, ["load_id"])
+    return filters.prune_to(landed, d.gov("file_load").where("load_status = 'completed'"), "load_id").select("id", "load_id", "caption")
 
 
 @query(_stream_sql(party_sql("streamed_rows", "plaintiff")))

@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.text import null_if_in
-from recordloom.operators.joins import keep_matching
+from recordloom.operators.joins import BROADCAST_BYTES
+from recordloom.session import stage
+
+#: What a key of a broadcast takes, roughly.
+KEY_BYTES = 32
 
 
 def null_sentinels(df: DataFrame, columns: list[str], sentinels: tuple[str, ...] = ("NA",)) -> DataFrame:
@@ -50,9 +54,27 @@ def filter_names(df: DataFrame, column: str, includes: list[str] = (), excludes:
 
 
 def filter_loads(df: DataFrame, loads: DataFrame | list[int] | None) -> DataFrame:
-    """Rows of the given loads: a list of ids, or a frame with one ``load_id`` per row. None keeps no row."""
+    """Rows of the given loads: a list of ids, or a frame with a column ``load_id``. None keeps no row."""
     if loads is None:
         return df.where(F.lit(False))
     if isinstance(loads, DataFrame):
-        return keep_matching(df, loads, "load_id", unique=True)
+        return prune_to(df, loads, "load_id")
     return df.where(F.col("load_id").isin(*loads)) if loads else df.where(F.lit(False))
+
+
+def prune_to(df: DataFrame, keys: DataFrame, name: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows whose ``name`` is among ``keys``; of a table partitioned by ``name`` only their partitions are read.
+
+    The keys are written down and counted. Up to ``broadcast_bytes`` they are broadcast, and the scan takes its
+    partitions from that broadcast when it runs, so no key passes through the plan. Beyond it the
+    scan is limited to the range of the keys, and the join shuffles.
+    """
+    keys = stage(keys.select(name).dropna().distinct(), "pruning-keys")
+    found = keys.agg(F.min(name).alias("low"), F.max(name).alias("high"), F.count("*").alias("n")).first()
+    if not found["n"]:
+        return df.where(F.lit(False))
+    in_range = F.col(name).between(F.lit(found["low"]), F.lit(found["high"]))
+    wanted = keys.where(in_range)  # a selective condition, without which partitions are not pruned
+    if found["n"] * KEY_BYTES <= broadcast_bytes:
+        wanted = F.broadcast(wanted)
+    return df.where(in_range).join(wanted, name, "left_semi").select(*df.columns)

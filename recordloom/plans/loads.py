@@ -193,11 +193,6 @@ def unprocessed_loads(ledger: DataFrame, cases: DataFrame) -> DataFrame:
     return drop_matching(completed, cases, "load_id")
 
 
-def load_ids(loads: DataFrame) -> list[int]:
-    """The ids of a frame of loads. A load is a file, so this is a list of files, not of rows."""
-    return sorted(r["load_id"] for r in loads.select("load_id").distinct().toLocalIterator())
-
-
 def accept_cases(rows: DataFrame, case_types: DataFrame, version: str = "v2") -> DataFrame:
     """Case rows, with ``source_id`` and ``load_id``, that the incremental rules accept.
 
@@ -226,10 +221,10 @@ def process_loads(
     """``(cases after, new defendants, new plaintiffs)`` for the given loads.
 
     The first source row of a case wins, across loads and within one. The new cases
-    are staged once because all three results build on them. Loads are filtered by their
-    ids as literals, so a landing table partitioned by load is read only where they are.
+    are staged once because all three results build on them. A landing table partitioned by load is
+    read only where ``loads`` are, however many there are: their ids prune the scan as it runs.
     """
-    rows = filter_loads(source, load_ids(loads) if isinstance(loads, DataFrame) else loads)
+    rows = filter_loads(source, loads)
     batch = pick_first(accept_cases(rows, case_types, version), ["row_id"], ["source_id", "category"])
     fresh = stage(drop_matching(batch, cases, "row_id", unique=True), "new-cases")
     after = cases.unionByName(fresh)

@@ -15,11 +15,11 @@ from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from recordloom.functions.text import to_bigint
 from recordloom.operators.filters import filter_loads
-from recordloom.operators.joins import drop_matching, keep_matching
-from recordloom.operators.merge import pick_first
-from recordloom.plans.loads import accept_cases, commit_load, load_ids, party_rows
+from recordloom.operators.joins import drop_matching
+from recordloom.plans.loads import accept_cases, commit_load, party_rows
 from recordloom.schemas import CASE_FIELDS, CASE_FILE_COLUMNS, CASE_FILE_SCHEMA, LANDING_SCHEMA, LEDGER_SCHEMA
 from recordloom.session import stage
+from recordloom.sources.bucketed import BUCKETS, first_wins_into
 from recordloom.sources.csv import clean_fields, csv_options, file_schema
 from recordloom.sources.tables import existing_table, replace_parts
 
@@ -56,15 +56,15 @@ def stream_load(
 
 def stream_process(
     spark: SparkSession, load_dir: str, case_types: DataFrame, out_dir: str, checkpoint: str, version: str = "v2",
-    schema: T.StructType = LANDING_SCHEMA, max_files: int | None = None,
+    schema: T.StructType = LANDING_SCHEMA, max_files: int | None = None, buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Turn loads that were not processed yet into ``out_dir/cases``, ``defendants`` and ``plaintiffs``, one folder per batch.
 
     The stream follows the ledger in ``load_dir``, so a load counts once its commit is done. A
     load is processed once: if its file is loaded again later, the tables stay as they are.
     Only the landing partitions of new loads are read. The first row of a case wins over all batches.
-    The check runs against the written cases, not against stream state, so nothing
-    accumulates in memory. ``max_files`` cuts a backlog into micro-batches of that many ledger files.
+    The check runs against the written cases, of which only the buckets of a batch's own case ids are read,
+    not against stream state, so nothing accumulates in memory. ``buckets`` of the cases are fixed by the first run. ``max_files`` cuts a backlog into micro-batches of that many ledger files.
     """
     load_dir, out_dir = load_dir.rstrip("/"), out_dir.rstrip("/")
     versioned = T.StructType([*LEDGER_SCHEMA.fields, T.StructField("version", T.LongType())])
@@ -79,18 +79,18 @@ def stream_process(
 
     def process(batch: DataFrame, batch_id: int) -> None:
         completed = batch.where(F.col("load_status") == "completed").select("load_id").distinct()
-        ids = load_ids(drop_matching(completed, earlier(completed, "processed_loads", batch_id), "load_id", unique=True))
+        todo = stage(drop_matching(completed, earlier(completed, "processed_loads", batch_id), "load_id", unique=True), "open-loads")
         landed = existing_table(batch.sparkSession, f"{load_dir}/landing", schema)
         # a stream of files is read as it was defined, so the columns are chosen here
-        rows = filter_loads(landed, ids).select(*PROCESSED_COLUMNS)
-        first = stage(pick_first(accept_cases(rows, case_types, version), ["row_id"], ["source_id", "category"]), "batch-cases")
-        known = stage(keep_matching(earlier(first, "cases", batch_id).select("row_id"), rows.select(to_bigint(F.col("id")).alias("row_id")), "row_id"), "known-cases")
-        fresh = stage(drop_matching(first, known, "row_id", unique=True), "new-cases")
-        write(fresh, "cases", batch_id)
+        rows = filter_loads(landed, todo).select(*PROCESSED_COLUMNS)
+        fresh, known = first_wins_into(
+            f"{out_dir}/cases", accept_cases(rows, case_types, version), "row_id", ["source_id", "category"], batch_id,
+            seen=rows.select(to_bigint(F.col("id")).alias("row_id")), buckets=buckets,
+        )
         accepted = fresh.select("row_id").union(known)
         for name, column in (("defendants", "defendant"), ("plaintiffs", "plaintiff")):
             write(party_rows(rows, accepted, column), name, batch_id)
-        write(batch.sparkSession.createDataFrame([(i,) for i in ids], completed.schema), "processed_loads", batch_id)
+        write(todo, "processed_loads", batch_id)
 
     return (
         events.writeStream.foreachBatch(process)
