@@ -8,8 +8,10 @@ from checks.court import finals, labelled, routed
 from checks.registry import query
 from recordloom.operators import audit, filters, quality, sampling
 from recordloom.plans import cases as plan
-from recordloom.plans import classify, lineage, profile, usage
+from recordloom.plans import classify, lineage, profile, profile_state, usage
 from recordloom.schemas import CASE_FILE_COLUMNS, CIVIL_SUBTYPES, LOAD_STATUSES
+from recordloom.session import scratch_path
+from recordloom.sources import tables
 
 # --- quality ---------------------------------------------------------------------------------
 
@@ -196,6 +198,39 @@ def profile_orders(d):
     return _rounded(profile.profile(d.table("orders"), approx_distinct=False))
 
 
+@query(f"""SELECT * EXCLUDE (distinct_count), true AS distinct_within FROM ({_profile_sql("src", ["source_id"], CASE_FILE_COLUMNS, [])})""")
+def profile_by_load(d):
+    """Loads are profiled in three runs; their states alone make the profile of all."""
+    path, landed = scratch_path(d.spark, "states"), scratch_path(d.spark, "landing")
+    rows = tables.materialize(d.src().select("source_id", *CASE_FILE_COLUMNS, "load_id"), landed, ["load_id"])
+    loads = rows.select("load_id").distinct()
+    for part in ("load_id % 2 = 0", "load_id % 2 = 1", "load_id = 3"):
+        profile_state.profile_loads(rows, loads.where(part), path)
+    stats = _rounded(profile_state.merged_profile(profile_state.read_states(d.spark, path)))
+    exact = profile.distinct_counts(rows, ["source_id", *CASE_FILE_COLUMNS]).withColumnRenamed("distinct_count", "exact")
+    off = F.abs(F.col("distinct_count") - F.coalesce("exact", F.lit(0)))
+    within = (off <= profile_state.DISTINCT_ERROR * F.coalesce("exact", F.lit(0))).alias("distinct_within")
+    return stats.join(exact, "column_name", "left").select(*[c for c in stats.columns if c != "distinct_count"], within)
+
+
+@query("""SELECT c.name AS column_name, p.p AS probability, true AS rank_within FROM (VALUES ('o_totalprice'), ('o_custkey'), ('o_orderkey')) c(name),
+          (VALUES (0.0::DOUBLE), (0.01::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.99::DOUBLE), (1.0::DOUBLE)) p(p)""")
+def quantiles_by_load(d):
+    """Quantiles of merged sketches, held against the ranks they have in all rows."""
+    path, landed = scratch_path(d.spark, "states"), scratch_path(d.spark, "landing")
+    columns = ["o_totalprice", "o_custkey", "o_orderkey"]
+    rows = d.table("orders").select(*columns, (F.col("o_orderkey") % 9).cast("int").alias("load_id"))
+    rows = tables.materialize(rows, landed, ["load_id"])
+    profile_state.profile_loads(rows, rows.select("load_id").distinct(), path)
+    found = profile_state.merged_quantiles(profile_state.read_states(d.spark, path), [0.0, 0.01, 0.25, 0.5, 0.99, 1.0])
+    cells = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("cell")) for c in columns])))
+    ranks = cells.join(F.broadcast(found), "column_name").groupBy("column_name", "probability").agg(
+        (F.count_if(F.col("cell") < F.col("value")) / F.count("*")).alias("below"), (F.count_if(F.col("cell") <= F.col("value")) / F.count("*")).alias("upto")
+    )
+    error = profile_state.RANK_ERROR
+    return ranks.select("column_name", "probability", ((F.col("below") - error <= F.col("probability")) & (F.col("probability") <= F.col("upto") + error)).alias("rank_within"))
+
+
 @query(_profile_sql("src", ["source_id", "load_id"], CASE_FILE_COLUMNS, []))
 def profile_source_text(d):
     return _rounded(profile.profile(d.src(), approx_distinct=False))
