@@ -8,7 +8,7 @@ from checks.court import finals, labelled, routed
 from checks.registry import query
 from recordloom.operators import audit, filters, quality, sampling
 from recordloom.plans import cases as plan
-from recordloom.plans import classify, lineage, profile, profile_state, usage
+from recordloom.plans import classify, lineage, profile, profile_state, reachability, usage
 from recordloom.schemas import CASE_FILE_COLUMNS, CIVIL_SUBTYPES, LOAD_STATUSES
 from recordloom.session import scratch_path
 from recordloom.sources import tables
@@ -346,6 +346,22 @@ def lineage_upstream(d):
     return lineage.lineage_closure(d.gov("dataset_lineage"), starts, "upstream")
 
 
+@query("""WITH RECURSIVE e AS (
+            SELECT upstream_dataset_id AS a, downstream_dataset_id AS b FROM gov_dataset_lineage
+            UNION SELECT downstream_dataset_id, CAST(floor(downstream_dataset_id / 4) AS BIGINT) FROM gov_dataset_lineage WHERE downstream_dataset_id % 97 < 2),
+          reach(start_id, dataset_id) AS (SELECT a, b FROM e UNION SELECT r.start_id, e.b FROM reach r JOIN e ON e.a = r.dataset_id)
+          SELECT start_id, dataset_id FROM reach WHERE start_id <> dataset_id""")
+def lineage_reachable(d):
+    """From every dataset, in a graph whose edges back to the grandparent make cycles."""
+    edges = d.gov("dataset_lineage").select("upstream_dataset_id", "downstream_dataset_id")
+    back = edges.where("downstream_dataset_id % 97 < 2").select(
+        F.col("downstream_dataset_id").alias("upstream_dataset_id"), F.floor(F.col("downstream_dataset_id") / 4).cast("bigint").alias("downstream_dataset_id")
+    )
+    edges = edges.unionByName(back)
+    starts = edges.select(F.col("upstream_dataset_id").alias("dataset_id")).union(edges.select("downstream_dataset_id"))
+    return reachability.reachable(edges, starts)
+
+
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id, event_type, count(*) AS uses FROM events GROUP BY ALL")
 def usage_per_day(d):
     return usage.usage_rollup(d.table("events"), ["user_id", "event_type"])
