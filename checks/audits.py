@@ -346,11 +346,11 @@ def lineage_upstream(d):
     return lineage.lineage_closure(d.gov("dataset_lineage"), starts, "upstream")
 
 
-@query("""WITH RECURSIVE e AS (
+@query("""SELECT * FROM (WITH RECURSIVE e AS (
             SELECT upstream_dataset_id AS a, downstream_dataset_id AS b FROM gov_dataset_lineage
             UNION SELECT downstream_dataset_id, CAST(floor(downstream_dataset_id / 4) AS BIGINT) FROM gov_dataset_lineage WHERE downstream_dataset_id % 97 < 2),
           reach(start_id, dataset_id) AS (SELECT a, b FROM e UNION SELECT r.start_id, e.b FROM reach r JOIN e ON e.a = r.dataset_id)
-          SELECT start_id, dataset_id FROM reach WHERE start_id <> dataset_id""")
+          SELECT start_id, dataset_id FROM reach WHERE start_id <> dataset_id)""")
 def lineage_reachable(d):
     """From every dataset, in a graph whose edges back to the grandparent make cycles."""
     edges = d.gov("dataset_lineage").select("upstream_dataset_id", "downstream_dataset_id")
