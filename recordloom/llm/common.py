@@ -9,11 +9,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.operators.joins import lookup_join
+from recordloom.session import stage
+
 #: Bytes of text that a worker handles at once; a longer single text is handled alone.
 PART_BYTES = 1 << 20
+#: Bits of a row's position in its file.
+ROW_BITS = 40
 
 
 def worker_memory() -> dict:
@@ -60,8 +66,18 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def keyed(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a unique long ``name`` per row.
 
-    The number is made of the scan's partition and the row in it. A table's files give the
-    same partitions whenever they are read again by the same session, so two branches of a
-    plan agree. ``df`` must be such a scan, or columns of one.
+    The number is made of the row's file and its position there, so any plan that reads the
+    table again gives the same numbers, on however many executors. What is no scan of a table that knows
+    positions (parquet) is written down first. Names of files are joined as a lookup, one small row each.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    taken = {c.lower() for c in df.columns}
+    path, row = (next(n for n in (f"_{what}{i or ''}" for i in range(len(taken) + 1)) if n not in taken) for what in ("file", "row"))
+    place = [F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row)]
+    try:
+        located = df.select("*", *place)
+    except AnalysisException:
+        located = stage(df, "rows").select("*", *place)
+    files = located.select(path).distinct()
+    files = stage(files.select(path, (F.row_number().over(Window.orderBy(path)) - 1).cast("long").alias(f"{path}_number")), "files")
+    located = lookup_join(located, files, path, "inner")
+    return located.select(*[F.col(f"`{c}`") for c in df.columns], F.shiftleft(f"{path}_number", ROW_BITS).bitwiseOR(F.col(row)).alias(name))

@@ -151,7 +151,13 @@ def _route(batches: Iterator[pa.RecordBatch], forest: Broadcast, most: int) -> I
 
 
 def cosines(row: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Exact cosines, added up the same way wherever they are computed."""
+    """Exact cosines, added up the same way wherever they are computed.
+
+    Vectors are brought to components of about 1 by powers of two, which changes no digit, so that the
+    squares of very large or small ones neither overflow nor vanish.
+    """
+    row = np.ldexp(row, -np.frexp(np.abs(row).max(initial=0.0))[1])
+    others = np.ldexp(others, -np.frexp(np.abs(others).max(axis=1, initial=0.0))[1][:, None])
     return (others * row).sum(axis=1) / (np.sqrt((others * others).sum(axis=1)) * np.sqrt((row * row).sum()))
 
 

@@ -14,7 +14,7 @@ from recordloom.llm.common import parts, text_list, worker_memory
 # Phrases that are looked for as they stand, with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Wording of public licences and of the notes that name them.
+# Paragraphs of public licences and notes that name them.
 TEMPLATES = [
     ("gpl", "licensed under the gnu general public license version"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
@@ -30,6 +30,16 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
 ]
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -56,7 +66,7 @@ class Automaton:
                 self.note(self.link[s], n, end)
         # phrases that end wherever a state is reached by a match of their length
         self.found: list[list[tuple[int, str]]] = [[] for _ in self.link]
-        first = len(self.templates) - len(phrases)
+        first = self.phrases_from = len(self.templates) - len(phrases)
         places = {ended[n]: (len(self.templates[n][1]), self.templates[n][0]) for n in range(first, len(self.templates))}
         for s in range(1, len(self.link)):
             up = s
@@ -127,7 +137,10 @@ class Automaton:
         return places, matches
 
     def chains(self, matches: list[tuple[int, int, int]], gap: int) -> list[tuple[str, int, int, float]]:
-        """``(label, start, end, share)``: matches in a template's order, at most ``gap`` words apart, and the share of it they cover."""
+        """``(label, start, end, share)``: matches in a template's order, at most ``gap`` words apart, and the share of it they cover.
+
+        Of a phrase only the whole counts.
+        """
         out, open_chain = [], {}
         for end, state, length in matches:
             for n, to in self.ends[state].items():
@@ -140,7 +153,11 @@ class Automaton:
                         out.append((n, *chain))
                     open_chain[n] = [begin, end, to, length]
         out += [(n, *chain) for n, chain in open_chain.items()]
-        return sorted((self.templates[n][0], begin, end, covered / len(self.templates[n][1])) for n, begin, end, _, covered in out)
+        # a phrase is too short for a part of it to say anything
+        return sorted(
+            (self.templates[n][0], begin, end, covered / len(self.templates[n][1])) for n, begin, end, _, covered in out
+            if n < self.phrases_from or covered >= len(self.templates[n][1])
+        )
 
 
 SPANS = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]))

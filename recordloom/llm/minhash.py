@@ -285,15 +285,15 @@ def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return edges, tuple(seen.get[f"d{i}"] for i in range(len(parts)))
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, text: str, words: int, percent: int, row: str | None = None) -> DataFrame:
     """``key, n_shingles, component_id, representative``: documents grouped by links of similar ones.
 
     A text's set are its distinct shingles of ``words`` words, A-Z in lower case, words being runs
     without ASCII white space; a text with fewer words is one shingle. Two are linked if 100
     times their common shingles is at least ``percent`` times all of theirs. ``component_id`` is
     the smallest key that links reach, and one row of each component is its ``representative``:
-    the one with this key, or of several the first one read. ``df`` must be a scan (see
-    ``common.keyed``). Links are found by signatures, so one may be missed, see ``BANDS``; none is wrong.
+    the one with this key, or of several the first one by its place in the files (see ``common.keyed``;
+    ``row`` is a column that has such numbers already). Links are found by signatures, so one may be missed, see ``BANDS``; none is wrong.
 
     Equal sets count once. Buckets of bands link their members to a leader first. Components that
     are still apart, but have members in one bucket that agree in enough coordinates, form
@@ -305,7 +305,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int, percent: int
     id only where there is no other key. Other columns are left out.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = keyed(df.select(df[key].alias("key"), df[text].alias("text")), "rid")
+    named = [df[key].alias("key"), df[text].alias("text")]
+    rows = df.select(*named, df[row].alias("rid")) if row else keyed(df.select(*named), "rid")
     sets = stage(rows.mapInArrow(
         partial(_sets, words=words), f"rid long, key {kind}, size long, one long, two long, signature binary, bands array<long>"
     ), "sets")

@@ -184,10 +184,14 @@ def _count_terms(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[pa.R
 class Places:
     """Positions of pieces in the order of their numbers, which count from 0 in each task."""
 
-    def __init__(self, numbers: np.ndarray):
+    def __init__(self, task: np.ndarray, first: np.ndarray):
+        self.task, self.first = task, first
+
+    @classmethod
+    def of_numbers(cls, numbers: np.ndarray) -> Places:
         task = numbers >> PLACE_BITS
         first = np.flatnonzero(np.concatenate([[True], np.diff(task) != 0])) if len(task) else np.zeros(0, np.int64)
-        self.task, self.first = task[first], first
+        return cls(task[first], first)
 
     def of(self, numbers: np.ndarray) -> np.ndarray:
         return self.first[np.searchsorted(self.task, numbers >> PLACE_BITS)] + (numbers & ((1 << PLACE_BITS) - 1))
@@ -195,7 +199,8 @@ class Places:
 
 def _select(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
     """Rows whose pieces' bits are set."""
-    places, bits = wanted.value
+    *places, bits = wanted.value  # plain arrays: what is broadcast is not shipped by value as functions are
+    places = Places(*places)
     for batch in batches:
         place = places.of(batch.column("number").to_numpy())
         keep = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
@@ -330,13 +335,13 @@ class Corpus:
         self.numbers = numbers[order]
         self.size = sizes.column("size").to_numpy()[order].astype(np.int32)
         self.used = np.zeros(len(order), np.int32)
-        self.places = Places(self.numbers)
+        self.places = Places.of_numbers(self.numbers)
         self.open: list[list] = []  # a window's seed, its pieces (place, start, length) and its free tokens
         self.next = 1 << 62
         self.rows: list[tuple] = []
 
     def bits(self, chosen: np.ndarray):
-        return self.spark.sparkContext.broadcast((self.places, np.packbits(chosen, bitorder="little")))
+        return self.spark.sparkContext.broadcast((self.places.task, self.places.first, np.packbits(chosen, bitorder="little")))
 
     def vectors(self, places: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """Terms and counts of the documents of some tails."""

@@ -314,8 +314,8 @@ def remove_repeated_bytes(df: DataFrame, key: str, text: str, length: int) -> Da
 
     Every byte is removed that is covered by a string of ``length`` bytes which also starts
     elsewhere, in the same text or another; matches never cross texts. ``n_spans`` are the maximal
-    removed runs, ``kept`` the bytes left, which need not be whole characters. ``df`` must be
-    a scan, since rows are numbered as they are read (see ``common.keyed``).
+    removed runs, ``kept`` the bytes left, which need not be whole characters. Rows are numbered by
+    their places in files (see ``common.keyed``).
 
     A sketch over all partitions rules out strings that occur once. What is left meets by
     core and is indexed in pieces of bounded size, in the order of a sorted shuffle. Equal

@@ -187,8 +187,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int, as_they_are:
     Words are runs without ASCII white space, unchanged. A window is repeated if its words
     start anywhere else too, in the same text or another one; all its copies are removed.
     ``kept`` are the words left, joined by one blank; with ``as_they_are`` a text that loses no
-    word is kept as it is. ``df`` must be a scan, since rows are numbered as they are read (see
-    ``common.keyed``).
+    word is kept as it is. Rows are numbered by their places in files (see ``common.keyed``).
 
     First pass: a sketch of the windows' cores, merged over all partitions. Second pass: windows
     that the sketch does not rule out are compared exactly. Equal windows of a part settle
