@@ -22,11 +22,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates by five-word shingles, the one with the smallest id."""
-    rows = keyed(docs, "rid")
-    named = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("name"), "text")
-    found = minhash.near_duplicates(named, "name", "text", words=5, percent=80)
-    return rows.join(found.where("representative").select("name.rid"), "rid", "left_semi").select(*docs.columns)
+    """One document of each group of near-duplicates by five-word shingles, the one with the smallest id; of rows with one id the first in the files."""
+    rows = keyed(docs.select(F.struct("*").alias("row"), "doc_id", "text"), "rid")
+    named = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("name"), "text", "rid")
+    found = minhash.near_duplicates(named, "name", "text", words=5, percent=80, row="rid")
+    return rows.join(found.where("representative").select("name.rid"), "rid", "left_semi").select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
