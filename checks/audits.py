@@ -144,6 +144,17 @@ def step_counts(d):
     })
 
 
+@query("""SELECT 'source_data' AS step, count(*) AS row_count FROM src UNION ALL SELECT 'labelled', count(*) FROM labelled
+          UNION ALL SELECT 'civil', count(*) FROM civil UNION ALL SELECT 'accepted', count(*) FROM branch_a
+          UNION ALL SELECT 'final_cases', count(*) FROM final_cases UNION ALL SELECT 'final_defendants', count(*) FROM final_defendants
+          UNION ALL SELECT 'final_plaintiffs', count(*) FROM final_plaintiffs""")
+def published_step_counts(d):
+    """Counted while the tables are published."""
+    counter = audit.StepCounter()
+    plan.publish(d.src(), d.ct(), scratch_path(d.spark, "published"), counter)
+    return counter.counts(d.spark)
+
+
 @query("""SELECT f.load_id, f.file_name, f.load_status, f.error_message, f.rows_loaded,
                  CAST(date_diff('second', f.load_started_at, f.load_completed_at) AS BIGINT) AS duration_seconds,
                  coalesce(s.n, 0) AS source_rows, coalesce(s.m, 0) AS processed_rows

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recordloom.functions.dates import safe_to_date
 from recordloom.functions.labels import label_subtype
 from recordloom.functions.text import to_bigint
+from recordloom.operators.audit import StepCounter
 from recordloom.operators.filters import mentions_any, null_sentinels
 from recordloom.operators.joins import left_join_many, lookup_join
 from recordloom.operators.parties import unnest_party
@@ -87,14 +88,19 @@ def case_party_report(cases: DataFrame, parties: DataFrame, prefix: str) -> Data
     return left_join_many(cases.select("row_id", "case_number", "caption", "category", "file_date"), named, "row_id")
 
 
-def publish(source: DataFrame, case_types: DataFrame, out_dir: str) -> dict[str, DataFrame]:
+def publish(source: DataFrame, case_types: DataFrame, out_dir: str, counter: StepCounter | None = None) -> dict[str, DataFrame]:
     """Replace the three result tables.
 
     The routed rows are not staged: the lookup join needs no shuffle, so reading the
-    few routing columns again costs less than writing the wide rows once more.
+    few routing columns again costs less than writing the wide rows once more. A ``counter`` gets the rows of
+    each step as the tables are written.
     """
-    names = ("final_cases", "final_defendants", "final_plaintiffs")
-    return {
-        name: materialize(df, f"{out_dir.rstrip('/')}/{name}")
-        for name, df in zip(names, final_tables(source, case_types))
-    }
+    cases, defendants, plaintiffs = final_tables(source, case_types)
+    if counter:
+        labelled = label_with_lookup(counter.watch(source, "source_data"), case_types)
+        civil = F.col("subtype").isin(*CIVIL_SUBTYPES)
+        routed = counter.watch(route(labelled), "labelled", civil=civil, accepted=F.col("branch") == "A")
+        cases = counter.watch(build_cases(routed), "final_cases")
+        defendants, plaintiffs = counter.watch(defendants, "final_defendants"), counter.watch(plaintiffs, "final_plaintiffs")
+    results = {"final_cases": cases, "final_defendants": defendants, "final_plaintiffs": plaintiffs}
+    return {name: materialize(df, f"{out_dir.rstrip('/')}/{name}") for name, df in results.items()}

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from recordloom.functions.labels import label_subtype
 from recordloom.functions.text import to_bigint
+from recordloom.operators.audit import StepCounter
 from recordloom.operators.filters import filter_in, filter_loads, null_sentinels
 from recordloom.operators.joins import drop_matching, keep_matching, lookup_join
 from recordloom.operators.merge import pick_first, update_where, upsert
@@ -216,16 +217,20 @@ def party_rows(rows: DataFrame, cases: DataFrame, column: str) -> DataFrame:
 
 
 def process_loads(
-    source: DataFrame, case_types: DataFrame, cases: DataFrame, loads: DataFrame | list[int], version: str = "v2"
+    source: DataFrame, case_types: DataFrame, cases: DataFrame, loads: DataFrame | list[int], version: str = "v2",
+    counter: StepCounter | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(cases after, new defendants, new plaintiffs)`` for the given loads.
 
     The first source row of a case wins, across loads and within one. The new cases
     are staged once because all three results build on them. A landing table partitioned by load is
-    read only where ``loads`` are, however many there are: their ids prune the scan as it runs.
+    read only where ``loads`` are, however many there are: their ids prune the scan as it runs. A ``counter``
+    gets the rows of each step up to the new cases as these are written.
     """
     rows = filter_loads(source, loads)
-    batch = pick_first(accept_cases(rows, case_types, version), ["row_id"], ["source_id", "category"])
-    fresh = stage(drop_matching(batch, cases, "row_id", unique=True), "new-cases")
+    watch = counter.watch if counter else lambda df, step: df
+    accepted = watch(accept_cases(watch(rows, "load_rows"), case_types, version), "accepted")
+    batch = watch(pick_first(accepted, ["row_id"], ["source_id", "category"]), "first_rows")
+    fresh = stage(watch(drop_matching(batch, cases, "row_id", unique=True), "new_cases"), "new-cases")
     after = cases.unionByName(fresh)
     return after, party_rows(rows, after, "defendant"), party_rows(rows, after, "plaintiff")
