@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.court import finals, labelled, routed
 from checks.registry import query
-from recordloom.operators import audit, filters, quality, sampling
+from recordloom.operators import audit, bitmaps, filters, quality, sampling
 from recordloom.plans import cases as plan
 from recordloom.plans import classify, lineage, profile, profile_state, reachability, usage
 from recordloom.schemas import CASE_FILE_COLUMNS, CIVIL_SUBTYPES, LOAD_STATUSES
@@ -66,6 +66,28 @@ def linkage_coverage(d):
     return quality.linkage_report(*finals(d))
 
 
+@query("""WITH total AS (SELECT count(*) AS n FROM final_cases)
+          SELECT metric, row_count, CAST((20000 * row_count + n) // (2 * n) AS DOUBLE) / 100 AS percentage FROM total, (
+            SELECT 'Cases with defendants' AS metric, count(DISTINCT row_id) AS row_count FROM final_cases WHERE row_id IN (SELECT row_id FROM final_defendants)
+            UNION ALL SELECT 'Cases with plaintiffs', count(DISTINCT row_id) FROM final_cases WHERE row_id IN (SELECT row_id FROM final_plaintiffs)
+            UNION ALL SELECT 'Cases with both', count(DISTINCT row_id) FROM final_cases
+              WHERE row_id IN (SELECT row_id FROM final_plaintiffs) AND row_id IN (SELECT row_id FROM final_defendants))""")
+def linkage_by_bitmaps(d):
+    names = ("cases", "defendants", "plaintiffs")
+    return bitmaps.linkage(quality.union_all([bitmaps.key_states(df, "row_id", name) for name, df in zip(names, finals(d))]))
+
+
+@query("""SELECT 'amended' AS table_name, count(*) AS row_count, count(DISTINCT CAST(id AS BIGINT)) AS unique_keys FROM amended_src
+          UNION ALL SELECT 'customers', count(*), count(DISTINCT o_custkey) FROM orders""")
+def distinct_by_load(d):
+    """States of loads, written in three runs, of which the last comes again."""
+    path, rows = scratch_path(d.spark, "key-states"), d.amended()
+    for part in ("load_id % 2 = 0", "load_id % 2 = 1", "load_id = 3"):
+        bitmaps.write_states(bitmaps.key_states(rows.where(part), "id", "amended", "load_id"), path)
+    bitmaps.write_states(bitmaps.key_states(d.table("orders"), "o_custkey", "customers", F.col("o_orderkey") % 5), path)
+    return bitmaps.summary(bitmaps.read_states(d.spark, path))
+
+
 @query("""SELECT 'Duplicate row_id' AS check_name, count(*) - count(DISTINCT row_id) AS value,
                  CASE WHEN count(*) = count(DISTINCT row_id) THEN 'OK' ELSE 'WARN' END AS status FROM final_cases""")
 def duplicate_key_check(d):
