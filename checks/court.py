@@ -16,6 +16,9 @@ from recordloom.plans.loads import accept_cases, process_loads, unprocessed_load
 from recordloom.plans.sql_names import case_views, register_functions, register_views
 from recordloom.schemas import CIVIL_SUBTYPES, CLEANED_COLUMNS, EXCLUDED_SYSTEMS
 
+#: What may stand before a JSON document.
+JSON_BLANKS = " \t\n\r"
+
 
 def labelled(d: Data) -> DataFrame:
     return plan.label_with_lookup(d.src(), d.ct())
@@ -158,13 +161,13 @@ def case_party_report(d):
     return plan.case_party_report(cases, defendants, "defendant")
 
 
-@query("""SELECT id, CAST(e AS VARCHAR) AS element FROM (
+@query("""SELECT id, nullif(CAST(e AS VARCHAR), 'null') AS element FROM (
             SELECT id, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN from_json(j, '["JSON"]') ELSE [j] END) AS e
             FROM (SELECT id, CAST(plaintiff AS JSON) AS j FROM src
-                  WHERE plaintiff IS NOT NULL AND plaintiff NOT IN ('NA', '') AND json_valid(plaintiff)
-                    AND plaintiff <> 'null'))""")
+                  WHERE plaintiff IS NOT NULL AND plaintiff NOT IN ('NA', '') AND json_valid(plaintiff)))""")
 def lateral_elements(d):
-    rows = d.src().where(filters.usable_document(F.col("plaintiff")) & (F.col("plaintiff") != "null"))
+    """All documents; a JSON null is one element, NULL."""
+    rows = d.src().where(filters.usable_document(F.col("plaintiff")))
     return rows.select("id", F.explode(json_elements(F.col("plaintiff"))).alias("element"))
 
 
@@ -324,13 +327,13 @@ def text_functions(d):
           WHERE plaintiff NOT IN ('NA', '') AND json_valid(plaintiff)""")
 def json_is_array(d):
     valid = d.src().where(safe_json(F.col("plaintiff")).isNotNull())
-    return valid.select("id", F.ltrim("plaintiff").startswith("[").alias("is_array"))
+    return valid.select("id", F.ltrim("plaintiff", F.lit(JSON_BLANKS)).startswith("[").alias("is_array"))
 
 
 @query("""SELECT id, CAST(json_array_length(CAST(defendant AS JSON)) AS BIGINT) AS n FROM src
           WHERE defendant NOT IN ('NA', '') AND json_valid(defendant) AND json_type(CAST(defendant AS JSON)) = 'ARRAY'""")
 def json_array_elements(d):
-    arrays = d.src().where(F.col("defendant").startswith("[")).select("id", json_elements(F.col("defendant")).alias("e"))
+    arrays = d.src().where(F.ltrim("defendant", F.lit(JSON_BLANKS)).startswith("[")).select("id", json_elements(F.col("defendant")).alias("e"))
     return arrays.where(F.col("e").isNotNull()).select("id", F.size("e").cast("bigint").alias("n"))
 
 
@@ -338,7 +341,7 @@ def json_array_elements(d):
             SELECT id, CAST(defendant AS JSON) AS j FROM src
             WHERE defendant NOT IN ('NA', '') AND json_valid(defendant) AND json_type(CAST(defendant AS JSON)) = 'OBJECT')""")
 def json_fields(d):
-    objects = d.src().where(F.col("defendant").startswith("{") & safe_json(F.col("defendant")).isNotNull())
+    objects = d.src().where(F.ltrim("defendant", F.lit(JSON_BLANKS)).startswith("{") & safe_json(F.col("defendant")).isNotNull())
     record = unpack_fields(F.col("defendant"), {"party_num": "Party No.", "zip": "Zip Code", "amount": "Amount"})
     return objects.select("id", record.alias("r")).select(
         "id", F.col("r")["Party No."].alias("party_num"), F.col("r")["Zip Code"].alias("zip"), F.col("r")["Amount"].alias("amount")
@@ -436,10 +439,11 @@ def sql_party_views(d):
         JOIN vw_all_plaintiffs p ON p.row_id = d.row_id AND p.party_num = d.party_num""")
 
 
-@query("""SELECT row_id, CAST(e AS VARCHAR) AS element FROM (
+@query("""SELECT row_id, nullif(CAST(e AS VARCHAR), 'null') AS element FROM (
             SELECT row_id, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN from_json(j, '["JSON"]') ELSE [j] END) AS e
             FROM (SELECT CAST(id AS BIGINT) AS row_id, CAST(defendant AS JSON) AS j FROM branch_a
-                  WHERE defendant IS NOT NULL AND defendant NOT IN ('NA', '', 'null') AND json_valid(defendant)))""")
+                  WHERE defendant IS NOT NULL AND defendant NOT IN ('NA', '') AND json_valid(defendant)))""")
 def sql_array_views(d):
+    """A JSON null among them is one element, NULL."""
     register_views(case_views(d.src(), d.ct()))
-    return d.spark.sql("SELECT row_id, defendant AS element FROM vw_defendant_array WHERE defendant IS NOT NULL")
+    return d.spark.sql("SELECT row_id, defendant AS element FROM vw_defendant_array")
