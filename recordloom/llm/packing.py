@@ -1,4 +1,4 @@
-"""Packing of documents into windows of tokens, neighbours found by lexical retrieval over the whole corpus."""
+"""Packing of documents into windows of tokens, neighbours found by lexical retrieval in shards of related documents."""
 
 from __future__ import annotations
 
@@ -11,23 +11,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import offsets, parts, ranges, text_list
+from recordloom.llm.common import offsets, parts, ranges, text_list, worker_memory
 from recordloom.llm.tokens import byte_encoder
 from recordloom.llm.windows import mixed
 from recordloom.session import scratch_path, stage
 
 #: BM25: how soon a repeated term saturates, and how much a text's length counts.
 SATURATION, LENGTH_WEIGHT = 1.2, 0.75
-#: Seeds of a round, neighbours that a seed asks for at least, and entries of all their lists.
-ROUND_SEEDS, LEAST_NEIGHBOURS, ROUND_ENTRIES = 1 << 14, 32, 1 << 20
-#: Unused tokens and pieces that the driver packs by itself at the end.
-REST_TOKENS = 1 << 19
-#: Texts that are indexed together, and cells of the scores computed together.
-BLOCK_TEXTS, SCORE_CELLS = 1 << 12, 1 << 20
-#: Terms in more than this share of the texts are multiplied as a dense matrix, at most so many of them.
+#: Documents that the routing tree is fitted on, about, and of these at least so many in a leaf.
+SAMPLE_ROWS, LEAF_ROWS = 1 << 13, 16
+#: Directions that documents are projected on to be routed.
+DIRECTIONS = 64
+#: Tokens that a task packs, shards of at most so many tokens and pieces each, and most tasks.
+PART_TOKENS, SHARD_TOKENS, SHARD_PIECES, MOST_PARTS = 1 << 22, 1 << 19, 1 << 11, 100_000
+#: Seeds whose scores are computed together, and neighbours sorted before all of a shard are.
+SEEDS, NEAREST = 64, 64
+#: Terms in more than this share of a shard's pieces are multiplied as a dense matrix, at most so many of them.
 COMMON_SHARE, MOST_COMMON = 0.06, 1 << 10
-#: Bits of a piece's number that count within a task.
-PLACE_BITS = 40
+#: Bits of a number that count within a task, and of a task's number within a level.
+PLACE_BITS, TASK_BITS = 40, 20
+
+#: What a piece carries from level to level; ``sequence_id`` is null while it is unused.
+PIECE = "start long, ids binary, doc_tokens long, sequence_id long, offset long, number long, leaf int, mark long, terms binary, counts binary"
+NAMES = [c.split()[0] for c in PIECE.split(", ")]
+KINDS = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]] for c in PIECE.split(", ")]
 
 
 def weigh(found: np.ndarray, texts: int, count: np.ndarray, size: np.ndarray, mean: float) -> np.ndarray:
@@ -37,451 +44,334 @@ def weigh(found: np.ndarray, texts: int, count: np.ndarray, size: np.ndarray, me
 
 
 class Shard:
-    """BM25 index of token lists: postings by term, weighted once."""
-
-    def __init__(self, lists: list[np.ndarray], terms: int):
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        pair = np.repeat(np.arange(len(lists), dtype=np.int64), sizes) + np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64) * len(lists)
-        pair, count = np.unique(pair, return_counts=True)
-        term, self.text = np.divmod(pair, max(1, len(lists)))
-        self.starts = np.searchsorted(term, np.arange(terms + 1))
-        found = np.diff(self.starts)
-        mean = max(1.0, sizes.mean() if len(sizes) else 1.0)
-        self.weight = weigh(found[term], len(lists), count, sizes[self.text], mean)
-        self.size = len(lists)
-
-    @classmethod
-    def of_corpus(cls, vectors: list[tuple[np.ndarray, np.ndarray]], statistics: tuple) -> Shard:
-        """Index of ``(terms, counts)`` of whole documents, weighted by the statistics of the corpus."""
+    """BM25 index of ``(terms, counts)`` of documents, weighted by the statistics of the corpus: postings by term, frequent terms as a matrix."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], statistics: tuple):
         found, texts, mean = statistics
-        index = cls.__new__(cls)
         lengths = np.array([len(t) for t, _ in vectors], np.int64)
         term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)]).astype(np.int64)
         count = np.concatenate([np.zeros(0, np.int64), *(c for _, c in vectors)]).astype(np.int64)
         text = np.repeat(np.arange(len(vectors)), lengths)
-        sizes = np.bincount(text, count, len(vectors))
-        weight = weigh(found[term], texts, count, sizes[text], mean)
-        order = np.argsort(term, kind="stable")
-        index.text, index.weight, index.size = text[order], weight[order], len(vectors)
-        index.starts = np.searchsorted(term[order], np.arange(len(found) + 1))
-        return index
+        weight = weigh(found[term], texts, count, np.bincount(text, count, len(vectors))[text], mean)
+        here = np.bincount(term, minlength=len(found))
+        common = np.flatnonzero(here > COMMON_SHARE * len(vectors))
+        common = common[np.argsort(-here[common], kind="stable")[:MOST_COMMON]]
+        self.size = len(vectors)
+        self.column = np.full(len(found), -1, np.int64)
+        self.column[common] = np.arange(len(common))
+        column = self.column[term]
+        self.dense = np.zeros((len(common), len(vectors)), np.float32)
+        self.dense[column[column >= 0], text[column >= 0]] = weight[column >= 0]
+        order = np.flatnonzero(column < 0)
+        order = order[np.argsort(term[order], kind="stable")]
+        self.text, self.weight = text[order], weight[order]
+        self.starts = offsets(np.where(self.column < 0, here, 0))
 
-    def scores(self, query: np.ndarray) -> np.ndarray:
-        """The score of every text for the distinct terms of the query."""
-        terms = np.unique(query)
-        at = ranges(self.starts[terms], self.starts[terms + 1] - self.starts[terms])
-        return np.bincount(self.text[at], self.weight[at], self.size)
+    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
+        """A row per query, lists of distinct terms, with the scores of all documents."""
+        row = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
+        query = np.concatenate([np.zeros(0, np.int64), *queries]).astype(np.int64)
+        column = self.column[query]
+        asked = np.zeros((len(queries), len(self.dense)), np.float32)
+        asked[row[column >= 0], column[column >= 0]] = 1
+        row, query = row[column < 0], query[column < 0]
+        length = self.starts[query + 1] - self.starts[query]
+        at = ranges(self.starts[query], length)
+        rare = np.bincount(np.repeat(row * self.size, length) + self.text[at], self.weight[at], len(queries) * self.size)
+        return asked @ self.dense + rare.reshape(len(queries), self.size).astype(np.float32)
 
 
-class Packer:
-    """Fills windows one after the other and numbers them."""
-
-    def __init__(self, window: int, first: int):
-        self.window, self.next = window, first
-        self.rows: list[tuple] = []
-
-    def put(self, pieces: list[tuple[int, int, np.ndarray]]) -> None:
-        """A window of ``(document, start, ids)``."""
-        offset = 0
-        for doc, start, ids in pieces:
-            self.rows.append((doc, start, ids, self.next, offset))
-            offset += len(ids)
-        self.next += 1
-
-    def put_rest(self, pieces: list[tuple[int, int, np.ndarray]]) -> None:
-        """Windows of powers of two, which need no padding, for what is left at the end."""
-        total = sum(len(ids) for _, _, ids in pieces)
-        pieces = pieces[::-1]
-        while total:
-            space = 1 << (total.bit_length() - 1)
-            total -= space
-            taken = []
-            while space:
-                doc, start, ids = pieces.pop()
-                if len(ids) > space:
-                    pieces.append((doc, start + space, ids[space:]))
-                    ids = ids[:space]
-                taken.append((doc, start, ids))
-                space -= len(ids)
-            self.put(taken)
-
-    def pack(self, pool: list[tuple[int, int, np.ndarray]], terms: int, index: Shard | None = None,
-             queries: list[np.ndarray] | None = None) -> list[tuple[int, int, np.ndarray]]:
-        """Pack a pool; returns the pieces of its last, unfilled window.
-
-        ``index`` and ``queries`` are those of the pieces' own ids unless they are given.
-
-        Each window starts with the longest unused piece, the seed, and takes its best unused
-        neighbours while there is space. The last one is cut; what is left of it stays unused.
-        """
-        index = index or Shard([ids for _, _, ids in pool], terms)
-        left = sum(len(ids) for _, _, ids in pool)
-        free = np.fromiter((len(ids) for _, _, ids in pool), np.int64, len(pool))
-        unused = free > 0
-        while left >= self.window:
-            seed = int(np.argmax(np.where(unused, free, -1)))
-            score = index.scores(queries[seed] if queries else pool[seed][2])
-            score[~unused] = -1
-            score[seed] = np.inf
-            taken, space = [], self.window
-            order = np.argsort(-score, kind="stable")
-            for n in order:
-                doc, start, ids = pool[n]
-                if len(ids) > space:
-                    pool[n] = (doc, start + space, ids[space:])
-                    free[n] -= space
-                    ids = ids[:space]
-                else:
-                    unused[n] = False
-                taken.append((doc, start, ids))
-                space -= len(ids)
-                if not space:
+def best_first(score: np.ndarray) -> Iterator[int]:
+    """Places by falling score, ties by place; most consumers need only a few of them."""
+    if len(score) > NEAREST:
+        near = np.flatnonzero(score >= np.partition(score, len(score) - NEAREST)[-NEAREST])
+        yield from near[np.argsort(-score[near], kind="stable")].tolist()
+        score = score.copy()
+        score[near] = -np.inf
+        yield from np.argsort(-score, kind="stable")[: len(score) - len(near)].tolist()
+    else:
+        yield from np.argsort(-score, kind="stable").tolist()
+
+
+def fill(free: np.ndarray, index: Shard, queries: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int]]]:
+    """Full windows of ``(piece, tokens)``; ``free`` holds the unused tokens of every piece and is counted down.
+
+    Each window starts with the longest unused piece, the seed, and takes its best unused
+    neighbours while there is space. The last one is cut; what is left of it stays unused.
+    """
+    left, known = int(free.sum()), {}
+    while left >= window:
+        seed = int(np.argmax(free))
+        if seed not in known:
+            ask = np.argsort(-free, kind="stable")[:SEEDS]
+            ask = ask[free[ask] > 0].tolist()
+            known = dict(zip(ask, index.scores([queries[n] for n in ask])))
+        score = np.where(free > 0, known.pop(seed), -1)
+        score[seed] = np.inf
+        taken, space = [], window
+        for n in best_first(score):
+            length = min(int(free[n]), space)
+            taken.append((n, length))
+            free[n] -= length
+            space -= length
+            if not space:
+                break
+        left -= window
+        yield taken
+
+
+def fill_rest(free: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+    """Windows of powers of two, which need no padding, for what is left at the end."""
+    total, n = int(free.sum()), 0
+    while total:
+        space, taken = 1 << (total.bit_length() - 1), []
+        total -= space
+        while space:
+            length = min(int(free[n]), space)
+            if length:
+                taken.append((n, length))
+            free[n] -= length
+            space -= length
+            n += not free[n]
+        yield taken
+
+
+def directions(terms: int) -> np.ndarray:
+    """A fixed sign per term and direction."""
+    memory = worker_memory()
+    if ("directions", terms) not in memory:
+        cell = np.arange(terms * DIRECTIONS, dtype=np.uint64)
+        memory["directions", terms] = ((mixed(cell) & np.uint64(1)).astype(np.float32) * 2 - 1).reshape(terms, DIRECTIONS)
+    return memory["directions", terms]
+
+
+def project(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> np.ndarray:
+    """Documents as unit vectors of projected, damped term counts."""
+    signs, out = directions(terms), np.zeros((len(vectors), DIRECTIONS), np.float32)
+    for n, (own, counts) in enumerate(vectors):
+        out[n] = np.log1p(counts).astype(np.float32) @ signs[own]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def fit_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Normals and borders of a binary tree in heap order: each node halves its points between two means."""
+    depth = max(0, int(np.log2(max(1, len(points) / LEAF_ROWS))))
+    normals, borders = np.zeros((1 << depth, DIRECTIONS), np.float32), np.zeros(1 << depth, np.float32)
+    groups = {1: np.arange(len(points))}
+    for node in range(1, 1 << depth):
+        own = groups.pop(node)
+        here = points[own]
+        if len(own):
+            far = here[np.argmax(((here - here.mean(0)) ** 2).sum(1))]
+            side = (here @ far) > np.median(here @ far)
+            for _ in range(8):
+                if side.all() or not side.any():
                     break
-            left -= self.window
-            self.put(taken)
-        return [pool[n] for n in np.flatnonzero(unused)]
+                normal = here[side].mean(0) - here[~side].mean(0)
+                normals[node], borders[node] = normal, np.median(here @ normal)
+                side = here @ normal > borders[node]
+        side = here @ normals[node] > borders[node]
+        groups[2 * node], groups[2 * node + 1] = own[~side], own[side]
+    return normals, borders
+
 
+def leaves(points: np.ndarray, tree: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    normals, borders = tree
+    node = np.ones(len(points), np.int64)
+    while len(node) and node[0] < len(borders):  # all points are on one level
+        node = 2 * node + ((points * normals[node]).sum(1) > borders[node])
+    return node - len(borders)
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, window: int) -> Iterator[pa.RecordBatch]:
-    """Windows that documents fill by themselves, numbered, and a row per document of its tail and the terms of all of it."""
+
+def _points(batches: Iterator[pa.RecordBatch], path: str, terms: int) -> Iterator[pa.RecordBatch]:
     encoder = byte_encoder(path)
-    task = TaskContext.get().partitionId() << PLACE_BITS
-    sequence = number = task
     for part in parts(batches, "text"):
-        rows = []
-        for key, text in zip(part.column("key"), text_list(part.column("text"))):
+        points = project([np.unique(encoder.encode(t), return_counts=True) for t in text_list(part.column("text"))], terms)
+        yield pa.record_batch({"point": pa.array([p.tobytes() for p in points], pa.binary())})
+
+
+def routing_tree(df: DataFrame, text: str, path: str, terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tree that documents are routed by, fitted on about ``SAMPLE_ROWS`` distinct texts, twice as many at most."""
+    texts = df.select(df[text].alias("text")).where(F.col("text") != "")
+    share = min(1.0, SAMPLE_ROWS / max(1, texts.count()))
+    mark = F.xxhash64("text")
+    chosen = texts.where(F.pmod(mark, F.lit(1 << 30)) < int(share * (1 << 30))).groupBy(mark.alias("mark")).agg(F.first("text").alias("text"))
+    points = chosen.select("text").limit(2 * SAMPLE_ROWS).mapInArrow(partial(_points, path=path, terms=terms), "point binary").collect()
+    return fit_tree(np.array([np.frombuffer(p.point, np.float32) for p in points], np.float32).reshape(-1, DIRECTIONS))
+
+
+def record(key: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * (1 + len(NAMES))
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [key, *KINDS])], ["key", *NAMES])
+
+
+def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, window: int, terms: int, tree) -> Iterator[pa.RecordBatch]:
+    """Windows that documents fill by themselves, numbered; the tail of every document, routed; one row of statistics.
+
+    A tail has the terms of its whole document beside it if they are not those of the tail.
+    The last row, without a ``doc_tokens``, counts documents per term, documents, tokens and tokens of tails.
+    """
+    encoder, tree = byte_encoder(path), tree.value
+    sequence = number = TaskContext.get().partitionId() << PLACE_BITS
+    found, kind = np.zeros(terms + 3, np.int64), pa.null()
+    for part in parts(batches, "text"):
+        rows, vectors, routed = [], [], []
+        kind = part.schema.field("key").type
+        for key, text in zip(part.column("key").to_pylist(), text_list(part.column("text"))):
             ids = np.append(encoder.encode(text), np.uint32(end)).astype("<u4")
             full = len(ids) // window * window
             for start in range(0, full, window):
-                rows.append((key, start, ids[start: start + window].tobytes(), len(ids), sequence, None, None, None))
+                rows.append((key, start, ids[start: start + window].tobytes(), len(ids), sequence, 0, None, None, None, None, None))
                 sequence += 1
-            terms, counts = np.unique(ids, return_counts=True)
-            has_tail = full < len(ids)
-            rows.append((key, full, ids[full:].tobytes(), len(ids), None, number if has_tail else None,
-                         terms.astype("<u4").tobytes(), counts.astype("<u4").tobytes()))
-            number += has_tail
-        columns = list(zip(*rows))
-        kinds = [part.schema.field("key").type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        names = ["key", "start", "ids", "doc_tokens", "sequence_id", "number", "terms", "counts"]
-        yield pa.record_batch([pa.array([k.as_py() for k in columns[0]], kinds[0]), *(pa.array(c, t) for c, t in zip(columns[1:], kinds[1:]))], names)
-
-
-def vectors_of(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [tuple(np.frombuffer(x, "<u4") for x in pair) for pair in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())]
+            own, counts = np.unique(ids, return_counts=True)
+            found[own] += 1
+            found[terms:] += 1, len(ids), len(ids) - full
+            if full < len(ids):
+                whole = (own.astype("<u4").tobytes(), counts.astype("<u4").tobytes()) if full else (None, None)
+                routed.append((key, full, ids[full:].tobytes(), len(ids), number, int(mixed(own.astype(np.uint64)).min() >> np.uint64(1)), *whole))
+                vectors.append((own, counts))
+                number += 1
+        for (*piece, number_, mark, own, counts), leaf in zip(routed, leaves(project(vectors, terms), tree).tolist()):
+            rows.append((*piece, None, None, number_, leaf, mark, own, counts))
+        yield record(kind, rows)
+    if found[terms]:
+        at = np.flatnonzero(found)
+        yield record(kind, [(None, None, None, None, None, None, None, None, None, at.astype("<i8").tobytes(), found[at].astype("<i8").tobytes())])
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[pa.RecordBatch]:
-    """Texts per term; after all terms the number of texts and of their tokens."""
-    found = np.zeros(terms + 2, np.int64)
+    """The sums of the rows of statistics."""
+    found = np.zeros(terms + 3, np.int64)
     for batch in batches:
-        for own, counts in vectors_of(batch):
-            found[own] += 1
-            found[terms:] += 1, int(counts.sum())
+        for at, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
+            found[np.frombuffer(at, "<i8")] += np.frombuffer(counts, "<i8")
     at = np.flatnonzero(found)
     yield pa.record_batch({"term": pa.array(at, pa.int64()), "found": pa.array(found[at], pa.int64())})
 
 
-class Places:
-    """Positions of pieces in the order of their numbers, which count from 0 in each task."""
-
-    def __init__(self, task: np.ndarray, first: np.ndarray):
-        self.task, self.first = task, first
-
-    @classmethod
-    def of_numbers(cls, numbers: np.ndarray) -> Places:
-        task = numbers >> PLACE_BITS
-        first = np.flatnonzero(np.concatenate([[True], np.diff(task) != 0])) if len(task) else np.zeros(0, np.int64)
-        return cls(task[first], first)
-
-    def of(self, numbers: np.ndarray) -> np.ndarray:
-        return self.first[np.searchsorted(self.task, numbers >> PLACE_BITS)] + (numbers & ((1 << PLACE_BITS) - 1))
+def vectors_of(rows: list[dict], terms: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Terms and counts of the documents of some pieces."""
+    ids = [np.zeros(0, "<u4") if r["terms"] else np.frombuffer(r["ids"], "<u4") for r in rows]
+    pair = np.repeat(np.arange(len(rows), dtype=np.int64) * terms, [len(i) for i in ids]) + np.concatenate([np.zeros(0, "<u4"), *ids])
+    pair, count = np.unique(pair, return_counts=True)
+    bounds = np.searchsorted(pair, np.arange(len(rows) + 1, dtype=np.int64) * terms)
+    own = (pair % terms).astype("<u4")
+    return [
+        (np.frombuffer(r["terms"], "<u4"), np.frombuffer(r["counts"], "<u4")) if r["terms"] else (own[a:b], count[a:b].astype("<u4"))
+        for r, a, b in zip(rows, bounds, bounds[1:])
+    ]
 
 
-def _select(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
-    """Rows whose pieces' bits are set."""
-    *places, bits = wanted.value  # plain arrays: what is broadcast is not shipped by value as functions are
-    places = Places(*places)
-    for batch in batches:
-        place = places.of(batch.column("number").to_numpy())
-        keep = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-        if keep.any():
-            kept = batch.filter(pa.array(keep))
-            yield pa.record_batch([pa.array(place[keep]), kept.column("terms"), kept.column("counts")], ["place", "terms", "counts"])
-
-
-def merge_best(row: np.ndarray, place: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``most`` best entries of each row, best first; a hash of both decides ties, so that rows differ in them."""
-    tie = mixed((row.astype(np.uint64) << np.uint64(40)) ^ place.astype(np.uint64))
-    order = np.lexsort((tie, -score, row))
-    sorted_row = row[order]
-    rank = np.arange(len(order)) - np.searchsorted(sorted_row, sorted_row)
-    order = order[rank < most]
-    return row[order], place[order], score[order]
-
-
-class Search:
-    """Asks all seeds of a round of block after block of texts, and keeps each seed's best."""
-
-    def __init__(self, seeds: tuple, statistics: tuple, most: int):
-        self.terms, self.bounds = seeds
-        self.found, self.texts, self.mean = statistics
-        self.most, self.n = most, len(self.bounds) - 1
-        common = np.flatnonzero(self.found > COMMON_SHARE * self.texts)
-        self.common = common[np.argsort(-self.found[common], kind="stable")[:MOST_COMMON]]
-        self.column = np.full(len(self.found), -1, np.int64)
-        self.column[self.common] = np.arange(len(self.common))
-        self.best = {}
-
-    def add(self, place: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        lengths = np.array([len(t) for t, _ in vectors], np.int64)
-        term = np.concatenate([t for t, _ in vectors]).astype(np.int64)
-        count = np.concatenate([c for _, c in vectors]).astype(np.int64)
-        text = np.repeat(np.arange(len(vectors)), lengths)
-        weight = weigh(self.found[term], self.texts, count, np.bincount(text, count, len(vectors))[text], self.mean)
-        column = self.column[term]
-        dense = np.zeros((len(self.common), len(vectors)), np.float32)
-        is_common = column >= 0
-        dense[column[is_common], text[is_common]] = weight[is_common]
-        order = np.flatnonzero(~is_common)
-        order = order[np.argsort(term[order], kind="stable")]
-        rare, text, weight = term[order], text[order], weight[order]
-        starts = np.searchsorted(rare, np.arange(len(self.found) + 1))
-        step = max(1, SCORE_CELLS // len(vectors))
-        for begin in range(0, self.n, step):
-            self.chunk(begin, min(self.n, begin + step), place, dense, starts, text, weight)
-
-    def chunk(self, begin, end, place, dense, starts, text, weight) -> None:
-        size = len(place)
-        query = self.terms[self.bounds[begin]: self.bounds[end]].astype(np.int64)
-        row = np.repeat(np.arange(end - begin), np.diff(self.bounds[begin: end + 1]))
-        column = self.column[query]
-        asked = np.zeros((end - begin, len(self.common)), np.float32)
-        asked[row[column >= 0], column[column >= 0]] = 1
-        scores = asked @ dense
-        row, query = row[column < 0], query[column < 0]
-        length = starts[query + 1] - starts[query]
-        at = ranges(starts[query], length)
-        scores += np.bincount(np.repeat(row * size, length) + text[at], weight[at], scores.size).reshape(scores.shape).astype(np.float32)
-        old = self.best.get(begin)
-        if old is None:
-            least = np.full(end - begin, -1, np.float32)
-            if size > self.most:  # what a row's best are found among; ties beyond them are drawn below
-                least = np.partition(scores, size - self.most, axis=1)[:, size - self.most]
-            old = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
-        else:
-            least = np.full(end - begin, -1, np.float32)
-            last = np.flatnonzero(np.bincount(old[0], minlength=end - begin) >= self.most)
-            least[last] = old[2][np.searchsorted(old[0], last, side="right") - 1]
-        new_row, new_text = np.nonzero(scores >= least[:, None])
-        rows = np.concatenate([old[0], new_row])
-        self.best[begin] = merge_best(rows, np.concatenate([old[1], place[new_text]]), np.concatenate([old[2], scores[new_row, new_text]]), self.most)
-
-    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = [(begin + row, place, score) for begin, (row, place, score) in self.best.items()]
-        return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
-
-
-def entries(row: np.ndarray, place: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for begin in range(0, len(row), 1 << 16):
-        own = slice(begin, begin + (1 << 16))
-        yield pa.record_batch({"seed": pa.array(row[own], pa.int64()), "place": pa.array(place[own], pa.int64()), "score": pa.array(score[own], pa.float32())})
-
-
-def _search(batches: Iterator[pa.RecordBatch], unused, asked, most: int) -> Iterator[pa.RecordBatch]:
-    search = Search(*asked.value, most)
-    waiting, vectors, size = [], [], 0
-    for batch in _select(batches, unused):
-        own = vectors_of(batch)
-        place = batch.column("place").to_numpy()
-        for begin in range(0, len(own), BLOCK_TEXTS // 4):
-            waiting.append(place[begin: begin + BLOCK_TEXTS // 4])
-            vectors += own[begin: begin + BLOCK_TEXTS // 4]
-            size = sum(len(t) for t, _ in vectors)
-            if len(vectors) >= BLOCK_TEXTS * 3 // 4 or size >= 4 * SCORE_CELLS:
-                search.add(np.concatenate(waiting), vectors)
-                waiting, vectors = [], []
-    if vectors:
-        search.add(np.concatenate(waiting), vectors)
-    yield from entries(*search.result())
-
-
-def _merge(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    kept, size = [], 0
+class Packer:
+    """Packs the pieces of a task, shard after shard; what a shard leaves goes into the next one."""
+
+    def __init__(self, key: pa.DataType, window: int, first: int, statistics: tuple):
+        self.key, self.window, self.next, self.statistics = key, window, first, statistics
+        self.pool: list[tuple[dict, tuple]] = []
+        self.tokens = 0
+
+    def add(self, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        for row, vector in zip(rows, vectors_of(rows, len(self.statistics[0]))):
+            self.pool.append((row, vector))
+            self.tokens += len(row["ids"]) // 4
+            if self.tokens >= 2 * self.window and (self.tokens >= SHARD_TOKENS or len(self.pool) >= SHARD_PIECES):
+                yield self.pack()
+
+    def pack(self, rest: bool = False) -> pa.RecordBatch:
+        """The windows of a shard; with ``rest`` also those of powers of two for what it leaves."""
+        self.pool.sort(key=lambda p: p[0]["number"])
+        free = np.array([len(r["ids"]) // 4 for r, _ in self.pool], np.int64)
+        size, rows = free.copy(), []
+        windows = fill(free, Shard([v for _, v in self.pool], self.statistics), [v[0] for _, v in self.pool], self.window)
+        used = np.zeros(len(free), np.int64)
+        for taken in [*windows, *(fill_rest(free) if rest else ())]:
+            offset = 0
+            for n, length in taken:
+                row, begin = self.pool[n][0], int(used[n])
+                rows.append((row["key"], row["start"] + begin, row["ids"][4 * begin: 4 * (begin + length)], row["doc_tokens"],
+                             self.next, offset, None, None, None, None, None))
+                used[n] += length
+                offset += length
+            self.next += 1
+        self.pool = [(r | {"start": r["start"] + int(u), "ids": r["ids"][4 * int(u):]}, v) for (r, v), u, s in zip(self.pool, used, size) if u < s]
+        self.tokens = int((size - used).sum())
+        return record(self.key, rows)
+
+    def left(self) -> pa.RecordBatch:
+        return record(self.key, [
+            (r["key"], r["start"], r["ids"], r["doc_tokens"], None, None, r["number"], r["leaf"], r["mark"], own.astype("<u4").tobytes(), counts.astype("<u4").tobytes())
+            for r, (own, counts) in self.pool
+        ])
+
+
+def _pack(batches: Iterator[pa.RecordBatch], statistics, window: int, level: int, last: bool) -> Iterator[pa.RecordBatch]:
+    packer = None
     for batch in batches:
-        kept.append(tuple(batch.column(c).to_numpy() for c in ("seed", "place", "score")))
-        size += batch.num_rows
-        if size > ROUND_ENTRIES:
-            kept = [merge_best(*map(np.concatenate, zip(*kept)), most)]
-            size = 0
-    if kept:
-        yield from entries(*merge_best(*map(np.concatenate, zip(*kept)), most))
-
-
-class Corpus:
-    """The encoded documents, and on the driver how far the tail of each is used."""
-
-    def __init__(self, encoded: DataFrame, terms: int, window: int):
-        self.spark, self.window = encoded.sparkSession, window
-        vectors = encoded.where("terms is not null")
-        counted = vectors.select("terms", "counts").mapInArrow(partial(_count_terms, terms=terms), "term long, found long")
-        total = counted.groupBy("term").agg(F.sum("found").alias("found")).toArrow()
-        found = np.zeros(terms + 2, np.int64)
-        found[total.column("term").to_numpy()] = total.column("found").to_numpy()
-        self.statistics = found[:terms], int(found[terms]), max(1.0, found[terms + 1] / max(1, found[terms]))
-        self.tails = encoded.where("number is not null")
-        sizes = self.tails.select("number", (F.length("ids") / 4).cast("int").alias("size")).toArrow()
-        numbers = sizes.column("number").to_numpy()
-        order = np.argsort(numbers)
-        self.numbers = numbers[order]
-        self.size = sizes.column("size").to_numpy()[order].astype(np.int32)
-        self.used = np.zeros(len(order), np.int32)
-        self.places = Places.of_numbers(self.numbers)
-        self.open: list[list] = []  # a window's seed, its pieces (place, start, length) and its free tokens
-        self.next = 1 << 62
-        self.rows: list[tuple] = []
-
-    def bits(self, chosen: np.ndarray):
-        return self.spark.sparkContext.broadcast((self.places.task, self.places.first, np.packbits(chosen, bitorder="little")))
-
-    def vectors(self, places: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Terms and counts of the documents of some tails."""
-        chosen = np.zeros(len(self.size), bool)
-        chosen[places] = True
-        wanted = self.bits(chosen)
-        rows = self.tails.select("number", "terms", "counts").mapInArrow(partial(_select, wanted=wanted), "place long, terms binary, counts binary").toArrow()
-        wanted.destroy()
-        return {p: v for batch in rows.to_batches() for p, v in zip(batch.column("place").to_pylist(), vectors_of(batch))}
-
-    def seeds(self) -> np.ndarray:
-        """The longest unused pieces that full windows can start with, longest first."""
-        left = self.size - self.used
-        windows = (int(left.sum()) + sum(self.window - w[2] for w in self.open)) // self.window - len(self.open)
-        order = np.argsort(-left, kind="stable")[: max(0, min(windows, self.round_size() - len(self.open)))]
-        return order[left[order] > 0]
-
-    def neighbours(self) -> int:
-        """How many neighbours a seed asks for: some windows full of them, by their mean length."""
-        left = self.size - self.used
-        mean = max(1, int(left.sum()) // max(1, int((left > 0).sum())))
-        return min(self.window, max(LEAST_NEIGHBOURS, 4 * self.window // mean))
-
-    def round_size(self) -> int:
-        return max(1, min(ROUND_SEEDS, ROUND_ENTRIES // self.neighbours()))
-
-    def start(self, place: int) -> list:
-        window = [place, [], self.window]
-        self.take(window, place)
-        return window
-
-    def take(self, window: list, place: int) -> None:
-        """Put an unused piece in the window; what has no place there stays unused."""
-        length = min(int(self.size[place] - self.used[place]), window[2])
-        window[1].append((place, int(self.used[place]), length))
-        self.used[place] += length
-        window[2] -= length
-
-    def fill(self, window: list, neighbours: np.ndarray) -> bool:
-        for place in neighbours:
-            if not window[2]:
-                break
-            if self.used[place] < self.size[place]:
-                self.take(window, int(place))
-        return not window[2]
-
-    def put(self, pieces: list[tuple[int, int, int]]) -> None:
-        offset = 0
-        for place, start, length in pieces:
-            self.rows.append((self.numbers[place], start, length, self.next, offset))
-            offset += length
-        self.next += 1
-
-    def round(self) -> None:
-        """One search of the whole corpus for the windows still open and the next seeds."""
-        most = self.neighbours()
-        seeds = self.seeds()
-        asking = np.concatenate([np.array([w[0] for w in self.open], np.int64), seeds])
-        terms = self.vectors(asking)
-        lists = [terms[int(p)][0] for p in asking]
-        asked = self.spark.sparkContext.broadcast(((np.concatenate(lists), offsets([len(x) for x in lists])), self.statistics))
-        unused = self.bits(self.used < self.size)
-        found = self.tails.select("number", "terms", "counts").mapInArrow(partial(_search, unused=unused, asked=asked, most=most + 1), "seed long, place long, score float")
-        best = found.repartition("seed").mapInArrow(partial(_merge, most=most + 1), "seed long, place long, score float").toArrow()
-        asked.destroy()
-        unused.destroy()
-        row, place, _ = merge_best(*(best.column(c).to_numpy() for c in ("seed", "place", "score")), most + 1)
-        bounds = np.searchsorted(row, np.arange(len(asking) + 1))
-        windows, self.open, before = self.open, [], self.used.copy()
-        for n, seed in enumerate(asking):
-            if n >= len(windows) and self.used[seed] > before[seed]:
-                continue  # an earlier seed took it; what it left, if any, waits for a later round
-            window = windows[n] if n < len(windows) else self.start(int(seed))
-            if self.fill(window, place[bounds[n]: bounds[n + 1]]):
-                self.put(window[1])
-            else:
-                self.open.append(window)
-
-    def finish(self) -> None:
-        """The same on the driver for the little that is left, and windows of powers of two at the end."""
-        left = np.flatnonzero(self.used < self.size)
-        vectors = self.vectors(np.concatenate([left, np.array([w[0] for w in self.open], np.int64)]).astype(np.int64))
-        index = Shard.of_corpus([vectors[int(p)] for p in left], self.statistics)
-
-        for window in self.open:  # seeds are started only while enough is left to fill their windows
-            self.fill(window, left[np.argsort(-index.scores(vectors[window[0]][0]), kind="stable")])
-            self.put(window[1])
-        self.open = []
-        pool = [(int(p), int(self.used[p]), np.empty(int(self.size[p] - self.used[p]), np.int8)) for p in left]
-        packer = Packer(self.window, self.next)
-        packer.put_rest(packer.pack(pool, len(self.statistics[0]), index, [vectors[int(p)][0] for p in left]))
-        self.rows += [(self.numbers[p], start, len(ids), sequence, offset) for p, start, ids, sequence, offset in packer.rows]
-
-    def write(self, path: str) -> None:
-        rows, self.rows = self.rows, []
-        columns = list(zip(*rows)) or [()] * 5
-        names = ["number", "from", "length", "sequence_id", "offset"]
-        self.spark.createDataFrame(pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)})).write.mode("append").parquet(path)
-
-    def windows(self) -> DataFrame:
-        """``number, from, length, sequence_id, offset`` of every piece of a tail."""
-        path = scratch_path(self.spark, "windows")
-        while int((self.size - self.used).sum()) > REST_TOKENS:
-            self.round()
-            self.write(path)
-        self.finish()
-        self.write(path)
-        return self.spark.read.parquet(path)
+        if packer is None:
+            first = (level << TASK_BITS | TaskContext.get().partitionId()) << PLACE_BITS
+            packer = Packer(batch.schema.field("key").type, window, first, statistics.value)
+        for begin in range(0, batch.num_rows, SHARD_PIECES):
+            yield from packer.add(batch.slice(begin, SHARD_PIECES).to_pylist())
+    if packer:
+        yield packer.pack(rest=last)
+        yield packer.left()
 
 
 def pack(df: DataFrame, key: str, text: str, vocabulary: str, end: int, window: int) -> DataFrame:
     """``key, start, length, ids, doc_tokens, sequence_id, offset``: pieces of documents packed into windows.
 
     A document is its ids and ``end`` after them; a null text counts as empty and is ``end``
-    alone. Windows that a document fills by itself are cut off its start. What is left goes
-    into one pool of the whole corpus. The longest unused piece is the next seed, and its best
-    unused neighbours by BM25 fill its window; the last one is cut, what is left of it stays
-    unused. A tail is searched for, and found, by the terms of its whole document; document
-    frequencies and the mean length are those of all whole documents. What remains at the end
-    goes into windows of powers of two, so no window is padded unless ``window`` is no power
-    of two.
-
-    Seeds search in rounds: all seeds of a round are asked of every unused piece of the corpus,
-    then take their neighbours longest seed first. A seed whose list was used up by others
-    keeps its window open and asks again in the next round. So the work grows with the
-    square of the corpus. The driver holds a few bytes per tail, and a round's lists.
+    alone. Windows that a document fills by itself are cut off its start. What is left, its
+    tail, goes into one pool of the whole corpus, which is dealt into shards of related
+    documents: a tree of means, fitted on a bounded sample and applied to all, gives the leaf, the
+    smallest hash of a document's terms the order there, so that copies are neighbours. Sorted
+    by both over all partitions, runs of 2^19 tokens or 2,048 pieces are shards with a BM25 index each.
+
+    In a shard the longest unused piece is the next seed, and its best unused neighbours by BM25
+    fill its window; the last one is cut, what is left of it stays unused. A tail is searched
+    for, and found, by the terms of its whole document; document frequencies and the mean length
+    are those of the corpus. A seed sees its shard, not the corpus, so the work grows with
+    the corpus and not with its square. What a shard cannot use goes into the next one; what a
+    task leaves, less than a window, into the next level, where the same is done with what all tasks
+    left, until one task holds it; what remains there goes into windows of powers of two, so no window is padded.
 
     ``ids`` are little-endian unsigned 32-bit numbers. Repeated rows and null keys are documents
-    like others; other columns are left out. The encoded documents and the places are written
+    like others; other columns are left out. The encoded documents and each level are written
     to the shared folder, so a task that runs again gives the same windows and numbers.
     """
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+    terms = max(byte_encoder(vocabulary).size, end + 1)
+    tree = spark.sparkContext.broadcast(routing_tree(df, text, vocabulary, terms))
+    schema = f"key {kind}, {PIECE}"
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
-    kind = df.schema[key].dataType.simpleString()
-    encoded = stage(rows.mapInArrow(
-        partial(_encode, path=vocabulary, end=end, window=window),
-        f"key {kind}, start long, ids binary, doc_tokens long, sequence_id long, number long, terms binary, counts binary",
-    ), "encoded")
-    corpus = Corpus(encoded, max(byte_encoder(vocabulary).size, end + 1), window)
-    columns = ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    whole = encoded.where("sequence_id is not null").withColumn("length", F.lit(window).cast("long")).withColumn("offset", F.lit(0).cast("long"))
-    tails = corpus.tails.drop("sequence_id", "terms", "counts").join(corpus.windows(), "number")
-    tails = tails.withColumn("ids", F.expr("substring(ids, cast(4 * `from` + 1 as int), cast(4 * length as int))")).withColumn("start", F.col("start") + F.col("from"))
-    return whole.select(columns).unionByName(tails.select(columns)).withColumnRenamed("key", key)
+    encoded = stage(rows.mapInArrow(partial(_encode, path=vocabulary, end=end, window=window, terms=terms, tree=tree), schema), "encoded")
+    tree.destroy()
+
+    counted = encoded.where("doc_tokens is null").select("terms", "counts").mapInArrow(partial(_count_terms, terms=terms), "term long, found long")
+    found = np.zeros(terms + 3, np.int64)
+    total = counted.groupBy("term").agg(F.sum("found").alias("found")).toArrow()  # bounded by the vocabulary
+    found[total.column("term").to_numpy()] = total.column("found").to_numpy()
+    statistics = spark.sparkContext.broadcast((found[:terms], int(found[terms]), max(1.0, found[terms + 1] / max(1, found[terms]))))
+
+    done, pool, tokens, level = [encoded.where("sequence_id is not null")], encoded.where("number is not null"), int(found[terms + 2]), 1
+    while tokens:
+        tasks = min(MOST_PARTS, -(-tokens // max(PART_TOKENS, 4 * window)))
+        dealt = pool.repartitionByRange(tasks, "leaf", "mark", "number") if tasks > 1 else pool.coalesce(1)
+        packed = dealt.sortWithinPartitions("leaf", "mark", "number").mapInArrow(
+            partial(_pack, statistics=statistics, window=window, level=level, last=tasks == 1), schema
+        )
+        path = scratch_path(spark, "packed")
+        packed.withColumn("placed", F.col("sequence_id").isNotNull()).write.partitionBy("placed").parquet(path)
+        level_rows = spark.read.schema(f"{schema}, placed boolean").parquet(path)
+        pool = level_rows.where("not placed").drop("placed")
+        done.append(level_rows.where("placed").drop("placed"))
+        tokens = 0 if tasks == 1 else pool.agg(F.sum(F.length("ids") / 4)).first()[0]
+        tokens, level = int(tokens or 0), level + 1
+
+    statistics.destroy()
+    pieces = done[0]
+    for more in done[1:]:
+        pieces = pieces.unionByName(more)
+    return pieces.select(
+        F.col("key").alias(key), "start", (F.length("ids") / 4).cast("long").alias("length"), "ids", "doc_tokens", "sequence_id", "offset",
+    )

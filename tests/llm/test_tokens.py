@@ -108,10 +108,19 @@ def test_pack_odd_rows(spark, library):
     assert sum(r.length for r in every if r.doc_id is None) == every[-1].doc_tokens or any(r.doc_id is None for r in every)
 
 
-def test_neighbours_share_words():
-    index = packing.Shard([np.array([1, 2, 3]), np.array([4, 5, 6]), np.array([1, 2, 9]), np.array([], np.int64)], 10)
-    score = index.scores(np.array([1, 2, 3]))
+def vectors_of(*lists):
+    return [tuple(x.astype("<u4") for x in np.unique(np.array(ids, np.int64), return_counts=True)) for ids in lists]
+
+
+@pytest.mark.parametrize("common", [0.06, 1.0])
+def test_neighbours_share_words(monkeypatch, common):
+    monkeypatch.setattr(packing, "COMMON_SHARE", common)  # all terms in the matrix, or all in postings
+    vectors = vectors_of([1, 2, 3], [4, 5, 6], [1, 2, 9], [])
+    found = np.bincount(np.concatenate([t for t, _ in vectors]).astype(np.int64), minlength=10)
+    index = packing.Shard(vectors, (found, 4, 9 / 4))
+    score, other = index.scores([np.array([1, 2, 3]), np.array([6])])
     assert score[0] > score[2] > score[1] == score[3] == 0
+    assert np.flatnonzero(other).tolist() == [1]
     # by hand: rarity times saturated count, lengths against the mean of 9/4
     norm = 1.2 * (0.25 + 0.75 * 3 / 2.25)
     rarity = np.log1p((4 - 2 + 0.5) / 2.5)
@@ -119,11 +128,34 @@ def test_neighbours_share_words():
 
 
 def test_window_takes_the_best_neighbour():
-    packer = packing.Packer(8, 0)
-    pool = [(0, 0, np.arange(5)), (1, 0, np.arange(20, 24)), (2, 0, np.arange(1, 5))]
-    rest = packer.pack(pool, 30)
-    assert [(r[0], len(r[2])) for r in packer.rows] == [(0, 5), (2, 3)]
-    assert sorted((d, s, len(i)) for d, s, i in rest) == [(1, 0, 4), (2, 3, 1)]
+    vectors = vectors_of(range(5), range(20, 24), range(1, 5))
+    found = np.bincount(np.concatenate([t for t, _ in vectors]).astype(np.int64), minlength=30)
+    free = np.array([5, 4, 4])
+    windows = list(packing.fill(free, packing.Shard(vectors, (found, 3, 13 / 3)), [t for t, _ in vectors], 8))
+    assert windows == [[(0, 5), (2, 3)]] and free.tolist() == [0, 4, 1]
+    assert list(packing.fill_rest(free)) == [[(1, 4)], [(2, 1)]] and not free.any()
+
+
+def test_best_come_first_with_ties_by_place():
+    dice = np.random.default_rng(4)
+    for size in (1, 5, packing.NEAREST, packing.NEAREST + 1, 700):
+        score = dice.integers(-1, 9, size).astype(np.float32)
+        score[dice.integers(size)] = np.inf
+        assert list(packing.best_first(score)) == np.argsort(-score, kind="stable").tolist()
+
+
+def test_tree_brings_like_together():
+    dice = np.random.default_rng(6)
+    middle = dice.normal(size=(8, packing.DIRECTIONS))
+    points = (middle[np.arange(4000) % 8] + dice.normal(size=(4000, packing.DIRECTIONS)) * 0.3).astype(np.float32)
+    tree = packing.fit_tree(points[:1600])
+    leaf = packing.leaves(points, tree)
+    assert 0 <= leaf.min() and leaf.max() < len(tree[1])
+    runs = np.arange(4000)[np.argsort(leaf, kind="stable")].reshape(8, 500) % 8
+    assert np.mean([np.bincount(r, minlength=8).max() / 500 for r in runs]) > 0.8
+    assert packing.leaves(points[:3], packing.fit_tree(points[:0])).tolist() == [0, 0, 0]
+    assert len(packing.leaves(points[:0], tree)) == 0
+    packing.leaves(points, packing.fit_tree(np.repeat(points[:1], 100, axis=0)))
 
 
 def greedy(texts, library, window):
@@ -163,12 +195,7 @@ def scattered(n=90, topics=6):
     return {i: " ".join(dice.choices(words[i % topics * 90: i % topics * 90 + 90], k=dice.randint(5, 60))) for i in range(n)}
 
 
-@pytest.mark.parametrize("rest", [0, 1 << 19])
-def test_neighbours_come_from_the_whole_corpus(spark, library, monkeypatch, rest):
-    monkeypatch.setattr(packing, "ROUND_SEEDS", 1)
-    monkeypatch.setattr(packing, "REST_TOKENS", rest or 256)
-    monkeypatch.setattr(packing, "LEAST_NEIGHBOURS", 2)
-    monkeypatch.setattr(packing, "BLOCK_TEXTS", 8)
+def test_neighbours_come_from_the_whole_shard(spark, library):
     texts = scattered()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartitionByRange(6, "doc_id")
     rows = packing.pack(docs, "doc_id", "text", BYTE, end=1, window=256).collect()
@@ -179,17 +206,38 @@ def test_neighbours_come_from_the_whole_corpus(spark, library, monkeypatch, rest
     assert list(got.values())[: len(want)] == want
 
 
-def test_many_seeds_in_a_round(spark, library, monkeypatch):
+def test_levels_of_small_shards(spark, library, monkeypatch):
+    """Tasks, shards and levels at small sizes: each id once, nothing padded, one shard for the rest."""
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(packing, "REST_TOKENS", 256)
-    monkeypatch.setattr(packing, "ROUND_SEEDS", 16)
-    monkeypatch.setattr(packing, "LEAST_NEIGHBOURS", 2)
-    texts = scattered(300)
+    monkeypatch.setattr(packing, "PART_TOKENS", 1 << 10)
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 1 << 9)
+    monkeypatch.setattr(packing, "SHARD_PIECES", 16)
+    texts = scattered(600) | {1000 + i: "" for i in range(300)} | {2000 + i: "the same words in all of these" for i in range(200)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    rows = packing.pack(docs, "doc_id", "text", BYTE, end=1, window=256).withColumn("ids_crc32", F.crc32("ids")).collect()
-    assert check_packing(rows, texts, library, 256) == 0
-    assert sum(sum(s.length for s in rows if s.sequence_id == q) < 256 for q in {r.sequence_id for r in rows}) <= 8
+    rows = packing.pack(docs, "doc_id", "text", BYTE, end=1, window=64).withColumn("ids_crc32", F.crc32("ids")).collect()
+    assert check_packing(rows, texts, library, 64) == 0
+    size = {}
+    for r in rows:
+        size[r.sequence_id] = size.get(r.sequence_id, 0) + r.length
+    assert sorted(n for n in size.values() if n < 64) == sorted({n for n in size.values() if n < 64})  # powers of two, each once
+    levels = {r.sequence_id >> packing.PLACE_BITS + packing.TASK_BITS for r in rows}
+    assert len(levels) >= 3
+    again = packing.pack(docs, "doc_id", "text", BYTE, end=1, window=64).collect()
+    assert sorted(r.length for r in again) == sorted(r.length for r in rows)
+
+
+def test_shards_hold_related_documents(spark, monkeypatch):
+    """Documents of one topic meet in windows although the shards are small and the topics are dealt over all partitions."""
+    monkeypatch.setattr(packing, "PART_TOKENS", 1 << 13)
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 1 << 13)
+    texts = scattered(1200)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    windows = {}
+    for r in packing.pack(docs, "doc_id", "text", BYTE, end=1, window=256).collect():
+        windows.setdefault(r.sequence_id, []).append(r.doc_id % 6)
+    pure = [max(w.count(t) for t in set(w)) / len(w) for w in windows.values()]
+    assert np.mean(pure) > 0.8
 
 
 def test_long_documents_are_matched_by_all_their_words(spark, library):
