@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from recordloom.llm.common import offsets, parts, ranges, text_list, worker_memory
 from recordloom.llm.tokens import byte_encoder
 from recordloom.llm.windows import mixed
-from recordloom.session import scratch_path, stage
+from recordloom.session import scratch_path
 
 #: BM25: how soon a repeated term saturates, and how much a text's length counts.
 SATURATION, LENGTH_WEIGHT = 1.2, 0.75
@@ -28,6 +28,8 @@ PART_TOKENS, SHARD_TOKENS, SHARD_PIECES, MOST_PARTS = 1 << 22, 1 << 19, 1 << 11,
 SEEDS, NEAREST = 64, 64
 #: Terms in more than this share of a shard's pieces are multiplied as a dense matrix, at most so many of them.
 COMMON_SHARE, MOST_COMMON = 0.06, 1 << 10
+#: Ids are written twice as large as their texts, so they are packed better than by default.
+CODEC = "zstd"
 #: Bits of a number that count within a task, and of a task's number within a level.
 PLACE_BITS, TASK_BITS = 40, 20
 
@@ -344,7 +346,9 @@ def pack(df: DataFrame, key: str, text: str, vocabulary: str, end: int, window:
     tree = spark.sparkContext.broadcast(routing_tree(df, text, vocabulary, terms))
     schema = f"key {kind}, {PIECE}"
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
-    encoded = stage(rows.mapInArrow(partial(_encode, path=vocabulary, end=end, window=window, terms=terms, tree=tree), schema), "encoded")
+    path = scratch_path(spark, "encoded")
+    rows.mapInArrow(partial(_encode, path=vocabulary, end=end, window=window, terms=terms, tree=tree), schema).write.parquet(path, compression=CODEC)
+    encoded = spark.read.schema(schema).parquet(path)
     tree.destroy()
 
     counted = encoded.where("doc_tokens is null").select("terms", "counts").mapInArrow(partial(_count_terms, terms=terms), "term long, found long")
@@ -361,7 +365,7 @@ def pack(df: DataFrame, key: str, text: str, vocabulary: str, end: int, window:
             partial(_pack, statistics=statistics, window=window, level=level, last=tasks == 1), schema
         )
         path = scratch_path(spark, "packed")
-        packed.withColumn("placed", F.col("sequence_id").isNotNull()).write.partitionBy("placed").parquet(path)
+        packed.withColumn("placed", F.col("sequence_id").isNotNull()).write.partitionBy("placed").parquet(path, compression=CODEC)
         level_rows = spark.read.schema(f"{schema}, placed boolean").parquet(path)
         pool = level_rows.where("not placed").drop("placed")
         done.append(level_rows.where("placed").drop("placed"))
