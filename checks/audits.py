@@ -8,9 +8,9 @@ from checks.court import finals, labelled, routed
 from checks.registry import query
 from recordloom.operators import audit, bitmaps, filters, quality, sampling
 from recordloom.plans import cases as plan
-from recordloom.plans import classify, lineage, profile, profile_state, reachability, usage
+from recordloom.plans import classify, heavy_hitters, lineage, profile, profile_state, reachability, usage
 from recordloom.schemas import CASE_FILE_COLUMNS, CIVIL_SUBTYPES, LOAD_STATUSES
-from recordloom.session import scratch_path
+from recordloom.session import scratch_path, stage
 from recordloom.sources import tables
 
 # --- quality ---------------------------------------------------------------------------------
@@ -349,6 +349,39 @@ def classify_person_columns(d):
     return classify.classify_columns(d.gov("person"), key="person_id", sample_pct=80)
 
 
+_LUHN = """list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN ascii(substr(x, i, 1)) - 48
+    ELSE (2 * (ascii(substr(x, i, 1)) - 48)) % 10 + (2 * (ascii(substr(x, i, 1)) - 48)) // 10 END)) % 10 = 0"""
+_MOD_97 = """list_reduce(list_prepend(0, list_transform(range(1, length(x) + 1), lambda i: ascii(substr(substr(x, 5) || substr(x, 1, 4), i, 1)))),
+    lambda a, c: CASE WHEN c < 58 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) = 1"""
+
+
+def _checked(column: str, table: str) -> str:
+    email, card, account = (r.value_pattern for r in classify.CHECKED_RULES)
+    hits = {
+        "Email": f"regexp_matches({column}, '{email}')",
+        "CreditCard": f"len(list_filter(list_transform(regexp_extract_all({column}, '{card}'), lambda y: regexp_replace(y, '[ -]', '', 'g')), lambda x: {_LUHN})) > 0",
+        "BankAccount": f"len(list_filter(regexp_extract_all({column}, '{account}'), lambda x: {_MOD_97})) > 0",
+    }
+    return " UNION ALL ".join(
+        f"SELECT '{column}' AS column_name, '{tag}' AS tag, 'value' AS matched_by, "
+        f"round(CAST(count(*) FILTER (WHERE {hit}) AS DOUBLE) / count({column}), 6) AS match_ratio FROM {table}" for tag, hit in hits.items()
+    )
+
+
+@query("""WITH numbers AS (SELECT printf('4000 %04d %04d-%04d', c_custkey % 10000, c_custkey * 7 % 10000, c_custkey * 13 % 10000) AS card,
+            printf('DE%02d%018d', c_custkey % 97 + 2, c_custkey) AS account, c_name || '@example.org' AS mail FROM customer)
+          """ + " UNION ALL ".join(_checked(c, t) for c, t in (("card", "numbers"), ("account", "numbers"), ("mail", "numbers"), ("text", "documents"))))
+def classify_checked_numbers(d):
+    """Shares of values with right check digits, in generated numbers of which most are wrong and in documents."""
+    key = F.col("c_custkey").cast("long")
+    numbers = d.table("customer").select(
+        F.format_string("4000 %04d %04d-%04d", key % 10000, key * 7 % 10000, key * 13 % 10000).alias("card"),
+        F.format_string("DE%02d%018d", key % 97 + 2, key).alias("account"), F.concat("c_name", F.lit("@example.org")).alias("mail"),
+    )
+    found = [classify.classify_columns(t, classify.CHECKED_RULES, min_ratio=0.0) for t in (numbers, d.table("documents").select("text"))]
+    return found[0].unionByName(found[1])
+
+
 @query("""SELECT l.upstream_dataset_id, u.title AS upstream_title, l.downstream_dataset_id, w.title AS downstream_title, l.lineage_type
           FROM gov_dataset_lineage l LEFT JOIN gov_dataset u ON u.dataset_id = l.upstream_dataset_id
           LEFT JOIN gov_dataset w ON w.dataset_id = l.downstream_dataset_id""")
@@ -406,3 +439,17 @@ def usage_per_day(d):
 def usage_top_report(d):
     recent = usage.recent_log(d.table("events"), "2024-01-15 00:00:00")
     return usage.usage_rollup(recent, ["user_id", "event_type"], top_n=usage.RESULT_LIMIT)
+
+
+@query("""WITH log AS (SELECT CAST(ts AS DATE) AS day, user_id % (1 + user_id % 50) AS team FROM events),
+          counts AS (SELECT e.day AS last_day, team, count(*) AS uses FROM (SELECT DISTINCT day FROM log) e
+            JOIN log l ON l.day <= e.day AND l.day > e.day - INTERVAL 7 DAY GROUP BY ALL)
+          SELECT CAST(last_day AS VARCHAR) AS last_day, team, uses, true AS certain FROM counts
+          QUALIFY row_number() OVER (PARTITION BY last_day ORDER BY uses DESC, team) <= 3""")
+def usage_sliding_top(d):
+    """The three busiest teams of the seven days up to each day; the summaries keep twenty teams a day."""
+    team = (F.col("user_id") % (1 + F.col("user_id") % 50)).alias("team")
+    log = d.table("events").select("ts", team)
+    days = stage(heavy_hitters.summarize_days(log, ["team"], keep=20), "days")
+    found = heavy_hitters.sliding_top(log, days, ["team"], top=3)
+    return found.select(F.col("last_day").cast("string").alias("last_day"), "team", "uses", "certain")
