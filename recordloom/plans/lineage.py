@@ -37,7 +37,8 @@ def lineage_closure(
     Follows the edges level by level. A pair is kept the first time it is seen, so a
     cycle ends by itself; ``max_depth`` is for those who want less. Every level is
     written to the shared folder, so the plan does not grow and a lost executor costs
-    no earlier level.
+    no earlier level. Levels are joined by sorted shuffles: one broadcast a level would send the
+    driver all pairs in the end.
     """
     spark = edges.sparkSession
     source, target = ("upstream", "downstream") if direction == "downstream" else ("downstream", "upstream")
@@ -54,8 +55,8 @@ def lineage_closure(
         seen = spark.read.schema(schema).parquet(levels)
         frontier = seen.where(F.col("depth") == depth)
         level = (
-            frontier.join(steps, "dataset_id").select("start_id", F.col("_next").alias("dataset_id")).distinct()
-            .join(seen, ["start_id", "dataset_id"], "left_anti")
+            frontier.join(steps.hint("merge"), "dataset_id").select("start_id", F.col("_next").alias("dataset_id")).distinct()
+            .join(seen.hint("merge"), ["start_id", "dataset_id"], "left_anti")
         )
         depth += 1
     return spark.read.schema(schema).parquet(levels).where(F.col("depth") > 0)

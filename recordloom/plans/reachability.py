@@ -64,7 +64,7 @@ def _levels(first: DataFrame, step, name: str, again: bool) -> DataFrame:
         level = step(last).select(*schema.names).distinct()
         if again:
             known = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/level=*").select(*schema.names)
-            level = level.join(known, schema.names, "left_anti")
+            level = level.join(known.hint("merge"), schema.names, "left_anti")
         depth += 1
 
 
@@ -110,7 +110,8 @@ def reachable(edges: DataFrame, starts: DataFrame, direction: str = "downstream"
     acyclic = stage(named.select(F.coalesce("from", "a").alias("node"), F.coalesce("to", "b").alias("next")).where("node <> next").distinct(), "acyclic")
     starts = starts.select(F.col("dataset_id").alias("start_id")).dropna().distinct()
     first = starts.join(members.toDF("start_id", "component"), "start_id", "left").select("start_id", F.coalesce("component", "start_id").alias("node"))
-    follow = lambda level: level.join(acyclic, "node").select("start_id", F.col("next").alias("node"))
+    # a broadcast a level would send the driver all pairs in the end
+    follow = lambda level: level.join(acyclic.hint("merge"), "node").select("start_id", F.col("next").alias("node"))
     found = _levels(first, follow, "reached", again=False).distinct()
     whole = found.join(members.toDF("dataset_id", "node"), "node", "left")
     return whole.select("start_id", F.coalesce("dataset_id", "node").alias("dataset_id")).where("start_id <> dataset_id")
