@@ -482,7 +482,8 @@ def enrich_datasets(d):
         "permissible_use_condition": ["permissible_use_condition_id", "permissible_use_id", "dataset_id"],
         "role_assignment": ["role_assignment_id", "person_id", "dataset_id"], "dataset_security_marking": ["dataset_id"],
     }.items():
-        t[name] = _text_ids(t[name], *keys)
+        t[name] = stage(_text_ids(t[name], *keys), name)
+    t |= {name: stage(t[name], name) for name in ("governance_role", "security_marking")}
     part, key = d.table("part"), F.col("p_partkey").cast("string")
     source = F.when(F.col("p_size") > 25, F.concat(F.lit("part-"), key)).otherwise(F.concat(F.lit("new-"), key)).alias("source_identifier")
 
@@ -505,7 +506,7 @@ def enrich_datasets(d):
         "dataset_security_marking": each(marking_name="CUI"),
     }
     for run in ("2024-03-01", "2024-03-02"):
-        t |= {name: stage(df, name) for name, df in enrichment.enrich_datasets(t, rows, run).items() if name in rows}
+        t = enrichment.enrich_datasets(t, rows, run)
     of = t["dataset"].select("dataset_id", F.col("source_identifier").alias("a"))
 
     def links(name, **names):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.text import surrogate_key
 from recordloom.operators.merge import insert_ignore, insert_where_absent, upsert
+from recordloom.session import stage
 from recordloom.sources.tables import values_df
 
 Tables = dict[str, DataFrame]
@@ -213,13 +214,13 @@ def enrich_datasets(t: Tables, rows: Tables, as_of: str) -> Tables:
     (with ``agency_name``), :func:`add_distributions`, :func:`assign_tags`, :func:`apply_policies`,
     :func:`link_conditions`, :func:`upsert_person`, :func:`assign_roles` and :func:`assign_markings`
     take; ``tag`` has new tags. A table without rows in the batch stays as it is. Steps run in this order,
-    so links find what the batch itself brings.
+    so links find what the batch itself brings. Each changed table is written down once, however many later steps read it.
     """
     t = dict(t)
 
     def step(name: str, change) -> None:
         if name in rows:
-            t[name] = change(rows[name])
+            t[name] = stage(change(rows[name]), name)
 
     step("agency", lambda r: upsert_agency(t["agency"], r, as_of))
     agency = t["agency"].select("agency_id", F.lower("name").alias("_agency"))
