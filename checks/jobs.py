@@ -18,12 +18,14 @@ from recordloom.sources import bucketed, csv, tables
 from recordloom.streaming import ingest
 
 AS_OF = "2024-03-01 00:00:00"
+FILE_ROWS = 100_000
 
 
 def _files(d: Data) -> str:
-    """Record files of the case rows; a court is never split over files."""
+    """Record files of the case rows, eight at least and more for more rows."""
     path = scratch_path(d.spark, "record-files")
-    csv.write_cases_csv(d.src().repartition(8, "load_id"), path)
+    files = max(8, -(-d.table("orders").count() // FILE_ROWS))
+    csv.write_cases_csv(d.src().repartition(files, "id", "name"), path)
     return path
 
 

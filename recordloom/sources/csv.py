@@ -14,6 +14,8 @@ from recordloom.session import stage
 _CORRUPT = "_bad_record"
 #: A longer record, of text that is read in splits, is reported and not put together.
 RECORD_BYTES = 64 * 1024 * 1024
+#: A larger file is read in splits also where files are read by one task each.
+WHOLE_BYTES = 256 * 1024 * 1024
 # "\u0001" never occurs: an unquoted empty field comes back as NULL and "" as '', so both can be made ''
 _OPTIONS = {
     "header": "true",
@@ -29,12 +31,7 @@ _OPTIONS = {
 
 
 def csv_options(multi_line: bool = True) -> dict[str, str]:
-    """Reader options, shared with the streaming reader.
-
-    With ``multi_line`` a quoted field may hold line breaks, but each file is read by one
-    task. Without it a stream splits large files; a record with a line break then counts as
-    bad and fails its load, it is never cut silently. :func:`read_many` keeps such records.
-    """
+    """Reader options. With ``multi_line`` a quoted field may hold line breaks, but each file is read by one task."""
     return {
         **_OPTIONS, "multiLine": str(multi_line).lower(), "columnNameOfCorruptRecord": _CORRUPT, "mode": "PERMISSIVE",
     }
@@ -110,9 +107,11 @@ def _entry_states(df: DataFrame, by: list[str], order: str, entry: Column) -> Da
     }).drop("_set")
 
 
-def split_records(spark: SparkSession, paths: str | list[str], record_bytes: int = RECORD_BYTES) -> DataFrame:
+def split_records(spark: SparkSession, paths: str | list[str], record_bytes: int = RECORD_BYTES, larger_than: int = -1) -> DataFrame:
     """``(record, is_broken, file ...)``: records as text, out of files that are read in splits; header records are left out.
 
+    Files of up to ``larger_than`` bytes are left out.
+
     Whether a line break ends a record hangs on all the quotes before it. So each line, and by composition
     each split, becomes a function: where it ends if it starts inside a quoted field, and if not. The functions of the
     splits before it, one small row each, give the state that a split starts in.
@@ -122,7 +121,7 @@ def split_records(spark: SparkSession, paths: str | list[str], record_bytes: int
     of more than ``record_bytes``, is not: it comes as its first line, and ``is_broken``.
     """
     lines = _with_file(
-        spark.read.option("lineSep", "\n").text(paths).withColumn("line", F.monotonically_increasing_id()).withColumns({
+        spark.read.option("lineSep", "\n").text(paths).where(F.col("_metadata.file_size") > larger_than).withColumn("line", F.monotonically_increasing_id()).withColumns({
             "block": F.col("_metadata.file_block_start"), "split": F.concat_ws("#", "_metadata.file_path", "_metadata.file_block_start"),
             "from_outside": _ends_inside("value", False), "from_inside": _ends_inside("value", True),
         }),
@@ -173,19 +172,28 @@ def split_records(spark: SparkSession, paths: str | list[str], record_bytes: int
 def read_many(spark: SparkSession, paths: str | list[str], multi_line: bool = True) -> DataFrame:
     """All record files of a glob in one scan, every row stamped with its file and ``is_bad``.
 
-    With ``multi_line`` each file is read by one task, which suits many files of moderate
-    size. Without it files are read in splits. Both give the same good rows and as many bad ones, whatever
+    With ``multi_line`` each file of up to ``WHOLE_BYTES`` is read by one task, which suits many files of moderate
+    size; larger ones, and without it all files, are read in splits, so that no task reads a large file. Both give
+    the same good rows and as many bad ones, whatever
     quotes and line breaks fields hold, with line feeds or carriage returns before them, as the first
     line of a file has them. They differ where a quote never closes: in splits such a record is always bad, while
     the other form takes the rest of the file as a text, which is good if it is the last field. Files whose
-    lines end in carriage returns alone need ``multi_line``.
+    lines end in carriage returns alone need ``multi_line`` and no more than ``WHOLE_BYTES``.
     """
-    if multi_line:
-        raw = spark.read.schema(file_schema(CASE_FILE_SCHEMA)).options(**csv_options()).csv(paths)
+    if not multi_line:
+        return _in_splits(spark, paths)
+    size = F.col("_metadata.file_size")
+    raw = spark.read.schema(file_schema(CASE_FILE_SCHEMA)).options(**csv_options()).csv(paths)
+    # only the sizes are asked for, so no file is opened
+    if spark.read.format("binaryFile").load(paths).where(size > WHOLE_BYTES).select(size).isEmpty():
         return clean_fields(raw, CASE_FILE_COLUMNS)
+    return clean_fields(raw.where(size <= WHOLE_BYTES), CASE_FILE_COLUMNS).unionByName(_in_splits(spark, paths, WHOLE_BYTES))
+
+
+def _in_splits(spark: SparkSession, paths: str | list[str], larger_than: int = -1) -> DataFrame:
     options = {k: v for k, v in csv_options().items() if k not in ("header", "multiLine", "encoding")}
     parsed = F.from_csv("record", F.lit(", ".join(f"{f.name} string" for f in file_schema(CASE_FILE_SCHEMA).fields)), options)
-    rows = split_records(spark, paths).select(parsed.alias("r"), "is_broken", "record", *_FILE)
+    rows = split_records(spark, paths, larger_than=larger_than).select(parsed.alias("r"), "is_broken", "record", *_FILE)
     bad = F.when(F.col("is_broken"), F.col("record")).otherwise(F.col(_CORRUPT))
     return _cleaned(rows.select("r.*", "is_broken", "record", *_FILE).withColumn(_CORRUPT, bad), CASE_FILE_COLUMNS)
 

@@ -8,6 +8,8 @@ instead of doubling it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,10 +19,10 @@ from recordloom.functions.text import to_bigint
 from recordloom.operators.filters import filter_loads
 from recordloom.operators.joins import drop_matching
 from recordloom.plans.loads import accept_cases, commit_load, party_rows
-from recordloom.schemas import CASE_FIELDS, CASE_FILE_COLUMNS, CASE_FILE_SCHEMA, LANDING_SCHEMA, LEDGER_SCHEMA
+from recordloom.schemas import CASE_FIELDS, CASE_FILE_COLUMNS, LANDING_SCHEMA, LEDGER_SCHEMA
 from recordloom.session import stage
 from recordloom.sources.bucketed import BUCKETS, first_wins_into
-from recordloom.sources.csv import clean_fields, csv_options, file_schema
+from recordloom.sources.csv import read_many
 from recordloom.sources.tables import existing_table, replace_parts
 
 
@@ -40,16 +42,18 @@ def stream_load(
     """Land the files of ``in_dir`` that were not loaded yet: ``out_dir/landing`` and ``out_dir/ledger``.
 
     The result is that of the batch load, except that a file without any record is not
-    noted. ``max_files`` cuts a backlog into micro-batches of that many files.
+    noted. ``max_files`` cuts a backlog into micro-batches of that many files. The stream itself
+    is one of file names; a batch reads its files as the batch load does, large ones in splits.
     """
-    reader = _limited(spark.readStream.schema(file_schema(CASE_FILE_SCHEMA)), max_files)
-    raw = reader.options(**csv_options(multi_line)).csv(in_dir)
+    files = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile")
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        commit_load(batch, None, out_dir, batch_id, as_of)
+        paths = [re.sub(r"([\\{}\[\]*?])", r"\\\1", r["path"]) for r in batch.distinct().toLocalIterator()]  # names, not patterns
+        if paths:
+            commit_load(read_many(spark, paths, multi_line), None, out_dir, batch_id, as_of)
 
     return (
-        clean_fields(raw, CASE_FILE_COLUMNS).writeStream.foreachBatch(land)
+        _limited(files, max_files).load(in_dir).select("path").writeStream.foreachBatch(land)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
