@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checks.court import finals
@@ -186,10 +186,10 @@ def stream_load(d):
     return _landed(loads.read_landing(d.spark, out), loads.read_ledger(d.spark, out))
 
 
-def _commit(d: Data, rows: DataFrame, out: str, version: int) -> None:
-    """Land rows and note their loads as completed."""
-    tables.append_landing(rows, f"{out}/landing")
-    done = rows.groupBy("load_id").agg(F.count("*").alias("rows_loaded")).withColumn("load_status", F.lit("completed"))
+def _commit(rows: DataFrame, chosen: Column, out: str, version: int) -> None:
+    """Land the chosen rows and note their loads, which hold no others, as completed; they are counted where they landed."""
+    landed = tables.append_landing(rows.where(chosen), f"{out}/landing")
+    done = landed.where(chosen).groupBy("load_id").agg(F.count("*").alias("rows_loaded")).withColumn("load_status", F.lit("completed"))
     known = {f.name: F.col(f.name) if f.name in done.columns else F.lit(None) for f in LEDGER_SCHEMA.fields}
     ledger = done.select(*[known[f.name].cast(f.dataType).alias(f.name) for f in LEDGER_SCHEMA.fields])
     tables.write_version(ledger, f"{out}/ledger", version)
@@ -204,7 +204,7 @@ def _streamed(d: Data) -> str:
     rows = d.amended()
     rows = rows.withColumn("load_id", F.col("load_id") + F.when(F.col("source_id") >= 10**12, 100).otherwise(0))
     for version, late in enumerate((False, True, False)):
-        _commit(d, rows.where((F.col("source_id") >= 10**12) == late), loaded, version)
+        _commit(rows, (F.col("source_id") >= 10**12) == late, loaded, version)
         ingest.stream_process(d.spark, loaded, d.ct(), out, checkpoint, schema=rows.schema).awaitTermination()
     return out
 

@@ -29,10 +29,11 @@ def safe_to_date(col: Column, template: str = "YYYY-MM-DD") -> Column:
     """Date in the order of ``template``; NULL when missing, unreadable or not on the calendar.
 
     A separator of the template stands for any separators in the text, or none. Trailing text is ignored.
+    The parts are cast, not parsed by a pattern, which raises an exception inside for every missing or unreadable text.
     """
     order = part_order(template)
-    parts = [F.regexp_extract(col, date_pattern(order), order.index(p) + 1) for p in ("YYYY", "MM", "DD")]
-    return F.try_to_date(F.concat_ws("-", *parts), "y-M-d")
+    year, month, day = (F.regexp_extract(col, date_pattern(order), order.index(p) + 1) for p in ("YYYY", "MM", "DD"))
+    return F.concat_ws("-", F.lpad(year, 4, "0"), month, day).try_cast("date")
 
 
 def seconds_between(start: Column, end: Column) -> Column:

@@ -61,8 +61,10 @@ def append_landing(df: DataFrame, path: str, mode: str = "replace") -> DataFrame
     """Land rows that carry a ``load_id``, one folder per load.
 
     ``replace`` swaps the folders of the loads at hand and leaves all others, so a
-    repeated load does not double its rows; ``append`` adds to them.
+    repeated load does not double its rows; ``append`` adds to them. The rows are gathered by load first, a large
+    load over several tasks, so that files and what a task sorts do not grow with tasks times loads.
     """
+    df = df.hint("rebalance", "load_id")
     if mode == "append":
         df.write.mode("append").partitionBy("load_id").parquet(path)
     elif mode == "replace":

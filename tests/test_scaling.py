@@ -1,12 +1,17 @@
 """Steps whose cost must not grow faster than their input."""
 
 import datetime as dt
+import glob
 
+from pyspark.sql import functions as F
+
+from checks import jobs
 from checks.fixtures import Data
 from checks.jobs import _files
+from recordloom.functions.dates import safe_to_date
 from recordloom.plans import enrichment, lineage, loads
 from recordloom.schemas import CASE_FILE_COLUMNS
-from recordloom.sources import csv
+from recordloom.sources import csv, tables
 from recordloom.streaming import ingest
 
 AS_OF = "2024-03-01 00:00:00"
@@ -74,3 +79,31 @@ def test_record_files_hold_a_bounded_number_of_rows(spark, tmp_path, monkeypatch
     spark.createDataFrame([(1, "Customer", 3)], "c_custkey long, c_name string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
     read = csv.read_many(spark, f"{_files(Data(spark, str(tmp_path)))}/*.csv").groupBy("file_name").count().collect()
     assert sum(r["count"] for r in read) == 2000 and max(r["count"] for r in read) < 200
+
+
+def test_landing_files_do_not_grow_with_tasks(spark, tmp_path):
+    path, rows = str(tmp_path / "landing"), spark.range(0, 4000, 1, 8).select(F.col("id").cast("string").alias("id"), (F.col("id") % 5).alias("load_id"))
+    for mode, n in (("replace", 1), ("replace", 1), ("append", 2)):
+        landed = tables.append_landing(rows, path, mode)
+        assert {(r["load_id"], r["count"]) for r in landed.groupBy("load_id").count().collect()} == {(i, 800 * n) for i in range(5)}
+        assert len(glob.glob(f"{path}/load_id=*/*.parquet")) == 5 * n
+
+
+def test_dates_are_read_without_a_parser_that_raises(spark):
+    texts = {
+        "2020-2-3": "2020-02-03", "  2021-1-1 12:00": "2021-01-01", "20200105": "2020-01-05", "5-1-1": "0005-01-01", "0-1-1": "0000-01-01",
+        "2000-02-29": "2000-02-29", "1900-02-29": None, "2020-02-30": None, "2020-13-01": None, "2020-01": None, "": None, "NA": None, None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", safe_to_date(F.col("t")).cast("string").alias("d"))
+    assert {r["t"]: r["d"] for r in df.collect()} == texts
+    assert "gettimestamp" not in plan(df)
+
+
+def test_a_commit_builds_its_rows_once(spark, tmp_path, rows):
+    built = spark.sparkContext.accumulator(0)
+    load = F.udf(lambda i: built.add(1) or i % 3, "bigint")
+    source = spark.range(30).select(F.col("id").alias("source_id"), load("id").alias("load_id"))
+    for version, late in enumerate((False, True)):
+        jobs._commit(source, (F.col("source_id") >= 30) == late, str(tmp_path), version)
+    assert built.value == 30
+    assert rows(loads.read_ledger(spark, str(tmp_path)), "load_id", "rows_loaded", "load_status") == [(i, 10, "completed") for i in range(3)]
