@@ -25,14 +25,16 @@ def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
 
 
 def read_buckets(
-    spark: SparkSession, path: str, schema: T.StructType, numbers: list[int] | None = None, before: int | None = None
+    spark: SparkSession, path: str, schema: T.StructType, numbers: list[int] | None = None, before: int | None = None,
+    batch_id: int | None = None,
 ) -> DataFrame:
-    """Rows of the buckets ``numbers`` (all of them by default) that were written before batch ``before``."""
+    """Rows of the buckets ``numbers`` (all of them by default) that were written before batch ``before``, or by ``batch_id``."""
     stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch_id", T.LongType())])
     path = path.rstrip("/")
     names = "*" if numbers is None else "{" + ",".join(map(str, numbers)) + "}"
+    batch = "" if batch_id is None else f"/batch_id={batch_id}"
     try:
-        found = spark.read.schema(stored).option("basePath", path).parquet(f"{path}/bucket={names}")
+        found = spark.read.schema(stored).option("basePath", path).parquet(f"{path}/bucket={names}{batch}")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -69,12 +71,14 @@ def first_wins_into(
 
     Within a batch the smallest row by ``order_by`` is the first; the earlier batch wins over a later
     one. Known are those of ``seen``, which must hold the keys of ``source``; by default those.
-    Null keys are left out. Both results are written tables.
+    Null keys are left out. Both results are written tables: the rows are those of the buckets. With ``seen`` the
+    rows are written nowhere else, as they are picked only once then.
     """
     spark, field = source.sparkSession, source.schema[key]
-    first = stage(pick_first(source.where(F.col(key).isNotNull()), [key], order_by), "first-rows")
+    first = pick_first(source.where(F.col(key).isNotNull()), [key], order_by)
+    if seen is None:
+        first = stage(first, "first-rows")
     keys = first.select(key) if seen is None else stage(seen.select(key).dropna().distinct(), "keys")
     known = stage(known_keys(spark, path, field, keys, batch_id, buckets), "known-keys")
-    fresh = stage(drop_matching(first, known, key, unique=True), "fresh-rows")
-    write_buckets(fresh, path, key, batch_id, buckets)
-    return fresh, known
+    write_buckets(drop_matching(first, known, key, unique=True), path, key, batch_id, buckets)
+    return read_buckets(spark, path, first.schema, batch_id=batch_id), known

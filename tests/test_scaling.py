@@ -11,7 +11,7 @@ from checks.jobs import _files
 from recordloom.functions.dates import safe_to_date
 from recordloom.plans import enrichment, lineage, loads
 from recordloom.schemas import CASE_FILE_COLUMNS
-from recordloom.sources import csv, tables
+from recordloom.sources import bucketed, csv, tables
 from recordloom.streaming import ingest
 
 AS_OF = "2024-03-01 00:00:00"
@@ -89,6 +89,18 @@ def test_landing_files_do_not_grow_with_tasks(spark, tmp_path):
         assert len(glob.glob(f"{path}/load_id=*/*.parquet")) == 5 * n
 
 
+def test_first_rows_are_written_to_the_buckets_alone(spark, tmp_path, rows, monkeypatch):
+    staged, stage = [], bucketed.stage
+    monkeypatch.setattr(bucketed, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    path, names = str(tmp_path / "t"), "k long, v string"
+    fresh, known = bucketed.first_wins_into(path, spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], names), "k", ["v"], 0, seen=spark.range(1, 5).toDF("k"))
+    assert rows(fresh) == [(1, "a"), (2, "c")] and rows(known) == []
+    fresh, known = bucketed.first_wins_into(path, spark.createDataFrame([(2, "x"), (3, "y")], names), "k", ["v"], 1, seen=spark.range(1, 5).toDF("k"))
+    assert rows(fresh) == [(3, "y")] and rows(known) == [(1,), (2,)]
+    fresh, _ = bucketed.first_wins_into(path, spark.createDataFrame([(2, "x")], names), "k", ["v"], 2, seen=spark.range(1, 5).toDF("k"))
+    assert rows(fresh) == [] and staged == ["keys", "known-keys"] * 3
+
+
 def test_dates_are_read_without_a_parser_that_raises(spark):
     texts = {
         "2020-2-3": "2020-02-03", "  2021-1-1 12:00": "2021-01-01", "20200105": "2020-01-05", "5-1-1": "0005-01-01", "0-1-1": "0000-01-01",
