@@ -238,8 +238,12 @@ class Data:
     def ct(self) -> DataFrame:
         return values_df(self.spark, LOOKUP_ROWS, "case_type string, subtype string")
 
-    def src(self) -> DataFrame:
-        joined = self.table("orders").repartition("o_orderkey").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    def src(self, files: int | None = None) -> DataFrame:
+        """The case rows; dealt by their id and name over ``files`` tasks, before the wide columns are made."""
+        orders = self.table("orders") if files else self.table("orders").repartition("o_orderkey")
+        joined = orders.join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        if files:
+            joined = joined.repartition(files, F.expr(_SRC["id"]), F.expr(_SRC["name"]))
         return joined.selectExpr(*[f"{e} AS {c}" for c, e in _SRC.items()])
 
     def amended(self) -> DataFrame:

@@ -9,6 +9,7 @@ from checks.court import finals
 from checks.fixtures import CASE_COLUMNS, KEPT_SYSTEM, LABEL, NA_EMPTY_REPLACED, Data, party_sql
 from checks.registry import query
 from recordloom.operators import filters
+from recordloom.operators.joins import lookup_join
 from recordloom.operators.quality import union_all
 from recordloom.plans import cases as plan
 from recordloom.plans import loads
@@ -25,7 +26,7 @@ def _files(d: Data) -> str:
     """Record files of the case rows, eight at least and more for more rows."""
     path = scratch_path(d.spark, "record-files")
     files = max(8, -(-d.table("orders").count() // FILE_ROWS))
-    csv.write_cases_csv(d.src().repartition(files, "id", "name"), path)
+    csv.write_cases_csv(d.src(files), path)
     return path
 
 
@@ -128,7 +129,7 @@ def _landed(landing: DataFrame, ledger: DataFrame) -> DataFrame:
     per_load = landing.groupBy("load_id").agg(F.count("*").alias("n"))
     counted = per_load.join(ledger.where("load_status = 'completed'"), "load_id").select("load_id", (F.col("n") == F.col("rows_loaded")).alias("counted"))
     numbers = landing.agg(F.countDistinct("source_id").alias("numbers")).scalar()
-    return landing.join(counted, "load_id").select(*CASE_FILE_COLUMNS, "counted", numbers.alias("numbers"))
+    return lookup_join(landing, stage(counted, "counted"), "load_id", "inner").select(*CASE_FILE_COLUMNS, "counted", numbers.alias("numbers"))
 
 
 @query(_LANDED)

@@ -22,7 +22,7 @@ from recordloom.schemas import (
     LANDING_SCHEMA,
     LEDGER_SCHEMA,
 )
-from recordloom.session import scratch_path, stage
+from recordloom.session import SMALL_CODEC, note_staged, release, scratch_path, stage
 from recordloom.sources.csv import read_many
 from recordloom.sources.tables import (
     append_landing,
@@ -94,26 +94,33 @@ def stamp_load(df: DataFrame, load_id: int) -> DataFrame:
 
 
 def land_rows(
-    rows: DataFrame, files: DataFrame | None, ledger: DataFrame, as_of: str, mode: str = "replace", start_id: int = 0
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(landing rows, ledger, counts)`` for scanned rows that carry their file and ``is_bad``; one count row per load of the run.
+    rows: DataFrame, files: DataFrame | None, ledger: DataFrame, as_of: str, mode: str = "replace", start_id: int = 0,
+    staged: list[str] = (),
+) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """``(landing rows, ledger, counts, by_load)`` for scanned rows that carry their file and ``is_bad``; one count row per load of the run.
 
     The text is parsed once: the rows are staged, and the outcome of each load, the row
     numbers and the landing rows all come from there. ``files`` may list files without
     rows; by default the files of the rows are taken. The file name identifies a load,
-    so files of one name in several folders are one load.
+    so files of one name in several folders are one load. ``staged`` are tables that only the rows are made of; they are deleted
+    once the rows are written. ``by_load`` tells whether the landing rows of a load lie together, as those of files
+    that are read in their order do.
     """
     spark = rows.sparkSession
     path = scratch_path(spark, "parsed")
-    rows.write.parquet(path)
+    rows.write.parquet(path, compression=SMALL_CODEC)
+    release(spark, staged)
     stored = stored_with_positions(spark, path, rows.schema)
     if files is None:
         files = stage(stored.select("file_name", "file_path", "file_size_bytes").distinct(), "load-files")
     files = pick_first(files, ["file_name"], ["file_path"])
     started = start_loads(ledger, files, as_of)
-    per_file = stored.groupBy("file_name").agg(
-        F.count_if(~F.col("is_bad")).alias("good_rows"), F.count_if("is_bad").alias("bad_rows")
-    )
+    spans = stored.groupBy("file_name", "_file").agg(F.count_if(~F.col("is_bad")).alias("good_rows"), F.count_if("is_bad").alias("bad_rows"))
+    spans = stage(spans, "load-spans")
+    per_file = spans.groupBy("file_name").agg(F.sum("good_rows").alias("good_rows"), F.sum("bad_rows").alias("bad_rows"))
+    found = spans.agg(F.count("*").alias("spans"), F.countDistinct("file_name").alias("loads"), F.countDistinct("_file").alias("parts")).first()
+    # loads that follow each other through the parts are cut into fewer spans than there are loads and parts
+    by_load = found["spans"] <= 2 * (found["loads"] + found["parts"])
     zero = F.lit(0).cast("bigint")
     counts = stage(
         files.select("file_name").join(started, "file_name").join(per_file, "file_name", "left").select(
@@ -125,7 +132,7 @@ def land_rows(
     done = finish_loads(started, counts.drop("file_name"), as_of, mode)
     good = counts.where(F.col("bad_rows") == 0).select("file_name", "load_id")
     landing = lookup_join(number_stored(stored, start_id), good, "file_name", "inner")
-    return landing.select(*CASE_FILE_COLUMNS, _time(as_of).alias("loaded_at"), "source_id", "load_id"), done, counts
+    return landing.select(*CASE_FILE_COLUMNS, _time(as_of).alias("loaded_at"), "source_id", "load_id"), done, counts, by_load
 
 
 def load_files(
@@ -137,11 +144,14 @@ def load_files(
     The files are listed before they are read: one that arrives in between is left to the next run.
     """
     files = list_files(spark, paths)
-    return land_rows(read_many(spark, paths, multi_line), files, ledger, as_of, mode, start_id)[:2]
+    with note_staged() as staged:
+        rows = read_many(spark, paths, multi_line)
+    return land_rows(rows, files, ledger, as_of, mode, start_id, staged)[:2]
 
 
 def commit_load(
-    rows: DataFrame, files: DataFrame | None, out_dir: str, version: int, as_of: str, mode: str = "replace"
+    rows: DataFrame, files: DataFrame | None, out_dir: str, version: int, as_of: str, mode: str = "replace",
+    staged: list[str] = (),
 ) -> None:
     """Land scanned rows in ``out_dir/landing`` and add version ``version`` to ``out_dir/ledger``.
 
@@ -150,15 +160,19 @@ def commit_load(
 
     Runs again safely: until the ledger version is there, a second run gives the same
     files the same load ids and replaces what the first one landed.
+
+    What it stages is deleted in the end, and ``staged``, tables that only the rows are made of, once the rows are written.
     """
     spark, out_dir = rows.sparkSession, out_dir.rstrip("/")
     ledger = read_ledger(spark, out_dir, before=version)
     last = read_newest(spark, f"{out_dir}/numbers", NUMBERS_SCHEMA, "name", before=version).first()
-    landing, after, counts = land_rows(rows, files, ledger, as_of, mode, last["last_source_id"] if last else 0)
-    append_landing(landing, f"{out_dir}/landing", mode)
+    with note_staged() as own:
+        landing, after, counts, by_load = land_rows(rows, files, ledger, as_of, mode, last["last_source_id"] if last else 0, staged)
+    append_landing(landing, f"{out_dir}/landing", mode, by_load)
     used = counts.agg((F.lit(last["last_source_id"] if last else 0) + F.coalesce(F.sum(F.col("good_rows") + F.col("bad_rows")), F.lit(0))).alias("last_source_id"))
     write_version(used.select(F.lit("source_id").alias("name"), "last_source_id"), f"{out_dir}/numbers", version)
     write_version(keep_matching(after, counts, "load_id", unique=True), f"{out_dir}/ledger", version)
+    release(spark, own)
 
 
 def run_load(
@@ -168,7 +182,9 @@ def run_load(
     out_dir = out_dir.rstrip("/")
     version = next_version(spark, f"{out_dir}/ledger", LEDGER_SCHEMA)
     files = list_files(spark, paths)
-    commit_load(read_many(spark, paths, multi_line), files, out_dir, version, as_of, mode)
+    with note_staged() as staged:
+        rows = read_many(spark, paths, multi_line)
+    commit_load(rows, files, out_dir, version, as_of, mode, staged)
     return read_landing(spark, out_dir), read_ledger(spark, out_dir)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from recordloom.functions.text import null_if_in
 from recordloom.operators.joins import lookup_join
 from recordloom.schemas import CASE_FILE_COLUMNS, CASE_FILE_SCHEMA, LOOKUP_FILE_COLUMNS, LOOKUP_FILE_SCHEMA
-from recordloom.session import stage
+from recordloom.session import SMALL_CODEC, stage
 
 _CORRUPT = "_bad_record"
 #: A longer record, of text that is read in splits, is reported and not put together.
@@ -128,7 +128,7 @@ def split_records(spark: SparkSession, paths: str | list[str], record_bytes: int
         "value", "line", "block", "split", "from_outside", "from_inside",
     )
     # numbers of lines and splits hold for one reading of the files, so it is written down
-    lines = stage(lines, "lines")
+    lines = stage(lines, "lines", SMALL_CODEC)
     place = F.struct("block", "line")
     narrow = lines.select(
         "file_path", "block", "split", "line", "from_outside", "from_inside", F.octet_length("value").alias("bytes"), (F.col("value") == "\r").alias("is_cr")

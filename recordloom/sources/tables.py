@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.operators.joins import lookup_join
+from recordloom.session import SMALL_CODEC
 
 
 def read_table(spark: SparkSession, fmt: str, **options: str) -> DataFrame:
@@ -57,18 +58,20 @@ def overwrite_lookup(df: DataFrame, path: str) -> DataFrame:
     return materialize(df, path)
 
 
-def append_landing(df: DataFrame, path: str, mode: str = "replace") -> DataFrame:
+def append_landing(df: DataFrame, path: str, mode: str = "replace", by_load: bool = False) -> DataFrame:
     """Land rows that carry a ``load_id``, one folder per load.
 
     ``replace`` swaps the folders of the loads at hand and leaves all others, so a
     repeated load does not double its rows; ``append`` adds to them. The rows are gathered by load first, a large
-    load over several tasks, so that files and what a task sorts do not grow with tasks times loads.
+    load over several tasks, so that files and what a task sorts do not grow with tasks times loads. With
+    ``by_load`` few tasks hold rows of a load already: they are written where they are, and nothing is shuffled.
     """
-    df = df.hint("rebalance", "load_id")
+    if not by_load:
+        df = df.hint("rebalance", "load_id")
     if mode == "append":
-        df.write.mode("append").partitionBy("load_id").parquet(path)
+        df.write.mode("append").partitionBy("load_id").parquet(path, compression=SMALL_CODEC)
     elif mode == "replace":
-        replace_parts(df, path, ["load_id"])
+        replace_parts(df, path, ["load_id"], SMALL_CODEC)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -137,6 +140,6 @@ def write_version(df: DataFrame, path: str, version: int) -> None:
     replace_parts(df.withColumn("version", F.lit(version).cast("bigint")), path, ["version"])
 
 
-def replace_parts(df: DataFrame, path: str, partition_by: list[str]) -> None:
+def replace_parts(df: DataFrame, path: str, partition_by: list[str], codec: str | None = None) -> None:
     """Replace the partitions at hand and leave all others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path, compression=codec)

@@ -20,7 +20,7 @@ from recordloom.operators.filters import filter_loads
 from recordloom.operators.joins import drop_matching
 from recordloom.plans.loads import accept_cases, commit_load, party_rows
 from recordloom.schemas import CASE_FIELDS, CASE_FILE_COLUMNS, LANDING_SCHEMA, LEDGER_SCHEMA
-from recordloom.session import stage
+from recordloom.session import note_staged, stage
 from recordloom.sources.bucketed import BUCKETS, first_wins_into
 from recordloom.sources.csv import read_many
 from recordloom.sources.tables import existing_table, replace_parts
@@ -50,7 +50,9 @@ def stream_load(
     def land(batch: DataFrame, batch_id: int) -> None:
         paths = [re.sub(r"([\\{}\[\]*?])", r"\\\1", r["path"]) for r in batch.distinct().toLocalIterator()]  # names, not patterns
         if paths:
-            commit_load(read_many(spark, paths, multi_line), None, out_dir, batch_id, as_of)
+            with note_staged() as staged:
+                rows = read_many(spark, paths, multi_line)
+            commit_load(rows, None, out_dir, batch_id, as_of, staged=staged)
 
     return (
         _limited(files, max_files).load(in_dir).select("path").writeStream.foreachBatch(land)

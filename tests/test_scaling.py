@@ -11,6 +11,7 @@ from checks.jobs import _files
 from recordloom.functions.dates import safe_to_date
 from recordloom.plans import enrichment, lineage, loads
 from recordloom.schemas import CASE_FILE_COLUMNS
+from recordloom.session import note_staged, release, scratch_path, shared_dir, stage
 from recordloom.sources import bucketed, csv, tables
 from recordloom.streaming import ingest
 
@@ -119,3 +120,94 @@ def test_a_commit_builds_its_rows_once(spark, tmp_path, rows):
         jobs._commit(source, (F.col("source_id") >= 30) == late, str(tmp_path), version)
     assert built.value == 30
     assert rows(loads.read_ledger(spark, str(tmp_path)), "load_id", "rows_loaded", "load_status") == [(i, 10, "completed") for i in range(3)]
+
+
+def record_files(folder, files=6, n=30, caption="plain"):
+    folder.mkdir()
+    for f in range(files):
+        text = "".join(record(f * n + i, caption) for i in range(n))
+        (folder / f"{f}.csv").write_text(",".join(CASE_FILE_COLUMNS) + "\n" + text)
+    return str(folder)
+
+
+def scratch_tables(spark):
+    return set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/recordloom/{spark.sparkContext.applicationId}/*"))
+
+
+def test_released_tables_are_those_that_were_noted(spark):
+    with note_staged() as outer:
+        first = stage(spark.range(3), "first")
+        with note_staged() as inner:
+            stage(spark.range(3), "second")
+        inner_path = inner[0]
+        after = scratch_path(spark, "third")
+    before = scratch_tables(spark)
+    assert outer == [*outer[:1], inner_path, after] and len(inner) == 1
+    release(spark, inner)
+    release(spark, [after])  # was never written
+    assert before - scratch_tables(spark) == {inner_path} and first.count() == 3
+    stage(spark.range(1), "fourth")
+    assert len(outer) == 3
+
+
+def test_a_load_leaves_nothing_staged(spark, tmp_path, rows):
+    files, out, before = record_files(tmp_path / "in", caption='"a\nb"'), str(tmp_path / "out"), scratch_tables(spark)
+    columns = [*CASE_FILE_COLUMNS, "load_id"]
+    landed, ledger = loads.run_load(spark, files, out, AS_OF)
+    first = rows(landed, *columns)
+    left = scratch_tables(spark) - before
+    assert len(first) == 180 and all("/pruning-keys-" in t for t in left)  # of the landing that is returned
+    landed, ledger = loads.run_load(spark, files, out, AS_OF, multi_line=False)
+    assert rows(landed, *columns) == first
+    assert rows(ledger, "load_id", "rows_loaded") == [(i, 30) for i in range(1, 7)]
+    ingest.stream_load(spark, files, f"{out}-stream", f"{out}-state", AS_OF, multi_line=False).awaitTermination()
+    assert rows(loads.read_landing(spark, f"{out}-stream"), *columns) == first
+    assert all("/pruning-keys-" in t for t in scratch_tables(spark) - before)
+
+
+def test_text_in_splits_is_released_once_it_is_parsed(spark, tmp_path, rows, monkeypatch):
+    files, before, seen, land = record_files(tmp_path / "in"), scratch_tables(spark), [], loads.append_landing
+    monkeypatch.setattr(loads, "append_landing", lambda *a: seen.extend(scratch_tables(spark) - before) or land(*a))
+    loads.run_load(spark, files, str(tmp_path / "out"), AS_OF, multi_line=False)
+    assert {t.rpartition("/")[2].rpartition("-")[0] for t in seen} == {"parsed", "load-spans", "load-counts"}
+    batch, _ = loads.load_files(spark, files, loads.empty_ledger(spark), AS_OF, multi_line=False)
+    assert batch.count() == 180 and not [t for t in scratch_tables(spark) - before if "/lines-" in t or "/states-" in t]
+
+
+def test_rows_that_lie_by_load_land_without_a_shuffle(spark, tmp_path, rows, monkeypatch):
+    files, plans, replace = record_files(tmp_path / "in", 12, 40), [], tables.replace_parts
+    monkeypatch.setattr(tables, "replace_parts", lambda df, path, *a: (path.endswith("/landing") and plans.append(plan(df))) or replace(df, path, *a))
+    expected, listed = None, loads.list_files(spark, files)
+    for name, read in {"whole": csv.read_many(spark, files), "splits": csv.read_many(spark, files, False), "dealt": csv.read_many(spark, files).repartition(16)}.items():
+        out = str(tmp_path / name)
+        loads.commit_load(read, listed, out, 0, AS_OF)
+        landed = rows(loads.read_landing(spark, out), "id", "load_id", "row_num", "caption")
+        expected = expected or landed
+        assert landed == expected and len(landed) == 480
+        assert rows(spark.read.parquet(f"{out}/landing"), "source_id") == sorted([(i,) for i in range(1, 481)], key=str)
+        assert len(glob.glob(f"{out}/landing/load_id=*/*.parquet")) <= 2 * 12
+    assert ["REBALANCE" in p for p in plans] == [False, False, True]
+
+
+def test_record_files_are_dealt_before_they_are_wide(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, 1, "O", dt.datetime(1996, 1, 2), "1-URGENT") for i in range(50)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "Customer", 3)], "c_custkey long, c_name string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    written, write = [], csv.write_cases_csv
+    monkeypatch.setattr(csv, "write_cases_csv", lambda df, path: written.append(df) or write(df, path))
+    _files(Data(spark, str(tmp_path)))
+    steps = plan(written[0])
+    assert 0 <= steps.index(" matter number ") < steps.index("REPARTITION_BY_NUM")
+    assert sorted(written[0].collect()) == sorted(Data(spark, str(tmp_path)).src().collect())
+
+
+def test_landed_rows_stay_in_place_when_loads_are_counted(spark, rows):
+    landing = spark.range(40).select(*[F.col("id").cast("string").alias(c) for c in CASE_FILE_COLUMNS], (F.col("id") % 4).alias("load_id"), F.col("id").alias("source_id"))
+    ledger = spark.createDataFrame([(0, 10, "completed"), (1, 9, "completed"), (2, 10, "failed")], "load_id long, rows_loaded long, load_status string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        landed = jobs._landed(stage(landing, "landing"), ledger)
+        assert "SortMergeJoin" not in plan(landed) and "BroadcastHashJoin" in plan(landed)
+        assert rows(landed.groupBy("counted", "numbers").count()) == [(False, 40, 10), (True, 40, 10)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
